@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe
+from . import audio, bpe, ngram_join
 
 #: A vocabulary file of the public_tokenizers package; any rank file of a byte-level BPE will do.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -45,8 +45,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.join(_table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op8_byte_bpe)}
+    return {f.__name__: f for f in (op2_media_columns, op8_byte_bpe, op9_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
