@@ -77,6 +77,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = end
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Of rows that are sorted by ``keys``: tables of whole runs of equal keys, and the runs' bounds."""
+    held: list[pa.RecordBatch] = []
+    ended = False
+    while not ended:
+        batch = next(batches, None)
+        ended = batch is None
+        if not ended:
+            held.append(batch)
+        if sum(b.num_rows for b in held) == 0:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        columns = [table.column(c).to_numpy() for c in keys]
+        bounds = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist(), table.num_rows]
+        if not ended:  # the last run may go on in the next batch
+            bounds.pop()
+        held = table.slice(bounds[-1]).to_batches()
+        if len(bounds) > 1:
+            yield table.slice(0, bounds[-1]), bounds
+
+
 def map_texts(
     df: DataFrame, text_col: str, keep: list[str], added: list[T.StructField], work: Callable[[pa.Array], list[pa.Array]], limit: int = SLICE_BYTES
 ) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, map_texts, packed, utf8
+from .common import checkpoint, map_texts, packed, runs, utf8
 from .components import components
 
 #: Coordinates of a point.
@@ -230,24 +230,13 @@ def tile_pairs(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, values: n
 
 def _search_tiles(at: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in _with_end(batches):
-            if batch is not None:
-                held.append(batch)
-            if not held:
-                return
-            table = pa.Table.from_batches(held).combine_chunks()
-            columns = [table.column(c).to_numpy() for c in ("tile", "i", "j")]
-            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-            bounds = [0, *change.tolist(), table.num_rows]
-            last = bounds[-1] if batch is None else bounds[-2]  # the last tile may go on in the next batch
+        for table, bounds in runs(batches, ("tile", "i", "j")):
             ids, labels, sizes, side = (table.column(c).to_numpy() for c in ("class_id", "label", "n_shingles", "side"))
+            values = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS)
             pairs = set()
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b <= last and b - a > 1:
-                    values = np.frombuffer(b"".join(table.column("point").slice(a, b - a).to_pylist()), np.uint32).reshape(-1, GROUPS)
-                    pairs.update(tile_pairs(ids[a:b], labels[a:b], sizes[a:b], values, side[a:b], at))
-            held = table.slice(last).to_batches()
+                if b - a > 1:
+                    pairs.update(tile_pairs(ids[a:b], labels[a:b], sizes[a:b], values[a:b], side[a:b], at))
             if pairs:
                 a, b = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -255,13 +244,6 @@ def _search_tiles(at: Threshold):
     return run
 
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    for batch in batches:
-        if batch.num_rows:
-            yield batch
-    yield None
-
-
 def verified(pairs: DataFrame, representatives: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, at: Threshold) -> DataFrame:
     """The pairs (a, b of class ids) that are linked by their whole sets, which are made anew from the texts of their representatives."""
     involved = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct().join(representatives, "class_id"))

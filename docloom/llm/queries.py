@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, ngram_join
+from . import audio, bpe, multi_index, ngram_join
 
 #: A vocabulary file of the public_tokenizers package; any rank file of a byte-level BPE will do.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -40,6 +40,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.link(_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -51,7 +55,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op8_byte_bpe, op9_ngram_join)}
+    return {f.__name__: f for f in (op2_media_columns, op7_multi_index, op8_byte_bpe, op9_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
