@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, multi_index, ngram_join
+from . import audio, bpe, language_id, multi_index, ngram_join, rule_ensemble
+from .common import held_out
 
 #: A vocabulary file of the public_tokenizers package; any rank file of a byte-level BPE will do.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -24,6 +25,12 @@ def tokens(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, keep=keep)
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = rule_ensemble.fit(docs, _table(spark, sf_dir, "labels"))
+    return rule_ensemble.score(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audio.encode(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -40,6 +47,12 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.link(_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
@@ -55,7 +68,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op7_multi_index, op8_byte_bpe, op9_ngram_join)}
+    return {f.__name__: f for f in (op1_rule_ensemble, op2_media_columns, op4_language_id, op7_multi_index, op8_byte_bpe, op9_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
