@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, html_density, language_id, multi_index, ngram_join, rule_ensemble
+from . import audio, bpe, html_density, language_id, multi_index, ngram_join, rule_ensemble, secret_scan
 from .common import held_out
 
 #: A vocabulary file of the public_tokenizers package; any rank file of a byte-level BPE will do.
@@ -57,6 +57,13 @@ def op5_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract_pages(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings that the forest keeps; a secret itself is told by its digest only."""
+    forest = secret_scan.fit(secret_scan.labelled_findings(spark))
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), forest).where("is_secret")
+    return found.select("doc_id", "start", "end", "pattern", "name", F.sha2("value", 256).alias("value_sha256"), "score")
+
+
 def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.link(_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
@@ -72,7 +79,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rule_ensemble, op2_media_columns, op4_language_id, op5_html_density, op7_multi_index, op8_byte_bpe, op9_ngram_join)}
+    return {f.__name__: f for f in (op1_rule_ensemble, op2_media_columns, op4_language_id, op5_html_density, op6_secret_scan, op7_multi_index, op8_byte_bpe, op9_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
