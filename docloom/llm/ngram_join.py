@@ -11,7 +11,7 @@ hash groups one at least must then hold the same shingles in both. A set is ther
 tile for each group of its size class (and of the next class, if a partner may lie there), keyed by
 the group's content. No link is lost; a tile holds sets that agree on about six to nine shingles.
 
-1. Each tile offers every member the tile's least member; of these offers a set takes the commonest,
+1. Each tile offers every member the tile's most central member (whose tiles are fullest); of these offers a set takes the commonest,
    which is verified. Groups of near copies, however large, become one component in linear work.
 2. Tiles whose members are still in different components are searched by an R-tree for pairs of
    different components; tiles over TILE_ROWS rows are cut into pairs of blocks.
@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, map_texts, packed, runs, utf8
+from .common import checkpoint, map_texts, runs, utf8
 from .components import components
 
 #: Coordinates of a point.
-GROUPS = 32
+GROUPS = 128
 #: Rows of a tile that one task searches at once; larger tiles are cut into pairs of blocks.
 TILE_ROWS = 2048
 #: Points of an R-tree leaf, and children of a node.
@@ -120,6 +120,15 @@ def points(sets: list[np.ndarray]) -> np.ndarray:
     return np.bincount(rows * GROUPS + (flat >> U64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=len(sets) * GROUPS).reshape(-1, GROUPS).astype(np.uint32)
 
 
+def pack_point(point: np.ndarray) -> bytes:
+    """A point in 16-bit counts, or in 32-bit ones if a count needs them."""
+    return point.astype("<u2" if point.max() < 1 << 16 else "<u4").tobytes()
+
+
+def unpack_points(rows: list[bytes]) -> np.ndarray:
+    return np.array([np.frombuffer(r, "<u2" if len(r) == 2 * GROUPS else "<u4") for r in rows], np.uint32).reshape(len(rows), GROUPS)
+
+
 class Threshold:
     """similarity = num/den as exact integers, and the size classes that follow from it."""
 
@@ -176,7 +185,7 @@ def entries(docs: DataFrame, id_col: str, text_col: str, size: int, at: Threshol
         keys = [tile_keys(s, at) for s in sets]
         ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         tiles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, U64)]).view(np.int64)))
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), packed(points(sets), np.arange(len(sets) + 1) * GROUPS), tiles]
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(list(map(pack_point, points(sets))), pa.binary()), tiles]
 
     kinds = {"n_shingles": T.LongType(), "class_id": T.LongType(), "point": T.BinaryType(), "tiles": T.ArrayType(T.LongType())}
     return map_texts(docs, text_col, [id_col], [T.StructField(k, t) for k, t in kinds.items()], work, limit=SLICE)
@@ -232,7 +241,7 @@ def _search_tiles(at: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs(batches, ("tile", "i", "j")):
             ids, labels, sizes, side = (table.column(c).to_numpy() for c in ("class_id", "label", "n_shingles", "side"))
-            values = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS)
+            values = unpack_points(table.column("point").to_pylist())
             pairs = set()
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a > 1:
@@ -282,9 +291,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     classes = checkpoint(rows.where("class_id is not null").groupBy("class_id").agg(F.min(id_col).alias(id_col)))
     single = rows.join(classes, ["class_id", id_col], "left_semi")
     tiles = single.select("class_id", F.explode("tiles").alias("tile"))
-    shared = tiles.groupBy("tile").agg(F.min("class_id").alias("pivot"), F.max("class_id").alias("other")).where("pivot < other").select("tile", "pivot")
-    members = checkpoint(tiles.join(shared, "tile").select("tile", "pivot", "class_id").distinct())
-    offers = members.where("class_id <> pivot").groupBy(F.col("class_id").alias("a"), F.col("pivot").alias("b")).count()
+    shared = tiles.groupBy("tile").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count("*").alias("crowd")).where("low < high").select("tile", "crowd")
+    members = checkpoint(tiles.join(shared, "tile").select("tile", "crowd", "class_id").distinct())
+    central = members.groupBy("class_id").agg(F.sum("crowd").alias("weight"))  # the middle of a family shares most with most
+    weighed = members.join(central, "class_id").select("tile", "class_id", "weight")
+    pivots = weighed.groupBy("tile").agg(F.max_by("class_id", F.struct("weight", "class_id")).alias("pivot"))
+    offers = members.join(pivots, "tile").where("class_id <> pivot").groupBy(F.col("class_id").alias("a"), F.col("pivot").alias("b")).count()
     offers = offers.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     first = checkpoint(verified(checkpoint(offers), classes, docs, id_col, text_col, shingle, at))
     labels = components(first, "a", "b")

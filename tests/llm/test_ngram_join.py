@@ -112,6 +112,11 @@ def test_tree_finds_all_that_the_bound_allows():
         assert sorted(tree.search(values[q].astype(np.int64), int(sizes[q]), at)) == np.flatnonzero(bound >= at.least_overlap(sizes + sizes[q])).tolist()
 
 
+def test_points_are_packed_without_loss():
+    rows = np.array([[1] * ngram_join.GROUPS, [70_000] * ngram_join.GROUPS])
+    assert (ngram_join.unpack_points([ngram_join.pack_point(r) for r in rows]) == rows).all()
+
+
 def test_words_of_a_slice():
     texts = pa.array(["Ab ab", None, "", "x\x0by z", "ab"])
     words, first = ngram_join.word_hashes(*ngram_join.utf8(texts))
