@@ -1,15 +1,60 @@
-"""A corpus pipeline over the operators."""
+"""A corpus pipeline: quality, near duplicates, secrets, mixing, tokens. Each stage is written and read again as the next one's documents."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.llm import ngram_join, pfair_mixing, queries, rule_ensemble, secret_scan
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, taught by the labels, does not reject."""
+    model = rule_ensemble.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rule_ensemble.score(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (word 5-shingles, similarity 0.8 or more) the document of least id.
+
+    The ids to drop are few beside the documents; documents without words are no duplicates."""
+    groups = ngram_join.join(docs, shingle=5, num=80, den=100)
+    drop = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    return kept
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their secrets replaced."""
+    forest = secret_scan.fit(secret_scan.labelled_findings(spark))
+    return secret_scan.redact(docs, forest)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in the order of the mixture to the sources' target weights."""
+    return pfair_mixing.in_order(pfair_mixing.mix(docs)).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens, checked by decoding them."""
+    out = queries.tokens(docs, keep=("doc_id", "source", "lang"))
+    return out.select("doc_id", "source", "lang", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("tokens", tokens)]
 
-STAGES = []
+#: The quality classifier, the forest and the tokenizer are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what a stage returns is written to the shared folder and read again."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "spark-warehouse/checkpoints"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        out = f"{folder}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
     return docs

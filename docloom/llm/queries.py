@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, html_density, language_id, multi_index, ngram_join, rule_ensemble, secret_scan
+from . import audio, bpe, html_density, language_id, multi_index, ngram_join, pfair_mixing, preference, rule_ensemble, secret_scan
 from .common import held_out
 
 #: A vocabulary file of the public_tokenizers package; any rank file of a byte-level BPE will do.
@@ -47,6 +47,41 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preference.format_pairs(preference.neighbouring_pairs(_table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return out.select("pair_id", "common_turns", "prompt", "chosen", spans("chosen_mask").alias("chosen_mask"), "rejected", spans("rejected_mask").alias("rejected_mask"))
+
+
+OP3_SQL = """
+with turns as (
+    select conv_id // 2 as pair_id, conv_id % 2 as side, coalesce(role, '') as role, coalesce("text", '') as body,
+           row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce("text", '')) as k
+    from conversations where conv_id is not null),
+sizes as (select pair_id, side, count(*) as n from turns group by pair_id, side),
+least as (select pair_id, case when count(*) = 2 then min(n) else 0 end as n from sizes group by pair_id),
+unlike as (
+    select a.pair_id, min(a.k) as k from turns a join turns b on a.pair_id = b.pair_id and a.k = b.k and a.side = 0 and b.side = 1
+    where a.role <> b.role or a.body <> b.body group by a.pair_id),
+common as (select l.pair_id, cast(coalesce(u.k - 1, l.n) as integer) as common_turns from least l left join unlike u on u.pair_id = l.pair_id),
+parts as (
+    select t.*, t.k <= c.common_turns as shared, '<|' || role || '|>' || chr(10) || body || '<|end|>' || chr(10) as full_text
+    from turns t join common c on c.pair_id = t.pair_id),
+placed as (
+    select *, coalesce(sum(length(full_text)) over (partition by pair_id, side order by k rows between unbounded preceding and 1 preceding), 0) as before_all
+    from parts where not shared),
+spans as (
+    select *, cast(before_all + length(role) + 5 as bigint) as span_start, cast(before_all + length(full_text) as bigint) as span_end from placed)
+select c.pair_id, c.common_turns,
+    coalesce((select string_agg(full_text, '' order by k) from parts p where p.pair_id = c.pair_id and p.side = 0 and p.shared), '') as prompt,
+    coalesce((select string_agg(full_text, '' order by k) from parts p where p.pair_id = c.pair_id and p.side = 0 and not p.shared), '') as chosen,
+    coalesce((select string_agg(span_start || '-' || span_end, ',' order by k) from spans s where s.pair_id = c.pair_id and s.side = 0 and role = 'assistant'), '') as chosen_mask,
+    coalesce((select string_agg(full_text, '' order by k) from parts p where p.pair_id = c.pair_id and p.side = 1 and not p.shared), '') as rejected,
+    coalesce((select string_agg(span_start || '-' || span_end, ',' order by k) from spans s where s.pair_id = c.pair_id and s.side = 1 and role = 'assistant'), '') as rejected_mask
+from common c
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.fit(docs))
@@ -78,9 +113,26 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return pfair_mixing.mix(docs).select("doc_id", "source", "block", "slot", "place", "release", "deadline")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rule_ensemble, op2_media_columns, op4_language_id, op5_html_density, op6_secret_scan, op7_multi_index, op8_byte_bpe, op9_ngram_join)}
+    found = (
+        op1_rule_ensemble,
+        op2_media_columns,
+        op3_preference,
+        op4_language_id,
+        op5_html_density,
+        op6_secret_scan,
+        op7_multi_index,
+        op8_byte_bpe,
+        op9_ngram_join,
+        op10_pfair_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_preference": OP3_SQL}
