@@ -1 +1 @@
-
+"""functions of the library."""

@@ -1 +1 @@
-
+"""operators of the library."""

@@ -1 +1 @@
-
+"""plans of the library."""

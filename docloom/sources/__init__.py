@@ -1 +1 @@
-
+"""sources of the library."""

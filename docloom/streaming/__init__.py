@@ -1 +1 @@
-
+"""streaming of the library."""
