@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -101,11 +100,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))
+
+
+def nfkc(text: Column) -> Column:
     """Compatibility composition and collapsed white space; Spark has no normaliser of its own."""
-    for part in texts:
-        yield part.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))
+    return F.pandas_udf(_nfkc, T.StringType())(text)
 
 
 # Numerals.
@@ -134,11 +135,15 @@ def chinese_number(text: str | None) -> int | None:
     return total + section + digit
 
 
-@F.pandas_udf(T.LongType())
-def numeral(texts: pd.Series) -> pd.Series:
+def _numerals(texts: pd.Series) -> pd.Series:
     return texts.map(chinese_number).astype("Int64")
 
 
+def numeral(text: Column) -> Column:
+    """The value of a numeral; null if the text is none."""
+    return F.pandas_udf(_numerals, T.LongType())(text)
+
+
 def positive_numeral(text: Column) -> Column:
     """The numeral of an article's number: zero is none."""
     value = numeral(text)

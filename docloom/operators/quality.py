@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,11 +72,7 @@ def pointer_path(pointer: Column) -> Column:
     return F.concat(F.lit("$"), F.array_join(F.transform(steps, lambda s: F.when(s.rlike("^[0-9]+$"), F.concat(F.lit("["), s, F.lit("]"))).otherwise(F.concat(F.lit("['"), name(s), F.lit("']")))), ""))
 
 
-@F.udf(T.StringType())
-def resolve_pointer(document: str | None, pointer: str | None) -> str | None:
-    """The JSON text at a pointer; null where it leads nowhere (a JSON null is the text null). A pointer may name any key, so no fixed path can be given to SQL."""
-    import json
-
+def _at_pointer(document: str | None, pointer: str | None) -> str | None:
     if document is None or pointer is None:
         return None
     at = json.loads(document)
@@ -89,6 +87,11 @@ def resolve_pointer(document: str | None, pointer: str | None) -> str | None:
     return json.dumps(at, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
+def resolve_pointer(document: Column | str, pointer: Column | str) -> Column:
+    """The JSON text at a pointer; null where it leads nowhere (a JSON null is the text null). A pointer may name any key, so no fixed path can be given to SQL."""
+    return F.udf(_at_pointer, T.StringType(), useArrow=False)(document, pointer)
+
+
 def compare(rows: DataFrame) -> DataFrame:
     """Assertions (comparison, expected and observed as JSON text, tolerance) with passed and reason."""
     c = F.col

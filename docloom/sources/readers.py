@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MOST_BYTES = 500 * 1024 * 1024
 # Accepted file types with how their content begins.
 MAGIC = {".pdf": "25504446", ".png": "89504E470D0A1A0A", ".jpg": "FFD8FF", ".jpeg": "FFD8FF"}
 
-CORPUS_RECORD = T.StructType.fromDDL(
+CORPUS_RECORD = (
     "authority struct<authority_id:string,title:string,authority_type:string,issuing_body:string,document_number:string,jurisdiction:string>, version_id string, status string, "
     "publication_date date, effective_date date, end_date_exclusive date, repeal_date date, supersedes_version_id string, superseded_by_version_id string, coverage_type string, coverage_note string, "
     "source_refs array<struct<name:string,url:string,role:string>>, snapshot_path string, expected_source_sha256 string, expected_article_count int, parser string, inclusion_reason string, verified_on date, verification_note string"
@@ -21,8 +21,12 @@ CORPUS_RECORD = T.StructType.fromDDL(
 
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of a folder with their acceptance: extension, beginning, size; the content stays in the row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    """Files of a folder with their acceptance. Spark's reader leaves out files without a byte, so these have no row."""
+    return accepted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+
+
+def accepted(files: DataFrame) -> DataFrame:
+    """Files (path, length, content) with extension, verdict (by extension, size and beginning), kind and hash; the content stays in the row."""
     extension = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     magic = F.create_map(*[F.lit(x) for kv in MAGIC.items() for x in kv])[extension]
     verdict = (
@@ -32,12 +36,12 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumns({"extension": extension, "verdict": verdict, "document_kind": kind, "sha256": F.sha2("content", 256)})
 
 
-def image_pages(accepted: DataFrame) -> DataFrame:
+def image_pages(files: DataFrame) -> DataFrame:
     """The one page of each image, which always needs OCR."""
-    return accepted.where("document_kind = 'image'").select("path", F.lit(1).alias("page_number"), F.lit("").alias("text"), F.lit("OCR_REQUIRED").alias("route"))
+    return files.where("document_kind = 'image'").select("path", F.lit(1).alias("page_number"), F.lit("").alias("text"), F.lit("OCR_REQUIRED").alias("route"))
 
 
-def pdf_pages(accepted: DataFrame, read_pages: Callable[[bytes], list[str | None]]) -> DataFrame:
+def pdf_pages(files: DataFrame, read_pages: Callable[[bytes], list[str | None]]) -> DataFrame:
     """A row for each page of each PDF, by a reader that is handed in (bytes to page texts; None where a page fails, which then needs OCR)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +50,7 @@ def pdf_pages(accepted: DataFrame, read_pages: Callable[[bytes], list[str | None
                 texts = read_pages(content)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(texts)), pa.array(range(1, len(texts) + 1), pa.int32()), pa.array(texts, pa.string())], names=["path", "page_number", "text"])
 
-    return accepted.where("document_kind = 'pdf'").select("path", "content").mapInArrow(run, "path string, page_number int, text string")
+    return files.where("document_kind = 'pdf'").select("path", "content").mapInArrow(run, "path string, page_number int, text string")
 
 
 def recognized(pages: DataFrame, recognize: Callable[[bytes], tuple[list[str], list[float], list[list[list[int]]]]], parallel: int = 8) -> DataFrame:
@@ -68,8 +72,8 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Corpus records of a manifest, by a closed schema."""
-    records = T.StructType([T.StructField("records", T.ArrayType(CORPUS_RECORD))])
-    return spark.read.json(path, schema=records, multiLine=True).select(F.explode("records").alias("r")).select("r.*")
+    record = ", ".join(f"{n.strip()}: {t}" for n, t in (part.strip().split(" ", 1) for part in re.split(r", (?=\w+ )", CORPUS_RECORD)))
+    return spark.read.json(path, schema=f"records array<struct<{record}>>", multiLine=True).select(F.explode("records").alias("r")).select("r.*")
 
 
 def dataset(spark: SparkSession, path: str) -> DataFrame:
