@@ -38,7 +38,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_bytes",
         F.length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("right(payload, 64)")).alias("tail_crc32"),
+        F.crc32(F.expr("substring(payload, length(payload) - 63, 64)")).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.length("pcm").cast("long").alias("pcm_bytes"),
