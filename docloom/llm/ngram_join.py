@@ -8,10 +8,10 @@ minima of their upper corners.
 One tree over all points would not fit a machine, so points are dealt into tiles, each with a tree of
 its own. Two linked sets differ in at most D shingles, D fixed by their size class; of more than D
 hash groups one at least must then hold the same shingles in both. A set is therefore entered in one
-tile for each group of its size class (and of the next class, if a partner may lie there), keyed by
+tile for each group of its size class (and of the class below, if a partner may lie there), keyed by
 the group's content. No link is lost; a tile holds sets that agree on about six to nine shingles.
 
-1. Each tile offers every member the tile's most central member (whose tiles are fullest); of these offers a set takes the commonest,
+1. Each tile offers every member its most central member (whose tiles are fullest); of these a set takes the commonest,
    which is verified. Groups of near copies, however large, become one component in linear work.
 2. Tiles whose members are still in different components are searched by an R-tree for pairs of
    different components; tiles over TILE_ROWS rows are cut into pairs of blocks.
@@ -144,14 +144,17 @@ class Threshold:
         return -(-total * self.num // (self.num + self.den))
 
     def classes(self, n: int) -> list[tuple[int, int, int]]:
-        """(class, D, hash groups) of the classes that a set of n shingles is entered in; none if only equal sets can link with it."""
-        while self.ladder[-1] < n * self.den // self.num:
+        """(class, D, hash groups) of the classes that a set of n shingles is entered in; none if only equal sets can link with it.
+
+        Two sets meet in the class of the smaller one, which tells D: they differ in (den - num) / num of
+        it at most. So a set is entered in its own class, and in the one below if a partner may lie there."""
+        while self.ladder[-1] < n:
             top = self.ladder[-1]
             self.ladder.append(max(top + 1, top + top // 2, -(-top * self.den // self.num)))
         k = int(np.searchsorted(self.ladder, n))
         out = []
-        for c in (k, k + 1):
-            if c and (c == k or n * self.den // self.num > self.ladder[k]):
+        for c in (k, k - 1):
+            if c > 0 and (c == k or -(-n * self.num // self.den) <= self.ladder[c]):
                 most = self.ladder[c] * (self.den - self.num) // self.num
                 out.append((c, most, most + 3 + most // 50))
         return out
@@ -267,7 +270,7 @@ def verified(pairs: DataFrame, representatives: DataFrame, docs: DataFrame, id_c
         return [pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
 
     sets = map_texts(chosen, "__text", ["__id"], [T.StructField("class_id", T.LongType()), T.StructField("shingles", T.BinaryType())], work, limit=SLICE)
-    sets = sets.where("class_id is not null").dropDuplicates(["class_id"]).select("class_id", "shingles")
+    sets = checkpoint(sets.where("class_id is not null").dropDuplicates(["class_id"]).select("class_id", "shingles"))
     both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +294,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     classes = checkpoint(rows.where("class_id is not null").groupBy("class_id").agg(F.min(id_col).alias(id_col)))
     single = rows.join(classes, ["class_id", id_col], "left_semi")
     tiles = single.select("class_id", F.explode("tiles").alias("tile"))
-    shared = tiles.groupBy("tile").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count("*").alias("crowd")).where("low < high").select("tile", "crowd")
+    shared = tiles.groupBy("tile").agg(F.count("*").alias("crowd")).where("crowd > 1")
     members = checkpoint(tiles.join(shared, "tile").select("tile", "crowd", "class_id").distinct())
     central = members.groupBy("class_id").agg(F.sum("crowd").alias("weight"))  # the middle of a family shares most with most
     weighed = members.join(central, "class_id").select("tile", "class_id", "weight")
