@@ -52,13 +52,14 @@ P_SCOPE = frozenset("article aside blockquote body button caption dd div dt fiel
 OUTSIDE_TAGS = frozenset("head script style noscript template nav footer aside form button select option textarea title input iframe object embed svg canvas dialog menu audio video map noembed noframes".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 OUTSIDE_NAMES = frozenset(
-    "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert "
-    "popup modal overlay newsletter subscribe subscription signup signin login register paywall sidebar sidenav aside menu menus nav navbar navigation topnav subnav breadcrumb "
+    "ad ads adsense adbox adslot adunit advert adverts advertisement advertising sponsor sponsored promo promos promoted promotion outbrain taboola banner cookie cookies consent gdpr "
+    "notice notices alert announcement disclaimer toast popup modal overlay newsletter subscribe subscription signup signin login register paywall sidebar sidenav rail aside menu menus nav navbar navigation topnav subnav dropdown sitemap breadcrumb "
     "breadcrumbs footer footnav masthead topbar toolbar share sharing shares social related recommended recommendations trending comment comments commentlist "
     "reply replies respond disqus discussion pagination pager widget widgets search skip toc copyright".split()
 )
 NOT_ALONE = frozenset("with has no without".split())
 NEVER_OUTSIDE = frozenset("html body article main".split())
+ARTICLE_OUTSIDE_NAMES = frozenset("ad ads advert comment comments promo promoted recommended related reply replies respond sponsored teaser".split())
 HEADER_NAMES = frozenset({"header", "siteheader", "pageheader"})
 
 
@@ -70,8 +71,9 @@ def is_outside(tag: str, attrs: str, in_article: bool) -> bool:
     """Whether an element surrounds the article, by its tag, role, state or class and id names."""
     if tag in OUTSIDE_TAGS or tag == "header" and not in_article:
         return True
-    if not attrs.strip() or tag in NEVER_OUTSIDE:
+    if not attrs.strip() or tag in NEVER_OUTSIDE and tag != "article":
         return False
+    names = ARTICLE_OUTSIDE_NAMES if tag == "article" else OUTSIDE_NAMES
     for key, *values in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), unescape("".join(values))
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
@@ -81,7 +83,7 @@ def is_outside(tag: str, attrs: str, in_article: bool) -> bool:
         if key in ("class", "id"):
             for name in value.split():
                 parts = name_parts(name)
-                if parts and not NOT_ALONE & set(parts) and (parts[0] in OUTSIDE_NAMES or parts[-1] in OUTSIDE_NAMES or "".join(parts) in HEADER_NAMES and not in_article):
+                if parts and not NOT_ALONE & set(parts) and (parts[0] in names or parts[-1] in names or "".join(parts) in HEADER_NAMES and not in_article):
                     return True
     return False
 
@@ -231,6 +233,8 @@ def extract(html: str | None) -> str:
     else:
         beside = page.children[page.parents[path[-1]]]
         chosen = {path[-1]} | {n for n in beside if dense[n] >= threshold and link_chars[n] <= chars[n] / 2}
+    above = {body, 0} | set(path)
+    chosen |= {n for n in range(len(page.tags)) if page.tags[n] == "h1" and page.parents[n] in above and not page.outside[n]}  # the title, where it stands beside the article
     wanted = [False] * len(page.tags)
     for n in range(len(page.tags)):
         listing = links[n] >= 3 and link_chars[n] >= 0.8 * chars[n] and page.tags[n] in ("ul", "ol", "div", "section", "table") and n not in chosen

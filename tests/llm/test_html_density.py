@@ -21,6 +21,8 @@ CASES = {
     "<p hidden>no</p><p style='display: none'>no</p><p>yes &#233;&#x41; &notanentity;</p>": "yes éA ¬anentity;",
     "<article><header><h1>Head</h1></header>Body<footer>f</footer></article>": "Head Body",
     "<nav><a>x</a></nav>": "",
+    "<body><h1>Title</h1><div id=c><p>A long enough paragraph of text.</p><p>And one more paragraph here.</p></div><div class='right-rail'><p>Rail text</p></div></body>": "Title A long enough paragraph of text. And one more paragraph here.",
+    "<main><h1>T</h1><article class=post>Body text<article class='comment'>No, it is not</article></article></main>": "T Body text",
 }
 
 
