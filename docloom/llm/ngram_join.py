@@ -12,7 +12,7 @@ tile for each group of its size class (and of the class below, if a partner may
 the group's content. No link is lost; a tile holds sets that agree on about six to nine shingles.
 
 1. Each tile offers every member its most central member (whose tiles are fullest); of these a set takes the commonest,
-   which is verified. Groups of near copies, however large, become one component in linear work.
+   which is verified if their points allow a link. Groups of near copies, however large, become one component in linear work.
 2. Tiles whose members are still in different components are searched by an R-tree for pairs of
    different components; tiles over TILE_ROWS rows are cut into pairs of blocks.
 3. Survivors of the bound are verified against the whole sets; components come from all links.
@@ -44,6 +44,8 @@ TILE_ROWS = 2048
 FANOUT = 16
 #: Ids that may be broadcast to select texts (about 32 MB); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Shared tiles that may be broadcast to select their members (about 100 MB); more are joined by a shuffle.
+BROADCAST_TILES = 2_000_000
 SLICE = 1 << 20
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -256,6 +258,20 @@ def _search_tiles(at: Threshold):
     return run
 
 
+def bounded(pairs: DataFrame, points_of: DataFrame, at: Threshold) -> DataFrame:
+    """The pairs (a, b of class ids) whose points allow a link: the bound of a tree's leaf, for pairs that are given."""
+    side = lambda k: points_of.select(F.col("class_id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("point").alias(f"p{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = np.minimum(*(unpack_points(batch.column(c).to_pylist()) for c in ("pa", "pb"))).sum(axis=1, dtype=np.int64)
+            passed = most >= at.least_overlap(batch.column("na").to_numpy() + batch.column("nb").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(passed, pa.bool_()))
+
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, representatives: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, at: Threshold) -> DataFrame:
     """The pairs (a, b of class ids) that are linked by their whole sets, which are made anew from the texts of their representatives."""
     involved = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct().join(representatives, "class_id"))
@@ -291,17 +307,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     Sets link when den * overlap >= num * union."""
     at = Threshold(num, den)
     rows = checkpoint(entries(docs, id_col, text_col, shingle, at))
-    classes = checkpoint(rows.where("class_id is not null").groupBy("class_id").agg(F.min(id_col).alias(id_col)))
-    single = rows.join(classes, ["class_id", id_col], "left_semi")
+    counted = checkpoint(rows.where("class_id is not null").groupBy("class_id").agg(F.min(id_col).alias(id_col), F.count("*").alias("copies")))
+    classes, copied = counted.drop("copies"), counted.where("copies > 1").select("class_id", F.col(id_col).alias("__first"))
+    if copied.count() <= BROADCAST_IDS:
+        copied = F.broadcast(copied)
+    single = rows.where("class_id is not null").join(copied, "class_id", "left").where(F.col("__first").isNull() | (F.col("__first") == F.col(id_col)))
+    points_of = single.select("class_id", "n_shingles", "point").dropDuplicates(["class_id"])
     tiles = single.select("class_id", F.explode("tiles").alias("tile"))
-    shared = tiles.groupBy("tile").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    members = checkpoint(tiles.join(shared, "tile").select("tile", "crowd", "class_id").distinct())
+    shared = checkpoint(tiles.groupBy("tile").agg(F.count("*").alias("rows")).where("rows > 1").select("tile"))
+    if shared.count() <= BROADCAST_TILES:
+        shared = F.broadcast(shared)
+    members = tiles.join(shared, "tile", "left_semi").distinct()
+    crowds = members.groupBy("tile").agg(F.count("*").alias("crowd")).where("crowd > 1")  # repeated rows have gone
+    members = checkpoint(members.join(crowds, "tile").select("tile", "crowd", "class_id"))
     central = members.groupBy("class_id").agg(F.sum("crowd").alias("weight"))  # the middle of a family shares most with most
     weighed = members.join(central, "class_id").select("tile", "class_id", "weight")
     pivots = weighed.groupBy("tile").agg(F.max_by("class_id", F.struct("weight", "class_id")).alias("pivot"))
     offers = members.join(pivots, "tile").where("class_id <> pivot").groupBy(F.col("class_id").alias("a"), F.col("pivot").alias("b")).count()
     offers = offers.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-    first = checkpoint(verified(checkpoint(offers), classes, docs, id_col, text_col, shingle, at))
+    first = checkpoint(verified(checkpoint(bounded(offers, points_of, at)), classes, docs, id_col, text_col, shingle, at))
     labels = components(first, "a", "b")
     labelled = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("tile", "class_id", F.coalesce("component", "class_id").alias("label"))
     labelled = checkpoint(labelled)
@@ -310,8 +334,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     search = labelled.join(mixed.select("tile", blocks.alias("blocks")), "tile").withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     search = search.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     search = search.select("tile", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "class_id", "label")
-    reps = single.select("class_id", "n_shingles", "point").dropDuplicates(["class_id"])
-    search = search.join(reps, "class_id").select("tile", "i", "j", "side", "class_id", "label", "n_shingles", "point")
+    search = search.join(points_of, "class_id").select("tile", "i", "j", "side", "class_id", "label", "n_shingles", "point")
     search = search.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
     pairs = checkpoint(search.mapInArrow(_search_tiles(at), "a long, b long").distinct())
     more = verified(pairs, classes, docs, id_col, text_col, shingle, at)
