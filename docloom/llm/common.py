@@ -36,6 +36,12 @@ def held_out(id_col: str):
     return F.coalesce(crc32_of_id(id_col) % 3 == 1, F.lit(False))
 
 
+def hashed_low(keys: list[str], seed: int, share):
+    """True for about ``share`` (a number or a column, up to 1) of the keys: those whose hash lies lowest."""
+    place = F.xxhash64(*keys, F.lit(seed)).cast("double") / 2.0**64 + 0.5
+    return place < share
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """The frame less the columns that an operator is about to add, however they are cased."""
     taken = {n.lower() for n in names}

@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, map_texts, slices
+from .common import hashed_low, held_out, map_texts, slices
 
 BUCKETS = 1 << 14
-PER_LANGUAGE, TRAIN_ROWS = 600, 12_000
+PER_LANGUAGE, TRAIN_ROWS, MOST_LANGUAGES = 600, 12_000, 1000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 2e-3, 1e-4
 UNKNOWN = "und"
 #: Texts whose n-grams are counted together.
@@ -103,7 +103,11 @@ def document_frequencies(rows: DataFrame, text_col: str) -> tuple[np.ndarray, in
 def sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(language, buckets, counts) of the bounded sample, in an order fixed by hash."""
     order = F.xxhash64(id_col, F.lit(5))
-    ranked = rows.select(id_col, lang_col).withColumn("rank", F.row_number().over(Window.partitionBy(lang_col).orderBy(order, id_col))).where(F.col("rank") <= PER_LANGUAGE)
+    sizes = rows.groupBy(lang_col).agg(F.count("*").alias("__n")).limit(MOST_LANGUAGES + 1)
+    if (languages := sizes.count()) > MOST_LANGUAGES:
+        raise ValueError(f"{languages} languages or more; {MOST_LANGUAGES} at most")
+    low = rows.select(id_col, lang_col).join(F.broadcast(sizes), lang_col).where(hashed_low([id_col], 5, 4.0 * PER_LANGUAGE / F.col("__n")))
+    ranked = low.select(id_col, lang_col).withColumn("rank", F.row_number().over(Window.partitionBy(lang_col).orderBy(order, id_col))).where(F.col("rank") <= PER_LANGUAGE)
     chosen = ranked.orderBy("rank", lang_col).limit(TRAIN_ROWS).select(F.col(id_col).alias("__id")).distinct()
     texts = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(f"`{text_col}`").cast("string").alias("__text")).join(F.broadcast(chosen), "__id")
 

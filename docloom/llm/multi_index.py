@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, runs
+from .common import checkpoint, hashed_low, runs
 from .components import components
 
 SAMPLE, QUERIES, TARGET = 16_384, 512, 0.995
@@ -190,7 +190,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     if count < 2:
         found = classes.select("class_id", F.lit(0).cast("long").alias("found"), F.col("class_id").alias("root"))
     else:
-        chosen = [r["vector"] for r in classes.orderBy(F.xxhash64("class_id", F.lit(7)), "class_id").limit(SAMPLE).select("vector").collect()]  # SAMPLE rows at most
+        chosen = [r["vector"] for r in classes.where(hashed_low(["class_id"], 7, 4.0 * SAMPLE / count)).orderBy(F.xxhash64("class_id", F.lit(7)), "class_id").limit(SAMPLE).select("vector").collect()]  # SAMPLE rows at most
         sample = unit([bytes(v) for v in chosen], kind)
         size = int(np.clip(round((count / PER_CELL) ** 0.5), 1, MOST_WORDS))
         grid = Grid(sample, size)

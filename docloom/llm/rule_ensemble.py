@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, held_out, without
+from .common import checkpoint, hashed_low, held_out, without
 
 #: Labelled rows that the fit uses at most.
 TRAIN_ROWS = 6000
@@ -107,7 +107,8 @@ def tree_rules(tree, names: list[str]) -> set[Rule]:
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
     """Statistics and label of at most ``rows`` labelled texts that are not held out. The ids are chosen first, so only their texts are kept."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("label"))
-    chosen = usable.orderBy(F.xxhash64("__id", F.lit(11)), "__id", "label").limit(rows)
+    low = usable.where(hashed_low(["__id"], 11, 4.0 * rows / max(usable.count(), 1)))  # so few that choosing the lowest costs the same at any size
+    chosen = low.orderBy(F.xxhash64("__id", F.lit(11)), "__id", "label").limit(rows)
     source = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     joined = source.join(F.broadcast(chosen), "__id")
     return joined.select(*[c.alias(n) for n, c in statistics(F.col("__text")).items()], "label")
