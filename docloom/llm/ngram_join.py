@@ -1,7 +1,7 @@
 """Jaccard self-join of shingle sets through count-vector R-trees.
 
 A document's set holds its distinct word shingles (64-bit hashes). Equal sets are one class. Shingles
-are hashed into GROUPS groups; the counts of a set's groups are its point, and the overlap of two
+are hashed into groups, about one for every two of a set's shingles; the counts of the groups are the set's point, and the overlap of two
 sets is at most the sum of the coordinate-wise minima of their points - of two R-tree nodes, of the
 minima of their upper corners.
 
@@ -36,8 +36,10 @@ from pyspark.sql import types as T
 from .common import checkpoint, map_texts, runs, utf8
 from .components import components
 
-#: Coordinates of a point.
+#: Coordinates of a point, as powers of two, from short texts to long ones; those of a tree's nodes; counts of a tile that are held at once.
+LEAST_BITS, MOST_BITS = 5, 16
 GROUPS = 128
+MOST_CELLS = 1 << 24
 #: Rows of a tile that one task searches at once; larger tiles are cut into pairs of blocks.
 TILE_ROWS = 2048
 #: Points of an R-tree leaf, and children of a node.
@@ -115,20 +117,37 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def points(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, GROUPS) counts of the shingles by group."""
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate([*sets, np.zeros(0, U64)])
-    return np.bincount(rows * GROUPS + (flat >> U64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=len(sets) * GROUPS).reshape(-1, GROUPS).astype(np.uint32)
+def resolution(n: int) -> int:
+    """Groups of a set of n shingles: about one for every two, a power of two."""
+    return 1 << min(MOST_BITS, max(LEAST_BITS, (n // 2).bit_length()))
 
 
-def pack_point(point: np.ndarray) -> bytes:
-    """A point in 16-bit counts, or in 32-bit ones if a count needs them."""
-    return point.astype("<u2" if point.max() < 1 << 16 else "<u4").tobytes()
+def point(shingles: np.ndarray) -> np.ndarray:
+    """Counts of the shingles by group. Groups are leading bits of the hash, so finer groups fold into coarser ones."""
+    groups = resolution(len(shingles))
+    return np.bincount((shingles >> U64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """A point, or rows of points, in fewer groups."""
+    return counts if counts.shape[-1] == groups else counts.reshape(*counts.shape[:-1], groups, -1).sum(axis=-1)
+
+
+def pack_point(counts: np.ndarray) -> bytes:
+    """The counts in 1, 2 or 4 bytes each, after a byte that tells which."""
+    width = next(w for w in (1, 2, 4) if counts.max(initial=0) < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpack_point(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int32)
 
 
 def unpack_points(rows: list[bytes]) -> np.ndarray:
-    return np.array([np.frombuffer(r, "<u2" if len(r) == 2 * GROUPS else "<u4") for r in rows], np.uint32).reshape(len(rows), GROUPS)
+    """Points in their coarsest common groups; in fewer still where all of them would take too much memory (the bound stays a bound)."""
+    counts = [unpack_point(r) for r in rows]
+    groups = min([*map(len, counts), 1 << max(LEAST_BITS, (MOST_CELLS // len(rows)).bit_length() - 1)])
+    return np.array([folded(c, groups) for c in counts])
 
 
 class Threshold:
@@ -190,7 +209,7 @@ def entries(docs: DataFrame, id_col: str, text_col: str, size: int, at: Threshol
         keys = [tile_keys(s, at) for s in sets]
         ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         tiles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, U64)]).view(np.int64)))
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(list(map(pack_point, points(sets))), pa.binary()), tiles]
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([pack_point(point(x)) for x in sets], pa.binary()), tiles]
 
     kinds = {"n_shingles": T.LongType(), "class_id": T.LongType(), "point": T.BinaryType(), "tiles": T.ArrayType(T.LongType())}
     return map_texts(docs, text_col, [id_col], [T.StructField(k, t) for k, t in kinds.items()], work, limit=SLICE)
@@ -232,12 +251,15 @@ class CountTree:
 
 def tile_pairs(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, values: np.ndarray, side: np.ndarray, at: Threshold) -> list[tuple[int, int]]:
     """Pairs of a tile in different components that pass the bound; of a cut tile, pairs across the two blocks."""
-    tree, out = CountTree(values, sizes), []
+    coarse = folded(values, min(GROUPS, values.shape[1]))
+    tree, out = CountTree(coarse, sizes), []
     for q in range(len(ids)):
-        near = tree.search(values[q].astype(np.int64), int(sizes[q]), at)
+        near = tree.search(coarse[q].astype(np.int64), int(sizes[q]), at)
         near = near[(labels[near] != labels[q]) & (ids[near] > ids[q])]
         if side.any():
             near = near[side[near] != side[q]]
+        if len(near) and values.shape[1] > GROUPS:
+            near = near[np.minimum(values[near], values[q]).sum(axis=1) >= at.least_overlap(sizes[near] + sizes[q])]
         out.extend((int(ids[q]), int(x)) for x in ids[near])
     return out
 
@@ -246,11 +268,10 @@ def _search_tiles(at: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs(batches, ("tile", "i", "j")):
             ids, labels, sizes, side = (table.column(c).to_numpy() for c in ("class_id", "label", "n_shingles", "side"))
-            values = unpack_points(table.column("point").to_pylist())
-            pairs = set()
+            packed, pairs = table.column("point").to_pylist(), set()
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a > 1:
-                    pairs.update(tile_pairs(ids[a:b], labels[a:b], sizes[a:b], values[a:b], side[a:b], at))
+                    pairs.update(tile_pairs(ids[a:b], labels[a:b], sizes[a:b], unpack_points(packed[a:b]), side[a:b], at))
             if pairs:
                 a, b = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -265,7 +286,8 @@ def bounded(pairs: DataFrame, points_of: DataFrame, at: Threshold) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            most = np.minimum(*(unpack_points(batch.column(c).to_pylist()) for c in ("pa", "pb"))).sum(axis=1, dtype=np.int64)
+            both = (unpack_points(list(p)) for p in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True))
+            most = np.array([np.minimum(x, y).sum() for x, y in both], dtype=np.int64)
             passed = most >= at.least_overlap(batch.column("na").to_numpy() + batch.column("nb").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(passed, pa.bool_()))
 

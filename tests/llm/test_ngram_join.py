@@ -113,8 +113,18 @@ def test_tree_finds_all_that_the_bound_allows():
 
 
 def test_points_are_packed_without_loss():
-    rows = np.array([[1] * ngram_join.GROUPS, [70_000] * ngram_join.GROUPS])
-    assert (ngram_join.unpack_points([ngram_join.pack_point(r) for r in rows]) == rows).all()
+    for most in (3, 300, 70_000):
+        counts = np.arange(64) % 7 * most // 6
+        assert (ngram_join.unpack_point(ngram_join.pack_point(counts)) == counts).all()
+
+
+def test_points_of_any_resolution_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for n, m in ((40, 55), (3000, 4500), (500, 260), (0, 5)):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: n // 2], rng.integers(0, 2**64, max(0, m - n // 2), dtype=np.uint64))))
+        x, y = ngram_join.unpack_points([ngram_join.pack_point(ngram_join.point(s)) for s in (a, b)])
+        assert len(np.intersect1d(a, b)) <= np.minimum(x, y).sum() and (x.sum(), y.sum()) == (len(a), len(b))
 
 
 def test_words_of_a_slice():
