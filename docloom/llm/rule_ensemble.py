@@ -139,6 +139,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` and score (0 to 1) and predicted (1 if score >= 0.5); columns of these names are replaced."""
     stats = statistics(F.col(f"`{text_col}`").cast("string"))
     rest = without(docs, "score", "predicted")
-    described = rest.withColumn("__stats", F.struct(*[c.alias(n) for n, c in stats.items()]))
+    described = rest.select("*", *[c.alias(f"__{n}") for n, c in stats.items()])
+    # a row each: what is asked of the score is not pushed below, where every rule would take its statistics again
+    described = described.withColumn("__stats", F.explode(F.array(F.struct(*[F.col(f"__{n}").alias(n) for n in stats])))).drop(*[f"__{n}" for n in stats])
     scored = described.withColumn("score", model.score({n: F.col(f"__stats.{n}") for n in stats}))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("__stats")
