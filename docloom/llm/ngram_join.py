@@ -15,7 +15,8 @@ the group's content. No link is lost; a tile holds sets that agree on about six
    which is verified if their points allow a link. Groups of near copies, however large, become one component in linear work.
 2. Tiles whose members are still in different components are searched by an R-tree for pairs of
    different components; tiles over TILE_ROWS rows are cut into pairs of blocks.
-3. Survivors of the bound are verified against the whole sets; components come from all links.
+   A tile is given coarser points, whose coordinates count about a dozen shingles each.
+3. Pairs that pass are bounded by their full points; survivors are verified against the whole sets; components come from all links.
 
 Defined results: no words or no text: n_shingles 0, linked with nothing, its own component; fewer
 words than a shingle: the whole sequence is the one shingle; repeated rows and equal texts are one
@@ -36,9 +37,11 @@ from pyspark.sql import types as T
 from .common import checkpoint, map_texts, runs, utf8
 from .components import components
 
-#: Coordinates of a point, as powers of two, from short texts to long ones; those of a tree's nodes; counts of a tile that are held at once.
+#: Coordinates of a point, as powers of two, from short texts to long ones; those of a point in a tree; counts of a tile that are held at once.
 LEAST_BITS, MOST_BITS = 5, 16
 GROUPS = 128
+#: Groups of a long text's point that are one in the points that tiles are given.
+COARSER = 8
 MOST_CELLS = 1 << 24
 #: Rows of a tile that one task searches at once; larger tiles are cut into pairs of blocks.
 TILE_ROWS = 2048
@@ -150,6 +153,18 @@ def unpack_points(rows: list[bytes]) -> np.ndarray:
     return np.array([folded(c, groups) for c in counts])
 
 
+def unpack_matrices(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Packed points by their number of groups: (rows, their points)."""
+    data, offsets = utf8(column)
+    lengths, out = np.diff(offsets), {}
+    widths = data[offsets[:-1]] if len(lengths) else np.zeros(0, np.uint8)
+    for length, width in set(zip(lengths.tolist(), widths.tolist(), strict=True)):
+        rows = np.flatnonzero((lengths == length) & (widths == width))
+        counts = np.ascontiguousarray(data[offsets[rows][:, None] + np.arange(1, length)]).view(f"<u{width}").astype(np.int32)
+        out.setdefault(counts.shape[1], []).append((rows, counts))
+    return {g: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for g, parts in out.items()}
+
+
 class Threshold:
     """similarity = num/den as exact integers, and the size classes that follow from it."""
 
@@ -201,7 +216,7 @@ def tile_keys(shingles: np.ndarray, at: Threshold) -> np.ndarray:
 
 
 def entries(docs: DataFrame, id_col: str, text_col: str, size: int, at: Threshold) -> DataFrame:
-    """Per row: id, n_shingles, class_id (hash of the set; null if empty), point and tiles."""
+    """Per row: id, n_shingles, class_id (hash of the set; null if empty), point, the same in fewer groups (coarse), and tiles."""
 
     def work(texts: pa.Array) -> list[pa.Array]:
         sets = shingle_sets(texts, size)
@@ -209,9 +224,11 @@ def entries(docs: DataFrame, id_col: str, text_col: str, size: int, at: Threshol
         keys = [tile_keys(s, at) for s in sets]
         ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         tiles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, U64)]).view(np.int64)))
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([pack_point(point(x)) for x in sets], pa.binary()), tiles]
+        points = [point(x) for x in sets]
+        coarse = [pack_point(folded(x, max(min(GROUPS, len(x)), len(x) // COARSER))) for x in points]
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([pack_point(x) for x in points], pa.binary()), pa.array(coarse, pa.binary()), tiles]
 
-    kinds = {"n_shingles": T.LongType(), "class_id": T.LongType(), "point": T.BinaryType(), "tiles": T.ArrayType(T.LongType())}
+    kinds = {"n_shingles": T.LongType(), "class_id": T.LongType(), "point": T.BinaryType(), "coarse": T.BinaryType(), "tiles": T.ArrayType(T.LongType())}
     return map_texts(docs, text_col, [id_col], [T.StructField(k, t) for k, t in kinds.items()], work, limit=SLICE)
 
 
@@ -250,7 +267,7 @@ class CountTree:
 
 
 def tile_pairs(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, values: np.ndarray, side: np.ndarray, at: Threshold) -> list[tuple[int, int]]:
-    """Pairs of a tile in different components that pass the bound; of a cut tile, pairs across the two blocks."""
+    """Pairs of a tile in different components that pass the bound, found by its R-tree; of a cut tile, pairs across the two blocks."""
     coarse = folded(values, min(GROUPS, values.shape[1]))
     tree, out = CountTree(coarse, sizes), []
     for q in range(len(ids)):
@@ -264,17 +281,50 @@ def tile_pairs(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, values: n
     return out
 
 
+def leaf_pairs(starts: np.ndarray, rows: int, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, apart: np.ndarray, side: np.ndarray, matrices: dict, at: Threshold) -> np.ndarray:
+    """As ``tile_pairs``, for all tiles of one number of rows that is no more than a leaf holds: a pair is bounded once, however many tiles it shares."""
+    first, second = np.triu_indices(rows, 1)
+    x, y = (starts[:, None] + first).ravel(), (starts[:, None] + second).ravel()
+    wanted = (labels[x] != labels[y]) & (~apart[x] | (side[x] != side[y]))
+    x, y = x[wanted], y[wanted]
+    x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+    order = np.lexsort((ids[y], ids[x]))
+    x, y = x[order], y[order]
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (ids[x][1:] != ids[x][:-1]) | (ids[y][1:] != ids[y][:-1])
+    x, y = x[fresh], y[fresh]
+    groups = np.zeros(len(ids), np.int64)
+    place = np.zeros(len(ids), np.int64)
+    for g, (of, _) in matrices.items():
+        groups[of], place[of] = g, np.arange(len(of))
+    most = np.zeros(len(x), np.int64)
+    for g, h in {*zip(groups[x].tolist(), groups[y].tolist(), strict=True)}:
+        hit, low = np.flatnonzero((groups[x] == g) & (groups[y] == h)), min(g, h)
+        a, b = folded(matrices[g][1], low), folded(matrices[h][1], low)
+        for k in range(0, len(hit), 1 << 14):
+            part = hit[k : k + (1 << 14)]
+            most[part] = np.minimum(a[place[x[part]]], b[place[y[part]]]).sum(axis=1)
+    passed = most >= at.least_overlap(sizes[x] + sizes[y])
+    return np.stack((ids[x[passed]], ids[y[passed]]), axis=1)
+
+
 def _search_tiles(at: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs(batches, ("tile", "i", "j")):
-            ids, labels, sizes, side = (table.column(c).to_numpy() for c in ("class_id", "label", "n_shingles", "side"))
-            packed, pairs = table.column("point").to_pylist(), set()
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > 1:
-                    pairs.update(tile_pairs(ids[a:b], labels[a:b], sizes[a:b], unpack_points(packed[a:b]), side[a:b], at))
-            if pairs:
-                a, b = zip(*pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            ids, labels, sizes, side, i, j = (table.column(c).to_numpy() for c in ("class_id", "label", "n_shingles", "side", "i", "j"))
+            bounds = np.array(bounds)
+            starts, lengths, found = bounds[:-1], np.diff(bounds), []
+            leaf = lengths <= FANOUT
+            matrices = unpack_matrices(table.column("coarse"))
+            for rows in np.unique(lengths[leaf & (lengths > 1)]).tolist():
+                found.append(leaf_pairs(starts[lengths == rows], rows, ids, labels, sizes, i != j, side, matrices, at))
+            for a, n in zip(starts[~leaf].tolist(), lengths[~leaf].tolist(), strict=True):
+                tile = slice(a, a + n)
+                pairs = tile_pairs(ids[tile], labels[tile], sizes[tile], unpack_points(table.column("coarse").slice(a, n).to_pylist()), side[tile], at)
+                found.append(np.array(pairs, np.int64).reshape(-1, 2))
+            if sum(map(len, found)):
+                a, b = np.unique(np.concatenate(found), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -335,6 +385,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         copied = F.broadcast(copied)
     single = rows.where("class_id is not null").join(copied, "class_id", "left").where(F.col("__first").isNull() | (F.col("__first") == F.col(id_col)))
     points_of = single.select("class_id", "n_shingles", "point").dropDuplicates(["class_id"])
+    coarse_of = single.select("class_id", "n_shingles", "coarse").dropDuplicates(["class_id"])
     tiles = single.select("class_id", F.explode("tiles").alias("tile"))
     shared = checkpoint(tiles.groupBy("tile").agg(F.count("*").alias("rows")).where("rows > 1").select("tile"))
     if shared.count() <= BROADCAST_TILES:
@@ -356,10 +407,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     search = labelled.join(mixed.select("tile", blocks.alias("blocks")), "tile").withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     search = search.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     search = search.select("tile", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "class_id", "label")
-    search = search.join(points_of, "class_id").select("tile", "i", "j", "side", "class_id", "label", "n_shingles", "point")
+    search = search.join(coarse_of, "class_id").select("tile", "i", "j", "side", "class_id", "label", "n_shingles", "coarse")
     search = search.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
     pairs = checkpoint(search.mapInArrow(_search_tiles(at), "a long, b long").distinct())
-    more = verified(pairs, classes, docs, id_col, text_col, shingle, at)
+    more = verified(checkpoint(bounded(pairs, points_of, at)), classes, docs, id_col, text_col, shingle, at)
     merged = components(first.unionAll(more), "a", "b").withColumnRenamed("node", "class_id")
     named = classes.join(merged, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     lowest = named.groupBy("component").agg(F.min(id_col).alias("component_id"))
