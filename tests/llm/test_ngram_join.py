@@ -145,3 +145,23 @@ def test_query_on_its_table(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in queries.op9_ngram_join(spark, small).collect()), key=str)
     assert got == brute(docs, 3, 90, 100)
+
+
+def test_leaves_give_the_pairs_of_their_trees():
+    rng, at = np.random.default_rng(6), ngram_join.Threshold(80, 100)
+    tiles, rows = 12, 7
+    sets = []
+    for _ in range(tiles):
+        base = rng.integers(0, 2**64, int(rng.choice([20, 300, 900])), dtype=np.uint64)
+        for drop in rng.choice([0, 0.05, 0.15, 0.4], rows):
+            sets.append(np.unique(np.concatenate((base[int(drop * len(base)) :], rng.integers(0, 2**64, int(drop * len(base)), dtype=np.uint64)))))
+    packed = [ngram_join.pack_point(ngram_join.folded(p, min(ngram_join.GROUPS, len(p)))) for p in map(ngram_join.point, sets)]
+    ids, labels, sizes = rng.permutation(len(sets)), rng.integers(0, 30, len(sets)), np.array([len(s) for s in sets])
+    starts, matrices = np.arange(0, len(sets), rows), ngram_join.unpack_matrices(pa.array(packed, pa.binary()))
+    for apart, side in ((False, np.zeros(len(sets), int)), (True, np.arange(len(sets)) % 2)):
+        want = set()
+        for a in starts:
+            t = slice(a, a + rows)
+            want.update(ngram_join.tile_pairs(ids[t], labels[t], sizes[t], ngram_join.unpack_points(packed[t]), side[t], at))
+        got = ngram_join.leaf_pairs(starts, rows, ids, labels, sizes, np.full(len(sets), apart), side, matrices, at)
+        assert want and set(map(tuple, got.tolist())) == want
