@@ -3,9 +3,13 @@
 Each half of the unit vectors has a codebook (k-means on at most SAMPLE distinct vectors, chosen by
 hash); a pair of codewords is a cell of the product grid, and every vector lies in one cell. A vector
 visits cells in the order of its distance to them, nearest first (multi-sequence order). How many it
-visits follows from a calibration: QUERIES vectors are compared with all by brute force, and the
-visits go on until TARGET of their links are met. What meets in a cell is compared exactly, in double
-precision. The grid grows with the number of vectors, so a cell holds about PER_CELL of them.
+visits follows from a calibration: QUERIES vectors are compared with all by brute force, each by its own
+share of links met. Queries near each other are one stratum, so a large group counts once. More queries are drawn
+(MOST_QUERIES at most) until ENOUGH strata have links; where links are rarer still, pairs made at cosines from the
+least to 1 stand in for them. Visits are enough when the mean over the strata, and all but the lowest LOW of
+them, reach TARGET; while they do not, twice as many are tried, up to the whole grid. What meets in a cell is
+compared exactly, in double precision. The grid grows with the number of vectors, so a cell holds about PER_CELL
+of them; its codebooks learn from at most CROWD of the sample's vectors near one another.
 
 A pair that meets in one direction only is counted for both. Equal vectors are one class with a size, so copies
 are never compared. Cells of more than BLOCK vectors are cut into blocks, each searched by itself.
@@ -29,8 +33,11 @@ from .components import components
 
 SAMPLE, QUERIES, TARGET = 16_384, 512, 0.995
 PER_CELL, MOST_WORDS, ROUNDS = 8, 1024, 10
-#: Visits of a vector: at least, at most, and where the calibration met too few links to tell.
-LEAST_VISITS, MOST_VISITS, USUAL_VISITS, ENOUGH_LINKS = 4, 256, 32, 30
+#: Visits of a vector: at least, and the most that the calibration tries first.
+LEAST_VISITS, FIRST_VISITS = 4, 256
+#: Strata with links that a calibration needs, the queries it may draw for them, and the share of strata that may lie below the target.
+ENOUGH, MOST_QUERIES, LOW = 100, 4096, 0.05
+CROWD = 8
 BLOCK = 1024
 
 
@@ -65,6 +72,7 @@ class Grid:
     def __init__(self, sample: np.ndarray, size: int) -> None:
         half = sample.shape[1] // 2
         self.half, self.words = half, (codebook(sample[:, :half], size, 1), codebook(sample[:, half:], size, 2))
+        self.cells = len(self.words[0]) * len(self.words[1])
 
     def visits(self, x: np.ndarray, count: int) -> np.ndarray:
         """(rows, count) cells by distance, nearest first; -1 where the grid has fewer.
@@ -76,8 +84,9 @@ class Grid:
         i, j = np.meshgrid(np.arange(left.shape[1]), np.arange(right.shape[1]), indexing="ij")
         i, j = i[(i + 1) * (j + 1) <= count], j[(i + 1) * (j + 1) <= count]
         out = np.full((len(x), count), -1, dtype=np.int64)
-        for a in range(0, len(x), 2048):
-            rows = slice(a, a + 2048)
+        many = max(1, (1 << 22) // len(i))
+        for a in range(0, len(x), many):
+            rows = slice(a, a + many)
             total = left[rows][:, i] + right[rows][:, j]
             order = np.argsort(total, axis=1, kind="stable")[:, :count]
             cells = first[rows][:, i] * len(self.words[1]) + second[rows][:, j]
@@ -85,32 +94,113 @@ class Grid:
         return out
 
 
-def _calibrated(classes: DataFrame, grid: Grid, queries: np.ndarray, kind: str, least: float) -> int:
-    """Visits until TARGET of the links of the queries, found by brute force against all vectors, are met."""
-    order = grid.visits(queries, MOST_VISITS)
+def _thinned(x: np.ndarray, least: float) -> np.ndarray:
+    """The vectors that fewer than CROWD earlier ones are near."""
+    keep = np.ones(len(x), bool)
+    for a in range(0, len(x), 512):
+        near = x[a : a + 512] @ x[: a + 512].T >= least
+        keep[a : a + 512] = np.tril(near, a - 1).sum(axis=1) < CROWD
+    return x[keep]
+
+
+def _strata(x: np.ndarray, least: float) -> np.ndarray:
+    """For each vector the number of its stratum: that of the first earlier vector near it, or a new one."""
+    lead = np.arange(len(x))
+    for i in range(1, len(x)):
+        near = x[:i] @ x[i] >= least
+        if near.any():
+            lead[i] = lead[near.argmax()]
+    return lead
+
+
+def _ladder(count: int) -> np.ndarray:
+    """The numbers of visits that are told apart, up to ``count``: four to a doubling."""
+    steps = np.unique(np.round(2.0 ** (np.arange(0, 4 * np.log2(max(count, 1)) + 4) / 4)).astype(np.int64))
+    return np.unique(np.append(steps[steps < count], count))
+
+
+def _met(classes: DataFrame, grid: Grid, queries: np.ndarray, kind: str, least: float, count: int) -> np.ndarray:
+    """(queries, steps of the ladder + 1) links by the step that meets them, by brute force against all vectors; the last are not met."""
+    steps, order = _ladder(count), grid.visits(queries, count)
+    query, rank = np.nonzero(order >= 0)
+    keys = query * grid.cells + order[query, rank]
+    sort = np.argsort(keys)
+    keys, step = keys[sort], np.searchsorted(steps, rank[sort] + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = np.zeros(MOST_VISITS + 1, np.int64)
+        met = np.zeros((len(queries), len(steps) + 1), np.int64)
         for batch in batches:
             x = unit(batch.column("vector"), kind)
-            for a in range(0, len(x), 4096):
-                part = x[a : a + 4096]
+            for a in range(0, len(x), 1024):
+                part = x[a : a + 1024]
                 row, query = np.nonzero((cos := part @ queries.T) >= least)
                 apart = cos[row, query] < 1 - 1e-12  # not the query itself
                 row, query = row[apart], query[apart]
                 if len(row):
-                    hit = order[query] == grid.visits(part, 1)[row]
-                    ranks += np.bincount(np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_VISITS), minlength=MOST_VISITS + 1)
-        at = np.flatnonzero(ranks)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(ranks[at], pa.int64())], names=["rank", "n"])
-
-    met = np.zeros(MOST_VISITS + 1, np.int64)
-    for r in classes.select("vector").mapInArrow(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect():  # MOST_VISITS + 1 rows at most
-        met[r["rank"]] = r["n"]
-    if met.sum() < ENOUGH_LINKS:
-        return USUAL_VISITS
-    needed = int(np.searchsorted(np.cumsum(met), TARGET * met.sum())) + 1
-    return int(np.clip(needed, LEAST_VISITS, MOST_VISITS))
+                    wanted = query * grid.cells + grid.visits(part, 1)[row, 0]
+                    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                    np.add.at(met, (query, np.where(keys[at] == wanted, step[at], len(steps))), 1)
+        query, at = np.nonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(at, pa.int64()), pa.array(met[query, at], pa.int64())], names=["query", "step", "n"])
+
+    met = np.zeros((len(queries), len(steps) + 1), np.int64)
+    for r in classes.select("vector").mapInArrow(run, "query long, step long, n long").groupBy("query", "step").agg(F.sum("n").alias("n")).collect():  # a few dozen rows a query at most
+        met[r["query"], r["step"]] = r["n"]
+    return met
+
+
+def _made(grid: Grid, sample: np.ndarray, least: float, count: int, pairs: int) -> np.ndarray:
+    """As ``_met``, of pairs made from the sample: a vector, and one at a cosine between the least and 1 in the direction of another."""
+    rng = np.random.default_rng(5)
+    x, other = sample[rng.integers(0, len(sample), pairs)], sample[rng.integers(0, len(sample), pairs)]
+    across = other + rng.normal(scale=1e-3, size=x.shape)
+    across -= (across * x).sum(axis=1, keepdims=True) * x
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    cos = np.linspace(least, 1, pairs, endpoint=False)[:, None]
+    steps, hit = _ladder(count), grid.visits(x, count) == grid.visits(cos * x + np.sqrt(1 - cos * cos) * across, 1)
+    met = np.zeros((pairs, len(steps) + 1), np.int64)
+    met[np.arange(pairs), np.where(hit.any(axis=1), np.searchsorted(steps, hit.argmax(axis=1) + 1), len(steps))] = 1
+    return met
+
+
+def _enough(met: np.ndarray, strata: np.ndarray) -> int | None:
+    """The first step at which the strata reach TARGET, each by its queries' mean share of links met; None if none does."""
+    share = np.cumsum(met, axis=1)[:, :-1] / met.sum(axis=1, keepdims=True)
+    _, place = np.unique(strata, return_inverse=True)
+    means = np.zeros((place.max() + 1, share.shape[1]))
+    np.add.at(means, place, share)
+    means /= np.bincount(place)[:, None]
+    good = (means.mean(axis=0) >= TARGET) & (np.quantile(means, LOW, axis=0, method="lower") >= TARGET)
+    return int(good.argmax()) if good.any() else None
+
+
+def _calibrated(classes: DataFrame, grid: Grid, sample: np.ndarray, kind: str, least: float) -> int:
+    """Visits that meet TARGET of the links in the strata of the queries."""
+    count = min(FIRST_VISITS, grid.cells)
+    drawn, met = 0, np.zeros((0, len(_ladder(count)) + 1), np.int64)
+    while drawn < min(len(sample), MOST_QUERIES):
+        more = max(QUERIES, drawn)
+        met = np.concatenate((met, _met(classes, grid, sample[drawn : drawn + more], kind, least, count)))
+        drawn = min(drawn + more, len(sample))
+        linked = np.flatnonzero(met.sum(axis=1))
+        strata = _strata(sample[linked], least)
+        if len(np.unique(strata)) >= ENOUGH:
+            break
+    lacking = max(ENOUGH - len(np.unique(strata)), 0)
+    met = met[linked]
+    while True:
+        whole, groups = met, strata
+        if lacking:
+            whole = np.concatenate((met, _made(grid, sample, least, count, lacking)))
+            groups = np.concatenate((strata, len(sample) + np.arange(lacking)))
+        step = _enough(whole, groups)
+        if step is not None:
+            return min(max(int(_ladder(count)[step]), LEAST_VISITS), grid.cells)
+        if count >= grid.cells:
+            return grid.cells
+        count = min(2 * count, grid.cells)
+        if len(linked):
+            met = _met(classes, grid, sample[linked], kind, least, count)
 
 
 def _roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,16 +229,16 @@ def _meet(kind: str, least: float):
                 hosts, guests = start + np.flatnonzero(member[start:end] != 1), start + np.flatnonzero(member[start:end] != 2)
                 if len(hosts) == 0 or len(guests) == 0 or end - start < 2:
                     continue
-                for a in range(0, len(guests), 2048):
-                    part = guests[a : a + 2048]
+                for a in range(0, len(guests), 1024):
+                    part = guests[a : a + 1024]
                     g, h = np.nonzero(x[part] @ x[hosts].T >= least)
                     g, h = part[g], hosts[h]
                     g, h = g[ids[g] != ids[h]], h[ids[g] != ids[h]]
                     if len(g) == 0:
                         continue
-                    both = np.zeros(len(g), bool)  # the host will meet the guest in the guest's own cell
-                    for host in np.unique(h):
-                        both[h == host] = np.isin(own[g[h == host]], plans[int(host)].values.to_numpy())
+                    there, hosting = np.unique(own[g]), np.unique(h)
+                    meets = np.array([np.isin(there, plans[int(host)].values.to_numpy()) for host in hosting])
+                    both = meets[np.searchsorted(hosting, h), np.searchsorted(there, own[g])]  # the host will meet the guest in the guest's own cell
                     seen, place = np.unique(np.concatenate((g, h)), return_inverse=True)
                     found = np.bincount(place[: len(g)], weights=sizes[h], minlength=len(seen)) + np.bincount(place[len(g) :], weights=np.where(both, 0, sizes[g]), minlength=len(seen))
                     root = _roots(len(seen), place[: len(g)], place[len(g) :])
@@ -193,8 +283,8 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         chosen = [r["vector"] for r in classes.where(hashed_low(["class_id"], 7, 4.0 * SAMPLE / count)).orderBy(F.xxhash64("class_id", F.lit(7)), "class_id").limit(SAMPLE).select("vector").collect()]  # SAMPLE rows at most
         sample = unit([bytes(v) for v in chosen], kind)
         size = int(np.clip(round((count / PER_CELL) ** 0.5), 1, MOST_WORDS))
-        grid = Grid(sample, size)
-        visits = min(_calibrated(classes, grid, sample[:QUERIES], kind, least), size * size)
+        grid = Grid(_thinned(sample, least), size)
+        visits = _calibrated(classes, grid, sample, kind, least)
         crowded = _visits(classes, grid, kind, 1).groupBy("cell").count().where(F.col("count") > BLOCK)
         crowded = crowded.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
         calls = _visits(classes, grid, kind, visits).join(F.broadcast(crowded), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -224,8 +314,9 @@ def _visits(classes: DataFrame, grid: Grid, kind: str, count: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 1024):
-                batch = whole.slice(a, 1024)
+            many = max(1, (1 << 18) // count)
+            for a in range(0, whole.num_rows, many):
+                batch = whole.slice(a, many)
                 plan = grid.visits(unit(batch.column("vector"), kind), count)
                 row, at = np.nonzero(plan >= 0)
                 ends = np.concatenate(([0], np.cumsum((plan >= 0).sum(axis=1)))).astype(np.int32)

@@ -72,3 +72,26 @@ def test_query_and_recall(spark, small):
     assert out.columns == ["vec_id", "n_links", "component_id", "kept"] and out.count() == vectors.count()
     near = vectors.unionAll(vectors.select((F.col("vec_id") + 100_000).alias("vec_id"), F.transform("embedding", lambda x: (x * 1.01 + 0.002).cast("float")).alias("embedding"), "label")).select("vec_id", "embedding")
     assert multi_index.recall(near, multi_index.link(near)) >= 0.9
+
+
+def test_calibration_is_not_outweighed_by_a_hot_group(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    hot = unit(rng.normal(size=16)) + rng.normal(scale=0.02, size=(2500, 16))
+    x = unit(rng.normal(size=(2500, 16)))
+    across = rng.normal(size=x.shape)
+    across = unit(across - (across * x).sum(axis=1, keepdims=True) * x)
+    rows = np.concatenate((hot, x, 0.91 * x + np.sqrt(1 - 0.91**2) * across)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>").repartition(4)
+    found = {r.vec_id: r.n_links for r in multi_index.link(df).collect()}
+    own = unit(rows.astype(float))
+    true = (own @ own.T >= 0.9).sum(axis=1) - 1
+    pairs = range(2500, len(rows))
+    assert all(found[i] <= true[i] for i in found)
+    assert sum(found[i] for i in pairs) >= 0.98 * sum(true[i] for i in pairs)
+    assert sum(found[i] for i in range(2500)) >= 0.98 * sum(true[:2500])
+
+
+def test_visits_go_on_while_the_target_is_not_met(spark):
+    met = np.array([[9, 0, 1], [1, 0, 0]])
+    assert multi_index._enough(met, np.array([0, 1])) is None and multi_index._enough(met[1:], np.array([0])) == 0
