@@ -1,13 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's rows are cut into blocks. Weights are counted in frames of slots: a source of weight w gets
-k = w * frame slots of each. Its block j is released at floor(j / w) and due at ceil((j + 1) / w);
-in every slot the released block that is due first is taken, so at any time a source is less than one
-block from its share. A frame's pattern repeats, so only one frame is scheduled (on the driver, a few
-thousand slots); the slot of every block then follows by arithmetic, on Spark.
+A source's rows are cut into blocks. Block j of a source of weight w (its share of the phase's weights) is released at
+floor(j / w) and due at ceil((j + 1) / w), in whole numbers without rounding of the weights; in every slot the released block
+that is due first is taken, so at any time of a phase a source is less than one block from its share. What is placed
+before a slot says all that follows, so the driver only counts (a step for each block, none kept), and tasks place the
+blocks from its counts, SEGMENT slots at a time.
 
 No row is dropped or repeated: when a source runs out, the others go on with their weights scaled up (a
-new phase). The last frame before that is trimmed to the blocks that are left.
+new phase), counted from the slot after its last block.
 
 Rows are numbered within a source without bringing a source into one task: in each hashed bucket by
 itself, plus the sizes of the buckets before it.
@@ -21,8 +21,11 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +33,8 @@ from pyspark.sql import types as T
 from .common import without
 
 BLOCK_ROWS = 32
-FRAME = 1000
+#: Slots that a task places at once, blocks to a piece of the plan, and the most blocks whose plan is broadcast.
+SEGMENT, PIECE, BROADCAST_BLOCKS = 20_000, 256, 1 << 20
 MOST_SOURCES = 256
 #: Without given weights a source's weight is its number of rows to this power.
 TEMPER = 0.5
@@ -59,27 +63,57 @@ def windows(share: int, frame: int) -> list[tuple[int, int]]:
     return [(j * frame // share, -(-(j + 1) * frame // share)) for j in range(share)]
 
 
-def frame_pattern(shares: list[int], frame: int) -> list[list[int]]:
-    """The slots that earliest-deadline-first gives each source's blocks; every block is placed within its window."""
-    coming = sorted((release, deadline, s, j) for s, k in enumerate(shares) for j, (release, deadline) in enumerate(windows(k, frame)))
-    slots: list[list[int]] = [[0] * k for k in shares]
-    ready: list[tuple[int, int, int]] = []
-    at = 0
-    for slot in range(frame):
-        while at < len(coming) and coming[at][0] <= slot:
-            _, deadline, s, j = coming[at]
-            heapq.heappush(ready, (deadline, s, j))
-            at += 1
-        deadline, s, j = heapq.heappop(ready)
+def whole(weights: list[float]) -> list[int]:
+    """The weights as whole numbers in exactly their proportions."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(e.denominator for e in exact))
+    out = [int(e * scale) for e in exact]
+    return [w // math.gcd(*out) for w in out]
+
+
+def schedule(weights: list[int], done: list[int], slot: int) -> Iterator[tuple[int, int, int, int]]:
+    """(source, block, release, deadline) of each slot from ``slot`` on, without end, after ``done`` blocks of each source."""
+    total = sum(weights)
+    ready: list[tuple[int, int, int, int]] = []
+    waiting = [(j * total // w, -(-(j + 1) * total // w), s, j) for s, (w, j) in enumerate(zip(weights, done, strict=True))]
+    heapq.heapify(waiting)
+    while True:
+        while waiting and waiting[0][0] <= slot:
+            release, deadline, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, s, j, release))
+        deadline, s, j, release = heapq.heappop(ready)
         if slot >= deadline:
             raise AssertionError("a block missed its deadline")
-        slots[s][j] = slot
+        yield s, j, release, deadline
+        j += 1
+        heapq.heappush(waiting, (j * total // weights[s], -(-(j + 1) * total // weights[s]), s, j))
+        slot += 1
+
+
+def frame_pattern(shares: list[int], frame: int) -> list[list[int]]:
+    """The slots of a frame that each source's blocks get, at weights that are whole slots."""
+    slots: list[list[int]] = [[] for _ in shares]
+    for slot, (s, *_) in zip(range(frame), schedule(shares, [0] * len(shares), 0), strict=False):
+        slots[s].append(slot)
     return slots
 
 
+@dataclass(frozen=True)
+class Segment:
+    """Slots of a phase: its start, its sources' weights and blocks placed before it; the segment's first slot (from the start), number of slots, and blocks done."""
+
+    sources: list[int]
+    weights: list[int]
+    before: list[int]
+    start: int
+    slot: int
+    count: int
+    done: list[int]
+
+
 @dataclass(frozen=True)
 class Part:
-    """Blocks first to last - 1 of a source, which are placed by one pattern from slot start on."""
+    """Blocks first to last - 1 of a source, in slots from start on, with their windows from the phase's start on."""
 
     source: str | None
     first: int
@@ -87,28 +121,68 @@ class Part:
     start: int
     frame: int
     slots: list[int]
+    windows: list[tuple[int, int]]
+    phase: int
+
+
+def segments(blocks: list[int], weights: list[float], most: int = SEGMENT) -> Iterator[Segment]:
+    """The segments that place all blocks, phase by phase; a phase ends with the last block of a source."""
+    left, placed, start = list(blocks), [0] * len(blocks), 0
+    while any(left):
+        sources = [s for s, n in enumerate(left) if n]
+        exact, before = whole([weights[s] for s in sources]), [placed[s] for s in sources]
+        done, at, slot = [0] * len(sources), [0] * len(sources), 0
+        first = 0
+        for s, *_ in schedule(exact, done, 0):
+            at[s] += 1
+            slot += 1
+            over = before[s] + at[s] == blocks[sources[s]]
+            if over or slot - first == most:
+                yield Segment(sources, exact, before, start, first, slot - first, done)
+                first, done = slot, list(at)
+            if over:
+                break
+        start += slot
+        for s, n in zip(sources, at, strict=True):
+            placed[s] += n
+            left[s] -= n
 
 
-def plan(blocks: dict[str | None, int], weights: dict[str | None, float], frame: int = FRAME) -> list[Part]:
-    """The parts that place all blocks: phase by phase, whole frames, then one trimmed to what is left."""
-    frame = max(frame, 4 * len(blocks))
-    left, parts, start = {s: n for s, n in blocks.items() if n > 0}, [], 0
-    while left:
-        sources = sorted(left, key=lambda s: (s is not None, s or ""))
-        shares = frame_shares([weights[s] for s in sources], frame)
-        pattern = frame_pattern(shares, frame)
-        whole = min(left[s] // k for s, k in zip(sources, shares, strict=True))
-        for frames in ([whole] if whole else []) + [None]:
-            if frames is None and not all(left[s] for s in sources):
-                break
-            for s, k, slots in zip(sources, shares, pattern, strict=True):
-                count = min(left[s], k) if frames is None else frames * k
-                done = blocks[s] - left[s]
-                parts.append(Part(s, done, done + count, start, frame, slots))
-                left[s] -= count
-            start += frame * (frames or 1)
-        left = {s: n for s, n in left.items() if n}
-    return parts
+def parts(segment: Segment) -> Iterator[Part]:
+    """A segment's parts, one for each source that has blocks in it; sources by number."""
+    found: list[list[tuple[int, int, int]]] = [[] for _ in segment.sources]
+    for slot, (s, _, release, deadline) in zip(range(segment.count), schedule(segment.weights, segment.done, segment.slot), strict=False):
+        found[s].append((slot, release, deadline))
+    for s, own in enumerate(found):
+        if own:
+            first = segment.before[s] + segment.done[s]
+            yield Part(segment.sources[s], first, first + len(own), segment.start + segment.slot, segment.count, [o[0] for o in own], [o[1:] for o in own], segment.start)
+
+
+def plan(blocks: dict[str | None, int], weights: dict[str | None, float], most: int = SEGMENT) -> list[Part]:
+    """The parts that place all blocks, on the driver."""
+    sources = sorted(blocks, key=lambda s: (s is not None, s or ""))
+    placed = [p for g in segments([blocks[s] for s in sources], [weights[s] for s in sources], most) for p in parts(g)]
+    return [Part(sources[p.source], p.first, p.last, p.start, p.frame, p.slots, p.windows, p.phase) for p in placed]
+
+
+def _placing(size: int):
+    """Of segments, the pieces of the plan, of ``size`` blocks: (source's number, piece, first block, and slots, releases and deadlines from it on)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                numbers = {c: [int(v) for v in row[c]] for c in ("sources", "weights", "before", "done")}
+                out = []
+                for p in parts(Segment(start=row["start"], slot=row["slot"], count=row["count"], **numbers)):
+                    cuts = [p.first, *range((p.first // size + 1) * size, p.last, size), p.last]
+                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                        own = range(a - p.first, b - p.first)
+                        out.append((p.source, a // size, a, [p.start + p.slots[i] for i in own], [p.phase + p.windows[i][0] for i in own], [p.phase + p.windows[i][1] for i in own]))
+                kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["n", "piece", "first", "slots", "releases", "deadlines"])
+
+    return run
 
 
 def tempered(counts: dict[str | None, int], power: float = TEMPER) -> dict[str | None, float]:
@@ -116,7 +190,7 @@ def tempered(counts: dict[str | None, int], power: float = TEMPER) -> dict[str |
     return {s: float(n) ** power for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, frame: int = FRAME) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows with block, slot, place (within the block), release and deadline; rows in order of slot and place are the mixture."""
     spark = docs.sparkSession
     rest = without(docs, "block", "slot", "place", "release", "deadline")
@@ -127,7 +201,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     if any(w <= 0 or not math.isfinite(w) for w in given.values()):
         raise ValueError("weights have to be positive")
     target = {s: given.get(s, min(given.values())) for s in counts}
-    parts = plan({s: -(-n // block_rows) for s, n in counts.items()}, target, frame)
+    names = sorted(counts, key=lambda s: (s is not None, s or ""))
+    blocks = [-(-counts[s] // block_rows) for s in names]
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, sum(counts.values()) // BUCKET_ROWS))
     hashed = rest.withColumn("__bucket", F.pmod(F.xxhash64(id_col, F.lit(29)), F.lit(buckets)).cast("int"))
     sizes = hashed.groupBy(source_col, "__bucket").count()
@@ -137,15 +212,18 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     ranked = hashed.withColumn("__row", F.row_number().over(within) - 1)
     ranked = ranked.join(sizes, F.col(source_col).eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__b"))).withColumn("__row", F.col("__row") + F.col("__before"))
     ranked = ranked.withColumn("block", F.floor(F.col("__row") / block_rows)).withColumn("place", (F.col("__row") % block_rows).cast("int"))
-    schema = T.StructType([rest.schema[source_col], *[T.StructField(n, T.LongType()) for n in ("first", "last", "start", "frame")], T.StructField("slots", T.ArrayType(T.LongType()))])
-    table = spark.createDataFrame([(p.source, p.first, p.last, p.start, p.frame, p.slots) for p in parts], schema).select(F.col(source_col).alias("__source"), F.struct("first", "last", "start", "frame", "slots").alias("__part"))
+    text = lambda values: [str(v) for v in values]  # noqa: E731  # exact weights may be longer than a long
+    rows = [(text(g.sources), text(g.weights), text(g.before), text(g.done), g.start, g.slot, g.count) for g in segments(blocks, [target[s] for s in names])]
+    kept = ("sources", "weights", "before", "done")
+    schema = T.StructType([*[T.StructField(c, T.ArrayType(T.StringType())) for c in kept], *[T.StructField(c, T.LongType()) for c in ("start", "slot", "count")]])
+    pieces = spark.createDataFrame(rows, schema).mapInArrow(_placing(PIECE), "n int, piece long, first long, slots array<long>, releases array<long>, deadlines array<long>")
+    named = spark.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("n", T.IntegerType()), rest.schema[source_col]])).withColumnRenamed(source_col, "__source")
+    table = pieces.join(F.broadcast(named), "n").select("__source", F.struct("piece", "first", "slots", "releases", "deadlines").alias("__part"))
     part = lambda n: F.col(f"__part.{n}")
-    placed = ranked.join(F.broadcast(table), F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("block") >= part("first")) & (F.col("block") < part("last")))
-    share = F.size(part("slots")).cast("long")
-    own = F.col("block") - part("first")
-    start, turn = part("start") + F.floor(own / share) * part("frame"), own % share
-    placed = placed.withColumn("slot", start + F.get(part("slots"), turn.cast("int")))
-    placed = placed.withColumn("release", start + F.floor(turn * part("frame") / share)).withColumn("deadline", start + F.ceil((turn + 1) * part("frame") / share))
+    own = (F.col("block") - part("first")).cast("int")
+    here = F.col(source_col).eqNullSafe(F.col("__source")) & (F.floor(F.col("block") / PIECE) == part("piece")) & (own >= 0) & (own < F.size(part("slots")))
+    placed = ranked.join(F.broadcast(table) if sum(blocks) <= BROADCAST_BLOCKS else table, here)
+    placed = placed.withColumn("slot", F.get(part("slots"), own)).withColumn("release", F.get(part("releases"), own)).withColumn("deadline", F.get(part("deadlines"), own))
     return placed.select(*[f"`{c}`" for c in rest.columns], "block", "slot", "place", "release", "deadline")
 
 

@@ -76,3 +76,33 @@ def test_preference_query_agrees_with_its_sql(spark, small):
     shared = spark.read.parquet(f"{small}/conversations.parquet").withColumn("text", F.when(F.col("turn") < 2, "same").otherwise(F.col("text"))).withColumn("role", F.when(F.col("turn") < 2, "user").otherwise(F.col("role")))
     assert preference.format_pairs(preference.neighbouring_pairs(shared)).where("common_turns >= 2").count() >= 10
     assert preference.format_pairs(preference.neighbouring_pairs(shared.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("weights", [[(k + 1) ** 0.5 for k in range(20)], [100_000.0, 1.0], [0.1, 0.2, 0.7]])
+def test_one_block_from_the_true_weights_over_hundreds_of_frames(weights):
+    slots = 300_000
+    blocks = {f"s{k:02}": int(w / sum(weights) * slots) + 2 for k, w in enumerate(weights)}
+    target = {s: w for s, w in zip(blocks, weights, strict=True)}
+    placed = {}
+    for p in pfair_mixing.plan(blocks, target):
+        for j in range(p.first, p.last):
+            own = j - p.first
+            placed[p.start + own // len(p.slots) * p.frame + p.slots[own % len(p.slots)]] = p.source
+    done, total = dict.fromkeys(blocks, 0), sum(weights)
+    for t in range(slots):
+        done[placed[t]] += 1
+        assert t % 97 or all(abs(n - (t + 1) * target[s] / total) < 1 + 1e-6 for s, n in done.items())
+        if done[placed[t]] == blocks[placed[t]]:
+            break
+    assert t > 200_000 and sorted(placed) == list(range(sum(blocks.values())))
+
+
+def test_mixture_is_the_plan(spark, monkeypatch):
+    monkeypatch.setattr(pfair_mixing, "BROADCAST_BLOCKS", 0)
+    monkeypatch.setattr(pfair_mixing, "PIECE", 7)
+    df = spark.range(3000).selectExpr("id as doc_id", "if(id % 10 = 0, null, if(id % 3 = 0, 'a', 'b')) as source")
+    weights = {"a": 1.0, "b": 3.3, None: 0.001}
+    counts = {r[0]: -(-r[1] // 2) for r in df.groupBy("source").count().collect()}
+    want = {(p.source, p.first + i): (p.start + s, p.phase + w[0], p.phase + w[1]) for p in pfair_mixing.plan(counts, weights) for i, (s, w) in enumerate(zip(p.slots, p.windows, strict=True))}
+    got = pfair_mixing.mix(df, weights, block_rows=2).collect()
+    assert len(got) == 3000 and {(r.source, r.block): (r.slot, r.release, r.deadline) for r in got} == want
