@@ -38,9 +38,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens, checked by decoding them."""
-    out = queries.tokens(docs, keep=("doc_id", "source", "lang"))
-    return out.select("doc_id", "source", "lang", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """The documents' tokens, checked by decoding them, with slot and place in the mixture.
+
+    The mixture follows from the rows alone, so it is found again here: files that are read again tell no order."""
+    out = queries.tokens(pfair_mixing.mix(docs), keep=("doc_id", "source", "lang", "slot", "place"))
+    return out.select("doc_id", "source", "lang", "slot", "place", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("tokens", tokens)]

@@ -5,6 +5,7 @@ from test_bpe import TIKTOKEN
 from test_ngram_join import brute
 
 import corpus_pipeline
+from docloom.llm import pfair_mixing
 
 
 def test_stages_one_by_one(spark, small, tmp_path):
@@ -37,3 +38,16 @@ def test_clean_documents_stay(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     kept = corpus_pipeline.quality(spark, docs, small)
     assert good.join(kept, "doc_id", "left_anti").count() <= 0.03 * good.count()
+
+
+def test_result_tells_the_mixture(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(300).unionAll(spark.read.parquet(f"{small}/documents.parquet").where("source is null").limit(3)).cache()
+    want = sorted((r.doc_id, r.slot, r.place) for r in pfair_mixing.mix(docs).collect())
+    corpus_pipeline.mixing(spark, docs, small).write.parquet(str(tmp_path / "mixed"))
+    got = corpus_pipeline.tokens(spark, spark.read.parquet(str(tmp_path / "mixed")), small).collect()
+    assert sorted((r.doc_id, r.slot, r.place) for r in got) == want and len({(r.slot, r.place) for r in got}) == len(want)
+    counts = {}
+    for r in got:
+        counts[r.source] = counts.get(r.source, 0) + 1
+    plan = pfair_mixing.plan({s: -(-n // pfair_mixing.BLOCK_ROWS) for s, n in counts.items()}, pfair_mixing.tempered(counts))
+    assert {(p.source, p.start + s) for p in plan for s in p.slots} == {(r.source, r.slot) for r in got}
