@@ -65,7 +65,7 @@ KNOWN = re.compile(
 KNOWN_STARTS = ("AKIA", "ASIA", "gh", "glpat", "xox", "k_live", "k_test", "sk-", "AIza", "SG.", "eyJ", "-----BEGIN")
 ASSIGNED = re.compile(
     r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]{0,40}?(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key|bearer|encryption[_-]?key|signing[_-]?key)[A-Za-z0-9_.-]{0,40})"
-    r"[\"']?\s{0,3}(?:=>|:=|=|:|\s)\s{0,3}[\"'`]?([^\s\"'`,;|<>]{6,512})",
+    r"[\"']?\s{0,3}(?:=>|:=|=|:|\s)\s{0,3}[\"'`]?([^\s\"'`,;|<>]{6,})",
     re.IGNORECASE,
 )
 BARE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}={0,2}")
@@ -103,7 +103,6 @@ def _kind(c: str) -> int:
 
 def features(value: str, before: str, after: str, path: str, known: bool, assigned: str) -> list[float]:
     """The FEATURES of one candidate."""
-    value = value[:512]
     n, low = len(value), value.lower()
     kinds = [_kind(c) for c in value]
     counts = [value.count(c) for c in set(value)]

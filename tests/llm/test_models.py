@@ -133,3 +133,18 @@ def test_candidates_do_not_overlap():
 def test_queries_return_their_columns(spark, small):
     assert queries.op1_rule_ensemble(spark, small).columns == ["doc_id", "held_out", "score", "predicted"]
     assert queries.op4_language_id(spark, small).columns == ["doc_id", "held_out", "lang_pred", "score"]
+
+
+def test_long_secrets_are_taken_whole(spark, forest):
+    import random
+    import string
+
+    rng = random.Random(4)
+    alphabet = string.ascii_letters + string.digits + "+/"
+    values = ["".join(rng.choice(alphabet) for _ in range(n)) + end for n, end in ((800, ""), (5000, "=="), (520, "="))]
+    for value in values:
+        text = f'secret = "{value}" and more'
+        assert [(s, e) for s, e, _, _ in secret_scan.candidates(text)] == [(10, 10 + len(value))]
+        assert secret_scan.redacted_text(text, "", forest) == 'secret = "[REDACTED]" and more'
+    zeros = secret_scan.features("a1B2" * 128 + "0" * 512, "", "", "", False, "secret")
+    assert zeros[secret_scan.FEATURES.index("longest_run")] == 0.5
