@@ -12,7 +12,8 @@ compared exactly, in double precision. The grid grows with the number of vectors
 of them; its codebooks learn from at most CROWD of the sample's vectors near one another.
 
 A pair that meets in one direction only is counted for both. Equal vectors are one class with a size, so copies
-are never compared. Cells of more than BLOCK vectors are cut into blocks, each searched by itself.
+are never compared. Cells of more than BLOCK vectors at home are cut into blocks, and what
+visits a cell into parties of about PARTY, each searched by itself.
 
 Defined results: a vector that is null, zero, or holds a null or a component that is not finite, or whose length is not the commonest, links
 with nothing (n_links 0, its own component); repeated rows count as further vectors; an empty table
@@ -38,7 +39,8 @@ LEAST_VISITS, FIRST_VISITS = 4, 256
 #: Strata with links that a calibration needs, the queries it may draw for them, and the share of strata that may lie below the target.
 ENOUGH, MOST_QUERIES, LOW = 100, 4096, 0.05
 CROWD = 8
-BLOCK = 1024
+#: Hosts of a block and, about, guests of a party.
+BLOCK, PARTY = 1024, 4096
 
 
 def unit(rows: list[bytes] | pa.Array, kind: str) -> np.ndarray:
@@ -285,17 +287,15 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         size = int(np.clip(round((count / PER_CELL) ** 0.5), 1, MOST_WORDS))
         grid = Grid(_thinned(sample, least), size)
         visits = _calibrated(classes, grid, sample, kind, least)
-        crowded = _visits(classes, grid, kind, 1).groupBy("cell").count().where(F.col("count") > BLOCK)
-        crowded = crowded.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-        calls = _visits(classes, grid, kind, visits).join(F.broadcast(crowded), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        calls = _visits(classes, grid, kind, visits).join(F.broadcast(_loads(classes, grid, kind, visits)), "cell")  # a row at most for each cell of the grid
         own_block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
         calls = calls.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         hosted = (F.col("cell") == F.col("own")) & (F.col("block") == own_block)
         # In a cut cell, hosts (2) go to every party of guests (1) of their block; elsewhere a row at home is both (0).
-        parties = F.when(F.col("blocks") > 1, F.col("blocks")).otherwise(1)
-        party = F.pmod(F.xxhash64("class_id", F.lit(3)), parties).cast("int")
-        guests = calls.withColumn("guests", party).withColumn("member", F.when(hosted & (F.col("blocks") == 1), 0).otherwise(1))
-        hosts = calls.where(hosted & (F.col("blocks") > 1)).withColumn("guests", F.explode(F.sequence(F.lit(0), parties.cast("int") - 1))).withColumn("member", F.lit(2))
+        cut = (F.col("blocks") > 1) | (F.col("parties") > 1)
+        party = F.pmod(F.xxhash64("class_id", F.lit(3)), F.col("parties")).cast("int")
+        guests = calls.withColumn("guests", party).withColumn("member", F.when(hosted & ~cut, 0).otherwise(1))
+        hosts = calls.where(hosted & cut).withColumn("guests", F.explode(F.sequence(F.lit(0), F.col("parties") - 1))).withColumn("member", F.lit(2))
         columns = ["cell", "block", "guests", "member", "class_id", "size", "own", "vector", "plan"]
         met = guests.select(*columns).unionAll(hosts.select(*columns)).withColumn("plan", F.when(F.col("member") != 1, F.col("plan")))
         met = met.repartition("cell", "block", "guests").sortWithinPartitions("cell", "block", "guests")
@@ -309,6 +309,23 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
+def _loads(classes: DataFrame, grid: Grid, kind: str, count: int) -> DataFrame:
+    """Of the cells that are home to a vector: blocks of hosts and parties of guests. Nothing is met in other cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            many = max(1, (1 << 18) // count)
+            for a in range(0, whole.num_rows, many):
+                plan = grid.visits(unit(whole.slice(a, many).column("vector"), kind), count)
+                cells, calls = np.unique(plan[plan >= 0], return_counts=True)
+                hosts = np.zeros(len(cells), np.int64)
+                np.add.at(hosts, np.searchsorted(cells, plan[:, 0]), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(hosts), pa.array(calls.astype(np.int64))], names=["cell", "hosts", "calls"])
+
+    loads = classes.select("vector").mapInArrow(run, "cell long, hosts long, calls long").groupBy("cell").agg(F.sum("hosts").alias("hosts"), F.sum("calls").alias("calls")).where("hosts > 0")
+    return loads.select("cell", F.ceil(F.col("hosts") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("calls") / PARTY).cast("int").alias("parties"))
+
+
 def _visits(classes: DataFrame, grid: Grid, kind: str, count: int) -> DataFrame:
     """A row for each visit; all the visits planned go along as ``plan``."""
 

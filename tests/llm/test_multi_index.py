@@ -95,3 +95,30 @@ def test_calibration_is_not_outweighed_by_a_hot_group(spark):
 def test_visits_go_on_while_the_target_is_not_met(spark):
     met = np.array([[9, 0, 1], [1, 0, 0]])
     assert multi_index._enough(met, np.array([0, 1])) is None and multi_index._enough(met[1:], np.array([0])) == 0
+
+
+def test_guests_of_a_cell_are_cut_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "PARTY", 16, raising=False)
+    meet = multi_index._meet
+
+    def spy(kind, least):
+        run, add = meet(kind, least), most.add
+
+        def wrapped(batches):
+            for batch in batches:
+                keys = list(zip(*(batch.column(c).to_pylist() for c in ("cell", "block", "guests")), strict=True))
+                guests = [k for k, m in zip(keys, batch.column("member").to_pylist(), strict=True) if m != 2]
+                add(max((guests.count(k) for k in set(guests)), default=0))
+                yield from run(iter([batch]))
+
+        return wrapped
+
+    most = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(multi_index, "_meet", spy)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=8)
+    rows = [(i, (centre + rng.normal(scale=0.02, size=8)).astype(np.float32).tolist()) for i in range(300)] + [(1000 + i, v) for i, v in sample(7, 40, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in multi_index.link(df).collect()), key=str)
+    assert got == brute(rows)
+    assert 0 < most.value <= 4 * 40  # four partitions, each with parties of about 16 rows
