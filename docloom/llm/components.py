@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by large-star and small-star steps on Spark."""
+"""Connected components of a table of links, by contraction on Spark."""
 
 from __future__ import annotations
 
@@ -7,34 +7,40 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Rounds after which the steps are taken not to end (each about halves the depth of a tree).
+#: Rounds after which the contraction is taken not to end (each leaves about half of the nodes at most).
 MOST_ROUNDS = 60
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """One step: every node hands its larger (or, in a small step, smaller) neighbours to the least of its neighbourhood.
+def _place(column: str):
+    """The order in which nodes are preferred: by hash, so that ids in sequence make no long chains."""
+    return F.xxhash64(column, F.lit(71))
 
-    The least neighbour comes from an aggregation with a map-side part, so a node with very many
-    neighbours costs no task more than its share; the join back can be split."""
-    if large:
-        pairs = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = pairs.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-    joined = pairs.join(least, "u")
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
 
+def labels(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, label): for every node of the links one node of its component, the same for all. Links of a node to itself and nulls count for nothing.
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): for every node of the links, the least node that it reaches. Links of a node to itself and nulls count for nothing."""
-    pairs = checkpoint(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
-    state = None
+    In a round every node learns the first node (by hash) of its neighbourhood, then takes the first that a neighbour
+    has learnt; links are renamed by what was taken, and those within a name go, until none is left. Both steps aggregate with
+    a map-side part, so a node with very many neighbours costs no task more than its share."""
+    pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    pairs = checkpoint(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    found = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("label"))
     for _ in range(MOST_ROUNDS):
-        pairs = checkpoint(_star(_star(pairs, True), False))
-        row = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == state:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = tuple(row)
+        both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min_by("v", _place("v")).alias("v"))
+        low = low.select("u", F.when(_place("v") < _place("u"), F.col("v")).otherwise(F.col("u")).alias("m"))
+        heard = both.join(low, "u").select(F.col("v").alias("u"), "m").unionAll(low)
+        taken = checkpoint(heard.groupBy("u").agg(F.min_by("m", _place("m")).alias("m")))
+        found = checkpoint(found.join(taken, F.col("label") == F.col("u"), "left").select("node", F.coalesce("m", "label").alias("label")))
+        renamed = pairs.join(taken.withColumnRenamed("m", "x"), "u").join(taken.select(F.col("u").alias("v"), F.col("m").alias("y")), "v").where("x <> y")
+        pairs = checkpoint(renamed.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+        if pairs.isEmpty():
+            return found
     raise RuntimeError(f"the components are not settled after {MOST_ROUNDS} rounds")
+
+
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component): for every node of the links, the least node that it reaches."""
+    found = labels(links, a, b)
+    least = found.groupBy("label").agg(F.min("node").alias("component"))
+    return found.join(least, "label").select("node", "component")

@@ -12,20 +12,24 @@ tile for each group of its size class (and of the class below, if a partner may
 the group's content. No link is lost; a tile holds sets that agree on about six to nine shingles.
 
 1. Each tile offers every member its most central member (whose tiles are fullest); of these a set takes the commonest,
-   which is verified if their points allow a link. Groups of near copies, however large, become one component in linear work.
-2. Tiles whose members are still in different components are searched by an R-tree for pairs of
-   different components; tiles over TILE_ROWS rows are cut into pairs of blocks.
-   A tile is given coarser points, whose coordinates count about a dozen shingles each.
+   which is verified if their points allow a link. Sets linked to one centre, or to one over two steps, get one label: groups of
+   near copies, however large, are told apart no more, in linear work.
+2. Tiles whose members still have different labels are searched by an R-tree for pairs of
+   different labels; tiles over TILE_ROWS rows are cut into pairs of blocks.
+   A tile is given coarser points, whose coordinates count about a dozen shingles each, and the first EARLY tiles of each set:
+   a pair that shares some of these is told by one of them only, not by every tile that it shares.
 3. Pairs that pass are bounded by their full points; survivors are verified against the whole sets; components come from all links.
 
 Defined results: no words or no text: n_shingles 0, linked with nothing, its own component; fewer
 words than a shingle: the whole sequence is the one shingle; repeated rows and equal texts are one
-class; a null id takes part in its class but never names a component; an empty table gives no rows.
+class, whatever their ids; a null id takes part in its class and bridges like any other, but never names a component (a component of
+null ids only has a null component_id, and a group of its own); very long texts are taken whole, one at a time; further columns of the
+input, whatever their names, play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpoint, map_texts, runs, utf8
-from .components import components
+from .components import labels
 
 #: Coordinates of a point, as powers of two, from short texts to long ones; those of a point in a tree; counts of a tile that are held at once.
 LEAST_BITS, MOST_BITS = 5, 16
@@ -43,10 +47,12 @@ GROUPS = 128
 #: Groups of a long text's point that are one in the points that tiles are given.
 COARSER = 8
 MOST_CELLS = 1 << 24
+#: Tiles of a set, the first of its size class, that decide where a pair is told.
+EARLY = 8
 #: Rows of a tile that one task searches at once; larger tiles are cut into pairs of blocks.
 TILE_ROWS = 2048
-#: Points of an R-tree leaf, and children of a node.
-FANOUT = 16
+#: Points of an R-tree leaf, and children of a node; pairs that are compared at once.
+FANOUT, PAIRS = 32, 1 << 12
 #: Ids that may be broadcast to select texts (about 32 MB); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Shared tiles that may be broadcast to select their members (about 100 MB); more are joined by a shuffle.
@@ -196,8 +202,8 @@ class Threshold:
         return out
 
 
-def tile_keys(shingles: np.ndarray, at: Threshold) -> np.ndarray:
-    """The tiles of one set.
+def tile_keys(shingles: np.ndarray, at: Threshold) -> list[np.ndarray]:
+    """The tiles of one set, for each class that it is entered in.
 
     A class has a few groups more than D + 1, so that a set with few empty groups is sure to share a
     group that is not empty; only a set with more of them is entered in tiles of empty groups too."""
@@ -211,25 +217,29 @@ def tile_keys(shingles: np.ndarray, at: Threshold) -> np.ndarray:
         total = np.zeros(groups, U64)
         total[group[starts]] = np.add.reduceat(mix(hashed * MULTIPLIERS[2])[order], starts)
         place = mix(np.arange(groups, dtype=U64) + U64(c << 32))
-        keys.append(mix(total + place) if len(starts) <= most else mix(total + place)[group[starts]])
-    return np.concatenate(keys) if keys else np.zeros(0, U64)
+        named = mix(total + place) & ~U64(1) | U64(c & 1)  # the last bit tells a class from the one below
+        keys.append(named if len(starts) <= most else named[group[starts]])
+    return keys
 
 
-def entries(docs: DataFrame, id_col: str, text_col: str, size: int, at: Threshold) -> DataFrame:
-    """Per row: id, n_shingles, class_id (hash of the set; null if empty), point, the same in fewer groups (coarse), and tiles."""
+def entries(docs: DataFrame, id_col: str, text_col: str, size: int, at: Threshold, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, what is kept, n_shingles, class_id (hash of the set; null if empty), point, the same in fewer groups (coarse), tiles of its class and of the class below."""
 
     def work(texts: pa.Array) -> list[pa.Array]:
         sets = shingle_sets(texts, size)
         ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-        keys = [tile_keys(s, at) for s in sets]
-        ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-        tiles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, U64)]).view(np.int64)))
+        keys = [[*tile_keys(s, at), *[np.zeros(0, U64)] * 2][:2] for s in sets]
+        tiles = []
+        for own in zip(*keys, strict=True):
+            ends = np.concatenate(([0], np.cumsum([len(k) for k in own]))).astype(np.int32)
+            tiles.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own).view(np.int64))))
         points = [point(x) for x in sets]
         coarse = [pack_point(folded(x, max(min(GROUPS, len(x)), len(x) // COARSER))) for x in points]
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([pack_point(x) for x in points], pa.binary()), pa.array(coarse, pa.binary()), tiles]
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([pack_point(x) for x in points], pa.binary()), pa.array(coarse, pa.binary()), *tiles]
 
-    kinds = {"n_shingles": T.LongType(), "class_id": T.LongType(), "point": T.BinaryType(), "coarse": T.BinaryType(), "tiles": T.ArrayType(T.LongType())}
-    return map_texts(docs, text_col, [id_col], [T.StructField(k, t) for k, t in kinds.items()], work, limit=SLICE)
+    longs = T.ArrayType(T.LongType())
+    kinds = {"n_shingles": T.LongType(), "class_id": T.LongType(), "point": T.BinaryType(), "coarse": T.BinaryType(), "tiles": longs, "below": longs}
+    return map_texts(docs, text_col, [id_col, *keep], [T.StructField(k, t) for k, t in kinds.items()], work, limit=SLICE)
 
 
 class CountTree:
@@ -237,7 +247,7 @@ class CountTree:
 
     def __init__(self, values: np.ndarray, sizes: np.ndarray) -> None:
         self.order = self._packed(values, np.arange(len(values)))
-        self.values, self.sizes = values[self.order].astype(np.int64), sizes[self.order]
+        self.values, self.sizes = values[self.order].astype(np.int32), sizes[self.order]
         self.levels = [(self.values, self.sizes)]
         while len(self.levels[-1][0]) > FANOUT:
             upper, least = self.levels[-1]
@@ -253,46 +263,80 @@ class CountTree:
         half = -(-len(rows) // (2 * FANOUT)) * FANOUT
         return np.concatenate((self._packed(values, rows[:half]), self._packed(values, rows[half:])))
 
-    def search(self, value: np.ndarray, size: int, at: Threshold) -> np.ndarray:
-        """Rows whose overlap with the given point may reach the threshold: nodes whose bound falls short are left with all below them."""
-        found = np.arange(len(self.levels[-1][0]))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            upper, least = self.levels[depth]
-            bound = np.minimum(upper[found], value).sum(axis=1)
-            found = found[bound >= at.least_overlap(least[found] + size)]
-            if depth:
-                found = (found[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                found = found[found < len(self.levels[depth - 1][0])]
-        return self.order[found]
-
-
-def tile_pairs(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, values: np.ndarray, side: np.ndarray, at: Threshold) -> list[tuple[int, int]]:
-    """Pairs of a tile in different components that pass the bound, found by its R-tree; of a cut tile, pairs across the two blocks."""
-    coarse = folded(values, min(GROUPS, values.shape[1]))
-    tree, out = CountTree(coarse, sizes), []
-    for q in range(len(ids)):
-        near = tree.search(coarse[q].astype(np.int64), int(sizes[q]), at)
-        near = near[(labels[near] != labels[q]) & (ids[near] > ids[q])]
-        if side.any():
-            near = near[side[near] != side[q]]
-        if len(near) and values.shape[1] > GROUPS:
-            near = near[np.minimum(values[near], values[q]).sum(axis=1) >= at.least_overlap(sizes[near] + sizes[q])]
-        out.extend((int(ids[q]), int(x)) for x in ids[near])
-    return out
+    def join(self, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray], at: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows that ``wanted`` lets through and whose overlap may reach the threshold: pairs of nodes whose bound falls short are left with all below them."""
+        top = len(self.levels) - 1
+        x, y = np.triu_indices(len(self.levels[top][0]))
+        for depth in range(top, 0, -1):
+            near = self._near(depth, x, y, at)
+            below = len(self.levels[depth - 1][0])
+            if depth == 1:
+                step = max(1, PAIRS // FANOUT**2)
+                for k in range(0, len(near), step):
+                    part = near[k : k + step]
+                    yield from self._rows(*self._children(x[part], y[part], below), wanted, at)
+                return
+            x, y = self._children(x[near], y[near], below)
+        yield from self._rows(x, y, wanted, at)
+
+    def _near(self, depth: int, x: np.ndarray, y: np.ndarray, at: Threshold) -> np.ndarray:
+        upper, least = self.levels[depth]
+        bound = np.concatenate([np.zeros(0, np.int64), *(np.minimum(upper[x[k : k + PAIRS]], upper[y[k : k + PAIRS]]).sum(axis=1) for k in range(0, len(x), PAIRS))])
+        return np.flatnonzero(bound >= at.least_overlap(least[x] + least[y]))
+
+    def _children(self, x: np.ndarray, y: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        i, j = (k.ravel() for k in np.meshgrid(np.arange(FANOUT), np.arange(FANOUT), indexing="ij"))
+        x, y = (x[:, None] * FANOUT + i).ravel(), (y[:, None] * FANOUT + j).ravel()
+        there = (x <= y) & (y < count)  # the later node may hold fewer
+        return x[there], y[there]
+
+    def _rows(self, x: np.ndarray, y: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray], at: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        keep = x < y
+        x, y = x[keep], y[keep]
+        keep = wanted(self.order[x], self.order[y])
+        x, y = x[keep], y[keep]
+        keep = self._near(0, x, y, at)
+        if len(keep):
+            yield self.order[x[keep]], self.order[y[keep]]
+
+
+def told_here(tile: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether a pair is told by this tile: by the first early tile that stands at one place in both; if there is none, by each that they share.
+
+    Both are in that tile too, with the same labels, so it leaves out no pair that another would tell."""
+    same = (first == second) & (first != 0)
+    return ~same.any(axis=1) | (first[np.arange(len(tile)), same.argmax(axis=1)] == tile)
+
+
+def tile_pairs(tile: int, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, values: np.ndarray, early: np.ndarray, side: np.ndarray, at: Threshold) -> np.ndarray:
+    """Pairs (of ids, the lesser first) of a tile with different labels that pass the bound, found by its R-tree joined with itself; of a cut tile, pairs across the two blocks."""
+    cut = bool(side.any())
+
+    def wanted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = labels[x] != labels[y]
+        if cut:
+            out &= side[x] != side[y]
+        out[out] = told_here(np.full(int(out.sum()), tile), early[x[out]], early[y[out]])
+        return out
 
+    found = [np.zeros((0, 2), np.int64)]
+    for x, y in CountTree(folded(values, min(GROUPS, values.shape[1])), sizes).join(wanted, at):
+        if values.shape[1] > GROUPS:
+            near = np.minimum(values[x], values[y]).sum(axis=1) >= at.least_overlap(sizes[x] + sizes[y])
+            x, y = x[near], y[near]
+        found.append(np.sort(np.stack((ids[x], ids[y]), axis=1), axis=1))
+    return np.concatenate(found)
 
-def leaf_pairs(starts: np.ndarray, rows: int, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, apart: np.ndarray, side: np.ndarray, matrices: dict, at: Threshold) -> np.ndarray:
-    """As ``tile_pairs``, for all tiles of one number of rows that is no more than a leaf holds: a pair is bounded once, however many tiles it shares."""
+
+def leaf_pairs(starts: np.ndarray, rows: int, tiles: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, early: np.ndarray, apart: np.ndarray, side: np.ndarray, matrices: dict, at: Threshold) -> np.ndarray:
+    """As ``tile_pairs``, for all tiles of one number of rows that is no more than a leaf holds."""
     first, second = np.triu_indices(rows, 1)
     x, y = (starts[:, None] + first).ravel(), (starts[:, None] + second).ravel()
     wanted = (labels[x] != labels[y]) & (~apart[x] | (side[x] != side[y]))
     x, y = x[wanted], y[wanted]
+    wanted = told_here(tiles[x], early[x], early[y])
+    x, y = x[wanted], y[wanted]
     x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
-    order = np.lexsort((ids[y], ids[x]))
-    x, y = x[order], y[order]
-    fresh = np.ones(len(x), bool)
-    fresh[1:] = (ids[x][1:] != ids[x][:-1]) | (ids[y][1:] != ids[y][:-1])
-    x, y = x[fresh], y[fresh]
     groups = np.zeros(len(ids), np.int64)
     place = np.zeros(len(ids), np.int64)
     for g, (of, _) in matrices.items():
@@ -301,27 +345,36 @@ def leaf_pairs(starts: np.ndarray, rows: int, ids: np.ndarray, labels: np.ndarra
     for g, h in {*zip(groups[x].tolist(), groups[y].tolist(), strict=True)}:
         hit, low = np.flatnonzero((groups[x] == g) & (groups[y] == h)), min(g, h)
         a, b = folded(matrices[g][1], low), folded(matrices[h][1], low)
-        for k in range(0, len(hit), 1 << 14):
-            part = hit[k : k + (1 << 14)]
+        for k in range(0, len(hit), PAIRS):
+            part = hit[k : k + PAIRS]
             most[part] = np.minimum(a[place[x[part]]], b[place[y[part]]]).sum(axis=1)
     passed = most >= at.least_overlap(sizes[x] + sizes[y])
     return np.stack((ids[x[passed]], ids[y[passed]]), axis=1)
 
 
+def _early(column: pa.Array) -> np.ndarray:
+    """(rows, EARLY) tiles of an array column, with zeros where a set has fewer."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), EARLY), np.int64)
+    out[np.arange(EARLY) < lengths[:, None]] = column.flatten().to_numpy()
+    return out
+
+
 def _search_tiles(at: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs(batches, ("tile", "i", "j")):
-            ids, labels, sizes, side, i, j = (table.column(c).to_numpy() for c in ("class_id", "label", "n_shingles", "side", "i", "j"))
-            bounds = np.array(bounds)
+            tiles, ids, labels, sizes, side, i, j = (table.column(c).to_numpy() for c in ("tile", "class_id", "label", "n_shingles", "side", "i", "j"))
+            early, bounds = _early(table.column("early")), np.array(bounds)
             starts, lengths, found = bounds[:-1], np.diff(bounds), []
             leaf = lengths <= FANOUT
             matrices = unpack_matrices(table.column("coarse"))
             for rows in np.unique(lengths[leaf & (lengths > 1)]).tolist():
-                found.append(leaf_pairs(starts[lengths == rows], rows, ids, labels, sizes, i != j, side, matrices, at))
+                found.append(leaf_pairs(starts[lengths == rows], rows, tiles, ids, labels, sizes, early, i != j, side, matrices, at))
             for a, n in zip(starts[~leaf].tolist(), lengths[~leaf].tolist(), strict=True):
-                tile = slice(a, a + n)
-                pairs = tile_pairs(ids[tile], labels[tile], sizes[tile], unpack_points(table.column("coarse").slice(a, n).to_pylist()), side[tile], at)
-                found.append(np.array(pairs, np.int64).reshape(-1, 2))
+                own = slice(a, a + n)
+                found.append(tile_pairs(int(tiles[a]), ids[own], labels[own], sizes[own], unpack_points(table.column("coarse").slice(a, n).to_pylist()), early[own], side[own], at))
             if sum(map(len, found)):
                 a, b = np.unique(np.concatenate(found), axis=0).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -346,11 +399,11 @@ def bounded(pairs: DataFrame, points_of: DataFrame, at: Threshold) -> DataFrame:
 
 def verified(pairs: DataFrame, representatives: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, at: Threshold) -> DataFrame:
     """The pairs (a, b of class ids) that are linked by their whole sets, which are made anew from the texts of their representatives."""
-    involved = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct().join(representatives, "class_id"))
+    involved = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct().join(representatives, "class_id").select(id_col).distinct())
     few = involved.count() <= BROADCAST_IDS
     source = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    wanted = involved.select(F.col(id_col).alias("__id")).distinct()
-    chosen = source.join(F.broadcast(wanted) if few else wanted, "__id", "left_semi")
+    wanted = involved.select(F.col(id_col).alias("__wanted"))
+    chosen = source.join(F.broadcast(wanted) if few else wanted, F.col("__id").eqNullSafe(F.col("__wanted")), "left_semi")
 
     def work(texts: pa.Array) -> list[pa.Array]:
         sets = shingle_sets(texts, size)
@@ -373,46 +426,48 @@ def verified(pairs: DataFrame, representatives: DataFrame, docs: DataFrame, id_c
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row of ``docs``: the id, n_shingles, class_id and component_id (the least id that links reach, its own included).
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: the id, what is kept, n_shingles, class_id, group (a class of its component; null without words) and component_id (the least id that links reach, its own included).
 
     Sets link when den * overlap >= num * union."""
     at = Threshold(num, den)
-    rows = checkpoint(entries(docs, id_col, text_col, shingle, at))
-    counted = checkpoint(rows.where("class_id is not null").groupBy("class_id").agg(F.min(id_col).alias(id_col), F.count("*").alias("copies")))
-    classes, copied = counted.drop("copies"), counted.where("copies > 1").select("class_id", F.col(id_col).alias("__first"))
+    rows = checkpoint(entries(docs, id_col, text_col, shingle, at, keep).withColumn("__row", F.monotonically_increasing_id()))
+    whole = rows.where("class_id is not null")
+    classes = checkpoint(whole.groupBy("class_id").agg(F.min(id_col).alias(id_col), F.min("__row").alias("__first"), F.count("*").alias("copies")))
+    copied = classes.where("copies > 1").select("class_id", "__first")
     if copied.count() <= BROADCAST_IDS:
         copied = F.broadcast(copied)
-    single = rows.where("class_id is not null").join(copied, "class_id", "left").where(F.col("__first").isNull() | (F.col("__first") == F.col(id_col)))
-    points_of = single.select("class_id", "n_shingles", "point").dropDuplicates(["class_id"])
-    coarse_of = single.select("class_id", "n_shingles", "coarse").dropDuplicates(["class_id"])
-    tiles = single.select("class_id", F.explode("tiles").alias("tile"))
-    shared = checkpoint(tiles.groupBy("tile").agg(F.count("*").alias("rows")).where("rows > 1").select("tile"))
+    single = whole.join(copied, "class_id", "left").where(F.col("__first").isNull() | (F.col("__first") == F.col("__row")))  # a row for each class
+    points_of = single.select("class_id", "n_shingles", "point")
+    tiles = single.select("class_id", F.explode(F.concat("tiles", "below")).alias("tile"))
+    shared = checkpoint(tiles.groupBy("tile").agg(F.count("*").alias("crowd")).where("crowd > 1"))
     if shared.count() <= BROADCAST_TILES:
         shared = F.broadcast(shared)
-    members = tiles.join(shared, "tile", "left_semi").distinct()
-    crowds = members.groupBy("tile").agg(F.count("*").alias("crowd")).where("crowd > 1")  # repeated rows have gone
-    members = checkpoint(members.join(crowds, "tile").select("tile", "crowd", "class_id"))
+    members = checkpoint(tiles.join(shared, "tile").select("tile", "crowd", "class_id"))
     central = members.groupBy("class_id").agg(F.sum("crowd").alias("weight"))  # the middle of a family shares most with most
     weighed = members.join(central, "class_id").select("tile", "class_id", "weight")
     pivots = weighed.groupBy("tile").agg(F.max_by("class_id", F.struct("weight", "class_id")).alias("pivot"))
     offers = members.join(pivots, "tile").where("class_id <> pivot").groupBy(F.col("class_id").alias("a"), F.col("pivot").alias("b")).count()
     offers = offers.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     first = checkpoint(verified(checkpoint(bounded(offers, points_of, at)), classes, docs, id_col, text_col, shingle, at))
-    labels = components(first, "a", "b")
-    labelled = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("tile", "class_id", F.coalesce("component", "class_id").alias("label"))
-    labelled = checkpoint(labelled)
+    # the centre of the centre, where it has one; of two that are each other's, the lesser: labels only spare work, links are complete without them
+    beyond = first.alias("own").join(first.select(F.col("a").alias("__a"), F.col("b").alias("__b")), F.col("b") == F.col("__a"), "left")
+    near = beyond.select(F.col("a").alias("class_id"), F.when(F.col("__b") == F.col("a"), F.least("a", "b")).otherwise(F.coalesce("__b", "b")).alias("label"))
+    labelled = checkpoint(members.join(near, "class_id", "left").select("tile", "class_id", F.coalesce("label", "class_id").alias("label")))
     mixed = labelled.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low < high")
     blocks = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
     search = labelled.join(mixed.select("tile", blocks.alias("blocks")), "tile").withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     search = search.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     search = search.select("tile", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "class_id", "label")
-    search = search.join(coarse_of, "class_id").select("tile", "i", "j", "side", "class_id", "label", "n_shingles", "coarse")
+    search = search.join(single.select("class_id", "n_shingles", "coarse", F.slice("tiles", 1, EARLY).alias("own_early"), F.slice("below", 1, EARLY).alias("below_early")), "class_id")
+    early = F.when(F.col("tile").bitwiseAND(1) == F.get("below_early", F.lit(0)).bitwiseAND(1), F.col("below_early")).otherwise(F.col("own_early"))
+    search = search.select("tile", "i", "j", "side", "class_id", "label", "n_shingles", "coarse", early.alias("early"))
     search = search.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
     pairs = checkpoint(search.mapInArrow(_search_tiles(at), "a long, b long").distinct())
     more = verified(checkpoint(bounded(pairs, points_of, at)), classes, docs, id_col, text_col, shingle, at)
-    merged = components(first.unionAll(more), "a", "b").withColumnRenamed("node", "class_id")
-    named = classes.join(merged, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    lowest = named.groupBy("component").agg(F.min(id_col).alias("component_id"))
-    named = named.join(lowest, "component").select("class_id", "component_id")
-    return rows.select(id_col, "n_shingles", "class_id").join(named, "class_id", "left").select(id_col, "n_shingles", "class_id", F.coalesce("component_id", id_col).alias("component_id"))
+    merged = labels(first.unionAll(more), "a", "b").select(F.col("node").alias("class_id"), F.col("label").alias("group"))
+    named = classes.join(merged, "class_id", "left").withColumn("group", F.coalesce("group", "class_id"))
+    lowest = named.groupBy("group").agg(F.min(id_col).alias("component_id"))
+    named = named.join(lowest, "group").select("class_id", "group", "component_id")
+    out = rows.select(id_col, *keep, "n_shingles", "class_id").join(named, "class_id", "left")
+    return out.select(id_col, *keep, "n_shingles", "class_id", "group", F.coalesce("component_id", id_col).alias("component_id"))

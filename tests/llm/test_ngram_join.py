@@ -88,6 +88,16 @@ def test_large_tiles_are_cut_without_losing_pairs(spark, monkeypatch):
     assert joined(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
 
 
+def shares(a, b, at):
+    """Whether two sets share a tile, and the early tiles of its class that both are in are tiles that they share."""
+    for x in ngram_join.tile_keys(a, at):
+        for y in ngram_join.tile_keys(b, at):
+            if shared := set(x.tolist()) & set(y.tolist()):
+                assert len({k & 1 for k in [*x.tolist(), *y.tolist()]}) == 1
+                return shared
+    return set()
+
+
 def test_every_linked_pair_shares_a_tile():
     rng = np.random.default_rng(4)
     for num, den in ((90, 100), (80, 100)):
@@ -98,18 +108,22 @@ def test_every_linked_pair_shares_a_tile():
                 for add in (0, drop // 2, drop):
                     b = np.unique(np.concatenate((a[drop:], rng.integers(0, 2**63, add).astype(np.uint64))))
                     if len(b) and at.linked(len(np.intersect1d(a, b)), len(a), len(b)) and drop + add:
-                        assert set(ngram_join.tile_keys(a, at)) & set(ngram_join.tile_keys(b, at)), (n, drop, add)
+                        assert shares(a, b, at), (n, drop, add)
 
 
 def test_tree_finds_all_that_the_bound_allows():
     rng = np.random.default_rng(0)
-    values = rng.integers(0, 6, (500, ngram_join.GROUPS)).astype(np.uint32)
-    values[250:] = values[:250] + (rng.random((250, ngram_join.GROUPS)) < 0.1)
-    sizes, at = values.sum(axis=1).astype(np.int64), ngram_join.Threshold(90, 100)
-    tree = ngram_join.CountTree(values, sizes)
-    for q in range(0, 500, 7):
-        bound = np.minimum(values, values[q]).sum(axis=1)
-        assert sorted(tree.search(values[q].astype(np.int64), int(sizes[q]), at)) == np.flatnonzero(bound >= at.least_overlap(sizes + sizes[q])).tolist()
+    for rows in (2, 31, 33, 500, 1100):
+        values = rng.integers(0, 6, (rows, ngram_join.GROUPS)).astype(np.uint32)
+        half = rows // 2
+        values[half : 2 * half] = values[:half] + (rng.random((half, ngram_join.GROUPS)) < 0.1)
+        sizes, at = values.sum(axis=1).astype(np.int64), ngram_join.Threshold(90, 100)
+        got = [p for x, y in ngram_join.CountTree(values, sizes).join(lambda x, y: (x + y) % 3 > 0, at) for p in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)]
+        want = set()
+        for q in range(rows):
+            bound = np.minimum(values, values[q]).sum(axis=1)
+            want.update((q, int(r)) for r in np.flatnonzero(bound >= at.least_overlap(sizes + sizes[q])) if r > q and (q + r) % 3)
+        assert len(got) == len(set(got)) and set(got) == want and want
 
 
 def test_points_are_packed_without_loss():
@@ -158,10 +172,33 @@ def test_leaves_give_the_pairs_of_their_trees():
     packed = [ngram_join.pack_point(ngram_join.folded(p, min(ngram_join.GROUPS, len(p)))) for p in map(ngram_join.point, sets)]
     ids, labels, sizes = rng.permutation(len(sets)), rng.integers(0, 30, len(sets)), np.array([len(s) for s in sets])
     starts, matrices = np.arange(0, len(sets), rows), ngram_join.unpack_matrices(pa.array(packed, pa.binary()))
+    early = np.zeros((len(sets), ngram_join.EARLY), np.int64)
     for apart, side in ((False, np.zeros(len(sets), int)), (True, np.arange(len(sets)) % 2)):
         want = set()
         for a in starts:
             t = slice(a, a + rows)
-            want.update(ngram_join.tile_pairs(ids[t], labels[t], sizes[t], ngram_join.unpack_points(packed[t]), side[t], at))
-        got = ngram_join.leaf_pairs(starts, rows, ids, labels, sizes, np.full(len(sets), apart), side, matrices, at)
+            want.update(map(tuple, ngram_join.tile_pairs(0, ids[t], labels[t], sizes[t], ngram_join.unpack_points(packed[t]), early[t], side[t], at).tolist()))
+        got = ngram_join.leaf_pairs(starts, rows, np.zeros(len(sets), int), ids, labels, sizes, early, np.full(len(sets), apart), side, matrices, at)
         assert want and set(map(tuple, got.tolist())) == want
+
+
+def test_a_pair_is_told_by_one_of_its_early_tiles():
+    rng = np.random.default_rng(8)
+    early = rng.integers(0, 3, (40, ngram_join.EARLY)) * (1 + np.arange(ngram_join.EARLY))
+    for x in range(40):
+        for y in range(x):
+            shared = [int(k) for k, other in zip(early[x], early[y], strict=True) if k and k == other]
+            tiles = np.unique([*shared, 99])
+            told = ngram_join.told_here(tiles, *(np.broadcast_to(early[k], (len(tiles), ngram_join.EARLY)) for k in (x, y)))
+            assert tiles[told].tolist() == (shared[:1] or [99])
+
+
+def test_ids_that_are_missing_or_repeat(spark):
+    rng = random.Random(4)
+    base = [f"v{rng.randrange(500)}" for _ in range(120)]
+    near = [[*base[:k], "changed", *base[k + 1 :]] for k in (3, 60, 100)]
+    rows = [(None, " ".join(base)), (None, " ".join(base)), (7, " ".join(near[0])), (7, "quite another text of its own"), (None, " ".join(near[1])), (5, " ".join(near[2])), (5, " ".join(near[2]))]
+    got = joined(spark, rows, 5, 80, 100)
+    assert got == brute(rows, 5, 80, 100) and (7, 116, 5) in got and sum(c == 5 for _, _, c in got) == 6
+    alone = joined(spark, [(None, "a b c"), (None, "a b c"), (3, "d e f")], 3, 90, 100)
+    assert alone == [(3, 1, 3), (None, 1, None), (None, 1, None)]
