@@ -10,11 +10,12 @@ No row is dropped or repeated: when a source runs out, the others go on with the
 new phase), counted from the slot after its last block.
 
 Rows are numbered within a source without bringing a source into one task: in each hashed bucket by
-itself, plus the sizes of the buckets before it.
+itself, plus the sizes of the buckets before it. Rows without an id are hashed by all that they hold, so they spread as others do.
 
 Defined results: a null source is a source of its own; sources without a given weight get the least
-given one; repeated rows are placed each for itself; an empty table gives no rows; more than
-MOST_SOURCES sources are an error (group them first).
+given one; repeated rows are placed each for itself (rows of one id share a bucket); null ids are placed like others; texts
+play no part, however long; columns named block, slot, place, release or deadline are replaced, all others kept; ties of deadlines go
+to the source of lesser name; an empty table gives no rows; more than MOST_SOURCES sources are an error (group them first).
 """
 
 from __future__ import annotations
@@ -204,27 +205,28 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     names = sorted(counts, key=lambda s: (s is not None, s or ""))
     blocks = [-(-counts[s] // block_rows) for s in names]
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, sum(counts.values()) // BUCKET_ROWS))
-    hashed = rest.withColumn("__bucket", F.pmod(F.xxhash64(id_col, F.lit(29)), F.lit(buckets)).cast("int"))
-    sizes = hashed.groupBy(source_col, "__bucket").count()
-    before = Window.partitionBy(source_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col(source_col).alias("__of"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy(source_col, "__bucket").orderBy(F.xxhash64(id_col, F.lit(31)), id_col, F.xxhash64(*[f"`{c}`" for c in rest.columns]))
-    ranked = hashed.withColumn("__row", F.row_number().over(within) - 1)
-    ranked = ranked.join(sizes, F.col(source_col).eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__b"))).withColumn("__row", F.col("__row") + F.col("__before"))
-    ranked = ranked.withColumn("block", F.floor(F.col("__row") / block_rows)).withColumn("place", (F.col("__row") % block_rows).cast("int"))
+    named = F.broadcast(spark.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("n", T.IntegerType()), T.StructField("named", rest.schema[source_col].dataType)])))
+    # a document as one value, so that no column of it clashes with those below; its source as a number, so that the joins need no exchange of it
+    document = rest.select(F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("document"))
+    own_id, content = F.col("document").getField(id_col), F.xxhash64("document")
+    hashed = document.join(named, F.col("document").getField(source_col).eqNullSafe(F.col("named"))).drop("named")
+    hashed = hashed.withColumn("bucket", F.pmod(F.xxhash64(own_id, F.when(own_id.isNull(), content), F.lit(29)), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy("n").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = hashed.groupBy("n", "bucket").count().select("n", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    ranked = hashed.withColumn("own", F.row_number().over(Window.partitionBy("n", "bucket").orderBy(F.xxhash64(own_id, F.lit(31)), own_id, content)) - 1)
+    ranked = ranked.join(sizes, ["n", "bucket"]).withColumn("own", F.col("own") + F.col("before"))
+    ranked = ranked.select("document", "n", F.floor(F.col("own") / block_rows).alias("block"), (F.col("own") % block_rows).cast("int").alias("place"))
     text = lambda values: [str(v) for v in values]  # noqa: E731  # exact weights may be longer than a long
     rows = [(text(g.sources), text(g.weights), text(g.before), text(g.done), g.start, g.slot, g.count) for g in segments(blocks, [target[s] for s in names])]
     kept = ("sources", "weights", "before", "done")
     schema = T.StructType([*[T.StructField(c, T.ArrayType(T.StringType())) for c in kept], *[T.StructField(c, T.LongType()) for c in ("start", "slot", "count")]])
     pieces = spark.createDataFrame(rows, schema).mapInArrow(_placing(PIECE), "n int, piece long, first long, slots array<long>, releases array<long>, deadlines array<long>")
-    named = spark.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("n", T.IntegerType()), rest.schema[source_col]])).withColumnRenamed(source_col, "__source")
-    table = pieces.join(F.broadcast(named), "n").select("__source", F.struct("piece", "first", "slots", "releases", "deadlines").alias("__part"))
-    part = lambda n: F.col(f"__part.{n}")
-    own = (F.col("block") - part("first")).cast("int")
-    here = F.col(source_col).eqNullSafe(F.col("__source")) & (F.floor(F.col("block") / PIECE) == part("piece")) & (own >= 0) & (own < F.size(part("slots")))
-    placed = ranked.join(F.broadcast(table) if sum(blocks) <= BROADCAST_BLOCKS else table, here)
-    placed = placed.withColumn("slot", F.get(part("slots"), own)).withColumn("release", F.get(part("releases"), own)).withColumn("deadline", F.get(part("deadlines"), own))
-    return placed.select(*[f"`{c}`" for c in rest.columns], "block", "slot", "place", "release", "deadline")
+    pieces = pieces.withColumnRenamed("n", "of")
+    here = F.col("block") - F.col("first")
+    within = (F.col("n") == F.col("of")) & (F.floor(F.col("block") / PIECE) == F.col("piece")) & (here >= 0) & (here < F.size("slots"))
+    placed = ranked.join(F.broadcast(pieces) if sum(blocks) <= BROADCAST_BLOCKS else pieces, within)
+    at = lambda column: F.get(column, here.cast("int")).alias(column[:-1])
+    return placed.select("document.*", "block", at("slots"), "place", at("releases"), at("deadlines"))
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

@@ -340,6 +340,6 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
 
     out = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
     out = out.mapInArrow(run, out.schema)
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    return out.withColumn("n_chars", F.coalesce(F.length(text_col).cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in names else out
 
 
