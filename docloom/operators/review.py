@@ -20,7 +20,7 @@ def severity_distance(a: Column, b: Column) -> Column:
 
 def severity_state(a: Column, b: Column) -> Column:
     d = severity_distance(a, b)
-    return F.when(a.isNull() & b.isNull(), "BOTH_ABSENT").when(a.isNull() | b.isNull(), "ONE_ABSENT").when(d == 0, "SAME").when(d == 1, "ADJACENT").otherwise("DISTANT")
+    return F.when(d == 0, "AGREE").when(d == 1, "MINOR_DISAGREEMENT").when(d >= 2, "MATERIAL_DISAGREEMENT")
 
 
 def set_alignment(left: Column, right: Column) -> dict[str, Column]:
@@ -48,70 +48,90 @@ def compare_issues(pairs: DataFrame) -> DataFrame:
 
     Columns: primary_state, assessment, coverage_assessment, primary_severity, secondary_severity, evidence_sufficiency,
     contract_alignment, legal_alignment, primary_reasons, secondary_reasons."""
-    c = F.col
+    c, code = F.col, F.lit
+    nothing = F.expr("cast(array() as array<string>)")
     d = F.coalesce(severity_distance(c("primary_severity"), c("secondary_severity")), F.lit(0))
-    insufficient = (c("primary_state") == "INSUFFICIENT_EVIDENCE") | (c("assessment") == "INSUFFICIENT_EVIDENCE") | (c("coverage_assessment") == "INSUFFICIENT_EVIDENCE")
-    partly, questionable = c("assessment") == "PARTIALLY_SUPPORTED", c("coverage_assessment") == "QUESTIONABLE"
-    state = (
-        F.when(c("coverage_assessment") == "POSSIBLE_OMISSION", "POSSIBLE_OMISSION")
-        .when(insufficient, "INSUFFICIENT_EVIDENCE")
-        .when(c("assessment") == "DISAGREED", "MATERIAL_DISAGREEMENT")
-        .when((c("primary_state") == "REVIEW_REQUIRED") | (c("assessment") == "REVIEW_REQUIRED"), "REVIEW_REQUIRED")
-        .when(d >= 2, "MATERIAL_DISAGREEMENT")
-        .when(partly | questionable | (d == 1), "CONSISTENT_WITH_REVIEW")
-        .otherwise("CONSISTENT")
-    )
-    out = pairs.withColumn("severity_distance", d).withColumn("base_state", state)
-    gathered = F.concat(F.coalesce("primary_reasons", F.expr("cast(array() as array<string>)")), F.coalesce("secondary_reasons", F.expr("cast(array() as array<string>)")))
-    conditions = [
-        (c("evidence_sufficiency") != "SUFFICIENT", "EVIDENCE_NOT_SUFFICIENT"),
-        (c("contract_alignment") == "DISJOINT", "CONTRACT_EVIDENCE_DISJOINT"),
-        (c("legal_alignment") == "DISJOINT", "LEGAL_EVIDENCE_DISJOINT"),
+    lacking = F.lit(False)
+    for column in ("primary_state", "assessment", "coverage_assessment"):
+        lacking = lacking | (c(column) == "INSUFFICIENT_EVIDENCE")
+    asked = (c("primary_state") == "REVIEW_REQUIRED") | (c("assessment") == "REVIEW_REQUIRED")
+    gathered = F.concat(F.coalesce("primary_reasons", nothing), F.coalesce("secondary_reasons", nothing))
+    # The decision table's states and reason codes, in the order in which they decide.
+    decisive = [
+        (c("coverage_assessment") == "POSSIBLE_OMISSION", "POSSIBLE_OMISSION", "SECONDARY_POSSIBLE_OMISSION"),
+        (lacking, "INSUFFICIENT_EVIDENCE", "ISSUE_EVIDENCE_INSUFFICIENT"),
+        (c("assessment") == "DISAGREED", "MATERIAL_DISAGREEMENT", "SECONDARY_DISAGREED_WITH_PRIMARY"),
+        (asked, "REVIEW_REQUIRED", "MODEL_REVIEW_REQUIRED"),
+        (d >= 2, "MATERIAL_DISAGREEMENT", "SEVERITY_DISTANCE_MATERIAL"),
+    ]
+    small = [
+        (c("assessment") == "PARTIALLY_SUPPORTED", code("SECONDARY_PARTIALLY_SUPPORTED")),
+        (c("coverage_assessment") == "COVERED_BUT_QUESTIONABLE", code("SECONDARY_COVERAGE_QUESTIONABLE")),
+        (d == 1, code("SEVERITY_DISTANCE_MINOR")),
+    ]
+    promoting = [
+        (c("evidence_sufficiency") != "SUFFICIENT", F.concat(code("PRIMARY_EVIDENCE_"), "evidence_sufficiency")),
+        (c("contract_alignment") == "DISJOINT", code("CONTRACT_EVIDENCE_DISJOINT")),
+        (c("legal_alignment") == "DISJOINT", code("LEGAL_EVIDENCE_DISJOINT")),
+        (F.size(gathered) > 0, code("UPSTREAM_REVIEW_REASON_PRESENT")),
     ]
-    promote = F.size(gathered) > 0
-    for cond, _ in conditions:
-        promote = promote | F.coalesce(cond, F.lit(False))
-    agreed = c("base_state") == "CONSISTENT"
-    out = out.withColumn("overall_state", F.when(agreed & promote, "CONSISTENT_WITH_REVIEW").otherwise(c("base_state")))
-    own = F.when(c("base_state") == "POSSIBLE_OMISSION", F.array(F.lit("POSSIBLE_OMISSION"))).when(c("base_state") == "INSUFFICIENT_EVIDENCE", F.array(F.lit("INSUFFICIENT_EVIDENCE")))
-    own = own.when(c("base_state") == "REVIEW_REQUIRED", F.array(F.lit("REVIEW_REQUIRED"))).when(c("assessment") == "DISAGREED", F.array(F.lit("ASSESSMENT_DISAGREED"))).when(d >= 2, F.array(F.lit("SEVERITY_DISTANT")))
-    small = _reasons(F.when(partly, F.lit("PARTIALLY_SUPPORTED")), F.when(questionable, F.lit("COVERAGE_QUESTIONABLE")), F.when(d == 1, F.lit("SEVERITY_ADJACENT")), *[F.when(agreed & cond, F.lit(code)) for cond, code in conditions])
-    out = out.withColumn("reasons", F.array_distinct(F.concat(own.otherwise(small), gathered)))
-    return out.withColumn("requires_human_review", c("overall_state") != "CONSISTENT").drop("base_state")
+    first = F
+    for fits, state, reason in decisive:
+        first = first.when(F.coalesce(fits, F.lit(False)), F.struct(code(state).alias("state"), code(reason).alias("reason")))
+    minor, promoted = (_reasons(*[F.when(fits, reason) for fits, reason in rows]) for rows in (small, promoting))
+    out = pairs.withColumns({"severity_distance": d, "__first": first, "__minor": minor, "__promoted": promoted})
+    state = F.when(c("__first").isNotNull(), c("__first.state")).when(F.size(c("__minor")) + F.size(c("__promoted")) > 0, "CONSISTENT_WITH_REVIEW").otherwise("CONSISTENT")
+    own = F.when(c("__first").isNotNull(), F.array("__first.reason")).when(F.size("__minor") > 0, c("__minor")).otherwise(F.concat(F.array(code("PRIMARY_SECONDARY_CONSISTENT")), "__promoted"))
+    out = out.withColumns({"overall_state": state, "reasons": F.array_distinct(F.concat(own, gathered))})
+    return out.withColumn("requires_human_review", c("overall_state") != "CONSISTENT").drop("__first", "__minor", "__promoted")
 
 
 def issue_summary(comparisons: DataFrame, *keys: str) -> DataFrame:
-    """Counts by state and the report's final reasons and state."""
+    """Counts by state and the report's final reasons and state. A boolean column planning_coverage_complete, if there is one, is a reason where it is false."""
+    planned = F.coalesce(F.bool_and("planning_coverage_complete"), F.lit(True)) if "planning_coverage_complete" in comparisons.columns else F.lit(True)
     counts = {s: F.count_if(F.col("overall_state") == s) for s in STATES}
-    out = comparisons.groupBy(*keys).agg(*[c.alias(s.lower()) for s, c in counts.items()], F.count_if("requires_human_review").alias("human_review"))
+    out = comparisons.groupBy(*keys).agg(*[c.alias(s.lower()) for s, c in counts.items()], F.count_if("requires_human_review").alias("human_review"), planned.alias("__planned"))
     order = ("POSSIBLE_OMISSION", "MATERIAL_DISAGREEMENT", "INSUFFICIENT_EVIDENCE", "REVIEW_REQUIRED", "CONSISTENT_WITH_REVIEW")
-    out = out.withColumn("final_reasons", F.array_compact(F.array(*[F.when(F.col(s.lower()) > 0, F.lit(s)) for s in order])))
+    present = [F.when(F.col(s.lower()) > 0, F.lit(f"{s}_PRESENT")) for s in order]
+    out = out.withColumn("final_reasons", F.array_compact(F.array(F.when(~F.col("__planned"), F.lit("PLANNING_COVERAGE_INCOMPLETE")), *present))).drop("__planned")
     return out.withColumn("final_state", F.when(F.size("final_reasons") > 0, "HUMAN_REVIEW_REQUIRED").otherwise("NO_MANDATORY_REVIEW"))
 
 
+# What both reviewers say of a risk, where they say the same.
+AGREED = {
+    ("SUPPORTED_FINDING", "SUPPORTED"): "AGREE_SUPPORTED",
+    ("NO_FINDING", "NOT_SUPPORTED"): "AGREE_NO_FINDING",
+    ("REVIEW_REQUIRED", "REVIEW_REQUIRED"): "AGREE_REVIEW_REQUIRED",
+    ("INSUFFICIENT_EVIDENCE", "INSUFFICIENT_EVIDENCE"): "AGREE_INSUFFICIENT_EVIDENCE",
+}
+
+
 def risk_state(primary: Column, assessment: Column) -> Column:
     """Older finding-level table: what both say about a risk."""
-    agree = {"SUPPORTED_FINDING": ("SUPPORTED", "AGREE_RISK"), "NO_FINDING": ("NOT_SUPPORTED", "AGREE_NO_RISK"), "REVIEW_REQUIRED": ("REVIEW_REQUIRED", "AGREE_REVIEW"), "INSUFFICIENT_EVIDENCE": ("INSUFFICIENT_EVIDENCE", "AGREE_INSUFFICIENT")}
     out = F
-    for p, (a, state) in agree.items():
+    for (p, a), state in AGREED.items():
         out = out.when((primary == p) & (assessment == a), state)
-    opposite = ((primary == "SUPPORTED_FINDING") & (assessment == "NOT_SUPPORTED")) | ((primary == "NO_FINDING") & (assessment == "SUPPORTED"))
+    yes_no = F.concat_ws("/", primary, assessment).isin("SUPPORTED_FINDING/NOT_SUPPORTED", "NO_FINDING/SUPPORTED")
     unsure = ("REVIEW_REQUIRED", "INSUFFICIENT_EVIDENCE")
-    return out.when(opposite, "DISAGREE_RISK_EXISTS").when(primary.isin(*unsure) != assessment.isin(*unsure), "DISAGREE_EVIDENCE_SUFFICIENCY").otherwise("STATE_DIFFERENCE")
+    return out.when(yes_no, "DISAGREE_RISK_EXISTS").when(primary.isin(*unsure) != assessment.isin(*unsure), "DISAGREE_EVIDENCE_SUFFICIENCY").otherwise("STATE_DIFFERENCE")
 
 
 def finding_state(risk: Column, distance: Column, contract: Column, legal: Column) -> dict[str, Column]:
-    """Older finding-level result: material reasons, state and whether to follow up."""
-    affirm = risk == "AGREE_RISK"
-    reasons = _reasons(F.when(risk == "DISAGREE_RISK_EXISTS", F.lit("RISK_CONFLICT")), F.when(distance >= 2, F.lit("SEVERITY_DISTANT")), F.when(affirm & (legal == "DISJOINT"), F.lit("LEGAL_DISJOINT")), F.when(affirm & (contract == "DISJOINT"), F.lit("CONTRACT_DISJOINT")))
-    state = (
-        F.when(F.size(reasons) > 0, "MATERIAL_DISAGREEMENT")
-        .when(risk.isin("DISAGREE_EVIDENCE_SUFFICIENCY", "STATE_DIFFERENCE"), "REQUIRES_MORE_EVIDENCE")
-        .when(risk.isin("AGREE_REVIEW", "AGREE_INSUFFICIENT"), "AGREEMENT_WITH_REVIEW")
-        .when(distance == 1, "MINOR_DIFFERENCE")
-        .otherwise("AGREEMENT")
+    """Older finding-level result: reasons, state and whether to follow up."""
+    affirm = risk == "AGREE_SUPPORTED"
+    # Reason codes and states.
+    material = _reasons(
+        F.when(risk == "DISAGREE_RISK_EXISTS", F.lit("RISK_EXISTENCE_CONFLICT")),
+        F.when(distance >= 2, F.lit("SEVERITY_DISTANCE_GTE_2")),
+        F.when(affirm & (legal == "DISJOINT"), F.lit("LEGAL_BASIS_DISJOINT")),
+        F.when(affirm & (contract == "DISJOINT"), F.lit("CONTRACT_EVIDENCE_DISJOINT")),
     )
-    return {"material_reasons": reasons, "finding_state": state, "follow_up": state.isin("MATERIAL_DISAGREEMENT", "REQUIRES_MORE_EVIDENCE", "AGREEMENT_WITH_REVIEW")}
+    open_states = {"REQUIRES_MORE_EVIDENCE": ("DISAGREE_EVIDENCE_SUFFICIENCY", "STATE_DIFFERENCE"), "AGREEMENT_WITH_REVIEW": ("AGREE_REVIEW_REQUIRED", "AGREE_INSUFFICIENT_EVIDENCE")}
+    state, reasons = F.when(F.size(material) > 0, "MATERIAL_DISAGREEMENT"), F.when(F.size(material) > 0, material)
+    for name, risks in open_states.items():
+        state, reasons = state.when(risk.isin(*risks), name), reasons.when(risk.isin(*risks), F.array(risk))
+    state, reasons = state.when(distance == 1, "MINOR_DISAGREEMENT").otherwise("AGREEMENT"), reasons.when(distance == 1, F.array(F.lit("SEVERITY_DISTANCE_1"))).otherwise(material)
+    return {"material_reasons": reasons, "finding_state": state, "follow_up": state.isin("MATERIAL_DISAGREEMENT", *open_states)}
 
 
 def follow_up_plan(findings: DataFrame, omissions: DataFrame, most: int = 2) -> DataFrame:
@@ -137,23 +157,30 @@ def evidence_sufficiency(targets: Column, uncertain: Column, support: Column) ->
 
 
 def validate_primary(outputs: DataFrame) -> DataFrame:
-    """Reviewer outputs checked against what was supplied (allowed_contract, allowed_legal, support_state, sufficiency, any_uncertain): rejected, downgraded or kept."""
+    """Reviewer outputs checked against what was supplied (allowed_contract, allowed_legal, support_state, sufficiency, any_uncertain): rejected, downgraded or kept.
+
+    The reference refuses an output with a sentence; ``rejected`` holds a code of our own for it. States and added reasons are fixed values."""
     c = F.col
     has_c, has_l = F.size("contract_ids") > 0, F.size("legal_ids") > 0
     limited = c("support_state").isin("NO_MATCH_IN_LOCAL_CORPUS", "VERSION_REVIEW_REQUIRED")
+    found, none_found = c("state") == "SUPPORTED_FINDING", c("state") == "NO_MATERIAL_RISK_FOUND"
     reject = (
         F.when(F.size(F.array_except("contract_ids", "allowed_contract")) > 0, "UNKNOWN_CONTRACT_EVIDENCE")
         .when(F.size(F.array_except("legal_ids", "allowed_legal")) > 0, "UNKNOWN_LEGAL_EVIDENCE")
-        .when((c("state") == "SUPPORTED_FINDING") & ~has_c, "SUPPORTED_WITHOUT_EVIDENCE")
-        .when(c("legal_conclusion") & (~c("state").isin("SUPPORTED_FINDING", "NO_MATERIAL_RISK") | ~has_l | limited), "CONCLUSION_NOT_ALLOWED")
-        .when((c("state") == "NO_MATERIAL_RISK") & ~(has_c & has_l & c("legal_conclusion")), "NO_RISK_WITHOUT_EVIDENCE")
+        .when(found & ~has_c, "SUPPORTED_WITHOUT_EVIDENCE")
+        .when(c("legal_conclusion") & (~(found | none_found) | ~has_l | limited), "CONCLUSION_NOT_ALLOWED")
+        .when(none_found & ~(has_c & has_l & c("legal_conclusion")), "NO_RISK_WITHOUT_EVIDENCE")
+    )
+    reason = (
+        F.when(none_found & ((c("support_state") != "EVIDENCE_FOUND") | c("any_uncertain")), "NO_MATERIAL_RISK_NOT_ALLOWED_WITH_INCOMPLETE_EVIDENCE")
+        .when(found & ((c("sufficiency") == "SOURCE_UNCERTAIN") | (c("support_state") == "VERSION_REVIEW_REQUIRED")), "SUPPORTED_FINDING_REQUIRES_REVIEW_DUE_TO_EVIDENCE_STATE")
+        .when(found & c("legal_conclusion") & (c("support_state") == "EVIDENCE_FOUND_WITH_LIMITATIONS"), "PARTIAL_LEGAL_CORPUS")
     )
-    down = ((c("state") == "NO_MATERIAL_RISK") & ((c("support_state") != "EVIDENCE_FOUND") | c("any_uncertain"))) | ((c("state") == "SUPPORTED_FINDING") & ((c("sufficiency") == "SOURCE_UNCERTAIN") | (c("support_state") == "VERSION_REVIEW_REQUIRED")))
-    partial = (c("state") == "SUPPORTED_FINDING") & c("legal_conclusion") & (c("support_state") == "EVIDENCE_FOUND_WITH_LIMITATIONS")
-    out = outputs.withColumn("rejected", reject).withColumn("downgraded", F.coalesce(down, F.lit(False)))
+    out = outputs.withColumn("rejected", reject).withColumn("__reason", F.when(c("rejected").isNull(), reason))
+    out = out.withColumn("downgraded", F.coalesce(c("__reason") != "PARTIAL_LEGAL_CORPUS", F.lit(False)))
     out = out.withColumn("final_state", F.when(c("rejected").isNull(), F.when(c("downgraded"), "REVIEW_REQUIRED").otherwise(c("state"))))
     out = out.withColumn("final_conclusion", c("rejected").isNull() & ~c("downgraded") & c("legal_conclusion"))
-    return out.withColumn("added_reasons", F.array_compact(F.array(F.when(partial & ~c("downgraded"), F.lit("PARTIAL_LEGAL_CORPUS")))))
+    return out.withColumn("added_reasons", F.array_compact(F.array("__reason"))).drop("__reason")
 
 
 def one_to_one(plan: DataFrame, primary: DataFrame, secondary: DataFrame, key: str = "issue_id") -> DataFrame:

@@ -141,11 +141,11 @@ def validate_secondary(outputs: DataFrame) -> DataFrame:
         F.when(c("issue_id") != c("primary_issue_id"), "ISSUE_MISMATCH")
         .when((F.size(F.array_except("contract_ids", "allowed_contract")) > 0) | (F.size(F.array_except("legal_ids", "allowed_legal")) > 0), "UNKNOWN_EVIDENCE")
         .when(affirms & (~has_c | (c("primary_conclusion") & ~has_l)), "SUPPORT_WITHOUT_EVIDENCE")
-        .when((c("coverage_assessment") == "POSSIBLE_OMISSION") & (~has_c | c("omission_title").isNull() | c("omission_reasoning").isNull()), "OMISSION_NOT_STATED")
-        .when((c("assessment") == "SUPPORTED") & (c("primary_state") == "NO_MATERIAL_RISK") & ~(has_c & has_l & (c("support_state") == "EVIDENCE_FOUND")), "NO_RISK_NOT_SHOWN")
+        .when((c("coverage_assessment") == "POSSIBLE_OMISSION") & (~has_c | (F.coalesce("omission_title", F.lit("")) == "") | (F.coalesce("omission_reasoning", F.lit("")) == "")), "OMISSION_NOT_STATED")
+        .when((c("assessment") == "SUPPORTED") & (c("primary_state") == "NO_MATERIAL_RISK_FOUND") & ~(has_c & has_l & (c("support_state") == "EVIDENCE_FOUND")), "NO_RISK_NOT_SHOWN")
     )
-    no_target = (c("targets") == 0) & c("coverage_assessment").isin("COVERED", "QUESTIONABLE")
-    limited = c("support_state").isin("NO_MATCH_IN_LOCAL_CORPUS", "VERSION_REVIEW_REQUIRED") & (c("coverage_assessment") == "COVERED")
+    no_target = (c("targets") == 0) & c("coverage_assessment").isin("COVERED", "COVERED_BUT_QUESTIONABLE")
+    limited = ~no_target & c("support_state").isin("NO_MATCH_IN_LOCAL_CORPUS", "VERSION_REVIEW_REQUIRED") & (c("coverage_assessment") == "COVERED")
     out = outputs.withColumn("rejected", reject).withColumn("final_coverage", F.when(no_target | limited, "INSUFFICIENT_EVIDENCE").otherwise(c("coverage_assessment")))
     return out.withColumn("added_reasons", F.array_compact(F.array(F.when(no_target, F.lit("NO_TARGET_CONTRACT_EVIDENCE")), F.when(limited, F.lit("LEGAL_EVIDENCE_LIMITS_COVERAGE_CONFIDENCE")))))
 

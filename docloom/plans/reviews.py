@@ -35,9 +35,9 @@ g as (select user_id, coalesce(string_agg(event_type, ',' order by event_type) f
 select user_id, shared, primary_only, secondary_only, case when na = 0 and nb = 0 then 'BOTH_EMPTY' when nb = 0 then 'PRIMARY_ONLY' when na = 0 then 'SECONDARY_ONLY' when n = na and n = nb then 'AGREE' when n = 0 then 'DISJOINT' else 'PARTIAL_OVERLAP' end as alignment from g
 """
 
-PRIMARY = ("SUPPORTED_FINDING", "NO_MATERIAL_RISK", "REVIEW_REQUIRED", "INSUFFICIENT_EVIDENCE", "SUPPORTED_FINDING", "NO_MATERIAL_RISK", "SUPPORTED_FINDING")
+PRIMARY = ("SUPPORTED_FINDING", "NO_MATERIAL_RISK_FOUND", "REVIEW_REQUIRED", "INSUFFICIENT_EVIDENCE", "SUPPORTED_FINDING", "NO_MATERIAL_RISK_FOUND", "SUPPORTED_FINDING")
 ASSESSMENT = ("SUPPORTED", "PARTIALLY_SUPPORTED", "SUPPORTED", "DISAGREED", "SUPPORTED", "REVIEW_REQUIRED", "SUPPORTED", "INSUFFICIENT_EVIDENCE", "SUPPORTED", "SUPPORTED", "SUPPORTED")
-COVERAGE = ("COVERED", "COVERED", "QUESTIONABLE", "COVERED", "POSSIBLE_OMISSION", "COVERED", "COVERED", "INSUFFICIENT_EVIDENCE", "COVERED", "COVERED", "COVERED", "COVERED", "COVERED")
+COVERAGE = ("COVERED", "COVERED", "COVERED_BUT_QUESTIONABLE", "COVERED", "POSSIBLE_OMISSION", "COVERED", "COVERED", "INSUFFICIENT_EVIDENCE", "COVERED", "COVERED", "COVERED", "COVERED", "COVERED")
 SEVERITIES = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 SUFFICIENCY = ("SUFFICIENT", "SUFFICIENT", "PARTIAL_LEGAL_CORPUS")
 ALIGNMENTS = ("AGREE", "PARTIAL_OVERLAP", "DISJOINT", "BOTH_EMPTY", "AGREE")
@@ -66,7 +66,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN17, FN20: two reviewers' results compared."""
     out = review.compare_issues(_pairs(spark, sf_dir))
-    return out.select("issue_id", "severity_distance", "overall_state", "requires_human_review", F.size("reasons").alias("reason_count"))
+    return out.select("issue_id", "severity_distance", "overall_state", "requires_human_review", F.array_join("reasons", ",").alias("reasons"))
 
 
 PAIRS_SQL = f"""
@@ -75,25 +75,28 @@ pairs as (select o_orderkey as k, o_custkey as job_id, {_pick_sql("o_orderkey",
     o_orderkey % 17 = 0 as r1, o_orderkey % 19 = 0 as r2 from orders),
 based as (select *, case when c = 'POSSIBLE_OMISSION' then 'POSSIBLE_OMISSION' when p = 'INSUFFICIENT_EVIDENCE' or a = 'INSUFFICIENT_EVIDENCE' or c = 'INSUFFICIENT_EVIDENCE' then 'INSUFFICIENT_EVIDENCE'
     when a = 'DISAGREED' then 'MATERIAL_DISAGREEMENT' when p = 'REVIEW_REQUIRED' or a = 'REVIEW_REQUIRED' then 'REVIEW_REQUIRED' when d >= 2 then 'MATERIAL_DISAGREEMENT'
-    when a = 'PARTIALLY_SUPPORTED' or c = 'QUESTIONABLE' or d = 1 then 'CONSISTENT_WITH_REVIEW' else 'CONSISTENT' end as base from pairs),
+    when a = 'PARTIALLY_SUPPORTED' or c = 'COVERED_BUT_QUESTIONABLE' or d = 1 then 'CONSISTENT_WITH_REVIEW' else 'CONSISTENT' end as base from pairs),
 compared as (select *, case when base = 'CONSISTENT' and (s <> 'SUFFICIENT' or ca = 'DISJOINT' or la = 'DISJOINT' or r1 or r2) then 'CONSISTENT_WITH_REVIEW' else base end as overall_state,
-    case when r2 then 2 when r1 then 1 else 0 end + case when base in ('POSSIBLE_OMISSION', 'INSUFFICIENT_EVIDENCE', 'REVIEW_REQUIRED', 'MATERIAL_DISAGREEMENT') then 1
-    else cast(a = 'PARTIALLY_SUPPORTED' as integer) + cast(c = 'QUESTIONABLE' as integer) + cast(d = 1 as integer)
-        + case when base = 'CONSISTENT' then cast(s <> 'SUFFICIENT' as integer) + cast(ca = 'DISJOINT' as integer) + cast(la = 'DISJOINT' as integer) else 0 end end as reason_count from based)
+    concat_ws(',', case base when 'POSSIBLE_OMISSION' then 'SECONDARY_POSSIBLE_OMISSION' when 'INSUFFICIENT_EVIDENCE' then 'ISSUE_EVIDENCE_INSUFFICIENT' when 'REVIEW_REQUIRED' then 'MODEL_REVIEW_REQUIRED'
+        when 'MATERIAL_DISAGREEMENT' then case when a = 'DISAGREED' then 'SECONDARY_DISAGREED_WITH_PRIMARY' else 'SEVERITY_DISTANCE_MATERIAL' end when 'CONSISTENT' then 'PRIMARY_SECONDARY_CONSISTENT' end,
+        case when base = 'CONSISTENT_WITH_REVIEW' and a = 'PARTIALLY_SUPPORTED' then 'SECONDARY_PARTIALLY_SUPPORTED' end, case when base = 'CONSISTENT_WITH_REVIEW' and c = 'COVERED_BUT_QUESTIONABLE' then 'SECONDARY_COVERAGE_QUESTIONABLE' end,
+        case when base = 'CONSISTENT_WITH_REVIEW' and d = 1 then 'SEVERITY_DISTANCE_MINOR' end, case when base = 'CONSISTENT' and s <> 'SUFFICIENT' then 'PRIMARY_EVIDENCE_' || s end,
+        case when base = 'CONSISTENT' and ca = 'DISJOINT' then 'CONTRACT_EVIDENCE_DISJOINT' end, case when base = 'CONSISTENT' and la = 'DISJOINT' then 'LEGAL_EVIDENCE_DISJOINT' end,
+        case when base = 'CONSISTENT' and (r1 or r2) then 'UPSTREAM_REVIEW_REASON_PRESENT' end, case when r1 or r2 then 'CHECK_SOURCE' end, case when r2 then 'CHECK_DATE' end) as reasons from based)
 """
-DECISION_SQL = f"with {PAIRS_SQL} select k as issue_id, d as severity_distance, overall_state, overall_state <> 'CONSISTENT' as requires_human_review, reason_count from compared"
+DECISION_SQL = f"with {PAIRS_SQL} select k as issue_id, d as severity_distance, overall_state, overall_state <> 'CONSISTENT' as requires_human_review, reasons from compared"
 
 
 def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG7: comparisons of a customer summed up."""
-    out = review.issue_summary(review.compare_issues(_pairs(spark, sf_dir)), "job_id")
+    out = review.issue_summary(review.compare_issues(_pairs(spark, sf_dir)).withColumn("planning_coverage_complete", F.col("issue_id") % 23 != 0), "job_id")
     return out.withColumn("final_reasons", F.array_join("final_reasons", ","))
 
 
 ISSUES_SQL = f"""
-with {PAIRS_SQL}, g as (select job_id, {", ".join(f"count(*) filter (overall_state = '{s}') as {s.lower()}" for s in review.STATES)}, count(*) filter (overall_state <> 'CONSISTENT') as human_review from compared group by 1)
-select *, concat_ws(',', {", ".join(f"case when {s.lower()} > 0 then '{s}' end" for s in ("POSSIBLE_OMISSION", "MATERIAL_DISAGREEMENT", "INSUFFICIENT_EVIDENCE", "REVIEW_REQUIRED", "CONSISTENT_WITH_REVIEW"))}) as final_reasons,
-    case when human_review > 0 then 'HUMAN_REVIEW_REQUIRED' else 'NO_MANDATORY_REVIEW' end as final_state from g
+with {PAIRS_SQL}, g as (select job_id, {", ".join(f"count(*) filter (overall_state = '{s}') as {s.lower()}" for s in review.STATES)}, count(*) filter (overall_state <> 'CONSISTENT') as human_review, bool_or(k % 23 = 0) as unplanned from compared group by 1)
+select * exclude (unplanned), concat_ws(',', case when unplanned then 'PLANNING_COVERAGE_INCOMPLETE' end, {", ".join(f"case when {s.lower()} > 0 then '{s}_PRESENT' end" for s in ("POSSIBLE_OMISSION", "MATERIAL_DISAGREEMENT", "INSUFFICIENT_EVIDENCE", "REVIEW_REQUIRED", "CONSISTENT_WITH_REVIEW"))}) as final_reasons,
+    case when human_review > 0 or unplanned then 'HUMAN_REVIEW_REQUIRED' else 'NO_MANDATORY_REVIEW' end as final_state from g
 """
 
 
@@ -109,12 +112,12 @@ def finding_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 FINDING_SQL = f"""
 with r as (select o_orderkey, {_pick_sql("o_orderkey", "SUPPORTED_FINDING", "NO_FINDING", "REVIEW_REQUIRED", "INSUFFICIENT_EVIDENCE")} as p, {_pick_sql("(o_orderkey // 4)", "SUPPORTED", "NOT_SUPPORTED", "REVIEW_REQUIRED", "INSUFFICIENT_EVIDENCE")} as a,
     o_orderkey % 3 as d, {_pick_sql("o_orderkey", *ALIGNMENTS)} as c, {_pick_sql("(o_orderkey // 5)", *ALIGNMENTS)} as l from orders),
-k as (select *, case when p = 'SUPPORTED_FINDING' and a = 'SUPPORTED' then 'AGREE_RISK' when p = 'NO_FINDING' and a = 'NOT_SUPPORTED' then 'AGREE_NO_RISK' when p = 'REVIEW_REQUIRED' and a = 'REVIEW_REQUIRED' then 'AGREE_REVIEW'
-    when p = 'INSUFFICIENT_EVIDENCE' and a = 'INSUFFICIENT_EVIDENCE' then 'AGREE_INSUFFICIENT' when (p = 'SUPPORTED_FINDING' and a = 'NOT_SUPPORTED') or (p = 'NO_FINDING' and a = 'SUPPORTED') then 'DISAGREE_RISK_EXISTS'
+k as (select *, case when p = 'SUPPORTED_FINDING' and a = 'SUPPORTED' then 'AGREE_SUPPORTED' when p = 'NO_FINDING' and a = 'NOT_SUPPORTED' then 'AGREE_NO_FINDING' when p = 'REVIEW_REQUIRED' and a = 'REVIEW_REQUIRED' then 'AGREE_REVIEW_REQUIRED'
+    when p = 'INSUFFICIENT_EVIDENCE' and a = 'INSUFFICIENT_EVIDENCE' then 'AGREE_INSUFFICIENT_EVIDENCE' when (p = 'SUPPORTED_FINDING' and a = 'NOT_SUPPORTED') or (p = 'NO_FINDING' and a = 'SUPPORTED') then 'DISAGREE_RISK_EXISTS'
     when (p in ('REVIEW_REQUIRED', 'INSUFFICIENT_EVIDENCE')) <> (a in ('REVIEW_REQUIRED', 'INSUFFICIENT_EVIDENCE')) then 'DISAGREE_EVIDENCE_SUFFICIENCY' else 'STATE_DIFFERENCE' end as risk from r),
-m as (select *, concat_ws(',', case when risk = 'DISAGREE_RISK_EXISTS' then 'RISK_CONFLICT' end, case when d >= 2 then 'SEVERITY_DISTANT' end, case when risk = 'AGREE_RISK' and l = 'DISJOINT' then 'LEGAL_DISJOINT' end, case when risk = 'AGREE_RISK' and c = 'DISJOINT' then 'CONTRACT_DISJOINT' end) as material_reasons from k),
-s as (select *, case when material_reasons <> '' then 'MATERIAL_DISAGREEMENT' when risk in ('DISAGREE_EVIDENCE_SUFFICIENCY', 'STATE_DIFFERENCE') then 'REQUIRES_MORE_EVIDENCE' when risk in ('AGREE_REVIEW', 'AGREE_INSUFFICIENT') then 'AGREEMENT_WITH_REVIEW' when d = 1 then 'MINOR_DIFFERENCE' else 'AGREEMENT' end as finding_state from m)
-select o_orderkey, risk, material_reasons, finding_state, finding_state in ('MATERIAL_DISAGREEMENT', 'REQUIRES_MORE_EVIDENCE', 'AGREEMENT_WITH_REVIEW') as follow_up from s
+m as (select *, concat_ws(',', case when risk = 'DISAGREE_RISK_EXISTS' then 'RISK_EXISTENCE_CONFLICT' end, case when d >= 2 then 'SEVERITY_DISTANCE_GTE_2' end, case when risk = 'AGREE_SUPPORTED' and l = 'DISJOINT' then 'LEGAL_BASIS_DISJOINT' end, case when risk = 'AGREE_SUPPORTED' and c = 'DISJOINT' then 'CONTRACT_EVIDENCE_DISJOINT' end) as material_reasons from k),
+s as (select *, case when material_reasons <> '' then 'MATERIAL_DISAGREEMENT' when risk in ('DISAGREE_EVIDENCE_SUFFICIENCY', 'STATE_DIFFERENCE') then 'REQUIRES_MORE_EVIDENCE' when risk in ('AGREE_REVIEW_REQUIRED', 'AGREE_INSUFFICIENT_EVIDENCE') then 'AGREEMENT_WITH_REVIEW' when d = 1 then 'MINOR_DISAGREEMENT' else 'AGREEMENT' end as finding_state from m)
+select o_orderkey, risk, case when finding_state in ('REQUIRES_MORE_EVIDENCE', 'AGREEMENT_WITH_REVIEW') then risk when finding_state = 'MINOR_DISAGREEMENT' then 'SEVERITY_DISTANCE_1' else material_reasons end as material_reasons, finding_state, finding_state in ('MATERIAL_DISAGREEMENT', 'REQUIRES_MORE_EVIDENCE', 'AGREEMENT_WITH_REVIEW') as follow_up from s
 """
 
 
@@ -143,7 +146,7 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "O", "RUNNING").when(F.col("o_orderstatus") == "P", _pick(F.col("o_orderkey"), "FAILED", "CANCELLED", "PAUSED_BEFORE_PROVIDER")).otherwise("COMPLETE")
     level = lambda p: (F.col("o_orderpriority").startswith(p)).cast("int")
     counts = {"human": F.col("o_orderkey") % 7 == 0, "omissions": (F.col("o_orderkey") % 11 == 0).cast("int"), "material": F.lit(0), "critical": level("1"), "high": level("2") * 2, "insufficient": F.lit(0), "medium": level("3"), "low": level("4"), "info": level("5")}
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("File"), F.col("o_custkey").cast("string")).alias("filename"), F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 97 != 0).alias("document_ok"), F.when(F.col("o_orderkey") % 89 != 0, status).alias("pipeline_status"), F.lit("ISSUE_V1").alias("architecture"), batch.priority_score(counts).alias("score"), counts["critical"].alias("critical"), counts["high"].alias("high"), counts["omissions"].alias("omissions"), counts["material"].alias("material"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("File"), F.col("o_custkey").cast("string")).alias("filename"), F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 97 != 0).alias("document_ok"), F.when(F.col("o_orderkey") % 89 != 0, status).alias("pipeline_status"), _pick(F.col("o_custkey"), "ISSUE_V1", "LEGACY_RC2", "ISSUE_V1").alias("architecture"), counts["human"].alias("human_review"), (F.col("o_orderkey") % 13 != 0).alias("coverage_complete"), batch.priority_score(counts).alias("score"), counts["critical"].alias("critical"), counts["high"].alias("high"), counts["omissions"].alias("omissions"), counts["material"].alias("material"))
     return batch.job_states(rows.withColumn("attention_items", F.col("critical") + F.col("high") + F.col("omissions")))
 
 
@@ -152,18 +155,19 @@ c as (select *, cast(o_orderkey % 7 = 0 as integer) as human, cast(o_orderkey %
     cast(starts_with(o_orderpriority, '3') as integer) as medium, cast(starts_with(o_orderpriority, '4') as integer) as low, cast(starts_with(o_orderpriority, '5') as integer) as info,
     case when o_orderkey % 89 <> 0 then case when o_orderstatus = 'O' then 'RUNNING' when o_orderstatus = 'P' then ['FAILED', 'CANCELLED', 'PAUSED_BEFORE_PROVIDER'][cast(o_orderkey % 3 + 1 as integer)] else 'COMPLETE' end end as status from orders),
 s as (select *, human * 131072 + omissions * 65536 + critical * 16384 + cast(high > 0 as integer) * 8192 + medium * 2048 + low * 1024 + least(1023, omissions + critical + high + medium + low + info) as score,
-    case when o_orderkey % 97 = 0 then 'INVALID' when status is null then 'NOT_STARTED' when status in ('FAILED', 'CANCELLED') then status when status = 'PAUSED_BEFORE_PROVIDER' then 'WAITING' when status <> 'COMPLETE' then 'PROCESSING' else 'COMPLETE' end as batch_state from c),
-jobs as (select *, case batch_state when 'COMPLETE' then score when 'INVALID' then 500000 when 'FAILED' then 4000 when 'WAITING' then 3000 when 'NOT_STARTED' then 2500 when 'CANCELLED' then 2000 else 0 end as priority_rank,
-    case when batch_state = 'COMPLETE' then critical + high + omissions > 0 else batch_state in ('INVALID', 'FAILED', 'WAITING') end as needs_attention from s)
+    case when o_orderkey % 97 = 0 then 'INVALID' when status is null then 'PROCESSING' when status in ('FAILED', 'CANCELLED') then status when status = 'PAUSED_BEFORE_PROVIDER' then 'WAITING' when status <> 'COMPLETE' then 'PROCESSING' else 'COMPLETE' end as batch_state from c),
+jobs as (select *, case when o_orderkey % 97 <> 0 and status is null then 2500 else case batch_state when 'COMPLETE' then score when 'INVALID' then 500000 when 'FAILED' then 4000 when 'WAITING' then 3000 when 'CANCELLED' then 2000 else 0 end end as priority_rank,
+    case when o_orderkey % 97 = 0 then 'DOCUMENT_METADATA_INVALID' when status is null then 'PIPELINE_NOT_STARTED' end as failure,
+    case when o_orderkey % 97 <> 0 and status is null then true when batch_state = 'COMPLETE' then critical + high + omissions > 0 else batch_state in ('INVALID', 'FAILED', 'WAITING') end as needs_attention from s)
 """
 
 
 def priority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN24, FN25, TK7: orders as jobs, with their state and strict rank."""
-    return batch.queue(_jobs(spark, sf_dir)).select("job_id", "batch_state", F.col("priority_rank").cast("long").alias("priority_rank"), "needs_attention")
+    return batch.queue(_jobs(spark, sf_dir)).select("job_id", "batch_state", F.col("priority_rank").cast("long").alias("priority_rank"), "needs_attention", "failure")
 
 
-PRIORITY_SQL = f"with {JOBS_SQL} select o_orderkey as job_id, batch_state, cast(priority_rank as bigint) as priority_rank, needs_attention from jobs"
+PRIORITY_SQL = f"with {JOBS_SQL} select o_orderkey as job_id, batch_state, cast(priority_rank as bigint) as priority_rank, needs_attention, failure from jobs"
 
 
 def batch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,8 +176,9 @@ def batch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BATCH_SQL = f"""
-with {JOBS_SQL} select o_custkey, count(*) as jobs, {", ".join(f"count(*) filter (batch_state = '{s}') as {s.lower()}" for s in ("COMPLETE", "PROCESSING", "WAITING", "FAILED", "CANCELLED", "INVALID", "NOT_STARTED"))},
-    count(*) filter (needs_attention) as attention, cast(sum(critical) as bigint) as total_critical, cast(sum(high) as bigint) as total_high, cast(sum(omissions) as bigint) as total_omissions, cast(0 as bigint) as total_material from jobs group by 1
+with {JOBS_SQL} select o_custkey, count(*) as total_jobs, count(*) filter (batch_state = 'COMPLETE') as complete_jobs, count(*) filter (batch_state = 'WAITING') as waiting_jobs, count(*) filter (batch_state = 'CANCELLED') as cancelled_jobs,
+    count(*) filter (batch_state in ('FAILED', 'INVALID')) as failed_jobs, count(*) filter (human = 1 and batch_state = 'COMPLETE') as human_review_required_jobs, count(*) filter (batch_state = 'PROCESSING') as processing_jobs,
+    count(*) filter (o_custkey % 3 <> 1) as issue_v1_jobs, count(*) filter (o_custkey % 3 = 1) as legacy_rc2_jobs, count(*) filter (o_orderkey % 13 = 0) as coverage_incomplete_jobs from jobs group by 1
 """
 
 

@@ -209,11 +209,11 @@ def test_priority_is_lexicographic():
 
 
 def test_validation_of_reviews(spark):
-    rows = [("SUPPORTED_FINDING", ["c9"], [], False, "EVIDENCE_FOUND", "SUFFICIENT"), ("SUPPORTED_FINDING", [], [], False, "EVIDENCE_FOUND", "SUFFICIENT"), ("NO_MATERIAL_RISK", ["c1"], ["l1"], True, "EVIDENCE_FOUND_WITH_LIMITATIONS", "SUFFICIENT"), ("SUPPORTED_FINDING", ["c1"], ["l1"], True, "EVIDENCE_FOUND_WITH_LIMITATIONS", "SUFFICIENT")]
+    rows = [("SUPPORTED_FINDING", ["c9"], [], False, "EVIDENCE_FOUND", "SUFFICIENT"), ("SUPPORTED_FINDING", [], [], False, "EVIDENCE_FOUND", "SUFFICIENT"), ("NO_MATERIAL_RISK_FOUND", ["c1"], ["l1"], True, "EVIDENCE_FOUND_WITH_LIMITATIONS", "SUFFICIENT"), ("SUPPORTED_FINDING", ["c1"], ["l1"], True, "EVIDENCE_FOUND_WITH_LIMITATIONS", "SUFFICIENT")]
     df = spark.createDataFrame(rows, "state string, contract_ids array<string>, legal_ids array<string>, legal_conclusion boolean, support_state string, sufficiency string")
     df = df.withColumns({"allowed_contract": F.array(F.lit("c1")), "allowed_legal": F.array(F.lit("l1")), "any_uncertain": F.lit(False)})
     got = [(r.rejected, r.final_state, r.added_reasons) for r in review.validate_primary(df).collect()]
-    assert got == [("UNKNOWN_CONTRACT_EVIDENCE", None, []), ("SUPPORTED_WITHOUT_EVIDENCE", None, []), (None, "REVIEW_REQUIRED", []), (None, "SUPPORTED_FINDING", ["PARTIAL_LEGAL_CORPUS"])]
+    assert got == [("UNKNOWN_CONTRACT_EVIDENCE", None, []), ("SUPPORTED_WITHOUT_EVIDENCE", None, []), (None, "REVIEW_REQUIRED", ["NO_MATERIAL_RISK_NOT_ALLOWED_WITH_INCOMPLETE_EVIDENCE"]), (None, "SUPPORTED_FINDING", ["PARTIAL_LEGAL_CORPUS"])]
 
 
 def test_closure_and_one_to_one(spark):
@@ -261,3 +261,44 @@ def test_manifest_and_dataset(spark, tmp_path):
     assert (got.authority.authority_id, got.effective_date, got.source_refs[0].url, got.expected_article_count) == ("a", date(2020, 1, 1), "https://x", 3)
     (tmp_path / "d.json").write_text(json.dumps({"dataset_id": "d", "cases": [{"case_id": "c", "task_type": "t", "expectations": [{"assertion_id": "1", "pointer": "/a", "comparison": "EXACT", "expected": [1]}]}]}))
     assert readers.dataset(spark, str(tmp_path / "d.json")).first().expectations[0].expected == "[1]"
+
+
+def test_comparison_of_issues(spark):
+    """Six pairs with the state and reasons that they have to get."""
+    rows = [
+        ("SUPPORTED_FINDING", "SUPPORTED", "COVERED", "HIGH", "HIGH", "CONSISTENT", ["PRIMARY_SECONDARY_CONSISTENT"]),
+        ("SUPPORTED_FINDING", "PARTIALLY_SUPPORTED", "COVERED_BUT_QUESTIONABLE", "HIGH", "MEDIUM", "CONSISTENT_WITH_REVIEW", ["SECONDARY_PARTIALLY_SUPPORTED", "SECONDARY_COVERAGE_QUESTIONABLE", "SEVERITY_DISTANCE_MINOR"]),
+        ("SUPPORTED_FINDING", "DISAGREED", "COVERED", "HIGH", "HIGH", "MATERIAL_DISAGREEMENT", ["SECONDARY_DISAGREED_WITH_PRIMARY"]),
+        ("SUPPORTED_FINDING", "SUPPORTED", "COVERED", "CRITICAL", "LOW", "MATERIAL_DISAGREEMENT", ["SEVERITY_DISTANCE_MATERIAL"]),
+        ("NO_MATERIAL_RISK_FOUND", "SUPPORTED", "POSSIBLE_OMISSION", "LOW", "LOW", "POSSIBLE_OMISSION", ["SECONDARY_POSSIBLE_OMISSION"]),
+        ("REVIEW_REQUIRED", "SUPPORTED", "INSUFFICIENT_EVIDENCE", "LOW", "LOW", "INSUFFICIENT_EVIDENCE", ["ISSUE_EVIDENCE_INSUFFICIENT"]),
+        ("REVIEW_REQUIRED", "SUPPORTED", "COVERED", "LOW", "LOW", "REVIEW_REQUIRED", ["MODEL_REVIEW_REQUIRED"]),
+    ]
+    df = spark.createDataFrame(rows, "primary_state string, assessment string, coverage_assessment string, primary_severity string, secondary_severity string, want string, why array<string>")
+    nothing = F.expr("cast(array() as array<string>)")
+    df = df.withColumns({"evidence_sufficiency": F.lit("SUFFICIENT"), "contract_alignment": F.lit("AGREE"), "legal_alignment": F.lit("AGREE"), "primary_reasons": nothing, "secondary_reasons": nothing})
+    for r in review.compare_issues(df).collect():
+        assert (r.overall_state, r.reasons, r.requires_human_review) == (r.want, r.why, r.want != "CONSISTENT")
+    promoted = df.limit(1).withColumns({"evidence_sufficiency": F.lit("PARTIAL_LEGAL_CORPUS"), "legal_alignment": F.lit("DISJOINT"), "secondary_reasons": F.array(F.lit("X"))})
+    r = review.compare_issues(promoted).first()
+    assert (r.overall_state, r.reasons) == ("CONSISTENT_WITH_REVIEW", ["PRIMARY_SECONDARY_CONSISTENT", "PRIMARY_EVIDENCE_PARTIAL_LEGAL_CORPUS", "LEGAL_EVIDENCE_DISJOINT", "UPSTREAM_REVIEW_REASON_PRESENT", "X"])
+
+
+def test_findings_of_two_reviewers(spark):
+    rows = [("SUPPORTED_FINDING", "SUPPORTED", 0, "DISJOINT", "DISJOINT"), ("NO_FINDING", "SUPPORTED", 2, "AGREE", "AGREE"), ("NO_FINDING", "NOT_SUPPORTED", 1, "DISJOINT", "DISJOINT"), ("REVIEW_REQUIRED", "REVIEW_REQUIRED", 1, "AGREE", "AGREE"), ("NO_FINDING", "REVIEW_REQUIRED", 0, "AGREE", "AGREE"), ("REVIEW_REQUIRED", "INSUFFICIENT_EVIDENCE", 0, "AGREE", "AGREE")]
+    df = spark.createDataFrame(rows, "p string, a string, d int, c string, l string").withColumn("risk", review.risk_state(F.col("p"), F.col("a")))
+    got = review.finding_state(F.col("risk"), F.col("d"), F.col("c"), F.col("l"))
+    assert [(r[0], r[1], r[2]) for r in df.select(got["finding_state"], got["material_reasons"], got["follow_up"]).collect()] == [
+        ("MATERIAL_DISAGREEMENT", ["LEGAL_BASIS_DISJOINT", "CONTRACT_EVIDENCE_DISJOINT"], True),
+        ("MATERIAL_DISAGREEMENT", ["RISK_EXISTENCE_CONFLICT", "SEVERITY_DISTANCE_GTE_2"], True),
+        ("MINOR_DISAGREEMENT", ["SEVERITY_DISTANCE_1"], False),
+        ("AGREEMENT_WITH_REVIEW", ["AGREE_REVIEW_REQUIRED"], True),
+        ("REQUIRES_MORE_EVIDENCE", ["DISAGREE_EVIDENCE_SUFFICIENCY"], True),
+        ("REQUIRES_MORE_EVIDENCE", ["STATE_DIFFERENCE"], True),
+    ]
+
+
+def test_jobs_without_a_pipeline(spark):
+    jobs = spark.createDataFrame([(True, None, "ISSUE_V1"), (False, None, None), (True, "RUNNING", "CONFLICT"), (True, "RUNNING", "ISSUE_V1")], "document_ok boolean, pipeline_status string, architecture string").withColumns({"score": F.lit(7), "attention_items": F.lit(0)})
+    got = [(r.batch_state, r.priority_rank, r.needs_attention, r.failure) for r in batch.job_states(jobs).collect()]
+    assert got == [("PROCESSING", 2500, True, "PIPELINE_NOT_STARTED"), ("INVALID", 500_000, True, "DOCUMENT_METADATA_INVALID"), ("INVALID", 500_000, True, "ARCHITECTURE_CONFLICT"), ("PROCESSING", 0, False, None)]
