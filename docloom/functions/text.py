@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -63,8 +64,14 @@ def join_present(*parts: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """All lower-cased windows of three code points, in order; linear in the text (a look-ahead, not a substring for each)."""
-    return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1))
+    """All lower-cased windows of three code points, in order; linear in the text (a look-ahead at each code point, not a substring for each)."""
+    return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))."), F.lit(1))
+
+
+def packed_trigram(gram: Column) -> Column:
+    """A trigram as one number: three code points of 21 bits."""
+    at = lambda k: F.ascii(F.substring(gram, k, 1)).cast("long")
+    return F.shiftleft(at(1), 42).bitwiseOR(F.shiftleft(at(2), 21)).bitwiseOR(at(3))
 
 
 def query_trigrams(text: Column, most: int = 32) -> Column:
@@ -115,24 +122,28 @@ UNITS = {"十": 10, "百": 100, "千": 1000}
 
 
 def chinese_number(text: str | None) -> int | None:
-    """A numeral such as 百二十三, 一万零五 or the digit string 二〇二一; ASCII digits as they are; None if it is none."""
+    """A numeral such as 百二十三, 一万零五 or the digit string 二〇二一; ASCII digits as they are; None if it is none.
+
+    A unit without a digit before it counts once (十二 is 12, 万 is 10,000)."""
     if not text:
         return None
-    if text.isdigit():
+    if text.isascii() and text.isdigit():
         return int(text)
-    if any(c not in DIGITS and c not in UNITS and c != "万" for c in text):
+    if not set(text) <= DIGITS.keys() | UNITS.keys() | {"万"}:
         return None
-    if all(c in DIGITS for c in text):
+    if set(text) <= DIGITS.keys():
         return int("".join(str(DIGITS[c]) for c in text))
-    total = section = digit = 0
-    for c in text:
-        if c in DIGITS:
-            digit = DIGITS[c]
-        elif c == "万":
-            total, section, digit = total + (section + digit) * 10_000, 0, 0
-        else:
-            section, digit = section + (digit or 1) * UNITS[c], 0
-    return total + section + digit
+    total = 0
+    for place, group in enumerate(reversed(text.split("万"))):
+        steps = re.findall("([^十百千]?)([十百千]?)", re.sub("[零〇](?=.)", "", group))
+        value = sum(DIGITS.get(digit, 1 if unit else 0) * UNITS.get(unit, 1) for digit, unit in steps)
+        total += (value or (1 if place else 0)) * 10_000**place
+    return total
+
+
+def contract_number(text: str | None) -> int | None:
+    """As ``chinese_number``, without ASCII digits: the numerals of contract headings and amounts."""
+    return None if text and text.isascii() else chinese_number(text)
 
 
 def _numerals(texts: pd.Series) -> pd.Series:
