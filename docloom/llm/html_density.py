@@ -2,16 +2,17 @@
 
 A page is parsed leniently into a tree. Parts that are never an article's text (scripts, styles,
 menus, headers, footers, sidebars, notices, adverts, forms, reader comments) are left out by tag, role
-or class name. Every other node has a density: its characters per tag, adjusted by the characters and
+or whole class name. Every other node has a density: its characters per tag, adjusted by the characters and
 tags of links in it and by the share of link characters in the body. A node's density sum adds the
 densities of its children (text of its own counts as a child). The node of the greatest sum is chosen,
-and the least density on its path to the body is the threshold: what lies on the path, or beside it
-under the body, and reaches the threshold is the article. An ``article`` or ``main`` element on the
-path bounds it.
+with all below it; the least density on its path to the body is the threshold: beside the path, a part of blocks is kept if it
+reaches the threshold, a single block (a heading, a paragraph) if it is no list of links. An ``article`` or ``main`` element on the chosen
+node's path bounds it: all within belongs to it, and of what surrounds it only a title.
 
 Character references are decoded; white space inside a block becomes one space; blocks are joined by
 one space in page order. Defined results: null or empty html, or a page without text, gives an empty
-text; markup that is cut off ends where the page ends; equal pages have equal texts.
+text; markup that is cut off ends where the page ends; equal pages have equal texts; of nodes with equal sums the first one is chosen; a
+very long page is taken whole, by itself; page ids and urls that are null or repeat are passed on; further columns play no part.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ CLOSES_P = frozenset(
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
 ENDS |= {"tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 ENDS |= {t: ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}) for t in ("thead", "tbody", "tfoot")}
+#: Blocks that hold no others, as a rule.
+SINGLE_BLOCKS = frozenset("address blockquote br figcaption h1 h2 h3 h4 h5 h6 hr p pre summary".split())
 P_SCOPE = frozenset("article aside blockquote body button caption dd div dt fieldset figure footer form header html li main nav object section table td th".split())
 # Elements, roles and name parts of what surrounds an article.
 OUTSIDE_TAGS = frozenset("head script style noscript template nav footer aside form button select option textarea title input iframe object embed svg canvas dialog menu audio video map noembed noframes".split())
@@ -57,33 +60,42 @@ OUTSIDE_NAMES = frozenset(
     "breadcrumbs footer footnav masthead topbar toolbar share sharing shares social related recommended recommendations trending comment comments commentlist "
     "reply replies respond disqus discussion pagination pager widget widgets search skip toc copyright".split()
 )
-NOT_ALONE = frozenset("with has no without".split())
+ADVERT_NAMES = frozenset("ad ads adsense adbox adslot adunit advert adverts advertisement advertising sponsor sponsored promo promos promoted outbrain taboola".split())
+ARTICLE_OUTSIDE_NAMES = ADVERT_NAMES | frozenset("comment comments commentlist reply replies respond disqus related recommended recommendations share sharing social newsletter subscribe subscription signup cookie cookies consent teaser".split())
+#: Words that may stand beside such a name without making it another one.
+PLAIN_WORDS = frozenset(
+    "area article articles bar block body bottom box btn button buttons card col column container content desktop first fixed form global group header icon icons inner item items js label last left link links list main message mobile "
+    "module new outer page panel post posts primary reader readers region right row secondary section site slot space sticky stories story strip text title tools top unit user wrap wrapper zone".split()
+)
 NEVER_OUTSIDE = frozenset("html body article main".split())
-ARTICLE_OUTSIDE_NAMES = frozenset("ad ads advert comment comments promo promoted recommended related reply replies respond sponsored teaser".split())
+#: Blocks of text, which a class name puts outside only as adverts.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote td th tr tbody dt dd figcaption caption".split())
 HEADER_NAMES = frozenset({"header", "siteheader", "pageheader"})
 
 
 def name_parts(name: str) -> list[str]:
-    return [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", name)]
+    return [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name)]
 
 
 def is_outside(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element surrounds the article, by its tag, role, state or class and id names."""
+    """Whether an element surrounds the article, by its tag, role, state or class and id names.
+
+    A name counts as a whole: one of the known words, with nothing but plain words beside it. Ids of text blocks are anchors and do not count."""
     if tag in OUTSIDE_TAGS or tag == "header" and not in_article:
         return True
     if not attrs.strip() or tag in NEVER_OUTSIDE and tag != "article":
         return False
-    names = ARTICLE_OUTSIDE_NAMES if tag == "article" else OUTSIDE_NAMES
+    names = ADVERT_NAMES if tag in TEXT_BLOCKS else ARTICLE_OUTSIDE_NAMES if tag == "article" or in_article else OUTSIDE_NAMES
     for key, *values in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), unescape("".join(values))
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
         if key == "role" and value.lower() in OUTSIDE_ROLES:
             return True
-        if key in ("class", "id"):
+        if key == "class" or key == "id" and tag not in TEXT_BLOCKS:
             for name in value.split():
-                parts = name_parts(name)
-                if parts and not NOT_ALONE & set(parts) and (parts[0] in names or parts[-1] in names or "".join(parts) in HEADER_NAMES and not in_article):
+                parts = set(name_parts(name))
+                if parts & names and parts <= names | PLAIN_WORDS or "".join(name_parts(name)) in HEADER_NAMES and not in_article and tag not in TEXT_BLOCKS:
                     return True
     return False
 
@@ -214,31 +226,39 @@ def extract(html: str | None) -> str:
     if chars[body] == 0:
         body = 0
     share = link_chars[body] / max(chars[body], 1)
-    dense = [0.0 if page.outside[n] else density(chars[n], tags[n], link_chars[n], links[n], share) for n in range(len(page.tags))]
-    sums = [density(own[n], 1, 0, 0, share) + sum(dense[c] for c in page.children[n]) for n in range(len(page.tags))]
-    candidates = [n for n in range(len(page.tags)) if not page.outside[n] and chars[n]]
+    nodes = range(len(page.tags))
+    dense = [0.0 if page.outside[n] else density(chars[n], tags[n], link_chars[n], links[n], share) for n in nodes]
+    sums = [density(own[n], 1, 0, 0, share) + sum(dense[c] for c in page.children[n]) for n in nodes]
+    candidates = [n for n in nodes if not page.outside[n] and chars[n]]
     if not candidates:
         return ""
-    bounded = [n for n in candidates if page.in_article[n]]
-    best = max(bounded or candidates, key=lambda n: (sums[n], -n))
+    best = max(candidates, key=lambda n: (sums[n], -n))
     path = [best]
-    while path[-1] not in (body, 0) and page.parents[path[-1]] not in (body, 0, -1):
+    while path[-1] != body and page.parents[path[-1]] >= 0:
         path.append(page.parents[path[-1]])
     threshold = min(dense[n] for n in path)
-    holders = [n for n in path if page.tags[n] == "article"] or [n for n in path if page.tags[n] == "main"]
-    if holders:
-        chosen = {holders[-1]}
-    elif best in (body, 0):
-        chosen = {best}
-    else:
-        beside = page.children[page.parents[path[-1]]]
-        chosen = {path[-1]} | {n for n in beside if dense[n] >= threshold and link_chars[n] <= chars[n] / 2}
-    above = {body, 0} | set(path)
-    chosen |= {n for n in range(len(page.tags)) if page.tags[n] == "h1" and page.parents[n] in above and not page.outside[n]}  # the title, where it stands beside the article
+    marked = [n for n in path if page.tags[n] == "article"] or [n for n in path if page.tags[n] == "main"]
+    bound = path.index(marked[-1]) if marked else len(path)
+    place = {n: k for k, n in enumerate(path)}
+
+    def beside(n: int) -> bool:
+        """Whether a child of a node on the path, itself beside it, belongs to the text."""
+        if marked:
+            return place[page.parents[n]] <= bound or page.tags[n] == "h1"
+        few_links = link_chars[n] <= chars[n] / 2
+        return page.tags[n] not in BLOCKS or few_links and (page.tags[n] in SINGLE_BLOCKS or dense[n] >= threshold)
+
     wanted = [False] * len(page.tags)
-    for n in range(len(page.tags)):
-        listing = links[n] >= 3 and link_chars[n] >= 0.8 * chars[n] and page.tags[n] in ("ul", "ol", "div", "section", "table") and n not in chosen
-        wanted[n] = not page.outside[n] and not listing and (n in chosen or n > 0 and wanted[page.parents[n]])
+    for n in nodes:
+        above = page.parents[n]
+        if page.outside[n]:
+            continue
+        if n in place:
+            wanted[n] = place[n] <= bound
+        elif above in place and place[above] > 0:
+            wanted[n] = beside(n)
+        else:
+            wanted[n] = above >= 0 and wanted[above]
     return page.text_of(wanted)
 
 

@@ -42,6 +42,32 @@ def test_dense_part_wins_without_names():
     assert got.startswith("Sentence number 0") and got.endswith("few tags.") and "Link" not in got
 
 
+def paragraphs(n, start=0):
+    return "".join(f"<p>Sentence number {i} of a text that goes on for a good while, with few tags.</p>" for i in range(start, start + n))
+
+
+def test_short_promotions_beside_an_article_without_names():
+    promos = "".join(f"<p>Read <a href=/{i}>our other story {i}</a> now</p>" for i in range(5))
+    for page in (f"<div id=wrap><div>{paragraphs(8)}</div><div>{promos}</div></div>", f"<div id=wrap><div>{promos}</div><div class=x7><h2>Head</h2>{paragraphs(8)}<p>Short.</p></div></div>"):
+        got = html_density.extract(f"<body>{page}</body>")
+        assert "our other story" not in got and all(f"number {i} of" in got for i in range(8)) and ("Short." in got) == ("Short." in page)
+
+
+def test_densities_choose_between_an_article_element_and_the_text():
+    teasers = "".join(f"<article><a href=/{i}>Teaser {i}</a></article>" for i in range(6))
+    got = html_density.extract(f"<body><div>{teasers}</div><div class=text>{paragraphs(9)}</div></body>")
+    assert "Teaser" not in got and got.count("Sentence") == 9
+
+
+def test_nothing_else_is_dropped_within_an_article():
+    references = "<ul>" + "".join(f"<li><a href=/{i}>Reference {i}</a></li>" for i in range(6)) + "</ul>"
+    inside = f"<h2 id='search'>Search</h2>{paragraphs(4)}<section class='search-algorithms'>{paragraphs(2, 4)}</section><p class='notice'>A notice period applies.</p><div class='share-price-table'><table><tr><td>1</td></tr></table></div>"
+    got = html_density.extract(f"<body><nav>menu</nav><article>{inside}<h2 id=references>References</h2>{references}<div class='ad-slot'>Buy</div><div class='comment-list'>Reader</div></article></body>")
+    assert got.count("Sentence") == 6 and all(x in got for x in ("Search", "A notice period applies.", " 1 ", "Reference 5")) and "Buy" not in got and "Reader" not in got
+    plain = html_density.extract(f"<body><div class='search-box'>find</div><div>{inside}</div><div class='site-notice'>Note</div></body>")
+    assert plain.count("Sentence") == 6 and "find" not in plain and "Note" not in plain and "notice period" in plain
+
+
 def test_deep_and_long_pages():
     assert html_density.extract("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
     assert len(html_density.extract("<article><p>" + "word " * 200_000 + "</article>")) == 200_000 * 5 - 1
