@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import checkpoint
 
 PRIORITY = {"LOW": 0, "MEDIUM": 1, "HIGH": 2, "CRITICAL": 3}
-CHUNK_CHARS, CHUNK_ITEMS, DIRECT_CHARS = 18_000, 24, 60_000
+CHUNK_CHARS, CHUNK_ITEMS, DIRECT_CHARS, MOST_CHUNKS = 18_000, 24, 60_000, 255
 FACTS, FACT_CHARS, RELATED, FALLBACK = 64, 12_000, 16, 8
 
 
@@ -31,20 +37,101 @@ def merge_plan(issues: DataFrame, keys: list[str], lists: list[str], topic: str
     return merged.withColumn("issue_id", X.stable_id("plan-", F.col("topic_key")))
 
 
-def packed_chunks(items: DataFrame, keys: list[str], order: str, size: str, most_chars: int = CHUNK_CHARS, most_items: int = CHUNK_ITEMS) -> DataFrame:
-    """Chunk number of each item: in order, a chunk is closed before an item that would overflow it, and when it is full.
+class _Packer:
+    """An open chunk that takes items: closed before an item that would overflow it, and when it is full."""
+
+    def __init__(self, most_chars: int, most_items: int, chars: int = 0, items: int = 0, chunk: int = 1) -> None:
+        self.most_chars, self.most_items, self.chars, self.items, self.chunk = most_chars, most_items, chars, items, chunk
 
-    Where a chunk begins depends on all before it, so each group is folded in order; only (order, size) pairs are gathered, never texts."""
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("chars"), F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("out"))
+    def add(self, size: int) -> int:
+        """The chunk that an item goes to."""
+        if self.items and (self.chars + size > self.most_chars or self.items >= self.most_items or self.chars >= self.most_chars):
+            self.chars, self.items, self.chunk = 0, 0, self.chunk + 1
+        self.chars, self.items = self.chars + size, self.items + 1
+        return self.chunk
 
-    def step(s: Column, x: Column) -> Column:
-        full = (s["n"] > 0) & ((s["chars"] + x["size"] > most_chars) | (s["n"] >= most_items) | (s["chars"] >= most_chars))
-        chunk = s["chunk"] + F.when(full, 1).otherwise(0)
-        return F.struct(chunk.alias("chunk"), (F.when(full, 0).otherwise(s["chars"]) + x["size"]).cast("long").alias("chars"), (F.when(full, 0).otherwise(s["n"]) + 1).alias("n"), F.concat(s["out"], F.array(chunk)).alias("out"))
 
-    gathered = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("size")))).alias("a"))
-    folded = gathered.withColumn("c", F.aggregate("a", start, step, lambda s: s["out"]))
-    return folded.select(*keys, F.explode(F.arrays_zip("a", "c")).alias("z")).select(*keys, F.col("z.a.o").alias(order), F.col("z.a.size").alias(size), (F.col("z.c") + 1).alias("chunk"))
+def _ends(sizes: np.ndarray, most_chars: int, most_items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For a chunk that begins at each of the rows: chunks, characters and items of the last one when the rows end, and how many chunks are begun."""
+    n = len(sizes)
+    chunks, chars, items = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    for i in range(n - 1, -1, -1):
+        stop = min(int(np.searchsorted(total, total[i] + most_chars, side="right")) - 1, i + most_items, n)
+        stop = max(stop, i + 1)
+        full = int(np.searchsorted(total, total[i] + most_chars, side="left"))  # rows after which the chunk is full
+        stop = min(stop, max(full, i + 1))
+        if stop >= n:
+            chunks[i], chars[i], items[i] = 1, total[n] - total[i], n - i
+        else:
+            chunks[i], chars[i], items[i] = chunks[stop] + 1, chars[stop], items[stop]
+    return chunks, chars, items, total
+
+
+def packed_chunks(items: DataFrame, keys: list[str], order: str, size: str, most_chars: int = CHUNK_CHARS, most_items: int = CHUNK_ITEMS) -> DataFrame:
+    """Chunk number of each item: in order, a chunk is closed before an item that would overflow it, and when it is full. Null and negative sizes count as 0.
+
+    Where a chunk begins depends on all before it, yet no group is brought into one task: rows are dealt by ranges of (group, order). Every
+    range tells how its first group would end for each row that a chunk may begin at (most_items + 1 at most); following these from range to range
+    - a few numbers for each - gives the chunk that is open where a range begins, and the ranges are numbered from there."""
+    kind = items.schema[size].dataType.simpleString()
+    source = items.select(*keys, order, size, F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("__group"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("__size"))
+    ranged = checkpoint(source.repartitionByRange("__group", order).sortWithinPartitions("__group", order))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: list[tuple[str, list[np.ndarray]]] = []
+        for batch in batches:
+            names, sizes = batch.column("__group").to_numpy(zero_copy_only=False), batch.column("__size").to_numpy()
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if groups and b > a and groups[-1][0] == names[a]:
+                    groups[-1][1].append(sizes[a:b])
+                elif b > a:
+                    groups[1:] = [(names[a], [sizes[a:b]])]  # the first group and the last one are what matters
+        out = []
+        for which, (name, parts) in enumerate(groups):
+            sizes = np.concatenate(parts)
+            chunks, chars, count, _ = _ends(sizes, most_chars, most_items)
+            head = slice(0, most_items + 1 if which == 0 else 1)
+            out.append((TaskContext.get().partitionId(), which, name, len(sizes), sizes[head].tolist(), chunks[head].tolist(), chars[head].tolist(), count[head].tolist()))
+        yield pa.RecordBatch.from_pylist([dict(zip(_TOLD.names, r, strict=True)) for r in out], schema=_TOLD)
+
+    ends = ranged.mapInArrow(told, "part int, which int, name string, rows long, sizes array<long>, chunks array<long>, chars array<long>, items array<long>").collect()  # two rows a partition at most
+    opened, state = {}, (None, 0, 0, 1)
+    for r in sorted(ends, key=lambda r: (r["part"], r["which"])):
+        name, chars, count, chunk = state if state[0] == r["name"] else (r["name"], 0, 0, 1)
+        if r["which"] == 0:
+            opened[r["part"]] = (name, chars, count, chunk)
+        packer = _Packer(most_chars, most_items, chars, count, chunk)
+        begins = next((i for i, s in enumerate(r["sizes"]) if packer.add(s) != chunk), None) if count else 0
+        if begins is None:  # the open chunk takes all rows of the range
+            state = (name, packer.chars, packer.items, chunk)
+        else:
+            state = (name, r["chars"][begins], r["items"][begins], chunk + (1 if count else 0) + r["chunks"][begins] - 1)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, *before = opened.get(TaskContext.get().partitionId(), (None, 0, 0, 1))
+        packer = _Packer(most_chars, most_items, *before)
+        for batch in batches:
+            out = []
+            for group, s in zip(batch.column("__group").to_pylist(), batch.column("__size").to_pylist(), strict=True):
+                if group != name:
+                    name, packer = group, _Packer(most_chars, most_items)
+                out.append(packer.add(s))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.int32())], names=[*batch.schema.names[:-2], "chunk"])
+
+    fields = [ranged.schema[c] for c in (*keys, order)]
+    return ranged.mapInArrow(number, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{size}` {kind}", "chunk int"]))
+
+
+def packing_problems(chunks: DataFrame, keys: list[str], size: str, most: int = DIRECT_CHARS, most_chunks: int = MOST_CHUNKS) -> DataFrame:
+    """Of packed items: groups (keys, problem) with an item that is too large by itself, or with too many chunks; a plan over them is an error."""
+    out = chunks.groupBy(*keys).agg(F.max(size).alias("largest"), F.max("chunk").alias("chunks"))
+    found = F.array_compact(F.array(F.when(F.col("largest") > most, F.lit("OBJECT_TOO_LARGE")), F.when(F.col("chunks") > most_chunks, F.lit("TOO_MANY_CHUNKS"))))
+    return out.select(*keys, F.explode(found).alias("problem"))
+
+
+_TOLD = pa.schema([("part", pa.int32()), ("which", pa.int32()), ("name", pa.string()), ("rows", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("sizes", "chunks", "chars", "items")]])
 
 
 def prefix_budget(facts: DataFrame, keys: list[str], order: list[str], cost: Column, most: int = FACTS, most_chars: int = FACT_CHARS) -> DataFrame:

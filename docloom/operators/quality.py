@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,31 +63,23 @@ def evaluate_gates(gates: DataFrame, metrics: DataFrame) -> DataFrame:
     return out.withColumn("reason", F.when(F.col("value").isNull(), "METRIC_MISSING").when(F.col("passed"), "THRESHOLD_MET").otherwise("THRESHOLD_NOT_MET"))
 
 
-def pointer_path(pointer: Column) -> Column:
-    """A JSON pointer as a JSON path: ~1 is a slash, ~0 a tilde, digits an index."""
-    steps = F.filter(F.split(pointer, "/"), lambda s: s != "")
+def pointer_path(pointer: Column, indexes: bool = True) -> Column:
+    """A JSON pointer as a JSON path: ~1 is a slash, ~0 a tilde; digits are an index, or a key if there are to be no indexes."""
+    steps = F.slice(F.split(pointer, "/"), 2, 1 << 20)
     name = lambda s: F.regexp_replace(F.regexp_replace(s, "~1", "/"), "~0", "~")
-    return F.concat(F.lit("$"), F.array_join(F.transform(steps, lambda s: F.when(s.rlike("^[0-9]+$"), F.concat(F.lit("["), s, F.lit("]"))).otherwise(F.concat(F.lit("['"), name(s), F.lit("']")))), ""))
-
-
-def _at_pointer(document: str | None, pointer: str | None) -> str | None:
-    if document is None or pointer is None:
-        return None
-    at = json.loads(document)
-    for step in pointer.split("/")[1:]:
-        step = step.replace("~1", "/").replace("~0", "~")
-        if isinstance(at, dict) and step in at:
-            at = at[step]
-        elif isinstance(at, list) and step.isdigit() and int(step) < len(at):
-            at = at[int(step)]
-        else:
-            return None
-    return json.dumps(at, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    quoted = lambda s: F.when(F.contains(s, F.lit("'")), F.concat(F.lit('["'), s, F.lit('"]'))).otherwise(F.concat(F.lit("['"), s, F.lit("']")))
+    index = lambda s: s.rlike("^[0-9]{1,9}$") & F.lit(indexes)
+    return F.concat(F.lit("$"), F.array_join(F.transform(steps, lambda s: F.when(index(s), F.concat(F.lit("["), s, F.lit("]"))).otherwise(quoted(name(s)))), ""))
 
 
 def resolve_pointer(document: Column | str, pointer: Column | str) -> Column:
-    """The JSON text at a pointer; null where it leads nowhere (a JSON null is the text null). A pointer may name any key, so no fixed path can be given to SQL."""
-    return F.udf(_at_pointer, T.StringType(), useArrow=False)(document, pointer)
+    """The JSON text at a pointer, keys in order and without blanks; null where it leads nowhere or the document is no JSON (a JSON null is the text null).
+
+    Steps of digits are indexes, or else keys; a key that holds both kinds of quotes is not found."""
+    document, pointer = (F.col(c) if isinstance(c, str) else c for c in (document, pointer))
+    sound = F.when(~pointer.rlike(r"""'[^/]*"|"[^/]*'"""), pointer)
+    at = lambda indexes: F.call_function("to_json", F.call_function("try_variant_get", F.try_parse_json(document), pointer_path(sound, indexes), F.lit("variant")))
+    return F.coalesce(at(True), at(False))
 
 
 def compare(rows: DataFrame) -> DataFrame:

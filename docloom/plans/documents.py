@@ -68,7 +68,7 @@ EVIDENCE_SQL = f"with {UNITS_SQL} select doc_id, unit_order, sha256(unit_text) a
 
 def mentions_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EX7-EX11 with the pack for mail addresses, telephone numbers, IPv4 addresses and assigned tokens."""
-    found = extraction.matches(_docs(spark, sf_dir).select("doc_id", "text"), extraction.GENERIC_PATTERNS, ["doc_id"], "text")
+    found = extraction.values(_docs(spark, sf_dir).select("doc_id", "text"), extraction.GENERIC_PATTERNS, ["doc_id"])
     return found.groupBy("doc_id", "kind", "value").agg(F.count("*").alias("times"))
 
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, retrieval, reviews
+from . import contracts, documents, retrieval, reviews
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    return documents.QUERIES | retrieval.QUERIES | reviews.QUERIES
+    return documents.QUERIES | contracts.QUERIES | retrieval.QUERIES | reviews.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,7 +232,7 @@ select gate_id, metric_key, round(value, 6) as value, passed, case when value is
 
 def json_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN14, FN15: properties of events by pointer, held against the even numbers up to 50."""
-    rows = table(spark, sf_dir, "events").select("event_id", quality.resolve_pointer("props", F.when(F.col("event_id") % 5 == 0, "/none").otherwise("/k")).alias("observed"))
+    rows = table(spark, sf_dir, "events").select("event_id", quality.resolve_pointer(F.col("props"), F.when(F.col("event_id") % 5 == 0, "/none").otherwise("/k")).alias("observed"))
     rows = rows.withColumns({"comparison": F.lit("NUMERIC_WITHIN"), "expected": F.lit("50"), "tolerance": F.lit(25.0)})
     return quality.compare(rows).select("event_id", "observed", "passed", "reason")
 

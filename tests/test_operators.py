@@ -302,3 +302,60 @@ def test_jobs_without_a_pipeline(spark):
     jobs = spark.createDataFrame([(True, None, "ISSUE_V1"), (False, None, None), (True, "RUNNING", "CONFLICT"), (True, "RUNNING", "ISSUE_V1")], "document_ok boolean, pipeline_status string, architecture string").withColumns({"score": F.lit(7), "attention_items": F.lit(0)})
     got = [(r.batch_state, r.priority_rank, r.needs_attention, r.failure) for r in batch.job_states(jobs).collect()]
     assert got == [("PROCESSING", 2500, True, "PIPELINE_NOT_STARTED"), ("INVALID", 500_000, True, "DOCUMENT_METADATA_INVALID"), ("INVALID", 500_000, True, "ARCHITECTURE_CONFLICT"), ("PROCESSING", 0, False, None)]
+
+
+def test_pointers_of_any_document(spark):
+    rows = [('{"k": 5, "a": {"b~/c": [1, "x"]}}', "/a/b~0~1c/1", '"x"'), ("{bad", "/k", None), ('{"k": null}', "/k", "null"), ('{"0": 7}', "/0", "7"), ('{"z": 1, "y": {"q": "é"}}', "", '{"y":{"q":"é"},"z":1}'), ("[1]", "/5", None), (None, "/k", None), ("""{"it's": 3}""", "/it's", "3"), ("{}", """/a'"b""", None)]
+    df = spark.createDataFrame(rows, "document string, pointer string, want string")
+    for r in df.withColumn("got", quality.resolve_pointer("document", "pointer")).collect():
+        assert r.got == r.want, r
+
+
+def packed_by_hand(sizes, most_chars, most_items):
+    out, chunk, chars, items = [], 1, 0, 0
+    for s in sizes:
+        if items and (chars + s > most_chars or items >= most_items or chars >= most_chars):
+            chunk, chars, items = chunk + 1, 0, 0
+        chars, items = chars + s, items + 1
+        out.append(chunk)
+    return out
+
+
+def test_chunks_do_not_depend_on_where_rows_lie(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(g, i, rng.choice([0, 1, 3, 7, 10, 11, 30])) for g, n in (("a", 400), ("b", 3), (None, 90), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int, size long").repartition(7)
+    for parts in ("4", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {(r.g, r.i): r.chunk for r in planning.packed_chunks(df, ["g"], "i", "size", 10, 4).collect()}
+        for g in ("a", "b", None, "c"):
+            own = [(i, s) for x, i, s in rows if x == g]
+            assert [got[g, i] for i, _ in own] == packed_by_hand([s for _, s in own], 10, 4)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    packed = planning.packed_chunks(df.where("g is not null"), ["g"], "i", "size", 10, 4)
+    assert {(r.g, r.problem) for r in planning.packing_problems(packed, ["g"], "size", 20, 50).collect()} >= {("a", "OBJECT_TOO_LARGE"), ("a", "TOO_MANY_CHUNKS")}
+    assert planning.packed_chunks(df.limit(0), ["g"], "i", "size").count() == 0
+
+
+def test_articles_keep_the_last_four_headings(spark):
+    text = "\n".join([*(f"第{n}章 标题{n}" for n in "一二三四五六"), "第一条 甲", "乙", "第七章 后", "第二条 丙"])
+    got = ingest.articles(spark.createDataFrame([("s", text)], "source string, text string"), "source").orderBy("article_ordinal").collect()
+    assert [(r.article_text, r.heading_context[-1], len(r.heading_context)) for r in got] == [("甲\n乙", "第六章 标题六", 4), ("丙", "第七章 后", 4)]
+
+
+def test_stored_index_finds_as_a_fresh_one(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "第十条 违约金", "合同违约金过高", "h"), (2, "其他", "a😀bcd and more words", "k"), (3, None, None, None)], "doc_id int, title string, text string, heading string")
+    queries = spark.createDataFrame([(1, "违约金"), (2, "a😀bcd"), (3, "xy")], "query_id int, query string")
+    fields = {"title": 4.0, "heading": 2.0, "text": 1.0}
+    folder = str(tmp_path / "index")
+    retrieval.write_index(docs, fields, folder)
+    found, sizes = retrieval.read_index(spark, folder, docs, fields)
+    key = lambda r: (r.query_id, r.doc_id, round(r.score, 9))
+    got = sorted(map(key, retrieval.scored(retrieval.query_grams(queries), found, sizes).collect()))
+    assert got == sorted(map(key, retrieval.bm25(queries, docs, fields).collect())) and {(q, d) for q, d, _ in got} == {(1, 1), (2, 2)}
+    with pytest.raises(ValueError, match="stale"):
+        retrieval.read_index(spark, folder, docs.limit(1), fields)
+    held = retrieval.containing(spark.createDataFrame([(1, "😀bcd a"), (2, "违约金过"), (3, "a")], "query_id int, query string"), docs)
+    assert sorted((r.query_id, r.doc_id) for r in held.collect()) == [(1, 2), (2, 1)]
