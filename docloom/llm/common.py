@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Text bytes that a task works on at once; an Arrow batch of long texts is cut into slices of about this size.
-SLICE_BYTES = 8 << 20
-
+from ..session import checkpoint, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share, by ``spark.checkpoint.dir``; one of our own only on a local master (tests), where none is set."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder or "spark-warehouse/checkpoints"
+__all__ = ["SLICE_BYTES", "checkpoint", "crc32_of_id", "held_out", "hashed_low", "map_texts", "packed", "runs", "shared_folder", "slices", "utf8", "with_fields", "without"]
 
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+#: Text bytes that a task works on at once; an Arrow batch of long texts is cut into slices of about this size.
+SLICE_BYTES = 8 << 20
 
 
 def crc32_of_id(id_col: str):

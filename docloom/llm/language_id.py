@@ -3,12 +3,13 @@
 Character 1- to 3-grams of the lower-cased whole text are hashed into BUCKETS. Document frequencies
 are counted over all rows that may teach, in one pass that sums per task before it shuffles. The
 weights are fitted by follow-the-regularised-leader with an L1 and an L2 penalty, on at most
-PER_LANGUAGE rows of each language (TRAIN_ROWS in all) chosen by hash; a fifth of these only
+PER_LANGUAGE rows of each language (TRAIN_ROWS, and MOST_ENTRIES counts, in all) chosen by hash; a fifth of these only
 calibrates the temperature of the softmax. Language, source and id are no inputs of a prediction.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if
 no row may teach; with one language, all texts with a letter are of it with score 1; equal texts have
-equal results.
+equal results; of languages that are equally likely the first by name is told; very long texts are taken whole; ids that repeat teach once
+for each row; further columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import hashed_low, held_out, map_texts, slices
 
 BUCKETS = 1 << 14
 PER_LANGUAGE, TRAIN_ROWS, MOST_LANGUAGES = 600, 12_000, 1000
+#: Nonzero n-gram counts of the sample, in all: 8 bytes each where they are gathered.
+MOST_ENTRIES = 24_000_000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 2e-3, 1e-4
 UNKNOWN = "und"
 #: Texts whose n-grams are counted together.
@@ -72,9 +75,12 @@ class Model:
     temperature: float
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        counts = gram_counts(texts) * self.idf
-        norm = np.sqrt(np.einsum("ij,ij->i", counts, counts))
-        z = (counts @ self.weights[:-1] / np.maximum(norm, 1e-12)[:, None] + self.weights[-1]) / self.temperature
+        z = np.zeros((len(texts), len(self.languages)))
+        for i, counts in enumerate(gram_counts(texts)):
+            at = np.flatnonzero(counts)
+            x = counts[at] * self.idf[at]
+            z[i] = x @ self.weights[at] / max(np.sqrt(x @ x), 1e-12)
+        z = (z + self.weights[-1]) / self.temperature
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
@@ -119,7 +125,11 @@ def sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[t
             yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__lang"), *packed], names=["id", "lang", "at", "n"])
 
     id_type = texts.schema["__id"].dataType.simpleString()
-    got = texts.mapInArrow(run, f"id {id_type}, lang string, at binary, n binary").orderBy(F.xxhash64("id", F.lit(9)), "id", "lang", "at").limit(2 * TRAIN_ROWS).collect()
+    vectors = texts.mapInArrow(run, f"id {id_type}, lang string, at binary, n binary")
+    before = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(5)), "id", "at")  # about PER_LANGUAGE rows
+    entries = F.sum(F.length("at") / 4).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    vectors = vectors.withColumn("entries", entries).where(F.col("entries") <= MOST_ENTRIES / max(languages, 1)).drop("entries")
+    got = vectors.orderBy(F.xxhash64("id", F.lit(9)), "id", "lang", "at").limit(2 * TRAIN_ROWS).collect()
     return [(r["lang"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4").astype(np.float64)) for r in got]
 
 

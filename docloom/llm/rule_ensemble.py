@@ -7,7 +7,9 @@ one Spark column expression, which scores every row in the scan's own stage, wit
 
 The fit uses at most TRAIN_ROWS labelled rows, chosen by hash. Labels, language, source and id are no
 inputs. Defined results: a null text scores as an empty one; with no usable labels every score is 0.5;
-with one class only, the score is that class's smoothed share; repeated rows score alike.
+with one class only, the score is that class's smoothed share; repeated rows score alike, and of a repeated id each labelled text may teach;
+very long texts are taken whole, in time in proportion to their length; an empty table gives no rows; columns named score or predicted
+are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -116,7 +118,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """Trees and lasso by Spark ML over the bounded sample."""
-    data = checkpoint(training_rows(docs, labels, id_col, text_col, label_col, rows).coalesce(4))
+    # the sample is dealt out after it is made, so that all tasks read for it; sorted, so that the trees do not depend on the order of arrival
+    data = training_rows(docs, labels, id_col, text_col, label_col, rows)
+    data = checkpoint(data.repartition(4, "chars", "words", "upper").sortWithinPartitions(*data.columns))
     total, ones = data.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if ones in (0, total):
         return Model((), math.log((ones + 1) / (total - ones + 1)))
@@ -138,9 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` and score (0 to 1) and predicted (1 if score >= 0.5); columns of these names are replaced."""
     stats = statistics(F.col(f"`{text_col}`").cast("string"))
-    rest = without(docs, "score", "predicted")
-    described = rest.select("*", *[c.alias(f"__{n}") for n, c in stats.items()])
+    document = F.struct(*[F.col(f"`{c}`") for c in without(docs, "score", "predicted").columns])
+    described = docs.select(document.alias("document"), *[c.alias(n) for n, c in stats.items()])
     # a row each: what is asked of the score is not pushed below, where every rule would take its statistics again
-    described = described.withColumn("__stats", F.explode(F.array(F.struct(*[F.col(f"__{n}").alias(n) for n in stats])))).drop(*[f"__{n}" for n in stats])
-    scored = described.withColumn("score", model.score({n: F.col(f"__stats.{n}") for n in stats}))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("__stats")
+    described = described.select("document", F.explode(F.array(F.struct(*stats))).alias("stats"))
+    scored = described.withColumn("score", model.score({n: F.col(f"stats.{n}") for n in stats}))
+    return scored.select("document.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -10,7 +10,9 @@ what it finds, is one narrow stage over whole texts.
 Without a table of labelled findings, ``labelled_findings`` makes one: snippets whose label is known
 from how they were written (keys and passwords; against hashes, identifiers, placeholders, prose).
 
-Defined results: null and empty texts have no findings; findings of a text never overlap (the first
+Labels owe nothing to the texts that are scanned: names, values, paths and what surrounds them are drawn at random.
+
+Defined results: null and empty texts have no findings; a very long text, and a value however long, is taken whole, in time in proportion to it; findings of a text never overlap (the first
 pattern that takes a stretch keeps it); offsets count code points; equal texts and paths have equal
 findings; a null path is empty.
 """
@@ -21,6 +23,7 @@ import math
 import random
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -105,7 +108,7 @@ def features(value: str, before: str, after: str, path: str, known: bool, assign
     """The FEATURES of one candidate."""
     n, low = len(value), value.lower()
     kinds = [_kind(c) for c in value]
-    counts = [value.count(c) for c in set(value)]
+    counts = Counter(value).values()
     letters = [(ord(a) - 97, ord(b) - 97) for a, b in zip(low, low[1:], strict=False) if "a" <= a <= "z" and "a" <= b <= "z"]
     pairs = _pairs()
     longest = max(len(m[0]) for m in re.finditer(r"(.)\1*", value, re.DOTALL))
@@ -126,7 +129,7 @@ def features(value: str, before: str, after: str, path: str, known: bool, assign
         float(bool(assigned)),
         float(before[-1:] in "\"'`" and before != "" and after[:1] in "\"'`"),
         longest / n,
-        len(set(value)) / n,
+        len(counts) / n,
         float(any(k in close for k in SECRET_NAMES)),
         float(bool(near & HASH_WORDS)),
         float(bool(near & PLACEHOLDERS)),
@@ -148,18 +151,30 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
     for m in BARE.finditer(text):
         if any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0])):
             found.append((*m.span(), "bare", ""))
-    order = {"known": 0, "assigned": 1, "bare": 2}
     kept: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
-    names = [(s, e, n) for s, e, p, n in found if p == "assigned"]
-    for start, end, pattern, name in sorted(found, key=lambda f: (order[f[2]], f[0])):
-        if any(a < end and start < b for a, b in taken):
-            continue
+    for pattern in ("known", "assigned", "bare"):  # in this order a stretch is taken; matches of one pattern do not overlap
+        own = [f for f in found if f[2] == pattern]
+        kept = sorted(kept + _apart(own, kept)) if kept else own
+    assigned = [f for f in found if f[2] == "assigned"]
+    named, k = [], 0
+    for start, end, pattern, name in kept:
         if pattern == "known":
-            name = next((n for s, e, n in names if s < end and start < e), "")
-        taken.append((start, end))
-        kept.append((start, end, pattern, name))
-    return sorted(kept)
+            while k < len(assigned) and assigned[k][1] <= start:
+                k += 1
+            name = assigned[k][3] if k < len(assigned) and assigned[k][0] < end else ""
+        named.append((start, end, pattern, name))
+    return named
+
+
+def _apart(found: list[tuple[int, int, str, str]], taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Those found that overlap nothing that is taken; both are in order and free of overlaps, so one pass will do."""
+    out, k = [], 0
+    for f in found:
+        while k < len(taken) and taken[k][1] <= f[0]:
+            k += 1
+        if k == len(taken) or taken[k][0] >= f[1]:
+            out.append(f)
+    return out
 
 
 def _described(text: str, path: str) -> tuple[list[tuple[int, int, str, str]], np.ndarray]:
@@ -221,16 +236,18 @@ def _snippet(seed: int) -> tuple[str, str, int]:
     def some(alphabet: str, n: int) -> str:
         return "".join(rng.choice(alphabet) for _ in range(n))
 
-    word = lambda: some("aeiourstnlhdcm", rng.randint(2, 12))
+    word = lambda: "".join(some(rng.choice(("bcdfghklmnprstvw", "rstnlhdcm")), rng.randint(0, 2)) + some("aeiou", rng.randint(1, 2)) for _ in range(rng.randint(1, 4))) + some("nrstld", rng.randint(0, 1))
     hexes = lambda n: (some("0123456789abcdef", n) if rng.random() < 0.75 else some("0123456789ABCDEF", n))
     mixed, b64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     before, after = " ".join(word() for _ in range(rng.randint(0, 6))), " ".join(word() for _ in range(rng.randint(0, 6)))
     names = ["token", "api_key", "secret", "password", "access_token", "auth_token", "client_secret", "aws_secret_access_key", "apiKey", "db_password", "authToken", "private_key", "passwd"]
     name = rng.choice(names)
     name = name.upper() if rng.random() < 0.3 else name
-    forms = ['{n} = "{v}"', "{n}: {v}", "{n}={v}", '"{n}": "{v}"', "{n} => '{v}'", "export {n}={v}", '{n} = "{v}"!!', '{n} = "{v}"###', "{n} {v}"]
-    path = rng.choice(["", "", "src12", "app/settings.py", "deploy/.env", "src/main.go", "web", "conf/prod.yaml"])
-    quiet = rng.choice(["", "", "src7", "tests/fixtures/a.txt", "docs/readme.md", "CHANGELOG", "package-lock.json"])
+    mark = lambda: some("!?.,;:#*%&$-", rng.randint(0, 4))  # noqa: E731  # whatever may follow a value or a word
+    forms = ['{n} = "{v}"', "{n}: {v}", "{n}={v}", '"{n}": "{v}"', "{n} => '{v}'", "export {n}={v}", '{n} = "{v}"' + mark(), "{n} := `{v}`" + mark(), "{n} {v}"]
+    anywhere = ["", "", some(string.ascii_lowercase, rng.randint(2, 8)), some(string.ascii_lowercase, 3) + str(rng.randint(0, 99))]
+    path = rng.choice([*anywhere, "app/settings.py", "deploy/.env", "src/main.go", "web", "conf/prod.yaml"])
+    quiet = rng.choice([*anywhere, "tests/fixtures/a.txt", "docs/readme.md", "CHANGELOG", "package-lock.json"])
     uuid = "-".join(hexes(n).lower() for n in (8, 4, 4, 4, 12))
     if seed % 2:
         value = rng.choice(
@@ -266,7 +283,7 @@ def _snippet(seed: int) -> tuple[str, str, int]:
         joined = rng.choice(["".join(p.capitalize() for p in parts), "_".join(parts), "-".join(parts), ".".join(parts)]) + rng.choice(["", "2", "V1", "_12"])
         text = rng.choice([*forms, "{n} {v}"]).format(n=name, v=joined + "x1" * (len(joined) < 8))
     elif kind == 4:
-        text = rng.choice(["{n}: {w}{w}", "{n} = {w}{w}", "the {n} {w}{w}.", "{n} {w}{w}***", "{n} {w}{w},", "{n}: {w}{w}%%%"]).replace("{n}", rng.choice(["token", "secret", "password", "author:", "auth", "authority"]))
+        text = rng.choice(["{n}: {w}{w}", "{n} = {w}{w}", "the {n} {w}{w}.", "{n} {w}{w},"] + ["{n} {w}{w}" + mark(), "{n}: {w}{w}" + mark()]).replace("{n}", rng.choice(["token", "secret", "password", "author:", "auth", "authority"]))
     else:
         text = rng.choice(["{w}_{d}_{w}_{w}_{d}", "section_{d}_of_the_document_{d}", "{w}{w}{w}{w}{d}", "{w}/{w}/{w}/{w}{d}", "IMG_{d}_{w}_{w}_copy", "-------------------{d}a", "==================={w}{d}"])
     fill = {"h32": hexes(32), "h40": hexes(40), "h64": hexes(64), "u": uuid, "b": some(b64, rng.randint(40, 120)) + "="}
@@ -320,10 +337,12 @@ def redacted_text(text: str | None, path: str, forest: Forest, least: float = 0.
     if not text:
         return text
     found, x = _described(text, path)
-    for (start, end, _, _), y in sorted(zip(found, forest.score(x), strict=True), reverse=True):
+    out, at = [], 0
+    for (start, end, _, _), y in zip(found, forest.score(x), strict=True):
         if y >= least:
-            text = text[:start] + REDACTED + text[end:]
-    return text
+            out += [text[at:start], REDACTED]
+            at = end
+    return "".join([*out, text[at:]])
 
 
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = "source", least: float = 0.5) -> DataFrame:
