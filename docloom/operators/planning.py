@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -18,6 +18,24 @@ CHUNK_CHARS, CHUNK_ITEMS, DIRECT_CHARS, MOST_CHUNKS = 18_000, 24, 60_000, 255
 FACTS, FACT_CHARS, RELATED, FALLBACK = 64, 12_000, 16, 8
 
 
+# The keyword topics of contract clauses, with the query that each is looked up by.
+TOPICS = (
+    ("格式条款", r"格式条款|免责|免除.{0,12}责任|减轻.{0,12}责任|限制.{0,12}权利|排除.{0,12}权利", "格式条款 提示说明义务 免除减轻责任 限制排除主要权利"),
+    ("违约金", r"违约金", "违约金 过分高于损失 调整"),
+    ("定金", r"定金", "定金 主合同标的额 百分之二十"),
+    ("合同生效", r"合同生效|生效日期|批准|审批", "合同生效 批准手续"),
+    ("合同履行", r"全面履行|履行义务|通知|协助|保密", "合同全面履行 诚信 通知 协助 保密"),
+    ("违约责任", r"违约责任|不履行|补救措施|赔偿损失", "不履行合同义务 继续履行 补救措施 赔偿损失"),
+    ("合同形式", r"书面形式|电子邮件|数据电文|传真|电报", "合同书面形式 数据电文 电子邮件"),
+    ("合同成立", r"合同成立|标的和数量", "合同成立 当事人名称 标的 数量"),
+)
+
+
+def topic_table(spark: SparkSession) -> DataFrame:
+    """(topic, pattern, query) of the fixed topics."""
+    return spark.createDataFrame(list(TOPICS), "topic string, pattern string, query string")
+
+
 def topics(texts: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
     """The texts with each topic (topic, pattern) whose pattern they hold; patterns are configuration and are broadcast."""
     return texts.join(F.broadcast(patterns.select("topic", "pattern")), F.expr(f"{text_col} rlike pattern"))
