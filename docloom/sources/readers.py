@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -93,12 +94,64 @@ def residue(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tmp").load(folder).select("path", "length", "modificationTime")
 
 
+def publish(rows: DataFrame, path: str) -> str:
+    """Write a new version beside the ones there are, then point to it in one step; returns the version's folder.
+
+    The pointer is a small file that is renamed over the old one, so a reader finds the old version or the new one, never none, and a failed
+    write changes nothing. The version before stays, for readers that are still at it; older ones are removed."""
+    spark = rows.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    files = fs.Path(path).getFileSystem(conf)
+    before = _version(spark, path)
+    version = f"v-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{version}")
+    staged, pointer = fs.Path(f"{path}/_pointer-{version}"), fs.Path(f"{path}/_current")
+    out = files.create(staged, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    option = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = option
+    context = fs.FileContext.getFileContext(files.getUri(), conf)
+    context.rename(files.makeQualified(staged), files.makeQualified(pointer), options)
+    for status in files.listStatus(fs.Path(path)):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            files.delete(status.getPath(), True)
+    return f"{path}/{version}"
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    jvm = spark.sparkContext._jvm
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    files = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(pointer):
+        return None
+    stream = files.open(pointer)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table that was published."""
+    version = _version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"nothing has been published at {path}")
+    return spark.read.parquet(f"{path}/{version}")
+
+
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Write beside the table, then put the new one in its place; a failed write leaves the old one as it was."""
+    """Write beside the table, then put the new one in its place; a failed write leaves the old one as it was. Between the two renames there is
+    no table for a moment, and readers at work lose their files: where that matters, use ``publish``."""
     spark = rows.sparkSession
     jvm = spark.sparkContext._jvm
     target, staged, old = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".new", ".old"))
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target) and files.exists(old):  # an earlier replacement was broken off between its renames
+        files.rename(old, target)
     files.delete(staged, True)
     rows.write.parquet(path + ".new")
     files.delete(old, True)
