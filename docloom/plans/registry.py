@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contracts, documents, findings, retrieval, reviews
+from . import contracts, documents, findings, retrieval, reviews, workflows
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    return documents.QUERIES | contracts.QUERIES | findings.QUERIES | retrieval.QUERIES | reviews.QUERIES
+    return documents.QUERIES | contracts.QUERIES | findings.QUERIES | retrieval.QUERIES | reviews.QUERIES | workflows.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
