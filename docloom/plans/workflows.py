@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import artifacts, batch, corpus, extraction, ingest, planning, quality, retrieval, review, rules, workflow
@@ -10,14 +10,17 @@ from .reviews import _pick, _pick_sql
 from .tables import table
 
 TOP = 5
-K = F.col("k")
+
+
+def _k() -> Column:
+    return F.col("k")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("o_custkey as job_id", "o_orderkey as k", "o_orderstatus as s")
 
 
-def _nothing() -> F.Column:
+def _nothing() -> Column:
     return F.expr("cast(array() as array<string>)")
 
 
@@ -57,7 +60,7 @@ def import_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC11, JN4: nations as records to import, some of which are stored, with the same content or another."""
     nations = table(spark, sf_dir, "nation").selectExpr("concat('a', n_regionkey) as authority_id", "concat('v', n_nationkey) as version_id", "n_nationkey as k", "concat('title ', n_regionkey) as identity", "sha2(n_name, 256) as content")
     regions = table(spark, sf_dir, "region").selectExpr("concat('a', r_regionkey) as authority_id", "if(r_regionkey = 3, 'another title', concat('title ', r_regionkey)) as identity")
-    stored = nations.where("k % 3 = 0").select("authority_id", "version_id", F.when(K % 2 == 0, F.col("content")).otherwise("old").alias("content"))
+    stored = nations.where("k % 3 = 0").select("authority_id", "version_id", F.when(_k() % 2 == 0, F.col("content")).otherwise("old").alias("content"))
     return corpus.import_plan(nations, regions, stored).select("authority_id", "version_id", "outcome")
 
 
@@ -113,8 +116,8 @@ def benchmark_pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "p_size", "p_brand")
     check = lambda name, pointer, comparison, expected, tolerance="cast(null as double)": f"named_struct('assertion_id', '{name}', 'pointer', '{pointer}', 'comparison', '{comparison}', 'expected', {expected}, 'tolerance', {tolerance})"
     expectations = F.expr(f"array({check('size', '/a/size', 'NUMERIC_WITHIN', "'25'", 'double(20)')}, {check('brand', '/brand', 'EXACT', "to_json(p_brand_json)")}, {check('tags', '/tags', 'SET_CONTAINS', "'[1]'")})".replace("to_json(p_brand_json)", "concat('\"', p_brand, '\"')"))
-    cases = parts.select(K.alias("case_id"), _pick(K, "OCR", "DETERMINISTIC_RULE", "LEGAL_RETRIEVAL").alias("task_type"), expectations.alias("expectations"))
-    documents = parts.where("k % 11 <> 0").select(K.alias("case_id"), F.to_json(F.expr("named_struct('a', named_struct('size', p_size), 'brand', if(k % 5 = 0, 'none', p_brand), 'tags', array(k % 2, 2))")).alias("observed"))
+    cases = parts.select(_k().alias("case_id"), _pick(_k(), "OCR", "DETERMINISTIC_RULE", "LEGAL_RETRIEVAL").alias("task_type"), expectations.alias("expectations"))
+    documents = parts.where("k % 11 <> 0").select(_k().alias("case_id"), F.to_json(F.expr("named_struct('a', named_struct('size', p_size), 'brand', if(k % 5 = 0, 'none', p_brand), 'tags', array(k % 2, 2))")).alias("observed"))
     out = quality.pass_rates(quality.evaluate_benchmark(cases, documents))
     return out.select(F.round("case_pass_rate", 6).alias("case_pass_rate"), F.round("assertion_pass_rate", 6).alias("assertion_pass_rate"), "task_families")
 
@@ -126,8 +129,8 @@ select round(avg(cast(a and b and c as double)), 6) as case_pass_rate, round(avg
 def validated_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN21, FN22: both reviewers' outputs checked against what they were given."""
     rows = _orders(spark, sf_dir).select(
-        K.alias("issue_id"), _pick(K, "SUPPORTED_FINDING", "NO_MATERIAL_RISK_FOUND", "REVIEW_REQUIRED").alias("state"), _some(("c1", K % 5 != 0), ("c9", K % 23 == 0)).alias("contract_ids"), _some(("l1", K % 7 != 0), ("l9", K % 29 == 0)).alias("legal_ids"), (K % 2 == 0).alias("legal_conclusion"),
-        _pick(F.floor(K / 2), "EVIDENCE_FOUND", "EVIDENCE_FOUND_WITH_LIMITATIONS", "NO_MATCH_IN_LOCAL_CORPUS", "VERSION_REVIEW_REQUIRED", "EVIDENCE_FOUND").alias("support_state"), F.array(F.lit("c1")).alias("allowed_contract"), F.array(F.lit("l1")).alias("allowed_legal"), (K % 13 == 0).alias("any_uncertain"), (K % 17).alias("targets"),
+        _k().alias("issue_id"), _pick(_k(), "SUPPORTED_FINDING", "NO_MATERIAL_RISK_FOUND", "REVIEW_REQUIRED").alias("state"), _some(("c1", _k() % 5 != 0), ("c9", _k() % 23 == 0)).alias("contract_ids"), _some(("l1", _k() % 7 != 0), ("l9", _k() % 29 == 0)).alias("legal_ids"), (_k() % 2 == 0).alias("legal_conclusion"),
+        _pick(F.floor(_k() / 2), "EVIDENCE_FOUND", "EVIDENCE_FOUND_WITH_LIMITATIONS", "NO_MATCH_IN_LOCAL_CORPUS", "VERSION_REVIEW_REQUIRED", "EVIDENCE_FOUND").alias("support_state"), F.array(F.lit("c1")).alias("allowed_contract"), F.array(F.lit("l1")).alias("allowed_legal"), (_k() % 13 == 0).alias("any_uncertain"), (_k() % 17).alias("targets"),
     )
     rows = rows.withColumn("sufficiency", review.evidence_sufficiency(F.col("targets"), F.col("any_uncertain"), F.col("support_state")))
     out = review.validate_primary(rows).withColumnRenamed("added_reasons", "primary_reasons").withColumnRenamed("rejected", "primary_rejected")
@@ -159,7 +162,7 @@ select k as issue_id, sufficiency, rej as primary_rejected, final_state, final_c
 def job_architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN29, SM3-SM5, RM20: architecture, status after a restart and gate of jobs."""
     new, old = artifacts.ISSUE_STAGES[0], artifacts.LEGACY_STAGES[0]
-    rows = _orders(spark, sf_dir).select(K.alias("job_id"), _some((new, K % 3 == 0), (old, K % 7 == 0)).alias("stages"), _some((new, K % 5 == 0), (old, K % 4 == 0)).alias("files"), (K % 11 == 0).alias("record"), (K % 2 == 0).alias("ok"), _pick(K, "RUNNING", "COMPLETE", "CANCEL_REQUESTED", "FAILED").alias("status"), _pick(K, "AUTO", "REQUIRE_APPROVAL", "LOCAL_ONLY").alias("mode"))
+    rows = _orders(spark, sf_dir).select(_k().alias("job_id"), _some((new, _k() % 3 == 0), (old, _k() % 7 == 0)).alias("stages"), _some((new, _k() % 5 == 0), (old, _k() % 4 == 0)).alias("files"), (_k() % 11 == 0).alias("record"), (_k() % 2 == 0).alias("ok"), _pick(_k(), "RUNNING", "COMPLETE", "CANCEL_REQUESTED", "FAILED").alias("status"), _pick(_k(), "AUTO", "REQUIRE_APPROVAL", "LOCAL_ONLY").alias("mode"))
     return rows.select("job_id", artifacts.architecture(F.col("stages"), F.col("files"), F.col("record"), F.col("ok")).alias("architecture"), artifacts.reconciled(F.col("status")).alias("after_restart"), artifacts.migratable(F.col("status")).alias("migratable"), artifacts.provider_gate(F.col("status") == "CANCEL_REQUESTED", F.col("mode"), F.col("ok")).alias("gate"))
 
 
@@ -217,7 +220,7 @@ from drafts join (select lang, sum(n_chars) as total, cast(least(180, greatest(2
 
 def severity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG8: severities of a customer's supported findings."""
-    rows = _orders(spark, sf_dir).select("job_id", _pick(K, "SUPPORTED_FINDING", "NO_FINDING").alias("state"), F.when(K % 9 != 0, _pick(F.floor(K / 2), "INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")).alias("severity"))
+    rows = _orders(spark, sf_dir).select("job_id", _pick(_k(), "SUPPORTED_FINDING", "NO_FINDING").alias("state"), F.when(_k() % 9 != 0, _pick(F.floor(_k() / 2), "INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")).alias("severity"))
     return batch.severity_histogram(rows, "job_id")
 
 
@@ -238,10 +241,10 @@ select job_id, max(case when p % 3 <> 2 then [{", ".join(map(str, workflow.PROGR
 
 def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EX14, EX15: lines with cells, and warnings of jobs without a title or with mentions that are not resolved."""
-    orders = _orders(spark, sf_dir).select(K.alias("job_id"), "k")
-    units = orders.select("job_id", F.when(K % 4 == 0, F.lit("a\tb\t")).when(K % 4 == 1, F.lit("\t\tx")).otherwise("plain").alias("unit_text"))
+    orders = _orders(spark, sf_dir).select(_k().alias("job_id"), "k")
+    units = orders.select("job_id", F.when(_k() % 4 == 0, F.lit("a\tb\t")).when(_k() % 4 == 1, F.lit("\t\tx")).otherwise("plain").alias("unit_text"))
     cells = extraction.table_candidates(units).groupBy("job_id").agg(F.max("cells").alias("cells"))
-    mentions = orders.where("k % 3 = 0").select("job_id", _pick(K, "PARTY", "DATE", "MONEY").alias("type"), F.concat(F.lit("m-"), K.cast("string")).alias("mention_id"), _pick(F.floor(K / 3), "RESOLVED", "UNRESOLVED").alias("resolution_state"))
+    mentions = orders.where("k % 3 = 0").select("job_id", _pick(_k(), "PARTY", "DATE", "MONEY").alias("type"), F.concat(F.lit("m-"), _k().cast("string")).alias("mention_id"), _pick(F.floor(_k() / 3), "RESOLVED", "UNRESOLVED").alias("resolution_state"))
     low = orders.where("k % 13 = 0").select("job_id", F.lit("unit-1").alias("unit_id"))
     told = extraction.warnings(orders.select("job_id"), orders.where("k % 5 <> 0").select("job_id"), orders.where("k % 7 <> 0").select("job_id"), mentions, low)
     return told.select("job_id", "warning_id", "code", "subject").join(cells, "job_id", "left")
@@ -270,7 +273,7 @@ select * from r where rank <= 8"""
 
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG5, FN26: results of rules counted by job after poor sources have turned them into reviews."""
-    rows = _orders(spark, sf_dir).select("job_id", _pick(K, "PASS", "FAIL", "REVIEW", "NOT_APPLICABLE").alias("state"), (K % 6 == 0).alias("low_confidence"), _nothing().alias("review_reasons"), F.lit(None).cast("string").alias("severity"))
+    rows = _orders(spark, sf_dir).select("job_id", _pick(_k(), "PASS", "FAIL", "REVIEW", "NOT_APPLICABLE").alias("state"), (_k() % 6 == 0).alias("low_confidence"), _nothing().alias("review_reasons"), F.lit(None).cast("string").alias("severity"))
     done = rules.finalized(rows)
     errors = done.groupBy("job_id").agg(F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARNING").alias("warnings"))
     return rules.counts(done, "job_id").join(errors, "job_id")
