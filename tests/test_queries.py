@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import harness
 import pytest
 
@@ -21,3 +25,8 @@ def test_entry(spark, small):
 
     assert set(registry.queries()) <= set(__spark_entry__.queries())
     assert registry.flagship(spark, small).columns == ["query_id", "doc_id", "final_rank", "exact_hit", "fused_score"]
+
+
+def test_modules_are_imported_without_a_session():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 0"], cwd=root, check=True)
