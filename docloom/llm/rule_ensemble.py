@@ -118,9 +118,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """Trees and lasso by Spark ML over the bounded sample."""
-    # the sample is dealt out after it is made, so that all tasks read for it; sorted, so that the trees do not depend on the order of arrival
+    # the sample is dealt out after it is made, so that all tasks read for it, then gathered in a few partitions, as the fits pass over them
+    # many times; sorted, so that the trees do not depend on the order of arrival
     data = training_rows(docs, labels, id_col, text_col, label_col, rows)
-    data = checkpoint(data.repartition(4, "chars", "words", "upper").sortWithinPartitions(*data.columns))
+    data = checkpoint(data.repartition("chars", "words", "upper").coalesce(4).sortWithinPartitions(*data.columns))
     total, ones = data.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if ones in (0, total):
         return Model((), math.log((ones + 1) / (total - ones + 1)))
