@@ -7,18 +7,24 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint, shared_folder
 
-__all__ = ["SLICE_BYTES", "checkpoint", "crc32_of_id", "held_out", "hashed_low", "map_texts", "packed", "runs", "shared_folder", "slices", "utf8", "with_fields", "without"]
+__all__ = ["SLICE_BYTES", "checkpoint", "crc32_of_id", "held_out", "hashed_low", "map_texts", "packed", "remove", "runs", "shared_folder", "slices", "utf8", "with_fields", "without"]
 
 #: Text bytes that a task works on at once; an Arrow batch of long texts is cut into slices of about this size.
 SLICE_BYTES = 8 << 20
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of our own, wherever it lies, when what it holds is used up."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc32_of_id(id_col: str):
     """crc32 of the id written as text; it decides which rows may teach a model."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))

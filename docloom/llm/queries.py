@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, html_density, language_id, multi_index, ngram_join, pfair_mixing, preference, rule_ensemble, secret_scan
+from . import audio, bpe, html_density, language_id, multi_index, ngram_join, pfair_mixing, preference, rule_ensemble, secret_scan, square_runs, stratified_search
 from .common import held_out
 
 #: A vocabulary file of the public_tokenizers package; any rank file of a byte-level BPE will do.
@@ -118,6 +118,38 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mixing.mix(docs).select("doc_id", "source", "block", "slot", "place", "release", "deadline")
 
 
+def op11_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stratified_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = """
+with words as (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from documents),
+asked as (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark),
+sizes as (select doc_id, count(*) as n from words group by doc_id),
+whole as (select count(*) as docs, cast(sum(n) as bigint) as len from sizes),
+normed as (select doc_id, 75 + (25 * n * docs) // len as m from sizes, whole),
+held as (select doc_id, term, count(*) as tf from words where term in (select term from asked) group by doc_id, term),
+weights as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from held, whole group by term, docs),
+times as (select item_id, term, count(*) as k from asked group by item_id, term),
+scored as (
+    select t.item_id, h.doc_id, cast(sum(t.k * w.w * ((1000000000 * h.tf) // (1000 * h.tf + 12 * d.m))) as bigint) as score
+    from times t join held h on h.term = t.term join weights w on w.term = t.term join normed d on d.doc_id = h.doc_id
+    group by t.item_id, h.doc_id),
+ranked as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 20
+"""
+
+
+def op13_square_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = square_runs.runs_of(square_runs.with_planted_runs(_table(spark, sf_dir, "documents")))
+    n_runs = F.size("runs").cast("long").alias("n_runs")
+    return found.select("doc_id", n_runs, "start", "length", "period", "exponent_milli", "runs_sha256", F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_rule_ensemble,
@@ -130,9 +162,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_byte_bpe,
         op9_ngram_join,
         op10_pfair_mixing,
+        op11_stratified_search,
+        op13_square_runs,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preference": OP3_SQL}
+    return {"op3_preference": OP3_SQL, "op11_stratified_search": OP11_SQL}
