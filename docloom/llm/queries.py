@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, html_density, language_id, multi_index, ngram_join, pfair_mixing, preference, rule_ensemble, secret_scan, square_runs, stratified_search
+from . import audio, bpe, html_density, language_id, multi_index, ngram_join, packing, pfair_mixing, preference, rule_ensemble, secret_scan, square_runs, stratified_search
 from .common import held_out
 
 #: A vocabulary file of the public_tokenizers package; any rank file of a byte-level BPE will do.
 RANK_FILE = "byte_bpe_50k.tiktoken"
+#: The tokenizer file of the same vocabulary.
+TOKENIZER_FILE = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,6 +146,14 @@ select item_id, rank, doc_id, score from ranked where rank <= 20
 """
 
 
+def op12_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces with a checksum in place of their ids."""
+    import public_tokenizers
+
+    out = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_FILE), public_tokenizers.path(RANK_FILE))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op13_square_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = square_runs.runs_of(square_runs.with_planted_runs(_table(spark, sf_dir, "documents")))
     n_runs = F.size("runs").cast("long").alias("n_runs")
@@ -163,6 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_ngram_join,
         op10_pfair_mixing,
         op11_stratified_search,
+        op12_nnls_packing,
         op13_square_runs,
     )
     return {f.__name__: f for f in found}
