@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ISSUE_STAGES = ("AUDIT_PLAN", "LEGAL_CONTEXT", "PRIMARY_ISSUE_AUDIT", "SECONDARY_ISSUE_REVIEW", "ISSUE_REPORT")
-LEGACY_STAGES = ("AI_AUDIT", "SECONDARY_REVIEW", "REVIEW_REPORT")
+# Stages of jobs of the present and of the legacy architecture.
+ISSUE_STAGES = ("AUDIT_PLAN", "ISSUE_LEGAL_CONTEXT", "ISSUE_PRIMARY_AUDIT", "ISSUE_SECONDARY_REVIEW", "ISSUE_REVIEW_REPORT")
+LEGACY_STAGES = ("PRIMARY_AUDIT", "SECONDARY_REVIEW", "REVIEW_REPORT")
 
 
 def freshness(artifacts: DataFrame, upstream: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import scan
 
 # Hosts that count as official sources.
 OFFICIAL_HOSTS = "flk.npc.gov.cn www.npc.gov.cn npc.gov.cn www.court.gov.cn court.gov.cn gongbao.court.gov.cn cicc.court.gov.cn www.gov.cn gov.cn www.cac.gov.cn cac.gov.cn".split()
@@ -15,13 +18,57 @@ def applies(as_of: Column, start: Column, end: Column) -> Column:
     return (start <= as_of) & (end.isNull() | (as_of < end))
 
 
-def resolve_versions(requests: DataFrame, versions: DataFrame, request_keys: list[str]) -> DataFrame:
-    """Per request (authority_id, as_of): hits, state and version. The join is on the authority with the interval as a residual, so it is never a product."""
-    r, v = requests.alias("r"), versions.select("authority_id", "version_id", "effective_date", "end_date_exclusive").alias("v")
-    hit = (F.col("r.authority_id") == F.col("v.authority_id")) & applies(F.col("r.as_of"), F.col("v.effective_date"), F.col("v.end_date_exclusive"))
-    joined = r.join(v, hit, "left").select("r.*", "v.version_id", "v.effective_date")
-    found = F.transform(F.array_sort(F.collect_list(F.when(F.col("version_id").isNotNull(), F.struct("effective_date", "version_id")))), lambda x: x["version_id"])
-    out = joined.groupBy(*request_keys).agg(F.count("version_id").alias("hits"), found.alias("candidates"))
+class _Open:
+    """The rule of the resolution scan: a state is the versions that are open (effective date, id, how often); an effect is what it opens and closes."""
+
+    def start(self) -> dict[tuple, int]:
+        return {}
+
+    def effect(self, effect, rows: list[tuple]):
+        effect = effect or {}
+        for _, kind, version, _ in rows:
+            if kind != ASKED:
+                key = (version["effective_date"], version["version_id"])
+                effect[key] = effect.get(key, 0) + (1 if kind == STARTS else -1)
+        return effect
+
+    def after(self, state, effect):
+        counts = {k: state.get(k, 0) + effect.get(k, 0) for k in state.keys() | effect.keys()}
+        return {k: n for k, n in counts.items() if n}
+
+    def run(self, state, rows: list[tuple]):
+        out = []
+        for at, kind, version, _ in rows:
+            if kind == ASKED:
+                out.append(([v for (_, v), n in sorted(state.items()) for _ in range(n)] if at is not None else [],))
+                continue
+            key = (version["effective_date"], version["version_id"])
+            state[key] = state.get(key, 0) + (1 if kind == STARTS else -1)
+            if not state[key]:
+                del state[key]
+            out.append(None)
+        return state, out
+
+
+#: Order of what happens on one day: a version that ends is closed, one that starts is open, then comes who asks.
+ENDS, STARTS, ASKED = 0, 1, 2
+
+
+def resolve_versions(requests: DataFrame, versions: DataFrame, request_keys: list[str], partitions: int | None = None) -> DataFrame:
+    """Per request (authority_id, as_of): hits, candidates, state and version.
+
+    Requests and the days on which versions begin and end are put in one order and scanned by ranges of (authority, day), with the open versions
+    carried from task to task: nothing is joined on the authority, and an authority with any share of the rows is spread over many tasks."""
+    day = versions.schema["effective_date"].dataType
+    version = F.struct("effective_date", F.col("version_id").cast("string").alias("version_id"))
+    valid = versions.where(F.col("effective_date").isNotNull() & F.col("authority_id").isNotNull() & (F.col("end_date_exclusive").isNull() | (F.col("effective_date") < F.col("end_date_exclusive"))))
+    asked = requests.select("authority_id", F.col("as_of").cast(day).alias("at"), F.struct(*request_keys).alias("request")).distinct()
+    nothing = F.lit(None).cast(asked.schema["request"].dataType).alias("request")
+    change = lambda rows, at, kind: rows.select("authority_id", F.col(at).cast(day).alias("at"), F.lit(kind).alias("kind"), version.alias("version"), nothing)
+    events = change(valid, "effective_date", STARTS).unionByName(change(valid.where("end_date_exclusive is not null"), "end_date_exclusive", ENDS))
+    events = events.unionByName(asked.withColumn("kind", F.lit(ASKED)).withColumn("version", F.lit(None).cast(events.schema["version"].dataType)))
+    found = scan.carried_scan(events, ["authority_id"], ["at", "kind"], ["version", "request"], "candidates array<string>", _Open(), partitions)
+    out = found.select("request.*", F.size("candidates").cast("long").alias("hits"), F.col("candidates").cast(T.ArrayType(versions.schema["version_id"].dataType)).alias("candidates"))
     out = out.withColumn("state", F.when(F.col("hits") == 0, "NO_APPLICABLE_VERSION").when(F.col("hits") > 1, "AMBIGUOUS").otherwise("RESOLVED"))
     return out.withColumn("version_id", F.when(F.col("hits") == 1, F.try_element_at("candidates", F.lit(1))))
 
@@ -63,9 +110,9 @@ def validate_records(records: DataFrame, parsed: DataFrame, allow_non_official:
     issue = lambda cond, code, critical=True: F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(critical).alias("critical")))
     issues = F.array(
         issue(~official(F.col("source_refs")), "UNRECOGNIZED_SOURCE_HOST", not allow_non_official),
-        issue(F.col("snapshot_text").isNull(), "SNAPSHOT_UNREADABLE"),
+        issue(F.col("snapshot_text").isNull(), "SNAPSHOT_READ_FAILED"),
         issue(F.sha2(snapshot(F.col("snapshot_text")), 256) != F.col("expected_source_sha256"), "SOURCE_HASH_MISMATCH"),
-        issue(F.col("empty") > 0, "PARSE_FAILED"),
+        issue(F.col("empty") > 0, "ARTICLE_PARSE_FAILED"),
         issue(F.col("twice") > 0, "DUPLICATE_ARTICLE_TOKEN"),
         issue(F.col("articles") != F.col("expected_article_count"), "ARTICLE_COUNT_MISMATCH"),
     )
@@ -73,12 +120,28 @@ def validate_records(records: DataFrame, parsed: DataFrame, allow_non_official:
     return out.withColumn("accepted", ~F.exists("issues", lambda i: i["critical"]))
 
 
+# Codes of what an import may not overwrite.
+AUTHORITY_CONFLICT, VERSION_CONFLICT, ARTICLE_CONFLICT = "AUTHORITY_IDENTITY_CONFLICT", "SOURCE_VERSION_IDENTITY_CONFLICT", "ARTICLE_IDENTITY_CONFLICT"
+
+
 def import_plan(records: DataFrame, stored_authorities: DataFrame, stored_versions: DataFrame) -> DataFrame:
-    """Per accepted record: NEW, NO_CHANGE or CONFLICT. identity: a string of the authority's fields; content: the version's hash with its articles'."""
+    """Per accepted record (authority_id, version_id, identity, source_sha256, articles): NEW, NO_CHANGE or CONFLICT, with the codes of its conflicts.
+
+    identity: a string of the authority's fields; articles: a digest of its articles' tokens and hashes. A stored version with another source
+    is a conflict of versions; only one with the same source is held against its articles."""
     rows = records.join(stored_authorities.select("authority_id", F.col("identity").alias("old_identity")), "authority_id", "left")
-    rows = rows.join(stored_versions.select("authority_id", "version_id", F.col("content").alias("old_content")), ["authority_id", "version_id"], "left")
-    conflict = (F.col("old_identity") != F.col("identity")) | (F.col("old_content") != F.col("content"))
-    return rows.withColumn("outcome", F.when(F.coalesce(conflict, F.lit(False)), "CONFLICT").when(F.col("old_content").isNotNull(), "NO_CHANGE").otherwise("NEW"))
+    old = stored_versions.select("authority_id", "version_id", F.col("source_sha256").alias("old_source"), F.col("articles").alias("old_articles"))
+    rows = rows.join(old, ["authority_id", "version_id"], "left")
+    same_source = F.col("old_source") == F.col("source_sha256")
+    codes = F.array_compact(
+        F.array(
+            F.when(F.col("old_identity") != F.col("identity"), F.lit(AUTHORITY_CONFLICT)),
+            F.when(~same_source, F.lit(VERSION_CONFLICT)),
+            F.when(same_source & ~F.col("old_articles").eqNullSafe(F.col("articles")), F.lit(ARTICLE_CONFLICT)),
+        )
+    )
+    out = rows.withColumn("conflicts", codes)
+    return out.withColumn("outcome", F.when(F.size("conflicts") > 0, "CONFLICT").when(F.col("old_source").isNotNull(), "NO_CHANGE").otherwise("NEW"))
 
 
 def summary(authorities: DataFrame, versions: DataFrame, articles: DataFrame) -> DataFrame:

@@ -159,12 +159,27 @@ def prefix_budget(facts: DataFrame, keys: list[str], order: list[str], cost: Col
     return rows.where((F.col("running_cost") <= most_chars) & (F.col("position") <= most))
 
 
-def coverage(objects: DataFrame, issues: DataFrame, *keys: str) -> DataFrame:
-    """Every object (keys, object_id) with the issues (keys, issue_id, object_ids) that name it."""
-    named = issues.select(*keys, "issue_id", F.explode("object_ids").alias("object_id"))
-    by = named.groupBy(*keys, "object_id").agg(F.array_sort(F.collect_set("issue_id")).alias("issue_ids"))
-    out = objects.join(by, [*keys, "object_id"], "left")
-    return out.withColumn("state", F.when(F.col("issue_ids").isNull(), "NO_SPECIFIC_ISSUE").otherwise("WITH_ISSUE"))
+# States of an object under an audit plan, and the chunk of a plan that was made at once.
+WITH_ISSUE, NO_ISSUE, DIRECT_CHUNK = "REVIEWED_WITH_ISSUE", "REVIEWED_NO_SPECIFIC_ISSUE", "direct-0001"
+
+
+def coverage(objects: DataFrame, issues: DataFrame, *keys: str, chunks: DataFrame | None = None) -> DataFrame:
+    """Every object (keys, object_id) with the issues (keys, issue_id, object_ids) that name it and the chunks (keys, chunk_id, object_ids) that it was read in; without chunks the plan was made at once."""
+    listed = lambda rows, name: rows.select(*keys, name, F.explode("object_ids").alias("object_id")).groupBy(*keys, "object_id").agg(F.array_sort(F.collect_set(name)).alias(f"{name}s"))
+    out = objects.join(listed(issues, "issue_id"), [*keys, "object_id"], "left")
+    out = out.withColumn("chunk_ids", F.array(F.lit(DIRECT_CHUNK))) if chunks is None else out.join(listed(chunks, "chunk_id"), [*keys, "object_id"], "left")
+    none = F.expr("cast(array() as array<string>)")
+    return out.withColumn("state", F.when(F.col("issue_ids").isNull(), NO_ISSUE).otherwise(WITH_ISSUE)).withColumns({c: F.coalesce(F.col(c).cast("array<string>"), none) for c in ("issue_ids", "chunk_ids")})
+
+
+def coverage_summary(covered: DataFrame, *keys: str) -> DataFrame:
+    """Of covered objects: how many there are, with an issue and without, and whether each was read in a chunk."""
+    return covered.groupBy(*keys).agg(
+        F.count("*").alias("canonical_object_count"),
+        F.count_if(F.col("state") == WITH_ISSUE).alias("reviewed_with_issue_count"),
+        F.count_if(F.col("state") == NO_ISSUE).alias("reviewed_no_specific_issue_count"),
+        F.bool_and(F.size("chunk_ids") > 0).alias("coverage_complete"),
+    )
 
 
 def neighbours(clauses: DataFrame, *keys: str, order: str = "clause_number") -> DataFrame:

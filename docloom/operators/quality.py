@@ -60,7 +60,7 @@ def evaluate_gates(gates: DataFrame, metrics: DataFrame) -> DataFrame:
     """Every gate with its metric's value; a missing metric fails."""
     rows = gates.join(metrics.select("metric_key", "value"), "metric_key", "left")
     out = rows.withColumn("passed", F.coalesce(gate_passed(F.col("operator"), F.col("value"), F.col("threshold")), F.lit(False)))
-    return out.withColumn("reason", F.when(F.col("value").isNull(), "METRIC_MISSING").when(F.col("passed"), "THRESHOLD_MET").otherwise("THRESHOLD_NOT_MET"))
+    return out.withColumn("reason", F.when(F.col("value").isNull(), "METRIC_MISSING").when(F.col("passed"), "PASS").otherwise("THRESHOLD_NOT_MET"))
 
 
 def pointer_path(pointer: Column, indexes: bool = True) -> Column:
@@ -82,6 +82,11 @@ def resolve_pointer(document: Column | str, pointer: Column | str) -> Column:
     return F.coalesce(at(True), at(False))
 
 
+# How an observed value may be compared, and the reason of a match.
+MODES = ("EXACT", "ONE_OF", "SET_EQUALS", "SET_CONTAINS", "NUMERIC_WITHIN", "NORMALIZED_TEXT_EQUALS")
+MATCH = "MATCH"
+
+
 def compare(rows: DataFrame) -> DataFrame:
     """Assertions (comparison, expected and observed as JSON text, tolerance) with passed and reason."""
     c = F.col
@@ -107,7 +112,8 @@ def compare(rows: DataFrame) -> DataFrame:
         .when(mode("NORMALIZED_TEXT_EQUALS", ~(is_text(e) & is_text(o))), "TEXT_COMPARISON_REQUIRES_STRINGS")
         .when(mode("NORMALIZED_TEXT_EQUALS", nfkc(text(e)) != nfkc(text(o))), "NORMALIZED_TEXT_MISMATCH")
     )
-    return rows.withColumn("reason", reason).withColumn("passed", F.col("reason").isNull())
+    reason = reason.when(c("comparison").isin(*MODES), MATCH).otherwise("UNSUPPORTED_COMPARISON_MODE")
+    return rows.withColumn("reason", reason).withColumn("passed", F.col("reason") == MATCH)
 
 
 def evaluate_benchmark(cases: DataFrame, observations: DataFrame) -> DataFrame:
@@ -116,7 +122,7 @@ def evaluate_benchmark(cases: DataFrame, observations: DataFrame) -> DataFrame:
     rows = rows.join(observations.select("case_id", F.col("observed").alias("document")), "case_id", "left")
     missing = F.col("document").isNull()
     out = compare(rows.withColumn("observed", resolve_pointer("document", "pointer")))
-    return out.withColumn("reason", F.when(missing, "MISSING_OBSERVATION").otherwise(F.col("reason"))).drop("document")
+    return out.withColumn("reason", F.when(missing, "MISSING_OBSERVATION").otherwise(F.col("reason"))).withColumn("passed", F.col("passed") & ~missing).drop("document")
 
 
 def unused_observations(cases: DataFrame, observations: DataFrame) -> DataFrame:

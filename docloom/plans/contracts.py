@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -31,6 +31,23 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("job_id", F.posexplode(F.array(*map(F.expr, texts))).alias("at", "unit_text")).select("job_id", (F.col("at") + 1).alias("unit_order"), "unit_text")
 
 
+#: The last line of the first page.
+FIRST_PAGE = 9
+
+
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as evidence units of two pages each, with their offsets in the page and its evidence id."""
+    rows = lines(spark, sf_dir).withColumn("page_number", F.when(F.col("unit_order") <= FIRST_PAGE, 1).otherwise(2))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_order", "unit_text"))), lambda u: u["unit_text"]), "\n")
+    pages = rows.groupBy("job_id", "page_number").agg(text.alias("text"))
+    units = ingest.evidence_units(pages, "job_id", "page_number")
+    return units.withColumns({"evidence_ids": F.array(F.format_string("page-%d-%d", "job_id", "page_number")), "source_method": F.lit("NATIVE_TEXT")})
+
+
+def _spans(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["page_number"], F.concat_ws("-", s["char_start"], s["char_end"]))), ";")
+
+
 def _found(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     """Matches of some kinds; each query asks for its own, so no pattern is matched for nothing."""
     return extraction.matches(lines(spark, sf_dir), {k: extraction.PATTERNS[k] for k in kinds}, ["job_id", "unit_order", "unit_text"])
@@ -102,7 +119,7 @@ select job_id, 'identifier-000' || i as mention_id, '合同编号' as label, 'HT
 
 def contract_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EX12, EX13: references to attachments and articles, resolved by the clauses."""
-    clauses = extraction.clauses(lines(spark, sf_dir), "job_id")
+    clauses = extraction.clauses(extraction.outlined(lines(spark, sf_dir), "job_id"), "job_id")
     return extraction.references(_found(spark, sf_dir, "ATTACHMENT", "ARTICLE"), clauses, "job_id").select("job_id", "mention_id", "target_label", "resolution_state", "resolved_target_id")
 
 
@@ -113,15 +130,60 @@ union all select job_id, 'reference-0002', '第一条', case when k % 11 = 0 the
 
 
 def contract_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EX4, EX6: the clauses of the lines with their text."""
-    return extraction.clauses(lines(spark, sf_dir), "job_id").select("job_id", "clause_id", "token", "heading_text", "level", "parent_clause_id", "body_text", "first_unit", "last_unit")
+    """EX3, EX4, EX6: the clauses of the lines with their text, pages and spans."""
+    found = extraction.clauses(extraction.outlined(paged(spark, sf_dir), "job_id"), "job_id")
+    return found.select("job_id", "clause_id", "token", "heading_text", "level", "parent_clause_id", "body_text", "page_start", "page_end", _spans(F.col("spans")).alias("spans"))
+
+
+LINES_SQL = f"""
+{BASE}, l as (select job_id, unnest([
+    '采购合同', '合同编号：HT-' || k, case when k % 4 = 0 then '合同编号：HT-' || (k + case when k % 8 = 0 then 1 else 0 end) else '备注：无' end,
+    '甲方：客户 ' || c || ' 乙方：' || case when k % 5 = 0 then '；' else '供应商' || k % 10 end, case when k % 3 = 0 then '甲方：客户' || (c + case when k % 6 = 0 then 1 else 0 end) else '联系：无' end,
+    '签订日期：' || year(d) || '年' || month(d) || '月' || day(d) || '日', '生效日期：' || case when k % 7 = 0 then '2026年2月30日' when k % 9 = 0 then cast(d - 10 as varchar) else cast(d + 30 as varchar) end,
+    '第一条 价款', '合同总价为' || p || '元，预付款30%，尾款' || case when k % 3 = 1 then 65 else 70 end || '%', case when k % 4 = 1 then '合同总价为' || (p + case when k % 8 = 1 then 1 else 0 end) || '.00元' else '（以下空白）' end,
+    case when k % 11 = 0 then '第一条' else '第二条' end || ' 责任', '违约金按百分之' || ['五', '十', '二十五'][cast(k % 3 + 1 as integer)] || '计，见附件' || (k % 4 + 1) || '，依照第一条', case when k % 13 = 0 then '大写：人民币壹仟元整' else '以上' end
+    ]) as t, unnest(range(1, 14)) as n from o),
+g as (select *, case when n <= {FIRST_PAGE} then 1 else 2 end as page from l),
+u as (select *, cast(sum(length(t) + 1) over (partition by job_id, page order by n) as bigint) - length(t) - 1 as s, n < 3 or n = 3 and job_id % 4 = 0 as title from g),
+part as (select job_id, case when n < 8 then 0 when n < 11 then 1 else 2 end as clause, min(page) as page_start, max(page) as page_end,
+    string_agg(page || ':' || s || '-' || (s + length(t)), ';' order by n) filter (not title) as spans, string_agg(t, chr(10) order by n) filter (not title and n not in (8, 11)) as body from u group by 1, 2)"""
+CLAUSES_SQL = f"""
+with {LINES_SQL}
+select job_id, 'clause-000' || clause as clause_id, case when clause = 1 or job_id % 11 = 0 then '第一条' else '第二条' end as token, case clause when 1 then '价款' else '责任' end as heading_text, 1 as level,
+    cast(null as varchar) as parent_clause_id, body as body_text, page_start, page_end, spans from part where clause > 0
+"""
 
 
-CLAUSES_SQL = f"""
-with {BASE} select job_id, 'clause-0001' as clause_id, '第一条' as token, '价款' as heading_text, 1 as level, cast(null as varchar) as parent_clause_id,
-    '合同总价为' || p || '元，预付款30%，尾款' || case when k % 3 = 1 then 65 else 70 end || '%' || chr(10) || case when k % 4 = 1 then '合同总价为' || (p + case when k % 8 = 1 then 1 else 0 end) || '.00元' else '（以下空白）' end as body_text, 8 as first_unit, 10 as last_unit from o
-union all select job_id, 'clause-0002', case when k % 11 = 0 then '第一条' else '第二条' end, '责任', 1, null,
-    '违约金按百分之' || ['五', '十', '二十五'][cast(k % 3 + 1 as integer)] || '计，见附件' || (k % 4 + 1) || '，依照第一条' || chr(10) || case when k % 13 = 0 then '大写：人民币壹仟元整' else '以上' end, 11, 13 from o
+def contract_preambles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EX3, EX6: what stands before the first clause, less the title, as one unnumbered block."""
+    outline = extraction.outlined(paged(spark, sf_dir), "job_id")
+    titles = ingest.title_candidates(lines(spark, sf_dir), "job_id").select("job_id", F.lit(1).alias("page_number"), "unit_text")
+    found = extraction.unnumbered_blocks(outline, titles, "job_id")
+    return found.select("job_id", "block_id", "text", "page_start", "page_end", _spans(F.col("spans")).alias("spans"), "confidence")
+
+
+PREAMBLES_SQL = f"""
+with {LINES_SQL} select job_id, 'unnumbered-0001' as block_id, body as text, page_start, page_end, spans, 'LOW' as confidence from part where clause = 0
+"""
+
+
+def mention_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN7, EX19: the clause that holds each date, amount, percentage and reference, by containment of their spans."""
+    units = paged(spark, sf_dir)
+    outline = extraction.outlined(units, "job_id")
+    pieces = extraction.clauses(outline, "job_id").select("job_id", "clause_id", F.explode("spans").alias("s"))
+    containers = pieces.select("job_id", F.col("s.page_number").alias("page_number"), F.col("s.evidence_ids").alias("evidence_ids"), F.col("s.char_start").alias("char_start"), F.col("s.char_end").alias("char_end"), F.col("clause_id").alias("container_id"), F.substring("clause_id", -4, 4).cast("int").alias("container_order"))
+    kinds = ("DATE", "MONEY", "PERCENT", "PERCENT_CN", "ATTACHMENT", "ARTICLE")
+    found = extraction.matches(units, {k: extraction.PATTERNS[k] for k in kinds}, ["job_id", "page_number", "evidence_ids", F.col("char_start").alias("unit_start")], "unit_text")
+    spans = found.select("job_id", "page_number", "evidence_ids", (F.col("unit_start") + F.col("start")).alias("char_start"), (F.col("unit_start") + F.col("end")).alias("char_end"), F.concat_ws(":", "kind", "page_number", F.col("unit_start") + F.col("start")).alias("mention_id"), "kind")
+    return extraction.contained(spans, containers).join(spans.select("job_id", "mention_id", "kind"), ["job_id", "mention_id"]).groupBy("job_id", "container_id").agg(F.count("*").alias("mentions"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+
+
+MENTION_CLAUSES_SQL = f"""
+with {BASE}
+select job_id, cast(null as varchar) as container_id, 2 as mentions, 'DATE' as kinds from o
+union all select job_id, 'clause-0001', case when k % 4 = 1 then 5 else 4 end, 'ARTICLE,MONEY,PERCENT' from o
+union all select job_id, 'clause-0002', 4, 'ARTICLE,ATTACHMENT,PERCENT_CN' from o
 """
 
 
@@ -219,6 +281,8 @@ QUERIES = {
     "contract_identifiers": (contract_identifiers, IDENTIFIERS_SQL),
     "contract_references": (contract_references, REFERENCES_SQL),
     "contract_clauses": (contract_clauses, CLAUSES_SQL),
+    "contract_preambles": (contract_preambles, PREAMBLES_SQL),
+    "mention_clauses": (mention_clauses, MENTION_CLAUSES_SQL),
     "contract_titles": (contract_titles, TITLES_SQL),
     "audit_rules": (audit_rules, AUDIT_SQL),
     "numerals": (numerals, NUMERALS_SQL),

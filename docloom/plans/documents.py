@@ -280,13 +280,18 @@ def coverage_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN8, AG21: parts as objects, orders' first lines as issues that name them."""
     objects = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("object_id"))
     issues = table(spark, sf_dir, "lineitem").where("l_quantity = 50").groupBy(F.col("l_orderkey").alias("issue_id")).agg(F.collect_set("l_partkey").alias("object_ids"))
-    out = planning.coverage(objects, issues)
-    return out.select("object_id", "state", F.coalesce(F.size("issue_ids"), F.lit(0)).alias("issues"))
+    chunks = table(spark, sf_dir, "part").where("p_partkey % 50 <> 7").groupBy(F.concat(F.lit("chunk-"), F.floor(F.col("p_partkey") / 24).cast("string")).alias("chunk_id")).agg(F.collect_set("p_partkey").alias("object_ids"))
+    out = planning.coverage(objects, issues, chunks=chunks)
+    whole = planning.coverage_summary(out)  # one row
+    rows = out.select("object_id", "state", F.size("issue_ids").alias("issues"), F.array_join("chunk_ids", ",").alias("chunks"))
+    return rows.join(F.broadcast(whole))
 
 
 COVERAGE_SQL = """
 with n as (select l_partkey, count(distinct l_orderkey) as issues from lineitem where l_quantity = 50 group by 1)
-select p_partkey as object_id, case when issues is null then 'NO_SPECIFIC_ISSUE' else 'WITH_ISSUE' end as state, cast(coalesce(issues, 0) as integer) as issues from part left join n on l_partkey = p_partkey
+select p_partkey as object_id, case when issues is null then 'REVIEWED_NO_SPECIFIC_ISSUE' else 'REVIEWED_WITH_ISSUE' end as state, cast(coalesce(issues, 0) as integer) as issues,
+    case when p_partkey % 50 = 7 then '' else 'chunk-' || (p_partkey // 24) end as chunks, count(*) over () as canonical_object_count, count(issues) over () as reviewed_with_issue_count,
+    count(*) over () - count(issues) over () as reviewed_no_specific_issue_count, bool_and(p_partkey % 50 <> 7) over () as coverage_complete from part left join n on l_partkey = p_partkey
 """
 
 

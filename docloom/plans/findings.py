@@ -141,7 +141,7 @@ def clause_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = contracts.lines(spark, sf_dir)
     found = planning.topics(lines, planning.topic_table(spark), "unit_text").groupBy("job_id", "topic").agg(F.min("unit_order").alias("first_line"))
-    clauses = extraction.clauses(lines, "job_id").select("job_id", F.col("clause_id").alias("canonical_object_id"), F.lit("CLAUSE").alias("object_type"), F.col("body_text").alias("text"), F.expr("cast(array() as array<string>)").alias("evidence_ids"))
+    clauses = extraction.clauses(extraction.outlined(lines, "job_id"), "job_id").select("job_id", F.col("clause_id").alias("canonical_object_id"), F.lit("CLAUSE").alias("object_type"), F.col("body_text").alias("text"), F.expr("cast(array() as array<string>)").alias("evidence_ids"))
     index = findings.clause_index(clauses, "canonical_object_id").groupBy("job_id").agg(F.max("order_index").alias("clauses"), F.sum("text_chars").alias("clause_chars"))
     return found.join(index, "job_id")
 

@@ -226,20 +226,21 @@ GATES_SQL = f"""
 with m as (select 'mean_value' as metric_key, avg(value) as value from events union all select 'distinct_types', count(distinct event_type) from events union all select 'largest_value', max(value) from events),
 g(gate_id, metric_key, operator, threshold) as (values {", ".join(map(str, GATES))}),
 r as (select g.*, value, coalesce(case operator when 'GTE' then value >= threshold when 'LTE' then value <= threshold else abs(value - threshold) <= 1e-12 end, false) as passed from g left join m on g.metric_key = m.metric_key)
-select gate_id, metric_key, round(value, 6) as value, passed, case when value is null then 'METRIC_MISSING' when passed then 'THRESHOLD_MET' else 'THRESHOLD_NOT_MET' end as reason from r
+select gate_id, metric_key, round(value, 6) as value, passed, case when value is null then 'METRIC_MISSING' when passed then 'PASS' else 'THRESHOLD_NOT_MET' end as reason from r
 """
 
 
 def json_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN14, FN15: properties of events by pointer, held against the even numbers up to 50."""
+    """FN14, FN15: properties of events by pointer, held against 50 within 25; one mode in seven is none that is known."""
     rows = table(spark, sf_dir, "events").select("event_id", quality.resolve_pointer(F.col("props"), F.when(F.col("event_id") % 5 == 0, "/none").otherwise("/k")).alias("observed"))
-    rows = rows.withColumns({"comparison": F.lit("NUMERIC_WITHIN"), "expected": F.lit("50"), "tolerance": F.lit(25.0)})
+    rows = rows.withColumns({"comparison": F.when(F.col("event_id") % 7 == 0, "CONTAINS_TEXT").otherwise("NUMERIC_WITHIN"), "expected": F.lit("50"), "tolerance": F.lit(25.0)})
     return quality.compare(rows).select("event_id", "observed", "passed", "reason")
 
 
 POINTER_SQL = """
 with o as (select event_id, json_extract_string(props, case when event_id % 5 = 0 then '/none' else '/k' end) as observed from events)
-select event_id, observed, observed is not null and abs(cast(observed as double) - 50) <= 25 as passed, case when observed is null then 'OBSERVED_POINTER_MISSING' when abs(cast(observed as double) - 50) > 25 then 'OUTSIDE_TOLERANCE' end as reason from o
+select event_id, observed, observed is not null and event_id % 7 <> 0 and abs(cast(observed as double) - 50) <= 25 as passed,
+    case when observed is null then 'OBSERVED_POINTER_MISSING' when event_id % 7 = 0 then 'UNSUPPORTED_COMPARISON_MODE' when abs(cast(observed as double) - 50) > 25 then 'OUTSIDE_TOLERANCE' else 'MATCH' end as reason from o
 """
 
 

@@ -58,13 +58,15 @@ select query_id, doc_id, rank, round(score, 4) as score from r where rank <= {TO
 
 def import_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC11, JN4: nations as records to import, some of which are stored, with the same content or another."""
-    nations = table(spark, sf_dir, "nation").selectExpr("concat('a', n_regionkey) as authority_id", "concat('v', n_nationkey) as version_id", "n_nationkey as k", "concat('title ', n_regionkey) as identity", "sha2(n_name, 256) as content")
+    nations = table(spark, sf_dir, "nation").selectExpr("concat('a', n_regionkey) as authority_id", "concat('v', n_nationkey) as version_id", "n_nationkey as k", "concat('title ', n_regionkey) as identity", "sha2(n_name, 256) as source_sha256", "upper(n_name) as articles")
     regions = table(spark, sf_dir, "region").selectExpr("concat('a', r_regionkey) as authority_id", "if(r_regionkey = 3, 'another title', concat('title ', r_regionkey)) as identity")
-    stored = nations.where("k % 3 = 0").select("authority_id", "version_id", F.when(_k() % 2 == 0, F.col("content")).otherwise("old").alias("content"))
-    return corpus.import_plan(nations, regions, stored).select("authority_id", "version_id", "outcome")
+    stored = nations.where("k % 3 = 0").select("authority_id", "version_id", F.when(_k() % 2 == 0, F.col("source_sha256")).otherwise("old").alias("source_sha256"), F.when(_k() % 4 == 0, "old").otherwise(F.col("articles")).alias("articles"))
+    return corpus.import_plan(nations, regions, stored).select("authority_id", "version_id", "outcome", F.array_join("conflicts", ",").alias("conflicts"))
 
 
-IMPORT_SQL = """select 'a' || n_regionkey as authority_id, 'v' || n_nationkey as version_id, case when n_regionkey = 3 or (n_nationkey % 3 = 0 and n_nationkey % 2 = 1) then 'CONFLICT' when n_nationkey % 3 = 0 then 'NO_CHANGE' else 'NEW' end as outcome from nation"""
+IMPORT_SQL = """with c as (select n_regionkey as r, n_nationkey as k, list_filter([case when n_regionkey = 3 then 'AUTHORITY_IDENTITY_CONFLICT' end, case when n_nationkey % 6 = 3 then 'SOURCE_VERSION_IDENTITY_CONFLICT' end,
+    case when n_nationkey % 12 = 0 then 'ARTICLE_IDENTITY_CONFLICT' end], lambda x: x is not null) as codes from nation)
+select 'a' || r as authority_id, 'v' || k as version_id, case when len(codes) > 0 then 'CONFLICT' when k % 3 = 0 then 'NO_CHANGE' else 'NEW' end as outcome, array_to_string(codes, ',') as conflicts from c"""
 
 
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,15 +81,16 @@ SUMMARY_SQL = """select (select count(*) from region) as authority_count, count(
 
 def ocr_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG6, PF5: lines of orders as recognised pages: what became of each job, and its pages of low confidence."""
-    pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_linenumber") % 3 == 0, "FAILED").when(F.col("l_returnflag") == "R", "NO_TEXT_DETECTED").otherwise("COMPLETE").alias("state"), F.when(F.col("l_quantity") < 40, F.col("l_quantity") / 40).alias("mean_confidence"))
+    state = F.when(F.col("l_orderkey") % 5 == 0, "OCR_FAILED").when(F.col("l_linenumber") % 3 == 0, "OCR_FAILED").when(F.col("l_returnflag") == "R", "OCR_NO_TEXT").when(F.col("l_linestatus") == "F", "NATIVE_RETAINED").when(F.col("l_quantity") < 34, "OCR_LOW_CONFIDENCE").otherwise("OCR_COMPLETE")
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), state.alias("state"), F.when(F.col("l_quantity") < 40, F.col("l_quantity") / 40).alias("mean_confidence"))
     low = pages.groupBy("job_id").agg(F.count_if(ingest.low_confidence(F.col("mean_confidence"))).alias("low_pages"))
-    out = ingest.ocr_summary(pages).join(low, "job_id")
-    return out.select("job_id", "pages", "failed_pages", "complete_pages", F.round("mean_confidence", 6).alias("mean_confidence"), "status", "low_pages")
+    return ingest.ocr_summary(pages).withColumn("mean_confidence", F.round("mean_confidence", 6)).join(low, "job_id")
 
 
-OCR_SQL = """with p as (select l_orderkey as job_id, l_linenumber % 3 = 0 as failed, case when l_quantity < 40 then l_quantity / 40 end as c from lineitem),
-g as (select job_id, count(*) as pages, count(*) filter (failed) as failed_pages, count(*) filter (not failed) as complete_pages, round(avg(c), 6) as mean_confidence, count(*) filter (c is null or c < 0.85) as low_pages from p group by 1)
-select *, case when failed_pages = pages then 'FAILED' when failed_pages > 0 then 'PARTIAL' else 'COMPLETE' end as status from g"""
+OCR_SQL = """with p as (select l_orderkey as job_id, case when l_orderkey % 5 = 0 or l_linenumber % 3 = 0 then 'f' when l_returnflag = 'R' then 't' when l_linestatus = 'F' then 'n' when l_quantity < 34 then 'l' else 'c' end as s, case when l_quantity < 40 then l_quantity / 40 end as c from lineitem),
+g as (select job_id, count(*) as pages, count(*) filter (s = 'n') as native_pages, count(*) filter (s <> 'n') as attempted_pages, count(*) filter (s in ('l', 'c')) as complete_pages, count(*) filter (s = 'l') as low_confidence_pages,
+    count(*) filter (s = 'f') as failed_pages, count(*) filter (s = 't') as no_text_pages, round(avg(c), 6) as mean_confidence, count(*) filter (c is null or c < 0.85) as low_pages from p group by 1)
+select *, case when failed_pages = pages then 'failed' when failed_pages > 0 or no_text_pages > 0 then 'partial' else 'complete' end as status from g"""
 
 
 def exact_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +164,7 @@ select k as issue_id, sufficiency, rej as primary_rejected, final_state, final_c
 
 def job_architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN29, SM3-SM5, RM20: architecture, status after a restart and gate of jobs."""
-    new, old = artifacts.ISSUE_STAGES[0], artifacts.LEGACY_STAGES[0]
+    new, old = "ISSUE_PRIMARY_AUDIT", "PRIMARY_AUDIT"
     rows = _orders(spark, sf_dir).select(_k().alias("job_id"), _some((new, _k() % 3 == 0), (old, _k() % 7 == 0)).alias("stages"), _some((new, _k() % 5 == 0), (old, _k() % 4 == 0)).alias("files"), (_k() % 11 == 0).alias("record"), (_k() % 2 == 0).alias("ok"), _pick(_k(), "RUNNING", "COMPLETE", "CANCEL_REQUESTED", "FAILED").alias("status"), _pick(_k(), "AUTO", "REQUIRE_APPROVAL", "LOCAL_ONLY").alias("mode"))
     return rows.select("job_id", artifacts.architecture(F.col("stages"), F.col("files"), F.col("record"), F.col("ok")).alias("architecture"), artifacts.reconciled(F.col("status")).alias("after_restart"), artifacts.migratable(F.col("status")).alias("migratable"), artifacts.provider_gate(F.col("status") == "CANCEL_REQUESTED", F.col("mode"), F.col("ok")).alias("gate"))
 
@@ -240,19 +243,20 @@ select job_id, max(case when p % 3 <> 2 then [{", ".join(map(str, workflow.PROGR
 
 
 def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EX14, EX15: lines with cells, and warnings of jobs without a title or with mentions that are not resolved."""
+    """EX14, EX15: lines with cells, and warnings of jobs without text or title, with mentions that are not resolved, or with uncertain recognised lines."""
     orders = _orders(spark, sf_dir).select(_k().alias("job_id"), "k")
-    units = orders.select("job_id", F.when(_k() % 4 == 0, F.lit("a\tb\t")).when(_k() % 4 == 1, F.lit("\t\tx")).otherwise("plain").alias("unit_text"))
-    cells = extraction.table_candidates(units).groupBy("job_id").agg(F.max("cells").alias("cells"))
-    mentions = orders.where("k % 3 = 0").select("job_id", _pick(_k(), "PARTY", "DATE", "MONEY").alias("type"), F.concat(F.lit("m-"), _k().cast("string")).alias("mention_id"), _pick(F.floor(_k() / 3), "RESOLVED", "UNRESOLVED").alias("resolution_state"))
-    low = orders.where("k % 13 = 0").select("job_id", F.lit("unit-1").alias("unit_id"))
-    told = extraction.warnings(orders.select("job_id"), orders.where("k % 5 <> 0").select("job_id"), orders.where("k % 7 <> 0").select("job_id"), mentions, low)
+    lines = orders.select("job_id", F.when(_k() % 4 == 0, F.lit("a\tb\t")).when(_k() % 4 == 1, F.lit("\t\tx")).otherwise("plain").alias("unit_text"))
+    cells = extraction.table_candidates(lines).groupBy("job_id").agg(F.max("cells").alias("cells"))
+    mentions = orders.where("k % 3 = 0").select("job_id", _pick(_k(), "PARTY", "DATE", "REFERENCE").alias("type"), F.concat(F.lit("m-"), _k().cast("string")).alias("mention_id"), _pick(F.floor(_k() / 3), "RESOLVED", "UNRESOLVED").alias("resolution_state"))
+    units = orders.where("k % 5 <> 0").select("job_id", F.lit(1).alias("page_number"), F.lit(1).alias("unit_order"), _pick(_k(), "OCR", "NATIVE_TEXT").alias("source_method"), F.when(_k() % 3 == 0, 0.84).when(_k() % 3 == 1, 0.85).alias("confidence"))
+    told = extraction.warnings(orders.select("job_id"), units, orders.where("k % 7 <> 0").select("job_id"), mentions)
     return told.select("job_id", "warning_id", "code", "subject").join(cells, "job_id", "left")
 
 
 TABLE_SQL = f"""with o as (select o_orderkey as k from orders),
-w as (select k, 1 as n, 'NO_TEXT' as code, '' as subject from o where k % 5 = 0 union all select k, 2, 'NO_TITLE', '' from o where k % 7 = 0
-    union all select k, case k % 3 when 0 then 3 end, 'UNRESOLVED_' || {_pick_sql("k", "PARTY", "DATE", "MONEY")}, 'm-' || k from o where k % 3 = 0 and (k // 3) % 2 = 1 union all select k, 6, 'LOW_CONFIDENCE_OCR', 'unit-1' from o where k % 13 = 0)
+w as (select k, 1 as n, 'NO_TEXT_EVIDENCE' as code, '' as subject from o where k % 5 = 0 union all select k, 2, 'TITLE_UNRESOLVED', '' from o where k % 7 = 0
+    union all select k, 3, {_pick_sql("k", "PARTY_NAME_UNRESOLVED", "INVALID_DATE", "REFERENCE_UNRESOLVED")}, 'm-' || k from o where k % 3 = 0 and (k // 3) % 2 = 1
+    union all select k, 6, 'LOW_CONFIDENCE_OCR_SOURCE', 'p000001-u000001' from o where k % 5 <> 0 and {_pick_sql("k", "OCR", "NATIVE_TEXT")} = 'OCR' and k % 3 <> 1)
 select k as job_id, 'warning-000' || row_number() over (partition by k order by n, subject) as warning_id, code, subject, case when k % 4 = 0 then 2 end as cells from w"""
 
 

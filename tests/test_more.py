@@ -95,8 +95,9 @@ def test_ingest_edges(spark):
     got = ingest.evidence_stream(pages, native, ocr).orderBy("order_index").collect()
     assert [(r.text, r.source_method, r.unit_id) for r in got] == [("n1", "NATIVE_TEXT", "unit-p0001-0001"), ("o1", "OCR", "unit-p0002-0002")]
     assert [r.page_number for r in ingest.missing_ocr(pages, ocr.select("job_id", "page_number")).collect()] == [3]
-    states = spark.createDataFrame([("j", "COMPLETE", 0.9), ("j", "FAILED", None), ("k", "FAILED", None), ("l", "NO_TEXT_DETECTED", None)], "job_id string, state string, mean_confidence double")
-    assert [(r.job_id, r.status) for r in ingest.ocr_summary(states).orderBy("job_id").collect()] == [("j", "PARTIAL"), ("k", "FAILED"), ("l", "COMPLETE")]
+    rows = [("j", "OCR_COMPLETE", 0.9), ("j", "OCR_FAILED", None), ("k", "OCR_FAILED", None), ("l", "OCR_NO_TEXT", None), ("l", "NATIVE_RETAINED", None), ("m", "OCR_LOW_CONFIDENCE", 0.5), ("n", "OCR_FAILED", None), ("n", "NATIVE_RETAINED", None), ("o", "NATIVE_RETAINED", None)]
+    states = spark.createDataFrame(rows, "job_id string, state string, mean_confidence double")
+    assert [(r.job_id, r.status) for r in ingest.ocr_summary(states).orderBy("job_id").collect()] == [("j", "partial"), ("k", "failed"), ("l", "partial"), ("m", "complete"), ("n", "partial"), ("o", "complete")]
     units = ingest.evidence_units(spark.createDataFrame([(1, "\u3000 a b \n\n😀c\t"), (2, None)], "id int, text string"), "id").collect()
     assert [(u.unit_order, u.unit_text, u.char_start, u.char_end) for u in units] == [(1, "a b", 2, 5), (2, "😀c", 8, 10)]
 

@@ -23,7 +23,7 @@ def found(spark, *lines):
 def test_purchase_contract_page(spark):
     lines = ["采购合同", "合同编号：HT-2026-001", "甲方：北京甲公司 乙方：上海乙公司", "签订日期：2026年8月15日", "第一条 价款", "合同总价 100,000 元，首付款30%，尾款百分之七十。见附件一，依第一条。", "第二条 生效日期：2026-09-01", "本条无标题"]
     got = found(spark, *lines)
-    clauses = extraction.clauses(units(spark, *lines), "job")
+    clauses = extraction.clauses(extraction.outlined(units(spark, *lines), "job"), "job")
     assert [(c.token, c.body_text.count("\n")) for c in clauses.orderBy("clause_id").collect()] == [("第一条", 0), ("第二条", 0)]
     assert [(d.iso_date, d.field_label) for d in extraction.dates(got, "job").orderBy("mention_id").collect()] == [(date(2026, 8, 15), "签订日期"), (date(2026, 9, 1), "生效日期")]
     money = extraction.amounts(got, "job").collect()
@@ -38,14 +38,14 @@ def test_purchase_contract_page(spark):
 
 
 def test_clause_levels_and_parents(spark):
-    got = extraction.clauses(units(spark, "一、总则", "（一）范围", "1.价款", "1.1 首付", "1.1.1 时间", "30元整"), "job").orderBy("clause_id").collect()
+    got = extraction.clauses(extraction.outlined(units(spark, "一、总则", "（一）范围", "1.价款", "1.1 首付", "1.1.1 时间", "30元整"), "job"), "job").orderBy("clause_id").collect()
     assert [(c.level, c.parent_clause_id) for c in got] == [(1, None), (2, "clause-0001"), (1, None), (2, "clause-0003"), (3, "clause-0004")]
 
 
 def test_bad_date_and_ambiguous_reference(spark):
     assert [(d.iso_date, d.resolution_state) for d in extraction.dates(found(spark, "2026年2月30日"), "job").collect()] == [(None, "UNRESOLVED")]
     lines = ["第一条 甲", "第一条 乙", "依照第一条办理"]
-    refs = extraction.references(found(spark, *lines), extraction.clauses(units(spark, *lines), "job"), "job").collect()
+    refs = extraction.references(found(spark, *lines), extraction.clauses(extraction.outlined(units(spark, *lines), "job"), "job"), "job").collect()
     assert [(r.resolution_state, r.resolved_target_id) for r in refs] == [("AMBIGUOUS", None)]
 
 
@@ -107,9 +107,16 @@ def test_overlaps_as_brute_force(spark):
 
 
 def test_import_plan(spark, tmp_path):
-    new = spark.createDataFrame([("a", "v1", "title", "h1"), ("a", "v2", "title", "h2"), ("b", "v1", "other", "h3")], "authority_id string, version_id string, identity string, content string")
-    plan = corpus.import_plan(new, spark.createDataFrame([("a", "title"), ("b", "changed")], "authority_id string, identity string"), spark.createDataFrame([("a", "v1", "h1")], "authority_id string, version_id string, content string"))
-    assert {(r.authority_id, r.version_id): r.outcome for r in plan.collect()} == {("a", "v1"): "NO_CHANGE", ("a", "v2"): "NEW", ("b", "v1"): "CONFLICT"}
+    new = spark.createDataFrame([("a", "v1", "title", "h1", "x"), ("a", "v2", "title", "h2", "x"), ("b", "v1", "other", "h3", "x"), ("b", "v2", "changed", "h4", "x"), ("b", "v3", "changed", "h5", "x")], "authority_id string, version_id string, identity string, source_sha256 string, articles string")
+    stored = spark.createDataFrame([("a", "v1", "h1", "x"), ("b", "v2", "old", "x"), ("b", "v3", "h5", "y")], "authority_id string, version_id string, source_sha256 string, articles string")
+    plan = corpus.import_plan(new, spark.createDataFrame([("a", "title"), ("b", "changed")], "authority_id string, identity string"), stored)
+    assert {(r.authority_id, r.version_id): (r.outcome, r.conflicts) for r in plan.collect()} == {
+        ("a", "v1"): ("NO_CHANGE", []),
+        ("a", "v2"): ("NEW", []),
+        ("b", "v1"): ("CONFLICT", ["AUTHORITY_IDENTITY_CONFLICT"]),
+        ("b", "v2"): ("CONFLICT", ["SOURCE_VERSION_IDENTITY_CONFLICT"]),
+        ("b", "v3"): ("CONFLICT", ["ARTICLE_IDENTITY_CONFLICT"]),
+    }
     with pytest.raises(ValueError):
         readers.import_records(plan, str(tmp_path / "t"))
     assert readers.import_records(plan.where("authority_id = 'a'"), str(tmp_path / "t")) == 1
@@ -187,18 +194,19 @@ def test_metrics(spark):
     assert (m.tp, m.fp, m.fn, m.tn) == (2, 1, 1, 1) and m.f1 == pytest.approx(2 / 3)
     s = quality.set_metrics(spark.createDataFrame([(["1", "2"], ["1", "x"]), (["3"], ["3"])], "e array<string>, o array<string>"), F.col("e"), F.col("o")).first()
     assert (s.tp, s.fp, s.fn) == (2, 1, 1)
-    gates = spark.createDataFrame([("a", "m", "GTE", 0.9), ("b", "none", "GTE", 0.5)], "gate_id string, metric_key string, operator string, threshold double")
-    assert {r.gate_id: r.reason for r in quality.evaluate_gates(gates, spark.createDataFrame([("m", 0.8)], "metric_key string, value double")).collect()} == {"a": "THRESHOLD_NOT_MET", "b": "METRIC_MISSING"}
+    gates = spark.createDataFrame([("a", "m", "GTE", 0.9), ("b", "none", "GTE", 0.5), ("c", "m", "EQ", 0.8)], "gate_id string, metric_key string, operator string, threshold double")
+    assert {r.gate_id: r.reason for r in quality.evaluate_gates(gates, spark.createDataFrame([("m", 0.8)], "metric_key string, value double")).collect()} == {"a": "THRESHOLD_NOT_MET", "b": "METRIC_MISSING", "c": "PASS"}
 
 
 def test_benchmark_comparisons(spark):
     observed = {"a": 1, "b": ["x", "y"], "c": "Ａ  b", "d": True, "e": None, "x/y": {"~": [5]}}
-    cases = [("EXACT", "/a", "1.0"), ("EXACT", "/a", "2"), ("SET_EQUALS", "/b", '["y","x"]'), ("SET_CONTAINS", "/b", '["z"]'), ("NORMALIZED_TEXT_EQUALS", "/c", '"A b"'), ("NUMERIC_WITHIN", "/d", "1"), ("NUMERIC_WITHIN", "/a", "1.05"), ("EXACT", "/none", "1"), ("EXACT", "/e", "null"), ("EXACT", "/x~1y/~0/0", "5"), ("ONE_OF", "/c", '["q"]'), ("SET_EQUALS", "/a", "[1]"), ("NORMALIZED_TEXT_EQUALS", "/a", '"x"')]
+    cases = [("EXACT", "/a", "1.0"), ("EXACT", "/a", "2"), ("SET_EQUALS", "/b", '["y","x"]'), ("SET_CONTAINS", "/b", '["z"]'), ("NORMALIZED_TEXT_EQUALS", "/c", '"A b"'), ("NUMERIC_WITHIN", "/d", "1"), ("NUMERIC_WITHIN", "/a", "1.05"), ("EXACT", "/none", "1"), ("EXACT", "/e", "null"), ("EXACT", "/x~1y/~0/0", "5"), ("ONE_OF", "/c", '["q"]'), ("SET_EQUALS", "/a", "[1]"), ("NORMALIZED_TEXT_EQUALS", "/a", '"x"'), ("REGEX", "/a", "1")]
     rows = [("c1", "t", [(str(i), p, m, e, 0.1) for i, (m, p, e) in enumerate(cases)]), ("c2", "t", [("0", "/a", "EXACT", "1", None)])]
     x = "case_id string, task_type string, expectations array<struct<assertion_id:string,pointer:string,comparison:string,expected:string,tolerance:double>>"
     got = quality.evaluate_benchmark(spark.createDataFrame(rows, x), spark.createDataFrame([("c1", json.dumps(observed))], "case_id string, observed string")).collect()
     one = {int(r.assertion_id): r.reason for r in got if r.case_id == "c1"}
-    assert [one[i] for i in range(13)] == [None, "EXACT_MISMATCH", None, "EXPECTED_SET_NOT_CONTAINED", None, "NUMERIC_COMPARISON_REQUIRES_NUMBERS", None, "OBSERVED_POINTER_MISSING", None, None, "NOT_IN_ALLOWED_ALTERNATIVES", "SET_COMPARISON_REQUIRES_ARRAYS", "TEXT_COMPARISON_REQUIRES_STRINGS"]
+    assert [one[i] for i in range(14)] == ["MATCH", "EXACT_MISMATCH", "MATCH", "EXPECTED_SET_NOT_CONTAINED", "MATCH", "NUMERIC_COMPARISON_REQUIRES_NUMBERS", "MATCH", "OBSERVED_POINTER_MISSING", "MATCH", "MATCH", "NOT_IN_ALLOWED_ALTERNATIVES", "SET_COMPARISON_REQUIRES_ARRAYS", "TEXT_COMPARISON_REQUIRES_STRINGS", "UNSUPPORTED_COMPARISON_MODE"]
+    assert all(r.passed == (r.reason == "MATCH") for r in got)
     assert [r.reason for r in got if r.case_id == "c2"] == ["MISSING_OBSERVATION"]
 
 
@@ -226,7 +234,7 @@ def test_closure_and_one_to_one(spark):
 
 
 def test_architecture_and_gate(spark):
-    rows = [(["AUDIT_PLAN", "AI_AUDIT"], [], False, True), ([], ["REVIEW_REPORT"], False, True), ([], [], True, False), ([], [], False, True), (["AI_AUDIT"], [], False, True)]
+    rows = [(["AUDIT_PLAN", "PRIMARY_AUDIT"], [], False, True), ([], ["REVIEW_REPORT"], False, True), ([], [], True, False), ([], [], False, True), (["PRIMARY_AUDIT"], [], False, True)]
     df = spark.createDataFrame(rows, "s array<string>, a array<string>, r boolean, ok boolean")
     assert [x[0] for x in df.select(artifacts.architecture(*[F.col(c) for c in ("s", "a", "r", "ok")])).collect()] == ["CONFLICT", "LEGACY_RC2", "CONFLICT", "ISSUE_V1", "LEGACY_RC2"]
     gate = spark.createDataFrame([(False, "AUTO", False), (False, "REQUIRE_APPROVAL", False), (True, "AUTO", True)], "c boolean, m string, a boolean")
