@@ -6,141 +6,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import corpus
+from . import corpus, gram_index
 
-# Fusion constant, channel weights, field weights, BM25 parameters.
+# Fusion constant, channel weights, field weights.
 RRF_K = 60
 CHANNEL_WEIGHTS = {"EXACT": 4.0, "LEXICAL": 1.5, "SEMANTIC": 1.0}
 FIELD_WEIGHTS = {"title": 4.0, "token": 6.0, "heading": 2.0, "text": 1.0}
-K1, B = 1.2, 0.75
-#: Distinct query grams that may be sent to every task (1.6 MB); more are joined by a shuffle.
-BROADCAST_GRAMS = 200_000
-#: Characters of text that a task takes apart at once; query vectors that are sent to the tasks at once.
-SLICE, BLOCK_QUERIES = 1 << 20, 4096
+#: Query vectors that are sent to the tasks at once.
+BLOCK_QUERIES = 4096
 
 
 def over_fetch(k: int) -> int:
     return max(6 * k, 30)
 
 
-def gram_count(text: Column) -> Column:
-    """Number of trigrams of a field, without making them."""
-    return F.greatest(F.length(F.coalesce(text, F.lit(""))) - 2, F.lit(0))
+def lexical(queries: DataFrame, docs: DataFrame, fields: dict[str, float], k: int) -> DataFrame:
+    """The lexical channel of queries (query_id, query) over documents (doc_id and the fields) that have no stored index: trigram BM25, best k of each query."""
+    hits, _ = gram_index.search(gram_index.index_for(docs, list(fields), queries), queries, k, fields)
+    return _channel(hits, "LEXICAL")
 
 
-def query_grams(queries: DataFrame) -> DataFrame:
-    """(query_id, packed gram) of (query_id, query)."""
-    return queries.select("query_id", F.explode(X.query_trigrams(F.col("query"))).alias("gram")).withColumn("gram", X.packed_trigram(F.col("gram")))
+def channels(queries: DataFrame, docs: DataFrame, k: int, index: gram_index.Index | None = None, fields: dict[str, float] | None = None, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The lexical and the exact channel (documents whose text holds the query as it is) from one scan of an index, stored or made for this search."""
+    fields = fields or {text_col: 1.0}
+    hits, exact_hits = gram_index.search(index or gram_index.index_for(docs, list(fields), queries), queries, k, fields, docs, text_col)
+    return _channel(hits, "LEXICAL"), ranked(exact_hits.withColumn("score", F.lit(1.0)), "EXACT", k, descending=True)
 
 
-def _windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, packed trigram) of all windows of three code points; none spans two rows."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    if len(codes) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    whole = row[2:] == row[:-2]
-    return row[2:][whole], (codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[whole]
-
-
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about SLICE characters of text."""
-    sizes = sum((np.asarray(pc.binary_length(c).fill_null(0)) for c in batch.columns[1:]), np.zeros(batch.num_rows, np.int64))
-    place = np.cumsum(sizes) // SLICE
-    cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
-    return (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
-
-
-def _wanted(grams: DataFrame) -> np.ndarray | None:
-    """The distinct packed grams, in order, if they are few enough to be sent to every task."""
-    some = [r["gram"] for r in grams.select("gram").distinct().limit(BROADCAST_GRAMS + 1).collect()]  # BROADCAST_GRAMS + 1 numbers at most
-    return np.sort(np.array(some, np.int64)) if len(some) <= BROADCAST_GRAMS else None
-
-
-def postings(docs: DataFrame, fields: dict[str, float], wanted: DataFrame | None = None) -> DataFrame:
-    """(doc_id, gram, weight): field-weighted frequencies of packed trigrams; one narrow stage. Grams that are not wanted go in it, if the wanted ones are few."""
-    few = _wanted(wanted) if wanted is not None else None
-    weights = list(fields.values())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _parts(batch):
-                rows, keys, values = [], [], []
-                for column, weight in zip(part.columns[1:], weights, strict=True):
-                    row, key = _windows(column.to_pylist())
-                    if few is not None:
-                        hit = few[np.minimum(np.searchsorted(few, key), len(few) - 1)] == key if len(few) else np.zeros(len(key), bool)
-                        row, key = row[hit], key[hit]
-                    rows.append(row)
-                    keys.append(key)
-                    values.append(np.full(len(key), weight))
-                row, key, value = map(np.concatenate, (rows, keys, values))
-                order = np.lexsort((key, row))
-                row, key, value = row[order], key[order], value[order]
-                starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])))) if len(row) else np.zeros(0, np.int64)
-                sums = np.add.reduceat(value, starts) if len(starts) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([part.columns[0].take(pa.array(row[starts])), pa.array(key[starts]), pa.array(sums)], names=["doc_id", "gram", "weight"])
-
-    source = docs.select("doc_id", *[F.lower(F.coalesce(F.col(f"`{f}`"), F.lit(""))).alias(f"f{k}") for k, f in enumerate(fields)])
-    out = source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, gram long, weight double")
-    return out.join(wanted.select("gram").distinct(), "gram", "left_semi") if wanted is not None and few is None else out
-
-
-def document_frequencies(docs: DataFrame, field: str, wanted: DataFrame) -> DataFrame:
-    """(gram, df) of the wanted grams that occur; tasks count before anything is shuffled."""
-    found = postings(docs, {field: 1.0}, wanted)
-    return found.groupBy("gram").agg(F.count("*").alias("df"))
-
-
-def write_index(docs: DataFrame, fields: dict[str, float], folder: str) -> None:
-    """Postings and document sizes as tables, with the corpus's fingerprint; postings lie in order of grams, so that a search reads few row groups."""
-    size = sum((gram_count(F.col(f"`{f}`")) for f in fields), F.lit(0))
-    postings(docs, fields).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{folder}/postings")
-    docs.select("doc_id", size.alias("size")).write.mode("overwrite").parquet(f"{folder}/sizes")
-    source_fingerprint(docs, fields).write.mode("overwrite").parquet(f"{folder}/meta")
-
-
-def source_fingerprint(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """One row for a corpus: (documents, fingerprint), whatever the order of its rows."""
-    row = F.xxhash64("doc_id", *[F.col(f"`{f}`") for f in fields]).cast("decimal(38,0)")
-    return docs.agg(F.count("*").alias("documents"), F.sha2(F.concat_ws("/", F.coalesce(F.sum(row), F.lit(0)).cast("string"), F.count("*").cast("string"), F.lit(",".join(fields))), 256).alias("fingerprint"))
-
-
-def read_index(spark: SparkSession, folder: str, docs: DataFrame | None = None, fields: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(postings, sizes) of a stored index; with the corpus given, a stale index is an error."""
-    if docs is not None:
-        stored, now = spark.read.parquet(f"{folder}/meta").first(), source_fingerprint(docs, fields or {}).first()
-        if stored["fingerprint"] != now["fingerprint"]:
-            raise ValueError("the index is stale: it was built from another corpus")
-    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/sizes")
-
-
-def bm25(queries: DataFrame, docs: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """(query_id, doc_id, score), lower is better, of every document that shares a gram with the query.
-
-    idf = ln((N - df + 0.5) / (df + 0.5)), at least 1e-6; a document's length is the grams of all its fields."""
-    size = sum((gram_count(F.col(f"`{f}`")) for f in fields), F.lit(0))
-    grams = query_grams(queries)
-    return scored(grams, postings(docs, fields, grams), docs.select("doc_id", size.alias("size")))
-
-
-def scored(grams: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
-    """BM25 of query grams (query_id, gram) over postings and document sizes, made for the search or stored."""
-    asked = grams.groupBy("gram").agg(F.collect_set("query_id").alias("queries"))
-    found = found.join(asked.select("gram"), "gram", "left_semi")
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean_size"))
-    frequency = found.groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(stats))  # stats is one row
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weights = frequency.select("gram", idf.alias("idf"), "mean_size")
-    each = found.join(asked.join(weights, "gram"), "gram").join(sizes, "doc_id")
-    part = F.col("idf") * F.col("weight") * (K1 + 1) / (F.col("weight") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    each = each.select("doc_id", part.alias("part"), F.explode("queries").alias("query_id"))
-    return each.groupBy("query_id", "doc_id").agg((-F.sum("part")).alias("score"))
+def _channel(hits: DataFrame, name: str) -> DataFrame:
+    return hits.select("query_id", "doc_id", F.lit(name).alias("channel"), "rank", "score")
 
 
 def ranked(scores: DataFrame, channel: str, k: int, descending: bool = False, digits: int = 9) -> DataFrame:
@@ -150,18 +48,6 @@ def ranked(scores: DataFrame, channel: str, k: int, descending: bool = False, di
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", F.lit(channel).alias("channel"), "rank", order.alias("score"))
 
 
-def containing(queries: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id) of documents that hold the query's whole text.
-
-    A document can hold it only if it holds the query's rarest gram, so candidates come from an equi-join on that gram, whose
-    document frequency is counted first; only they are compared. Queries under three characters match nothing."""
-    grams = queries.select("query_id", "query", F.explode(F.array_distinct(X.trigrams(F.col("query")))).alias("gram")).withColumn("gram", X.packed_trigram(F.col("gram")))
-    rarity = document_frequencies(docs, text_col, grams)
-    keyed = grams.join(rarity, "gram").groupBy("query_id", "query").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
-    pairs = postings(docs, {text_col: 1.0}, keyed).join(keyed, "gram").select("query_id", "doc_id", "query")
-    return pairs.join(docs.select("doc_id", F.col(f"`{text_col}`").alias("__t")), "doc_id").where(F.contains("__t", F.col("query"))).select("query_id", "doc_id").distinct()
-
-
 def semantic(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Cosine of every query vector with all vectors (query_id, vector; doc_id, vector): the best k, ties to the lesser id.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, quality, retrieval
+from ..operators import corpus, gram_index, quality, retrieval
+from ..session import shared_folder
 from .tables import intervals, table
 
 TOP = 5
@@ -15,19 +18,25 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _lexical(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
+def _index(spark: SparkSession, sf_dir: str) -> gram_index.Index:
+    """The documents' stored index. It is published in the shared folder once for a path and read by all searches of a session, unless the documents have changed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return retrieval.ranked(retrieval.bm25(_queries(spark, sf_dir), docs, {"text": 1.0}), "LEXICAL", retrieval.over_fetch(k))
+    path = f"{shared_folder(spark)}/indexes/{spark.sparkContext.applicationId}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    try:
+        return gram_index.published(spark, path, docs)
+    except (FileNotFoundError, ValueError):  # none yet, or of other documents
+        gram_index.publish(docs, ["text"], path)
+        return gram_index.published(spark, path)
 
 
-def _exact(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
-    found = retrieval.containing(_queries(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return retrieval.ranked(found.withColumn("score", F.lit(1.0)), "EXACT", retrieval.over_fetch(k), descending=True)
+def _channels(spark: SparkSession, sf_dir: str, k: int = TOP) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieval.channels(_queries(spark, sf_dir), docs, retrieval.over_fetch(k), _index(spark, sf_dir))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT1, RT2, TK1: the best documents of each benchmark item by trigram BM25."""
-    hits = _lexical(spark, sf_dir).where(F.col("rank") <= TOP)
+    """RT1, RT2, TK1, SC13: the best documents of each benchmark item by trigram BM25."""
+    hits, _ = gram_index.search(_index(spark, sf_dir), _queries(spark, sf_dir), TOP, {"text": 1.0})
     return hits.select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
@@ -62,7 +71,7 @@ BM25_SQL = f"with {GRAMS_SQL} select query_id, doc_id, rank, round(score, 4) as
 
 
 def fused(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
-    return retrieval.top(retrieval.fuse(_lexical(spark, sf_dir), _exact(spark, sf_dir)), k)
+    return retrieval.top(retrieval.fuse(*_channels(spark, sf_dir, k)), k)
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,9 +159,10 @@ from states s left join sums using (issue)
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG12: recall and mean reciprocal rank of the lexical channel, against documents that hold the item."""
     queries = _queries(spark, sf_dir)
-    gold = _exact(spark, sf_dir).select("query_id", "doc_id")
+    lexical, exact = _channels(spark, sf_dir)
+    gold = exact.select("query_id", "doc_id")
     asked = queries.join(gold.select("query_id").distinct(), "query_id", "left_semi")
-    out = quality.ranking_metrics(asked, _lexical(spark, sf_dir), gold, TOP)
+    out = quality.ranking_metrics(asked, lexical, gold, TOP)
     return out.select("queries", F.round("recall_at_k", 6).alias("recall_at_k"), F.round("mrr", 6).alias("mrr"))
 
 

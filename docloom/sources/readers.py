@@ -95,17 +95,21 @@ def residue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def publish(rows: DataFrame, path: str) -> str:
-    """Write a new version beside the ones there are, then point to it in one step; returns the version's folder.
+    """Write a table as a new version beside the ones there are, then point to it in one step; returns the version's folder."""
+    return publish_folder(rows.sparkSession, path, rows.write.parquet)
+
+
+def publish_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
+    """Let ``write`` fill a new folder beside the versions there are, with as many tables as it likes, then point to it in one step; returns the folder.
 
     The pointer is a small file that is renamed over the old one, so a reader finds the old version or the new one, never none, and a failed
     write changes nothing. The version before stays, for readers that are still at it; older ones are removed."""
-    spark = rows.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     fs = jvm.org.apache.hadoop.fs
     files = fs.Path(path).getFileSystem(conf)
     before = _version(spark, path)
     version = f"v-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{path}/{version}")
+    write(f"{path}/{version}")
     staged, pointer = fs.Path(f"{path}/_pointer-{version}"), fs.Path(f"{path}/_current")
     out = files.create(staged, True)
     out.write(bytearray(version.encode()))
@@ -137,28 +141,15 @@ def _version(spark: SparkSession, path: str) -> str | None:
 
 def published(spark: SparkSession, path: str) -> DataFrame:
     """The current version of a table that was published."""
+    return spark.read.parquet(current_folder(spark, path))
+
+
+def current_folder(spark: SparkSession, path: str) -> str:
+    """The folder of the version that is current."""
     version = _version(spark, path)
     if version is None:
         raise FileNotFoundError(f"nothing has been published at {path}")
-    return spark.read.parquet(f"{path}/{version}")
-
-
-def replace_table(rows: DataFrame, path: str) -> None:
-    """Write beside the table, then put the new one in its place; a failed write leaves the old one as it was. Between the two renames there is
-    no table for a moment, and readers at work lose their files: where that matters, use ``publish``."""
-    spark = rows.sparkSession
-    jvm = spark.sparkContext._jvm
-    target, staged, old = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".new", ".old"))
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(target) and files.exists(old):  # an earlier replacement was broken off between its renames
-        files.rename(old, target)
-    files.delete(staged, True)
-    rows.write.parquet(path + ".new")
-    files.delete(old, True)
-    if files.exists(target):
-        files.rename(target, old)
-    files.rename(staged, target)
-    files.delete(old, True)
+    return f"{path}/{version}"
 
 
 def upsert(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
