@@ -26,9 +26,9 @@ class _Open:
 
     def effect(self, effect, rows: list[tuple]):
         effect = effect or {}
-        for _, kind, version, _ in rows:
+        for _, kind, *key in rows:
             if kind != ASKED:
-                key = (version["effective_date"], version["version_id"])
+                key = tuple(key)
                 effect[key] = effect.get(key, 0) + (1 if kind == STARTS else -1)
         return effect
 
@@ -38,11 +38,11 @@ class _Open:
 
     def run(self, state, rows: list[tuple]):
         out = []
-        for at, kind, version, _ in rows:
+        for at, kind, *key in rows:
             if kind == ASKED:
                 out.append(([v for (_, v), n in sorted(state.items()) for _ in range(n)] if at is not None else [],))
                 continue
-            key = (version["effective_date"], version["version_id"])
+            key = tuple(key)
             state[key] = state.get(key, 0) + (1 if kind == STARTS else -1)
             if not state[key]:
                 del state[key]
@@ -60,14 +60,15 @@ def resolve_versions(requests: DataFrame, versions: DataFrame, request_keys: lis
     Requests and the days on which versions begin and end are put in one order and scanned by ranges of (authority, day), with the open versions
     carried from task to task: nothing is joined on the authority, and an authority with any share of the rows is spread over many tasks."""
     day = versions.schema["effective_date"].dataType
-    version = F.struct("effective_date", F.col("version_id").cast("string").alias("version_id"))
+    version = ("effective_date", F.col("version_id").cast("string").alias("version_id"))
     valid = versions.where(F.col("effective_date").isNotNull() & F.col("authority_id").isNotNull() & (F.col("end_date_exclusive").isNull() | (F.col("effective_date") < F.col("end_date_exclusive"))))
     asked = requests.select("authority_id", F.col("as_of").cast(day).alias("at"), F.struct(*request_keys).alias("request")).distinct()
     nothing = F.lit(None).cast(asked.schema["request"].dataType).alias("request")
-    change = lambda rows, at, kind: rows.select("authority_id", F.col(at).cast(day).alias("at"), F.lit(kind).alias("kind"), version.alias("version"), nothing)
-    events = change(valid, "effective_date", STARTS).unionByName(change(valid.where("end_date_exclusive is not null"), "end_date_exclusive", ENDS))
-    events = events.unionByName(asked.withColumn("kind", F.lit(ASKED)).withColumn("version", F.lit(None).cast(events.schema["version"].dataType)))
-    found = scan.carried_scan(events, ["authority_id"], ["at", "kind"], ["version", "request"], "candidates array<string>", _Open(), partitions)
+    change = lambda at, kind: F.struct(F.col(at).cast(day).alias("at"), F.lit(kind).alias("kind"))
+    both = valid.withColumn("__change", F.explode(F.array(change("effective_date", STARTS), change("end_date_exclusive", ENDS))))
+    events = both.where("__change.at is not null").select("authority_id", "__change.at", "__change.kind", *version, nothing)
+    events = events.unionByName(asked.withColumns({"kind": F.lit(ASKED), "effective_date": F.lit(None).cast(day), "version_id": F.lit(None).cast("string")}))
+    found = scan.carried_scan(events, ["authority_id"], ["at", "kind"], ["at", "kind", "effective_date", "version_id"], ["request"], "candidates array<string>", _Open(), partitions)
     out = found.select("request.*", F.size("candidates").cast("long").alias("hits"), F.col("candidates").cast(T.ArrayType(versions.schema["version_id"].dataType)).alias("candidates"))
     out = out.withColumn("state", F.when(F.col("hits") == 0, "NO_APPLICABLE_VERSION").when(F.col("hits") > 1, "AMBIGUOUS").otherwise("RESOLVED"))
     return out.withColumn("version_id", F.when(F.col("hits") == 1, F.try_element_at("candidates", F.lit(1))))

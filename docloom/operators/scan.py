@@ -10,6 +10,7 @@ import pickle
 from collections.abc import Iterator
 from typing import Any, Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from ..session import checkpoint
 
 
 class Rule(Protocol):
-    """What a scan does. Rows are tuples of the scan's input columns; a state is any value that can be pickled."""
+    """What a scan does. Rows are tuples of the scan's input columns, in order; a state is any value that can be pickled."""
 
     def start(self) -> Any:
         """The state before a key's first row."""
@@ -33,30 +34,31 @@ class Rule(Protocol):
         """The state after the rows of one key, and for each row its output (None: no row)."""
 
 
-def _batches(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, list[tuple], list[int]]]:
-    """Batches with their rows as tuples and the bounds of runs of equal keys."""
+def _batches(batches: Iterator[pa.RecordBatch], keys: list[str], inputs: list[str]) -> Iterator[tuple[pa.RecordBatch, list[tuple], list[int], tuple, tuple]]:
+    """Batches with the rule's rows as tuples, the bounds of runs of equal keys, and the first and the last key."""
     for batch in batches:
         if batch.num_rows:
-            rows = list(zip(*[c.to_pylist() for c in batch.columns], strict=True))
-            cuts = [0, *(i for i in range(1, len(rows)) if rows[i][:keys] != rows[i - 1][:keys]), len(rows)]
-            yield batch, rows, cuts
+            coded = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for k in keys]
+            changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in coded], axis=0)) + 1
+            rows = list(zip(*[batch.column(c).to_pylist() for c in inputs], strict=True))
+            first, last = (tuple(batch.column(k)[at].as_py() for k in keys) for at in (0, batch.num_rows - 1))
+            yield batch, rows, [0, *changes.tolist(), len(rows)], first, last
 
 
-def _summary(rule: Rule, keys: int):
+def _summary(rule: Rule, keys: list[str], inputs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first = last = effect = None
         single = True
-        for _, rows, cuts in _batches(batches, keys):
-            key = rows[-1][:keys]
+        for _, rows, cuts, here, there in _batches(batches, keys, inputs):
             if first is None:
-                first = rows[0][:keys]
-            elif rows[0][:keys] != last:
+                first = here
+            elif here != last:
                 effect, single = None, False
             if len(cuts) > 2:
                 effect, single = None, False
-            effect, last = rule.effect(effect, [r[keys:] for r in rows[cuts[-2] :]]), key
+            effect, last = rule.effect(effect, rows[cuts[-2] :]), there
         if first is not None:
             out = [TaskContext.get().partitionId(), pickle.dumps(first), pickle.dumps(last), single, pickle.dumps(effect)]
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in out], names=["part", "first", "last", "single", "effect"])
@@ -64,40 +66,40 @@ def _summary(rule: Rule, keys: int):
     return run
 
 
-def _scan(rule: Rule, keys: int, carried: dict[int, bytes], names: list[str], kinds: list[pa.DataType]):
+def _scan(rule: Rule, keys: list[str], inputs: list[str], kept: int, carried: dict[int, bytes], names: list[str], kinds: list[pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         state = pickle.loads(carried[part]) if (part := TaskContext.get().partitionId()) in carried else rule.start()
         last = None
-        for batch, rows, cuts in _batches(batches, keys):
-            taken, out = [], []
+        for batch, rows, cuts, here, there in _batches(batches, keys, inputs):
+            out = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if last is not None and rows[a][:keys] != last:
+                if a > 0 or last is not None and here != last:
                     state = rule.start()
-                last = rows[a][:keys]
-                state, found = rule.run(state, [r[keys:] for r in rows[a:b]])
-                taken += [a + i for i, f in enumerate(found) if f is not None]
-                out += [f for f in found if f is not None]
-            own = batch.take(pa.array(taken, pa.int64()))
-            columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
+                state, found = rule.run(state, rows[a:b])
+                out += found
+            last = there
+            taken = [i for i, f in enumerate(out) if f is not None]
+            own = batch if len(taken) == len(out) else batch.take(pa.array(taken, pa.int64()))
+            columns = list(zip(*(f for f in out if f is not None), strict=True)) if taken else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*own.columns[:kept], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
     return run
 
 
-def carried_scan(df: DataFrame, keys: list[str], order: list[str], given: list[str], added: str, rule: Rule, partitions: int | None = None) -> DataFrame:
-    """The rows of ``keys``, ``order`` and ``given`` with the columns ``added`` (DDL) that the rule makes of them, scanned by ``order`` within each key.
+def carried_scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], keep: list[str], added: str, rule: Rule, partitions: int | None = None) -> DataFrame:
+    """The columns of ``keys`` and ``keep`` with the columns ``added`` (DDL) that the rule makes of each row, scanned by ``order`` within each key.
 
-    The rule sees tuples of ``order`` and ``given``. Rows for which it gives None are left out. Ties of the order are broken by ``given``
-    as far as they are listed there, so list what tells rows apart."""
+    The rule sees tuples of the ``inputs`` alone; a row for which it gives None is left out."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    columns = list(dict.fromkeys([*keys, *order, *given]))
-    rows = df.select(*columns)
+    out = list(dict.fromkeys([*keys, *keep]))
+    columns = list(dict.fromkeys([*out, *order, *inputs]))
+    rows = checkpoint(df.select(*columns))  # dealing by ranges reads them twice, for the bounds and for the rows
     ranged = rows.repartitionByRange(partitions, *keys, *order) if partitions else rows.repartitionByRange(*keys, *order)
     dealt = checkpoint(ranged.sortWithinPartitions(*keys, *order))
-    found = dealt.mapInArrow(_summary(rule, len(keys)), "part long, first binary, last binary, single boolean, effect binary")
+    found = dealt.select(*dict.fromkeys([*keys, *inputs])).mapInArrow(_summary(rule, keys, inputs), "part long, first binary, last binary, single boolean, effect binary")
     carried: dict[int, bytes] = {}
     before, state = None, None
     for part in sorted(found.collect(), key=lambda r: r["part"]):  # a row for each partition
@@ -107,5 +109,5 @@ def carried_scan(df: DataFrame, keys: list[str], order: list[str], given: list[s
         start = state if goes_on and part["single"] else rule.start()
         before, state = pickle.loads(part["last"]), rule.after(start, pickle.loads(part["effect"]))
     new = T.StructType.fromDDL(added)
-    schema = T.StructType([*rows.schema.fields, *new.fields])
-    return dealt.mapInArrow(_scan(rule, len(keys), carried, schema.names, [to_arrow_type(f.dataType) for f in new.fields]), schema)
+    schema = T.StructType([*[rows.schema[c] for c in out], *new.fields])
+    return dealt.mapInArrow(_scan(rule, keys, inputs, len(out), carried, schema.names, [to_arrow_type(f.dataType) for f in new.fields]), schema)

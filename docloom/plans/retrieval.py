@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus, gram_index, quality, retrieval
 from ..session import shared_folder
-from .tables import intervals, table
+from .tables import intervals, spread, table
 
 TOP = 5
 
@@ -25,7 +25,7 @@ def _index(spark: SparkSession, sf_dir: str) -> gram_index.Index:
     try:
         return gram_index.published(spark, path, docs)
     except (FileNotFoundError, ValueError):  # none yet, or of other documents
-        gram_index.publish(docs, ["text"], path)
+        gram_index.publish(spread(docs), ["text"], path)
         return gram_index.published(spark, path)
 
 

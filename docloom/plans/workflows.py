@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import artifacts, batch, corpus, extraction, ingest, planning, quality, retrieval, review, rules, workflow
 from .reviews import _pick, _pick_sql
-from .tables import table
+from .tables import spread, table
 
 TOP = 5
 
@@ -33,7 +33,7 @@ def weighted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT2: BM25 over four fields of weights 4, 6, 2 and 1: source, language, beginning and text of a document."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.concat(F.lit("src"), F.col("item_id") % 20), F.substring("text", 1, 20)).alias("query"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.concat("lang", F.lit(" src1")).alias("token"), F.substring("text", 1, 60).alias("heading"), "text")
-    hits = retrieval.lexical(queries, docs, retrieval.FIELD_WEIGHTS, TOP)
+    hits = retrieval.lexical(queries, spread(docs), retrieval.FIELD_WEIGHTS, TOP)
     return hits.select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
