@@ -4,10 +4,12 @@ A page is parsed leniently into a tree. Parts that are never an article's text (
 menus, headers, footers, sidebars, notices, adverts, forms, reader comments) are left out by tag, role
 or whole class name. Every other node has a density: its characters per tag, adjusted by the characters and
 tags of links in it and by the share of link characters in the body. A node's density sum adds the
-densities of its children (text of its own counts as a child). The node of the greatest sum is chosen,
-with all below it; the least density on its path to the body is the threshold: beside the path, a part of blocks is kept if it
+densities of its children (text of its own counts as a child). The node of the greatest sum is chosen;
+the least density on its path to the body is the threshold: beside the path, a part of blocks is kept if it
 reaches the threshold, a single block (a heading, a paragraph) if it is no list of links. An ``article`` or ``main`` element on the chosen
-node's path bounds it: all within belongs to it, and of what surrounds it only a title.
+node's path bounds it: of what surrounds it only a title is kept. Within a ``main`` the same threshold decides; within an ``article``, and of the chosen
+node's own children, a part of blocks goes only if it stays below the threshold, is links for the most part and has no heading; lists in
+an article's own flow (references) stay.
 
 Character references are decoded; white space inside a block becomes one space; blocks are joined by
 one space in page order. Defined results: null or empty html, or a page without text, gives an empty
@@ -61,14 +63,19 @@ OUTSIDE_NAMES = frozenset(
     "reply replies respond disqus discussion pagination pager widget widgets search skip toc copyright".split()
 )
 ADVERT_NAMES = frozenset("ad ads adsense adbox adslot adunit advert adverts advertisement advertising sponsor sponsored promo promos promoted outbrain taboola".split())
+#: Names that put an ``article`` element outside, and those that a text block may have.
 ARTICLE_OUTSIDE_NAMES = ADVERT_NAMES | frozenset("comment comments commentlist reply replies respond disqus related recommended recommendations share sharing social newsletter subscribe subscription signup cookie cookies consent teaser".split())
+TEXT_OUTSIDE_NAMES = ADVERT_NAMES | frozenset("comment comments reply replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that hold parts of a page; lists and tables are no such parts.
+PARTS = frozenset("div section details fieldset center dir".split())
 #: Words that may stand beside such a name without making it another one.
 PLAIN_WORDS = frozenset(
     "area article articles bar block body bottom box btn button buttons card col column container content desktop first fixed form global group header icon icons inner item items js label last left link links list main message mobile "
     "module new outer page panel post posts primary reader readers region right row secondary section site slot space sticky stories story strip text title tools top unit user wrap wrapper zone".split()
 )
 NEVER_OUTSIDE = frozenset("html body article main".split())
-#: Blocks of text, which a class name puts outside only as adverts.
+#: Blocks of text, which a class name puts outside only as adverts or comments.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote td th tr tbody dt dd figcaption caption".split())
 HEADER_NAMES = frozenset({"header", "siteheader", "pageheader"})
 
@@ -85,7 +92,7 @@ def is_outside(tag: str, attrs: str, in_article: bool) -> bool:
         return True
     if not attrs.strip() or tag in NEVER_OUTSIDE and tag != "article":
         return False
-    names = ADVERT_NAMES if tag in TEXT_BLOCKS else ARTICLE_OUTSIDE_NAMES if tag == "article" or in_article else OUTSIDE_NAMES
+    names = TEXT_OUTSIDE_NAMES if tag in TEXT_BLOCKS else ARTICLE_OUTSIDE_NAMES if tag == "article" else OUTSIDE_NAMES
     for key, *values in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), unescape("".join(values))
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
@@ -240,12 +247,19 @@ def extract(html: str | None) -> str:
     marked = [n for n in path if page.tags[n] == "article"] or [n for n in path if page.tags[n] == "main"]
     bound = path.index(marked[-1]) if marked else len(path)
     place = {n: k for k, n in enumerate(path)}
+    headed = [False] * len(page.tags)
+    for n in reversed(nodes):
+        if n and not page.outside[n] and (headed[n] or page.tags[n] in HEADINGS and link_chars[n] < chars[n]):
+            headed[page.parents[n]] = True
 
     def beside(n: int) -> bool:
         """Whether a child of a node on the path, itself beside it, belongs to the text."""
-        if marked:
-            return place[page.parents[n]] <= bound or page.tags[n] == "h1"
+        above = place[page.parents[n]]
+        if marked and above > bound:
+            return page.tags[n] == "h1"
         few_links = link_chars[n] <= chars[n] / 2
+        if above == 0 or marked and page.tags[marked[-1]] == "article":
+            return page.tags[n] not in PARTS or few_links or dense[n] >= threshold or headed[n]
         return page.tags[n] not in BLOCKS or few_links and (page.tags[n] in SINGLE_BLOCKS or dense[n] >= threshold)
 
     wanted = [False] * len(page.tags)
@@ -255,7 +269,7 @@ def extract(html: str | None) -> str:
             continue
         if n in place:
             wanted[n] = place[n] <= bound
-        elif above in place and place[above] > 0:
+        elif above in place:
             wanted[n] = beside(n)
         else:
             wanted[n] = above >= 0 and wanted[above]

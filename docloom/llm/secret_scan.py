@@ -66,11 +66,10 @@ KNOWN = re.compile(
     r"|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]{16,}-----END [A-Z ]*PRIVATE KEY-----"
 )
 KNOWN_STARTS = ("AKIA", "ASIA", "gh", "glpat", "xox", "k_live", "k_test", "sk-", "AIza", "SG.", "eyJ", "-----BEGIN")
-ASSIGNED = re.compile(
-    r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]{0,40}?(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key|bearer|encryption[_-]?key|signing[_-]?key)[A-Za-z0-9_.-]{0,40})"
-    r"[\"']?\s{0,3}(?:=>|:=|=|:|\s)\s{0,3}[\"'`]?([^\s\"'`,;|<>]{6,})",
-    re.IGNORECASE,
-)
+KEYWORD = re.compile(r"token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key|bearer|encryption[_-]?key|signing[_-]?key", re.IGNORECASE)
+NAME_CHARACTERS = frozenset(string.ascii_letters + string.digits + "_.-")
+NAME_END = re.compile(r"[A-Za-z0-9_.-]*")
+VALUE = re.compile(r"[\"']?\s{0,3}(?:=>|:=|=|:|\s)\s{0,3}[\"'`]?([^\s\"'`,;|<>]{6,})")
 BARE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 
 FEATURES = (
@@ -147,7 +146,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
     if any(k in text for k in KNOWN_STARTS):
         found += [(*m.span(), "known", "") for m in KNOWN.finditer(text)]
     if any(k in low for k in SECRET_NAMES):
-        found += [(*m.span(2), "assigned", m[1]) for m in ASSIGNED.finditer(text)]
+        found += assignments(text)
     for m in BARE.finditer(text):
         if any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0])):
             found.append((*m.span(), "bare", ""))
@@ -166,6 +165,23 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
     return named
 
 
+def assignments(text: str) -> list[tuple[int, int, str, str]]:
+    """Values that are assigned to a name with a keyword in it, however long the name; a name is looked at once, so the work is linear in the text."""
+    found, at = [], 0
+    for keyword in KEYWORD.finditer(text):
+        start = keyword.start()
+        if start < at:  # in a name or a value that is done with
+            continue
+        while start > at and text[start - 1] in NAME_CHARACTERS:
+            start -= 1
+        at = NAME_END.match(text, keyword.end()).end()
+        name = text[start:at]
+        if value := VALUE.match(text, at):
+            found.append((*value.span(1), "assigned", name))
+            at = value.end()
+    return found
+
+
 def _apart(found: list[tuple[int, int, str, str]], taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """Those found that overlap nothing that is taken; both are in order and free of overlaps, so one pass will do."""
     out, k = [], 0

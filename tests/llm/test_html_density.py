@@ -68,6 +68,32 @@ def test_nothing_else_is_dropped_within_an_article():
     assert plain.count("Sentence") == 6 and "find" not in plain and "Note" not in plain and "notice period" in plain
 
 
+NAMED = "sidebar article-sidebar notice site-notice breadcrumbs cookie-banner pagination menu mobile-nav banner footer login toc reader-discussion".split()
+
+
+def test_what_surrounds_an_article_goes_also_within_main_and_article():
+    for name in NAMED:
+        beside = f"<div class={name}><p>Beside the text {name}.</p></div>"
+        for page in (f"<main><div class=content>{paragraphs(5)}</div>{beside}</main>", f"<article>{paragraphs(3)}{beside}{paragraphs(2, 3)}</article>", f"<main><article>{paragraphs(5)}</article>{beside}</main>"):
+            got = html_density.extract(f"<body>{page}</body>")
+            assert got.count("Sentence") == 5 and "Beside" not in got, (name, page[:20])
+    for tag in ("article", "main", "div"):
+        got = html_density.extract(f"<body><{tag}>{paragraphs(4)}<p class=comment>Reader says.</p><p class='reader-comment'>Another.</p><p class=notice-period>Kept.</p></{tag}></body>")
+        assert got.count("Sentence") == 4 and "Reader says" not in got and "Another" not in got and "Kept." in got
+
+
+def test_densities_decide_within_articles_and_main(monkeypatch):
+    links = "<div>" + "".join(f"<div><a href=/{i}>More of our stories {i}</a></div>" for i in range(8)) + "</div>"
+    references = "<h2>References</h2><ul>" + "".join(f"<li><a href=/{i}>Reference {i}</a></li>" for i in range(6)) + "</ul>"
+    section = "<section><h2>Sources</h2>" + "".join(f"<div><a href=/{i}>Source {i}</a></div>" for i in range(3)) + "</section>"
+    pages = [f"<body><article>{paragraphs(6)}{links}{references}{section}</article></body>", f"<body><main><div>{paragraphs(6)}</div>{links}</main></body>", f"<body><main><h1>Title</h1><div>{links}</div><div>{paragraphs(6)}</div></main></body>"]
+    got = [html_density.extract(p) for p in pages]
+    assert all(g.count("Sentence") == 6 and "More of" not in g for g in got)
+    assert "Reference 5" in got[0] and "Source 2" in got[0] and "Title" in got[2]
+    monkeypatch.setattr(html_density, "density", lambda *_: 1.0)
+    assert [html_density.extract(p) for p in pages] != got and "More of" in html_density.extract(pages[0])
+
+
 def test_deep_and_long_pages():
     assert html_density.extract("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
     assert len(html_density.extract("<article><p>" + "word " * 200_000 + "</article>")) == 200_000 * 5 - 1

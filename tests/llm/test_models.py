@@ -1,5 +1,6 @@
 """Quality classifier, language identification and secret scan: held-out accuracy and edges."""
 
+import random
 import re
 
 import pytest
@@ -19,6 +20,10 @@ def labels(spark, small):
     return spark.read.parquet(small.replace("sf0.001", "sf0.01") + "/labels.parquet")
 
 
+#: The rule of assigned values in one pattern: a whole name with a keyword in it, then a sign and the value. Slow on very long names.
+ASSIGNED = re.compile(rf"(?i:(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]*?(?:{secret_scan.KEYWORD.pattern})[A-Za-z0-9_.-]*))" + secret_scan.VALUE.pattern)
+
+
 def test_quality_on_held_out_rows(spark, docs, labels):
     model = rule_ensemble.fit(docs, labels)
     scored = rule_ensemble.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(held_out("doc_id"))
@@ -190,7 +195,7 @@ def test_query_is_its_brute_force(spark, small, forest):
     small, want = small.replace("sf0.001", "sf0.01"), set()
     for r in spark.read.parquet(f"{small}/documents.parquet").collect():
         text, taken = r.text or "", []
-        assigned = [(*m.span(2), m[1]) for m in secret_scan.ASSIGNED.finditer(text)]
+        assigned = [(*m.span(2), m[1]) for m in ASSIGNED.finditer(text)]
         found = [(*m.span(), "known", "") for m in secret_scan.KNOWN.finditer(text)] + [(s, e, "assigned", n) for s, e, n in assigned]
         found += [(*m.span(), "bare", "") for m in secret_scan.BARE.finditer(text) if any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0]))]
         for s, e, pattern, name in found:
@@ -217,3 +222,15 @@ def test_many_candidates_and_long_values_take_linear_time(forest):
     long = 'secret = "' + "aB3x" * 250_000 + '"'
     assert secret_scan.redacted_text(long, "", forest) in (long, 'secret = "[REDACTED]"')
     assert time.perf_counter() - start < 30
+
+
+def test_assigned_values_of_names_of_any_length():
+    rng = random.Random(6)
+    bits = ["token", "SECRET", "passwd", "api-key", "_", "-", ".", "x" * 45, "a1", " ", "=", ": ", " => ", "'", '"', "\n", "hunter2hunter2", "k9f2Lq8", ",", "auth", "é"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        assert secret_scan.assignments(text) == [(*m.span(2), "assigned", m[1]) for m in ASSIGNED.finditer(text)], text
+    for size in (38, 41, 200, 100_000):
+        for name in ("a" * size + "_token", "token_" + "a" * size):
+            assert secret_scan.assignments(f"{name} = 'k9f2Lq8'") == [(len(name) + 4, len(name) + 11, "assigned", name)]
+    assert secret_scan.assignments("token" * 200_000) == []
