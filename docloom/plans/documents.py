@@ -245,6 +245,36 @@ from r join l on l.topic_key = r.topic_key group by r.topic_key
 """
 
 
+def _share_of_first(job: dict) -> list[tuple[str, str, str]]:
+    """A rule that breaks on jobs whose quantities outside the first line sum to nothing."""
+    first, *rest = job["quantities"]
+    share = first / sum(q for q in rest if q > 10)
+    return [("first-line", rules.PASS if share <= 1 else rules.FAIL, "FIRST_LINE_WITHIN_REST" if share <= 1 else "FIRST_LINE_EXCEEDS_REST")]
+
+
+def _lines_counted(job: dict) -> list[tuple[str, str, str]]:
+    return [("lines", rules.PASS if len(job["quantities"]) < 7 else rules.REVIEW, "FEW_LINES" if len(job["quantities"]) < 7 else "MANY_LINES")]
+
+
+def isolated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD4: two rules on the lines of orders, one of which divides by zero on some; the others have their results all the same."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("double").alias("q")))).alias("l"))
+    registry = [rules.JobRule("FIRST-LINE-SHARE", "1.0.0", "amounts", _share_of_first), rules.JobRule("LINES-COUNTED", "1.0.0", "amounts", _lines_counted)]
+    found = rules.isolated(lines.select("job_id", F.transform("l", lambda x: x["q"]).alias("quantities")), registry)
+    status = rules.report_status(found, "job_id").select("job_id", "status", F.array_join("engine_errors", ",").alias("engine_errors"))
+    return found.join(status, "job_id").select("job_id", "rule_id", "instance", "state", "reason_code", F.array_join("review_reasons", ";").alias("review_reasons"), "status", "engine_errors")
+
+
+ISOLATED_SQL = """
+with l as (select l_orderkey as job_id, l_quantity as q, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity) as n from lineitem),
+j as (select job_id, count(*) as lines, max(q) filter (n = 1) as first, coalesce(sum(q) filter (n > 1 and q > 10), 0) as rest from l group by job_id),
+s as (select *, case when rest = 0 then 'complete_with_errors' else 'complete' end as status, case when rest = 0 then 'FIRST-LINE-SHARE:ZeroDivisionError' else '' end as engine_errors from j)
+select job_id, 'FIRST-LINE-SHARE' as rule_id, case when rest = 0 then 'engine-error' else 'first-line' end as instance, case when rest = 0 then 'REVIEW' when first <= rest then 'PASS' else 'FAIL' end as state,
+    case when rest = 0 then 'RULE_EXECUTION_ERROR' when first <= rest then 'FIRST_LINE_WITHIN_REST' else 'FIRST_LINE_EXCEEDS_REST' end as reason_code, case when rest = 0 then 'ZeroDivisionError: float division by zero' end as review_reasons, status, engine_errors from s
+union all select job_id, 'LINES-COUNTED', 'lines', case when lines < 7 then 'PASS' else 'REVIEW' end, case when lines < 7 then 'FEW_LINES' else 'MANY_LINES' end, null, status, engine_errors from s
+"""
+
+
 def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN8: the texts of a source packed in order into chunks of 18,000 characters and 24 items."""
     out = planning.packed_chunks(_docs(spark, sf_dir).select("source", "doc_id", "n_chars"), ["source"], "doc_id", "n_chars")
@@ -322,6 +352,7 @@ QUERIES = {
     "label_consistency": (label_consistency, LABEL_SQL),
     "percent_total": (percent_total, PERCENT_SQL),
     "chronology": (chronology, CHRONOLOGY_SQL),
+    "isolated_rules": (isolated_rules, ISOLATED_SQL),
     "topic_router": (topic_router, TOPIC_SQL),
     "text_previews": (text_previews, PREVIEW_SQL),
     "plan_merge": (plan_merge, MERGE_SQL),
