@@ -15,9 +15,9 @@ A pair that meets in one direction only is counted for both. Equal vectors are o
 are never compared. Cells of more than BLOCK vectors at home are cut into blocks, and what
 visits a cell into parties of about PARTY, each searched by itself.
 
-Defined results: a vector that is null, zero, or holds a null or a component that is not finite, or whose length is not the commonest, links
-with nothing (n_links 0, its own component); repeated rows count as further vectors; an empty table
-gives no rows; a null id never names a component.
+Defined results: a vector that is null, zero, or holds a null or a component that is not finite links
+with nothing (n_links 0, its own component); vectors of one length link with each other, whatever length that is; repeated rows count as further
+vectors; ties play no part, as all links are kept; an empty table gives no rows; a null id never names a component; further columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, hashed_low, runs
@@ -251,16 +251,22 @@ def _meet(kind: str, least: float):
     return run
 
 
+def _sound(column: str) -> Column:
+    """Whether a vector can link: not null, no component null or non-finite, not all of them zero."""
+    return F.coalesce(F.expr(f"forall(`{column}`, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(`{column}`, v -> v <> 0)"), F.lit(False))
+
+
 def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, str]:
     """Rows with the class of their vector (null if it links with nothing), the classes with packed vectors, and the numbers' kind."""
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     whole = vectors.select(F.col(f"`{id_col}`"), F.col(f"`{vector_col}`").cast("array<float>" if kind == "<f4" else "array<double>").alias("vector"))
-    sound = F.expr("vector is not null and forall(vector, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(vector, v -> v <> 0)")
-    whole = whole.withColumn("vector", F.when(F.coalesce(sound, F.lit(False)), F.col("vector")))
+    whole = whole.withColumn("vector", F.when(_sound("vector"), F.col("vector")))
     widths = whole.where("vector is not null").groupBy(F.size("vector").alias("n")).count()
     widest = widths.orderBy(F.desc("count"), F.desc("n")).first()
     width = widest["n"] if widest else 0
-    rows = whole.withColumn("vector", F.when((F.size("vector") == width) & F.lit(width >= 2), F.col("vector")))
+    rows = whole.withColumn("vector", F.when(F.size("vector") == width, F.col("vector")))
+    if width == 1:  # halves need two numbers; a zero changes no cosine
+        rows = rows.withColumn("vector", F.expr(f"array_append(vector, cast(0 as {'float' if kind == '<f4' else 'double'}))"))
     classes = rows.where("vector is not null").groupBy("vector").agg(F.count("*").alias("size"), F.min(id_col).alias("least_id"))
     classes = classes.select(F.xxhash64("vector").alias("class_id"), "size", "least_id", "vector")
 
@@ -276,7 +282,21 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFram
 
 
 def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9) -> DataFrame:
-    """The columns of ``vectors`` but the vector's are not kept: id, n_links, component_id, kept (the id names its component)."""
+    """Of every row id, n_links, component_id and kept (the id names its component); further columns are not kept.
+
+    Vectors of one length link with each other; each length has an index of its own."""
+    lengths = [r["n"] for r in vectors.where(_sound(vector_col)).groupBy(F.size(f"`{vector_col}`").alias("n")).count().orderBy("n").collect()]  # a row for each length
+    if len(lengths) < 2:
+        return _linked(vectors, id_col, vector_col, least)
+    length = F.when(_sound(vector_col), F.size(f"`{vector_col}`"))
+    out = _linked(vectors.where(length.isNull()), id_col, vector_col, least)
+    for n in lengths:
+        out = out.unionByName(_linked(vectors.where(length == n), id_col, vector_col, least))
+    return out
+
+
+def _linked(vectors: DataFrame, id_col: str, vector_col: str, least: float) -> DataFrame:
+    """The same for vectors of one length."""
     rows, classes, kind = _classes(vectors, id_col, vector_col)
     count = classes.count()
     if count < 2:

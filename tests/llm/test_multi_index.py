@@ -57,6 +57,13 @@ def test_odd_vectors(spark):
     assert linked(spark, []) == []
 
 
+def test_vectors_of_each_length_link_among_themselves(spark):
+    mixed = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [2.0, 4.1]), (4, [1.0, 2.0, 3.0]), (5, [1.0, 2.1, 3.0]), (6, [3.0, -1.0, 0.5]), (7, [5.0]), (8, [7.0]), (9, [-2.0]), (10, None), (11, [0.0]), (12, [])]
+    by_length = [r for n in (1, 2, 3) for r in brute([m for m in mixed if m[1] is not None and len(m[1]) == n and any(m[1])])]
+    assert linked(spark, mixed) == sorted([*by_length, (10, 0, 10), (11, 0, 11), (12, 0, 12)], key=str)
+    assert linked(spark, mixed[6:9]) == [(7, 1, 7), (8, 1, 7), (9, 0, 9)]
+
+
 def test_visits_are_the_nearest_cells():
     rng = np.random.default_rng(0)
     grid = multi_index.Grid(rng.normal(size=(300, 8)), 9)
