@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import checkpoint
 from . import corpus, gram_index
 
 # Fusion constant, channel weights, field weights.
@@ -120,9 +122,16 @@ def applicable(hits: DataFrame, requests: DataFrame, versions: DataFrame) -> Dat
 
 
 def recognized_authority(queries: DataFrame, authorities: DataFrame) -> DataFrame:
-    """(query_id, authority_id) where exactly one authority's title (three characters or more) is in the query; the catalogue is small and is broadcast."""
+    """(query_id, authority_id) where exactly one authority's title (three characters or more) is in the query.
+
+    A query can hold a title only if it holds the title's rarest gram, so the two meet on that gram, and only what meets is compared."""
     titles = authorities.select("authority_id", X.title_key(F.col("title")).alias("key")).where(F.length("key") >= 3)
-    hits = queries.select("query_id", X.title_key(F.col("query")).alias("q")).join(F.broadcast(titles), F.contains("q", F.col("key")))
+    grams = titles.select("authority_id", "key", F.explode(F.array_distinct(X.trigrams(F.col("key")))).alias("gram"))
+    rarity = grams.groupBy("gram").agg(F.count("*").alias("titles"))
+    rarest = grams.join(rarity, "gram").groupBy("authority_id", "key").agg(F.min_by("gram", F.struct("titles", "gram")).alias("gram"))
+    asked = queries.select("query_id", X.title_key(F.col("query")).alias("q"))
+    asked = asked.select("query_id", "q", F.explode(F.array_distinct(X.trigrams(F.col("q")))).alias("gram"))
+    hits = asked.join(rarest, "gram").where(F.contains("q", F.col("key")))
     return hits.groupBy("query_id").agg(F.count("*").alias("n"), F.min("authority_id").alias("authority_id")).where("n = 1").drop("n")
 
 
@@ -148,6 +157,82 @@ def retrieval_state(recognized: Column, resolution: Column, explicit_missing: Co
     return F.when(recognized, with_authority).otherwise(without)
 
 
+# Codes of what a retrieval warns of, in the order in which they are told; the fourth names the evidence.
+UNKNOWN_EVIDENCE, ARTICLE_NOT_STORED, INDEX_NOT_READY, MISSING_EVIDENCE, EXCERPTS = "EVIDENCE_ID_UNKNOWN", "ARTICLE_NOT_IN_STORED_VERSION", "INDEX_NOT_READY", "INDEX_REFERENCES_MISSING_EVIDENCE", "CURATED_EXCERPT_CORPUS"
+NO_MATCH, VERSION_REVIEW = "NO_LEGAL_EVIDENCE_MATCHED", "VERSION_RESOLUTION_REQUIRES_REVIEW"
+
+
+@dataclass(frozen=True)
+class Run:
+    """What a retrieval gives: candidates (query_id, final_rank, doc_id, authority_id, version_id, fused_score, exact_hit, channels), queries (query_id, state, channels_executed,
+    warnings in order, each once) and resolutions (query_id, authority_id, state, version_id, candidates) of all authorities that were looked at."""
+
+    candidates: DataFrame
+    queries: DataFrame
+    resolutions: DataFrame
+
+
+def run(requests: DataFrame, articles: DataFrame, versions: DataFrame, authorities: DataFrame, index: gram_index.Index | None, k: int = 5, weights: dict[str, float] | None = None) -> Run:
+    """Retrieval for all requests at once, from citations and an index, as of each request's date.
+
+    requests: query_id, query, as_of, and evidence_id_hint if there are any; articles: doc_id, authority_id, version_id, article_ordinal; versions: authority_id, version_id,
+    effective_date, end_date_exclusive, coverage_type; authorities: authority_id, title. Every authority that a request cites, or that a hit is of, is resolved once
+    for it; only then are hits of other versions left out and the best k taken. Without an index citations are answered alone."""
+    if "evidence_id_hint" not in requests.columns:
+        requests = requests.withColumn("evidence_id_hint", F.lit(None).cast(articles.schema["doc_id"].dataType))
+    known = recognized_authority(requests, authorities)
+    asked = checkpoint(requests.join(known, "query_id", "left").withColumn("ordinal", article_ordinal(F.col("query"))))  # read by every step below
+    if index is not None:
+        hits, _ = gram_index.search(index, requests.select("query_id", "query"), over_fetch(k), weights or {f: 1.0 for f in index.fields})
+        lexical_hits = checkpoint(_channel(hits, "LEXICAL"))
+    else:
+        lexical_hits = asked.limit(0).select("query_id", F.col("evidence_id_hint").alias("doc_id"), F.lit("LEXICAL").alias("channel"), F.lit(1).alias("rank"), F.lit(0.0).alias("score"))
+    at = articles.select("doc_id", "authority_id", "version_id")
+    placed = lexical_hits.select("query_id", "doc_id").join(at, "doc_id", "left")
+    hints = asked.where("evidence_id_hint is not null").select("query_id", F.col("evidence_id_hint").alias("doc_id")).join(at, "doc_id", "left")
+    cited = asked.where("authority_id is not null and ordinal is not null").select("query_id", "authority_id", "ordinal")
+    looked_at = cited.select("query_id", "authority_id").unionByName(placed.select("query_id", "authority_id")).unionByName(hints.select("query_id", "authority_id")).where("authority_id is not null").distinct()
+    resolved = checkpoint(corpus.resolve_versions(looked_at.join(asked.select("query_id", "as_of"), "query_id"), versions, ["query_id", "authority_id"]))
+    valid = resolved.where("state = 'RESOLVED'").select("query_id", "authority_id", "version_id")
+    found = cited.join(valid, ["query_id", "authority_id"]).join(articles.select("authority_id", "version_id", F.col("article_ordinal").alias("ordinal"), "doc_id"), ["authority_id", "version_id", "ordinal"], "left")
+    exact_hits = hints.join(valid, ["query_id", "authority_id", "version_id"]).select("query_id", "doc_id", F.lit(1).alias("nth")).unionByName(found.where("doc_id is not null").select("query_id", "doc_id", F.lit(2).alias("nth")))
+    exact_hits = exact_hits.groupBy("query_id", "doc_id").agg(F.min("nth").alias("nth"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("nth", "doc_id"))
+    exact_channel = checkpoint(exact_hits.select("query_id", "doc_id", F.lit("EXACT").alias("channel"), rank.alias("rank"), F.lit(1.0).alias("score")))
+    fused = fuse(lexical_hits, exact_channel).join(at, "doc_id").join(valid, ["query_id", "authority_id", "version_id"], "left_semi")
+    candidates = checkpoint(top(fused, k).select("query_id", "final_rank", "doc_id", "authority_id", "version_id", "fused_score", "exact_hit", "channels"))
+    missing = placed.where("authority_id is null").groupBy("query_id").agg(F.array_sort(F.collect_set(F.concat_ws(":", F.lit(MISSING_EVIDENCE), "doc_id"))).alias("missing"))
+    flag = lambda rows, name: rows.select("query_id").distinct().withColumn(name, F.lit(True))
+    rows = asked.select("query_id", "authority_id").join(resolved.select("query_id", "authority_id", F.col("state").alias("resolution")), ["query_id", "authority_id"], "left")
+    for part in (flag(hints.where("authority_id is null"), "no_evidence"), flag(found.where("doc_id is null"), "no_article"), flag(candidates, "any"), flag(exact_channel, "cites"), missing):
+        rows = rows.join(part, "query_id", "left")
+    excerpts = versions.agg(F.coalesce(F.bool_or(F.col("coverage_type") == "CURATED_EXCERPT"), F.lit(False)).alias("excerpts"))  # one row
+    rows = rows.join(F.broadcast(excerpts)).na.fill(False, ["no_evidence", "no_article", "any", "cites"])
+    c, ready = F.col, F.lit(index is not None)
+    said = F.array(F.when(c("no_evidence"), UNKNOWN_EVIDENCE), F.when(c("no_article"), ARTICLE_NOT_STORED), F.when(~ready & ~c("cites"), INDEX_NOT_READY))
+    told = F.array_compact(F.concat(said, F.coalesce("missing", F.expr("cast(array() as array<string>)")), F.array(F.when(c("excerpts"), EXCERPTS))))
+    state = retrieval_state(c("authority_id").isNotNull(), c("resolution"), c("no_evidence") | c("no_article"), c("any"), c("excerpts"), ready)
+    executed = F.array_compact(F.array(F.when(c("cites"), "EXACT"), F.when(ready, "LEXICAL")))
+    return Run(candidates, rows.select("query_id", state.alias("state"), executed.alias("channels_executed"), told.alias("warnings")), resolved)
+
+
+def issue_packages(issues: DataFrame, result: Run) -> DataFrame:
+    """Of issues (issue_id, query_index, query_id): legal evidence (each document once, with the queries that met it), what the evidence supports, and the warnings of its queries in order, each once."""
+    runs = issues.join(result.queries, "query_id")
+    hits = issues.join(result.candidates, "query_id").select("issue_id", "query_index", "doc_id", F.col("final_rank").alias("rank"), "exact_hit", "fused_score")
+    each = deduplicated(hits, "issue_id")
+    best = F.array_sort(F.collect_list(F.struct("best_rank", ~F.col("exact_hit"), (-F.col("fused_score")).alias("by"), "doc_id")))
+    evidence = each.groupBy("issue_id").agg(F.transform(best, lambda b: b["doc_id"]).alias("legal_evidence"))
+    said = F.array_sort(F.collect_list(F.struct("query_index", "warnings")))
+    named = F.flatten(F.transform(said, lambda q: F.transform(q["warnings"], lambda w: F.format_string("query %d: %s", q["query_index"], w))))
+    out = runs.groupBy("issue_id").agg(F.collect_list("state").alias("states"), F.array_distinct(named).alias("of_queries")).join(evidence, "issue_id", "left")
+    hit_count = F.coalesce(F.size("legal_evidence"), F.lit(0))
+    out = out.withColumn("support_state", support_state(F.col("states"), hit_count))
+    last = F.when(F.col("support_state") == "NO_MATCH_IN_LOCAL_CORPUS", NO_MATCH).when(F.col("support_state") == "VERSION_REVIEW_REQUIRED", VERSION_REVIEW)
+    none = F.coalesce("legal_evidence", F.expr("array()").cast(evidence.schema["legal_evidence"].dataType))
+    return out.select("issue_id", none.alias("legal_evidence"), "support_state", F.array_compact(F.concat("of_queries", F.array(last))).alias("warnings"))
+
+
 def deduplicated(hits: DataFrame, *keys: str) -> DataFrame:
     """Hits of several queries of one issue (keys, doc_id, query_index, rank, exact_hit, fused_score): the best of each document and the queries that met it."""
     best = F.struct("rank", ~F.col("exact_hit"), "query_index")

@@ -156,6 +156,89 @@ from states s left join sums using (issue)
 """
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as requests: two of three cite a law and an article, some name their evidence."""
+    k = F.col("item_id")
+    law = F.concat(F.lit("《customer"), F.lpad((k % 100 + 1).cast("string"), 6, "0"), F.lit("法》第"), F.when(k % 3 == 1, 1).otherwise(9).cast("string"), F.lit("条 "))
+    hint = F.when(k % 11 == 0, F.lit(-1)).when(k % 5 == 0, k * 7).cast("long")
+    return table(spark, sf_dir, "benchmark").select(k.alias("query_id"), F.when(k % 3 == 0, F.col("text")).otherwise(F.concat(law, "text")).alias("query"), F.expr("date_add(date'1992-06-30', cast(item_id % 7 as int) * 365)").alias("as_of"), hint.alias("evidence_id_hint"))
+
+
+def _run(spark: SparkSession, sf_dir: str) -> retrieval.Run:
+    versions = intervals(spark, sf_dir)
+    counted = versions.withColumn("nth", F.row_number().over(_by_authority()))
+    places = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 100 + 1).alias("authority_id"), (F.floor(F.col("doc_id") / 100) % 10 + 1).alias("nth"), (F.floor(F.col("doc_id") / 1000) + 1).alias("article_ordinal"))
+    articles = places.join(counted.select("authority_id", "nth", "version_id"), ["authority_id", "nth"]).drop("nth")
+    authorities = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("authority_id"), F.concat(F.lit("customer"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.lit("法")).alias("title"))
+    covered = versions.withColumn("coverage_type", F.when(F.col("version_id") % 4 == 0, "CURATED_EXCERPT").otherwise("FULL_TEXT"))
+    return retrieval.run(_requests(spark, sf_dir), articles, covered, authorities, _index(spark, sf_dir), TOP)
+
+
+def retrieval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT3, RT6-RT8, RM11: a whole retrieval with citations, hints, channels, versions as of a date, states and warnings."""
+    made = _run(spark, sf_dir)
+    listed = made.candidates.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("final_rank", "doc_id", "version_id", "exact_hit"))), lambda c: F.concat_ws(":", c["doc_id"], c["version_id"], c["exact_hit"].cast("string"))), ",").alias("candidates"))
+    notes = made.resolutions.groupBy("query_id").agg(F.count("*").alias("authorities"), F.count_if(F.col("state") == "RESOLVED").alias("resolved"))
+    out = made.queries.join(listed, "query_id", "left").join(notes, "query_id", "left").na.fill(0, ["authorities", "resolved"])
+    return out.select("query_id", "state", F.array_join("channels_executed", ",").alias("channels"), F.array_join("warnings", ",").alias("warnings"), F.coalesce("candidates", F.lit("")).alias("candidates"), "authorities", "resolved")
+
+
+RUN_CTES = f"""
+asked as (select item_id as query_id, case when item_id % 3 = 0 then "text" else '《customer' || lpad(cast(item_id % 100 + 1 as varchar), 6, '0') || '法》第' || case when item_id % 3 = 1 then 1 else 9 end || '条 ' || "text" end as query,
+    cast(date '1992-06-30' + cast((item_id % 7) * 365 as integer) as date) as as_of, case when item_id % 3 <> 0 then (select c_custkey from customer where c_custkey = item_id % 100 + 1) end as authority_id,
+    case when item_id % 3 = 1 then 1 else 9 end as ord, case when item_id % 11 = 0 then -1 when item_id % 5 = 0 then item_id * 7 end as hint from benchmark),
+{GRAMS_SQL.replace("item_id as query_id, lower", "query_id, lower").replace('"text", \'[^0-9', 'query, \'[^0-9').replace("as q from benchmark", "as q from asked")}, {INTERVALS_SQL},
+art as (select d.doc_id, c.authority_id, c.version_id, d.doc_id // 1000 + 1 as ord from documents d join counted c on c.authority_id = d.doc_id % 100 + 1 and c.nth = (d.doc_id // 100) % 10 + 1),
+lex as (select l.query_id, l.doc_id, l.rank, a.authority_id, a.version_id from lexical l left join art a on a.doc_id = l.doc_id where l.rank <= 30),
+hints as (select q.query_id, q.hint, a.doc_id, a.authority_id, a.version_id from asked q left join art a on a.doc_id = q.hint where q.hint is not null),
+looked as (select query_id, authority_id from asked where authority_id is not null union select query_id, authority_id from lex where authority_id is not null union select query_id, authority_id from hints where authority_id is not null),
+counts as (select l.query_id, l.authority_id, count(v.version_id) as hits, min(v.version_id) as version_id from looked l join asked q on q.query_id = l.query_id left join versions v
+    on v.authority_id = l.authority_id and v.effective_date <= q.as_of and (v.end_date is null or q.as_of < v.end_date) group by 1, 2),
+valid as (select * from counts where hits = 1),
+cite as (select q.query_id, a.doc_id from asked q join valid v on v.query_id = q.query_id and v.authority_id = q.authority_id left join art a on a.authority_id = v.authority_id and a.version_id = v.version_id and a.ord = q.ord),
+exacts as (select query_id, doc_id, row_number() over (partition by query_id order by min(nth), doc_id) as rank from (
+    select h.query_id, h.doc_id, 1 as nth from hints h join valid v on v.query_id = h.query_id and v.authority_id = h.authority_id and v.version_id = h.version_id union all select query_id, doc_id, 2 from cite where doc_id is not null) group by 1, 2),
+rows_ as (select query_id, doc_id, 'LEXICAL' as channel, 1.5 as w, rank from lex union all select query_id, doc_id, 'EXACT', 4.0, rank from exacts),
+fused as (select r.query_id, r.doc_id, a.authority_id, a.version_id, sum(w / (60 + rank)) as f, bool_or(channel = 'EXACT') as e from rows_ r join art a on a.doc_id = r.doc_id
+    join valid v on v.query_id = r.query_id and v.authority_id = a.authority_id and v.version_id = a.version_id group by 1, 2, 3, 4),
+best as (select * from (select *, row_number() over (partition by query_id order by e desc, round(f, 9) desc, doc_id) as n from fused) where n <= {TOP}),
+told as (select q.query_id, q.authority_id is not null as known, c.hits, coalesce((select bool_or(authority_id is null) from hints h where h.query_id = q.query_id), false) as no_evidence, coalesce((select bool_or(doc_id is null) from cite c where c.query_id = q.query_id), false) as no_article,
+    exists (select 1 from best b where b.query_id = q.query_id) as any_, exists (select 1 from exacts e where e.query_id = q.query_id) as cites,
+    (select string_agg(distinct 'INDEX_REFERENCES_MISSING_EVIDENCE:' || doc_id, ',' order by 'INDEX_REFERENCES_MISSING_EVIDENCE:' || doc_id) from lex l where l.query_id = q.query_id and l.authority_id is null) as missing
+    from asked q left join counts c on c.query_id = q.query_id and c.authority_id = q.authority_id),
+states as (select query_id, case when known and hits > 1 then 'VERSION_AMBIGUOUS' when known and hits = 0 then 'NO_APPLICABLE_VERSION' when no_evidence or no_article then 'INSUFFICIENT_CORPUS' when any_ then 'PARTIAL_COVERAGE' else 'INSUFFICIENT_CORPUS' end as state,
+    case when cites then 'EXACT,LEXICAL' else 'LEXICAL' end as channels, concat_ws(',', case when no_evidence then 'EVIDENCE_ID_UNKNOWN' end, case when no_article then 'ARTICLE_NOT_IN_STORED_VERSION' end, missing, 'CURATED_EXCERPT_CORPUS') as warnings from told)
+"""
+RUN_SQL = f"""
+with {RUN_CTES}
+select s.*, coalesce((select string_agg(doc_id || ':' || version_id || ':' || case when e then 'true' else 'false' end, ',' order by n) from best b where b.query_id = s.query_id), '') as candidates,
+    (select count(*) from looked l where l.query_id = s.query_id) as authorities, (select count(*) from valid v where v.query_id = s.query_id) as resolved from states s
+"""
+
+
+def issue_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT8, AG18, AG19: issues of four requests each: their evidence made one, what it supports, and their warnings in order."""
+    issues = _requests(spark, sf_dir).select(F.floor(F.col("query_id") / 4).alias("issue_id"), (F.col("query_id") % 4 + 1).cast("int").alias("query_index"), "query_id")
+    out = retrieval.issue_packages(issues, _run(spark, sf_dir))
+    short = lambda w: F.regexp_replace(w, ":[0-9]+$", "")
+    return out.select("issue_id", F.array_join("legal_evidence", ",").alias("legal_evidence"), "support_state", F.array_join(F.array_distinct(F.transform("warnings", short)), ",").alias("warnings"))
+
+
+ISSUE_RUN_SQL = f"""
+with {RUN_CTES},
+hit as (select b.query_id // 4 as issue_id, b.doc_id, min(b.n) as r, min_by(b.e, b.n * 10 + case when b.e then 0 else 1 end) as e from best b group by 1, 2),
+one as (select h.issue_id, h.doc_id, h.r, h.e, min_by(b.f, b.n * 1000 + (case when b.e then 0 else 100 end) + b.query_id % 4) as f from hit h join best b on b.query_id // 4 = h.issue_id and b.doc_id = h.doc_id group by 1, 2, 3, 4),
+listed as (select issue_id, count(*) as hits, string_agg(cast(doc_id as varchar), ',' order by r, not e, -f, doc_id) as legal_evidence from one group by 1),
+split as (select query_id // 4 as issue_id, query_id % 4 as q, unnest(string_split(warnings, ',')) as w, generate_subscripts(string_split(warnings, ','), 1) as i from states),
+firsts as (select issue_id, 'query ' || (q + 1) || ': ' || regexp_replace(w, ':[0-9]+$', '') as w, min(q * 10000 + i) as i from split group by 1, 2),
+said as (select issue_id, string_agg(w, ',' order by i) as warnings from firsts group by 1),
+of_issue as (select query_id // 4 as issue_id, bool_and(state = 'OK') as good, bool_or(state in ('NO_APPLICABLE_VERSION', 'VERSION_AMBIGUOUS')) as limited from states group by 1),
+decided as (select o.issue_id, coalesce(l.legal_evidence, '') as legal_evidence, case when coalesce(hits, 0) > 0 and good then 'EVIDENCE_FOUND' when coalesce(hits, 0) > 0 then 'EVIDENCE_FOUND_WITH_LIMITATIONS' when limited then 'VERSION_REVIEW_REQUIRED' else 'NO_MATCH_IN_LOCAL_CORPUS' end as support_state
+    from of_issue o left join listed l on l.issue_id = o.issue_id)
+select d.*, concat_ws(',', s.warnings, case support_state when 'NO_MATCH_IN_LOCAL_CORPUS' then 'NO_LEGAL_EVIDENCE_MATCHED' when 'VERSION_REVIEW_REQUIRED' then 'VERSION_RESOLUTION_REQUIRES_REVIEW' end) as warnings from decided d join said s on s.issue_id = d.issue_id
+"""
+
+
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG12: recall and mean reciprocal rank of the lexical channel, against documents that hold the item."""
     queries = _queries(spark, sf_dir)
@@ -211,6 +294,8 @@ QUERIES = {
     "as_of_filtered_retrieval": (as_of_filtered_retrieval, AS_OF_SQL),
     "semantic_topk": (semantic_topk, SEMANTIC_SQL),
     "query_support_state": (query_support_state, SUPPORT_SQL),
+    "retrieval_run": (retrieval_run, RUN_SQL),
+    "issue_retrieval": (issue_retrieval, ISSUE_RUN_SQL),
     "ranking_metrics": (ranking_metrics, RANKING_SQL),
     "version_resolution": (version_resolution, VERSION_SQL),
     "interval_overlap": (interval_overlap, OVERLAP_SQL),

@@ -95,21 +95,21 @@ select *, case when failed_pages = pages then 'failed' when failed_pages > 0 or
 
 def exact_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT3, JN5, JN6, EX18: questions that name a law and an article, as of a date, resolved to the article of the version in force."""
-    orders = table(spark, sf_dir, "orders").where("o_custkey % 10 = 0")
+    orders = table(spark, sf_dir, "orders")
     asked = orders.select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("《customer"), F.lpad(F.col("o_custkey").cast("string"), 6, "0"), F.lit("法》第"), (F.col("o_orderkey") % 4 + 1).cast("string"), F.lit("条怎么说")).alias("query"), F.date_add(F.col("o_orderdate").cast("date"), 100).alias("as_of"))
     names = orders.select(F.col("o_custkey").alias("authority_id")).distinct().select("authority_id", F.concat(F.lit("customer"), F.lpad(F.col("authority_id").cast("string"), 6, "0"), F.lit("法")).alias("title"))
     known = retrieval.recognized_authority(asked, names)
     from .tables import intervals
 
-    versions = intervals(spark, sf_dir).where("authority_id % 10 = 0")
+    versions = intervals(spark, sf_dir)
     requests = asked.join(known, "query_id").select("query_id", "authority_id", "as_of", retrieval.article_ordinal(F.col("query")).alias("ordinal"))
     resolved = corpus.resolve_versions(requests.select("query_id", "authority_id", "as_of"), versions, ["query_id", "authority_id"])
     articles = versions.select("authority_id", "version_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("article_ordinal")).withColumn("legal_evidence_id", F.concat_ws("-", "version_id", "article_ordinal"))
     return retrieval.exact(requests.drop("as_of"), resolved, articles).select("query_id", "doc_id", "channel", "rank")
 
 
-CITATIONS_SQL = """with v as (select o_custkey as a, o_orderkey as v, cast(o_orderdate as date) as s, cast(lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as date) as e from orders where o_custkey % 10 = 0),
-q as (select o_custkey as a, o_orderkey as query_id, cast(o_orderdate as date) + 100 as d, o_orderkey % 4 + 1 as n from orders where o_custkey % 10 = 0),
+CITATIONS_SQL = """with v as (select o_custkey as a, o_orderkey as v, cast(o_orderdate as date) as s, cast(lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as date) as e from orders),
+q as (select o_custkey as a, o_orderkey as query_id, cast(o_orderdate as date) + 100 as d, o_orderkey % 4 + 1 as n from orders),
 r as (select q.query_id, n, min(v.v) as v from q join v on q.a = v.a and v.s <= q.d and (v.e is null or q.d < v.e) group by q.query_id, n having count(*) = 1)
 select query_id, v || '-' || n as doc_id, 'EXACT' as channel, 1 as rank from r where n <= 3"""
 
