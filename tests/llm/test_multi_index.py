@@ -7,8 +7,8 @@ from docloom.llm import multi_index, queries
 def brute(rows, least=0.9):
     """{row: (links, least id reachable)}"""
     sound = [i for i, (_, v) in enumerate(rows) if v is not None and None not in v and np.isfinite(v).all() and np.any(v)]
-    lengths = np.array([len(rows[i][1]) for i in sound])
-    x = np.zeros((len(sound), lengths.max(initial=0)))  # zeros behind a vector change no cosine among those of its length
+    lengths = np.array([len(rows[i][1]) for i in sound], dtype=int)
+    x = np.zeros((len(sound), int(lengths.max(initial=0))))  # zeros behind a vector change no cosine among those of its length
     for k, i in enumerate(sound):
         x[k, : lengths[k]] = np.array(rows[i][1], dtype=np.float32)
     x /= np.linalg.norm(x, axis=1)[:, None]
