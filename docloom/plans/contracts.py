@@ -202,19 +202,9 @@ union all select job_id, 9, '合同总价为' || p || '元，预付款30%，尾
 
 def audit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UD4, UD5, AG3-AG5, FN26-FN28: the eight rules over the mentions; in one job of seventeen the identifiers come from a poor source."""
-    found = lambda *kinds: _found(spark, sf_dir, *kinds)
     units = lines(spark, sf_dir)
-    low = F.col("job_id") % 17 == 0
-    tables = {
-        "jobs": units.select("job_id").distinct(),
-        "titles": ingest.title_candidates(units, "job_id"),
-        "parties": extraction.parties(found("PARTY"), "job_id"),
-        "identifiers": extraction.identifiers(found("IDENTIFIER"), "job_id").withColumn("low", low),
-        "dates": extraction.dates(found("DATE"), "job_id"),
-        "amounts": extraction.amounts(found("MONEY"), "job_id"),
-        "percentages": extraction.percentages(found("PERCENT", "PERCENT_CN"), "job_id"),
-        "rmb_words": extraction.numbered(found("RMB_WORDS"), "rmb", "job_id"),
-    }
+    tables = extraction.mention_tables(units, "job_id") | {"jobs": table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id")), "titles": ingest.title_candidates(units, "job_id")}
+    tables["identifiers"] = tables["identifiers"].withColumn("low", F.col("job_id") % 17 == 0)
     out = rule_set.evaluate(tables)
     return out.select("job_id", "rule_id", "family", "instance", "state", "deterministic_state", "severity", "reason_code", F.size("object_ids").alias("objects"), F.array_join("review_reasons", ",").alias("review_reasons"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import artifacts, batch, corpus, extraction, ingest, planning, quality, retrieval, review, rules, workflow
+from ..sources import validation
 from .reviews import _pick, _pick_sql
 from .tables import spread, table
 
@@ -69,6 +70,25 @@ IMPORT_SQL = """with c as (select n_regionkey as r, n_nationkey as k, list_filte
 select 'a' || r as authority_id, 'v' || k as version_id, case when len(codes) > 0 then 'CONFLICT' when k % 3 = 0 then 'NO_CHANGE' else 'NEW' end as outcome, array_to_string(codes, ',') as conflicts from c"""
 
 
+def record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC9: records written from orders, some with a wrong id, status, date, order of dates, count or source, held against the closed schema."""
+    k = "o_orderkey"
+    record = f"""to_json(named_struct('authority', if({k} % 19 = 0, null, named_struct('authority_id', concat('law-', if({k} % 7 = 0, 'A', 'a'), {k}), 'title', if({k} % 23 = 0, '', 'title'), 'authority_type', 'LAW', 'issuing_body', 'body')),
+        'version_id', concat('v', {k}), 'status', if({k} % 5 = 0, 'ACTIVE', 'EFFECTIVE'), 'effective_date', if({k} % 11 = 0, 'soon', date_format(o_orderdate, 'yyyy-MM-dd')),
+        'end_date_exclusive', if({k} % 3 = 0, date_format(date_add(cast(o_orderdate as date), if({k} % 2 = 0, 30, 0)), 'yyyy-MM-dd'), null), 'coverage_type', 'FULL_TEXT',
+        'source_refs', if({k} % 13 = 0, array(), array(named_struct('name', 'n', 'url', if({k} % 17 = 0, 'file:x', 'https://example.org/x'), 'role', 'TEXT'))), 'snapshot_path', 'p', 'expected_source_sha256', sha2(cast({k} as string), 256),
+        'expected_article_count', {k} % 4, 'inclusion_reason', 'r'))"""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.expr(record).alias("record"))
+    return validation.validated(rows).select("record_id", "valid", F.array_join("violations", ",").alias("violations"))
+
+
+RECORD_SQL = """with o as (select o_orderkey as k from orders),
+v as (select k, list_filter([case when k % 19 = 0 then 'authority:missing' end, case when k % 19 <> 0 and k % 7 = 0 then 'authority.authority_id:string_pattern_mismatch' end, case when k % 19 <> 0 and k % 23 = 0 then 'authority.title:string_too_short' end,
+    case when k % 5 = 0 then 'status:enum' end, case when k % 11 = 0 then 'effective_date:date_parsing' end, case when k % 13 = 0 then 'source_refs:too_short' end, case when k % 4 = 0 then 'expected_article_count:greater_than_equal' end,
+    case when k % 13 <> 0 and k % 17 = 0 then 'source_refs.0.url:string_pattern_mismatch' end, case when k % 3 = 0 and k % 2 = 1 and k % 11 <> 0 then 'end_date_exclusive:value_error' end], lambda x: x is not null) as found from o)
+select k as record_id, len(found) = 0 as valid, array_to_string(found, ',') as violations from v"""
+
+
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG1: counts of a corpus of regions, nations and suppliers."""
     versions = table(spark, sf_dir, "nation").selectExpr("if(n_nationkey % 3 = 0, 'REPEALED', 'EFFECTIVE') as status", "if(n_nationkey % 4 = 0, 'CURATED_EXCERPT', 'FULL_TEXT') as coverage_type")
@@ -290,6 +310,7 @@ select job_id, {", ".join(f"count(*) filter (s = '{s}') as {s.lower()}" for s in
 QUERIES = {
     "weighted_fields": (weighted_fields, FIELDS_SQL),
     "import_outcomes": (import_outcomes, IMPORT_SQL),
+    "record_validation": (record_validation, RECORD_SQL),
     "corpus_summary": (corpus_summary, SUMMARY_SQL),
     "ocr_jobs": (ocr_jobs, OCR_SQL),
     "exact_citations": (exact_citations, CITATIONS_SQL),
