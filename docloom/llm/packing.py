@@ -43,7 +43,7 @@ WINDOW, DEPTH = 1024, 3
 #: Steps of the least-squares solver; it ends earlier when a step gains less than this share.
 MOST_STEPS, GAIN = 400, 1e-5
 #: Bytes of text that a task encodes at once, and bytes of a word that the tokenizer encodes by itself.
-SLICE, LONG_WORD = 32 << 20, 512
+SLICE, LONG_WORD = 16 << 20, 512
 #: Rows of (partition, length) that may be sent to every task (24 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 # What Unicode or a tokenizer may take for white space.
