@@ -84,7 +84,7 @@ select doc_id, kind, value, count(*) as times from found group by doc_id, kind,
 
 def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EX5, WN12: the first short lines of each text; those that begin with "The" or "Of" are preferred."""
-    units = ingest.evidence_units(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id").where(~F.col("unit_text").rlike(r"^[0-9(]"))
+    units = ingest.evidence_units(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
     out = ingest.title_candidates(units, "doc_id", preferred="^(The|Of) ", hint="\u0001")
     return out.select("doc_id", "unit_order", "confidence", "unit_text")
 
@@ -92,7 +92,7 @@ def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 TITLE_SQL = rf"""
 with {UNITS_SQL},
 near as (select *, case when regexp_matches(unit_text, '^(The|Of) ') then 'HIGH' when length(unit_text) <= 40 then 'MEDIUM' end as confidence
-    from units where unit_order <= 20 and length(unit_text) between 2 and 80 and not regexp_matches(unit_text, '^[0-9(]')),
+    from units where unit_order <= 20 and length(unit_text) between 2 and 80 and not regexp_matches(unit_text, '^[（(][0-9]+[）)]\s*\S') and not (regexp_matches(unit_text, '^[0-9]+[.、]\s*\S') and coalesce(try_cast(regexp_extract(unit_text, '^[0-9]+') as bigint) <= 999, false))),
 ranked as (select *, row_number() over (partition by doc_id, confidence order by unit_order) as r, max(case when confidence = 'HIGH' then 1 else 0 end) over (partition by doc_id) as high from near where confidence is not null)
 select doc_id, unit_order, confidence, unit_text from ranked where (confidence = 'HIGH' and r <= 3) or (high = 0 and r = 1)
 """

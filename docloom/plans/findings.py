@@ -99,14 +99,14 @@ select job_id, k as finding_id, array_to_string(c, ',') as contract_ids, array_t
 def evidence_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN17, RM2, RM8: objects of a customer that share evidence with a finding, and whether the finding's sources are uncertain."""
     first, second = _reviews(spark, sf_dir)
-    spans = second.where("finding_id % 10 = 0").select("job_id", F.col("finding_id").alias("object_id"), F.col("contract_ids").alias("evidence_ids"), _pick(F.col("finding_id"), "NATIVE_TEXT", "OCR", "NATIVE_TEXT").alias("source_method"), F.when(F.col("finding_id") % 4 != 0, F.lit(0.9)).alias("confidence"))
-    asked = first.where("finding_id % 7 = 0").select("job_id", F.col("finding_id").alias("cited_id"), F.col("contract_ids").alias("evidence_ids"))
+    spans = second.select("job_id", F.col("finding_id").alias("object_id"), F.col("contract_ids").alias("evidence_ids"), _pick(F.col("finding_id"), "NATIVE_TEXT", "OCR", "NATIVE_TEXT").alias("source_method"), F.when(F.col("finding_id") % 4 != 0, F.lit(0.9)).alias("confidence"))
+    asked = first.select("job_id", F.col("finding_id").alias("cited_id"), F.col("contract_ids").alias("evidence_ids"))
     met = findings.evidence_lookup(asked.withColumnRenamed("cited_id", "request_id"), spans).groupBy(F.col("request_id").alias("cited_id")).agg(F.count("*").alias("objects"), F.sum(F.size("shared")).alias("shared"))
     return findings.source_uncertain(asked, spans).join(met, "cited_id", "left").na.fill(0, ["objects", "shared"])
 
 
-LOOKUP_SQL = f"""with {BASE}, s as (select job_id, k, list_distinct(sc) as ids, k % 3 = 1 and k % 4 = 0 as bad from v where k % 51 <> 0 and k % 10 = 0),
-q as (select job_id, k, list_distinct(pc) as ids from v where k % 50 <> 0 and k % 7 = 0),
+LOOKUP_SQL = f"""with {BASE}, s as (select job_id, k, list_distinct(sc) as ids, k % 3 = 1 and k % 4 = 0 as bad from v where k % 51 <> 0),
+q as (select job_id, k, list_distinct(pc) as ids from v where k % 50 <> 0),
 m as (select q.job_id, q.k, s.bad, len(list_intersect(q.ids, s.ids)) as n from q join s on q.job_id = s.job_id and len(list_intersect(q.ids, s.ids)) > 0)
 select q.job_id, q.k as cited_id, coalesce(bool_or(m.bad), false) as source_uncertain, count(m.k) as objects, cast(coalesce(sum(m.n), 0) as bigint) as shared from q left join m on m.job_id = q.job_id and m.k = q.k group by q.job_id, q.k"""
 

@@ -212,12 +212,12 @@ def decision_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG22, WN5: events as decisions on a customer's orders; what is resolved on the report of today, outstanding or stale."""
     log = table(spark, sf_dir, "events").selectExpr("user_id % 1000 + 1 as job_id", "event_id % 15000 + 1 as target_id", "ts", "event_id", "event_type as state", "concat('f', event_id % 2) as report_fingerprint")
     latest = review.latest_revision(log, ["job_id", "target_id"], ["ts", "event_id"]).select("job_id", "target_id", "state", "report_fingerprint")
-    every = _orders(spark, sf_dir).where("k % 3 = 0").select((F.col("job_id") % 1000 + 1).alias("job_id"), F.col("k").alias("target_id"))
+    every = _orders(spark, sf_dir).select((F.col("job_id") % 1000 + 1).alias("job_id"), F.col("k").alias("target_id"))
     reports = every.select("job_id").distinct().withColumn("fingerprint", F.concat(F.lit("f"), F.col("job_id") % 2))
     return review.closure(every, latest, reports)
 
 
-CLOSURE_SQL = """with r as (select o_custkey % 1000 + 1 as job_id, o_orderkey as t from orders where o_orderkey % 3 = 0),
+CLOSURE_SQL = """with r as (select o_custkey % 1000 + 1 as job_id, o_orderkey as t from orders),
 l as (select * from (select user_id % 1000 + 1 as job_id, event_id % 15000 + 1 as t, event_id % 2 as f, row_number() over (partition by user_id % 1000 + 1, event_id % 15000 + 1 order by ts desc, event_id desc) as n from events) where n = 1)
 select r.job_id, count(*) as required, count(*) filter (l.f = r.job_id % 2) as resolved, count(*) filter (l.f is null or l.f <> r.job_id % 2) as outstanding, count(*) filter (l.f <> r.job_id % 2) as stale_latest from r left join l on l.job_id = r.job_id and l.t = r.t group by r.job_id"""
 
@@ -282,13 +282,13 @@ select k as job_id, 'warning-000' || row_number() over (partition by k order by
 
 def fallback_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TK5, ST6: of a conversation's turns the ones that share most grams with its first turn."""
-    turns = table(spark, sf_dir, "conversations").where("conv_id % 10 = 0 and text is not null")
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
     issues = turns.where("turn = 0").select(F.col("conv_id").alias("job_id"), F.lit("first").alias("issue_id"), "text")
     clauses = turns.where("turn > 0").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("clause_id"), "text")
     return planning.fallback_targets(issues, clauses).select("job_id", "clause_id", "overlap", "rank")
 
 
-FALLBACK_SQL = r"""with t as (select conv_id, turn, regexp_replace(lower("text"), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', '', 'g') as f from conversations where conv_id % 10 = 0 and "text" is not null),
+FALLBACK_SQL = r"""with t as (select conv_id, turn, regexp_replace(lower("text"), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', '', 'g') as f from conversations where "text" is not null),
 g as (select conv_id, turn, unnest(case when length(f) > 2 then list_distinct(list_transform(range(1, length(f) - 1), lambda i: substr(f, i, 3))) when length(f) > 0 then [f] else [] end) as gram from t),
 s as (select b.conv_id as job_id, b.turn as clause_id, count(*) as overlap from g a join g b on a.conv_id = b.conv_id and a.gram = b.gram and a.turn = 0 and b.turn > 0 group by 1, 2),
 r as (select *, row_number() over (partition by job_id order by overlap desc, clause_id) as rank from s)
