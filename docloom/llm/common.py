@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..session import checkpoint, shared_folder
 
-__all__ = ["SLICE_BYTES", "checkpoint", "crc32_of_id", "held_out", "hashed_low", "map_texts", "packed", "remove", "runs", "shared_folder", "slices", "utf8", "with_fields", "without"]
+__all__ = ["SLICE_BYTES", "checkpoint", "crc32_of_id", "held_out", "hashed_low", "let_go", "map_texts", "packed", "remove", "runs", "shared_folder", "slices", "stored", "utf8", "with_fields", "without"]
 
 #: Text bytes that a task works on at once; an Arrow batch of long texts is cut into slices of about this size.
 SLICE_BYTES = 8 << 20
@@ -25,6 +27,19 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a compressed copy of columns in the shared folder: less disk than a checkpoint, and what reads a few columns reads no more."""
+    folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have the shuffle files of what is used up removed now: Spark's cleaner does so when the driver collects its garbage, which by itself may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc32_of_id(id_col: str):
     """crc32 of the id written as text; it decides which rows may teach a model."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))

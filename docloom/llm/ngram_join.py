@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, map_texts, runs, utf8
+from .common import checkpoint, let_go, map_texts, runs, stored, utf8
 from .components import labels
 
 #: Coordinates of a point, as powers of two, from short texts to long ones; those of a point in a tree; counts of a tile that are held at once.
@@ -431,7 +431,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
 
     Sets link when den * overlap >= num * union."""
     at = Threshold(num, den)
-    rows = checkpoint(entries(docs, id_col, text_col, shingle, at, keep).withColumn("__row", F.monotonically_increasing_id()))
+    spark = docs.sparkSession
+    rows = stored(entries(docs, id_col, text_col, shingle, at, keep).withColumn("__row", F.monotonically_increasing_id()))
     whole = rows.where("class_id is not null")
     classes = checkpoint(whole.groupBy("class_id").agg(F.min(id_col).alias(id_col), F.min("__row").alias("__first"), F.count("*").alias("copies")))
     copied = classes.where("copies > 1").select("class_id", "__first")
@@ -443,7 +444,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     shared = checkpoint(tiles.groupBy("tile").agg(F.count("*").alias("crowd")).where("crowd > 1"))
     if shared.count() <= BROADCAST_TILES:
         shared = F.broadcast(shared)
-    members = checkpoint(tiles.join(shared, "tile").select("tile", "crowd", "class_id"))
+    members = stored(tiles.join(shared, "tile").select("tile", "crowd", "class_id"))
+    let_go(spark)
     central = members.groupBy("class_id").agg(F.sum("crowd").alias("weight"))  # the middle of a family shares most with most
     weighed = members.join(central, "class_id").select("tile", "class_id", "weight")
     pivots = weighed.groupBy("tile").agg(F.max_by("class_id", F.struct("weight", "class_id")).alias("pivot"))
@@ -453,7 +455,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     # the centre of the centre, where it has one; of two that are each other's, the lesser: labels only spare work, links are complete without them
     beyond = first.alias("own").join(first.select(F.col("a").alias("__a"), F.col("b").alias("__b")), F.col("b") == F.col("__a"), "left")
     near = beyond.select(F.col("a").alias("class_id"), F.when(F.col("__b") == F.col("a"), F.least("a", "b")).otherwise(F.coalesce("__b", "b")).alias("label"))
-    labelled = checkpoint(members.join(near, "class_id", "left").select("tile", "class_id", F.coalesce("label", "class_id").alias("label")))
+    let_go(spark)
+    labelled = stored(members.join(near, "class_id", "left").select("tile", "class_id", F.coalesce("label", "class_id").alias("label")))
     mixed = labelled.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low < high")
     blocks = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
     search = labelled.join(mixed.select("tile", blocks.alias("blocks")), "tile").withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
@@ -464,7 +467,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     search = search.select("tile", "i", "j", "side", "class_id", "label", "n_shingles", "coarse", early.alias("early"))
     search = search.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
     pairs = checkpoint(search.mapInArrow(_search_tiles(at), "a long, b long").distinct())
+    let_go(spark)
     more = verified(checkpoint(bounded(pairs, points_of, at)), classes, docs, id_col, text_col, shingle, at)
+    let_go(spark)
     merged = labels(first.unionAll(more), "a", "b").select(F.col("node").alias("class_id"), F.col("label").alias("group"))
     named = classes.join(merged, "class_id", "left").withColumn("group", F.coalesce("group", "class_id"))
     lowest = named.groupBy("group").agg(F.min(id_col).alias("component_id"))
