@@ -122,7 +122,7 @@ def exact_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tables import intervals
 
     versions = intervals(spark, sf_dir)
-    requests = asked.join(known, "query_id").select("query_id", "authority_id", "as_of", retrieval.article_ordinal(F.col("query")).alias("ordinal"))
+    requests = asked.join(known.hint("merge"), "query_id").select("query_id", "authority_id", "as_of", retrieval.article_ordinal(F.col("query")).alias("ordinal"))
     resolved = corpus.resolve_versions(requests.select("query_id", "authority_id", "as_of"), versions, ["query_id", "authority_id"])
     articles = versions.select("authority_id", "version_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("article_ordinal")).withColumn("legal_evidence_id", F.concat_ws("-", "version_id", "article_ordinal"))
     return retrieval.exact(requests.drop("as_of"), resolved, articles).select("query_id", "doc_id", "channel", "rank")
