@@ -15,3 +15,22 @@ def test_recognition_meets_titles_by_equality_and_sends_no_side_whole(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 7), (3, 1001), (5, 1002)]
     assert "gram" not in plan(out) and "Broadcast" not in plan(out)
     assert retrieval.recognized_authority(queries, authorities.limit(0)).count() == 0
+
+
+def test_an_index_is_made_of_small_rows_in_small_row_groups(spark, tmp_path):
+    import glob
+
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    from docloom.operators import gram_index
+
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz     "))
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(k, "".join(rng.choice(letters, 150_000))) for k in range(40)], "doc_id long, text string").coalesce(1)
+    gram_index.publish(docs, ["text"], str(tmp_path / "index"))
+    index = gram_index.published(spark, str(tmp_path / "index"), docs)
+    sizes = [sum(r.sizes) for r in index.blocks.select("sizes").collect()]
+    assert sum(sizes) == 40 * 149_998 and max(sizes) <= (1 << 20) + 150_000
+    groups = [pq.ParquetFile(f).metadata.row_group(g).total_byte_size for f in glob.glob(f"{tmp_path}/index/**/blocks/*.parquet", recursive=True) for g in range(pq.ParquetFile(f).num_row_groups)]
+    assert max(groups) < 40 << 20
