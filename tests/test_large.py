@@ -34,3 +34,32 @@ def test_an_index_is_made_of_small_rows_in_small_row_groups(spark, tmp_path):
     assert sum(sizes) == 40 * 149_998 and max(sizes) <= (1 << 20) + 150_000
     groups = [pq.ParquetFile(f).metadata.row_group(g).total_byte_size for f in glob.glob(f"{tmp_path}/index/**/blocks/*.parquet", recursive=True) for g in range(pq.ParquetFile(f).num_row_groups)]
     assert max(groups) < 40 << 20
+
+
+def test_the_window_numbers_lines_as_the_scan_does_and_crowded_keys_are_scanned(spark, monkeypatch):
+    import random
+
+    from docloom.operators import extraction
+
+    draw = random.Random(3)
+    texts = ["第一条 a", "（一）b", "1.1 c", "1.1.1 d", "一、e", "12. f", "text", "  第二条", "　(3) x", "", "30元"]
+    rows = [(job, k % 2 + 1, k, draw.choice(texts)) for job in (1, 2, 3) for k in range(40 * job)]
+    units = spark.createDataFrame(rows, "job int, page_number int, unit_order int, unit_text string")
+    key = lambda r: (r.job, r.page_number, r.unit_order)
+    want = sorted(extraction.outlined(units, "job", partitions=3).collect(), key=key)
+    small = extraction.outlined(units, "job")
+    assert "MapInArrow" not in plan(small) and small.columns == extraction.outlined(units, "job", partitions=3).columns
+    assert sorted(small.collect(), key=key) == want and any(r.parent_number for r in want)
+    monkeypatch.setattr(extraction, "CROWD", 60)
+    assert sorted(extraction.outlined(units, "job").collect(), key=key) == want
+
+
+def test_only_texts_that_may_hold_a_match_are_handed_to_python(spark):
+    from docloom.operators import extraction
+
+    texts = ["甲方：甲", "签订日期：2026年1月2日", "2026/1/02", "¥5", "5\x1c元", "1,000 万元", "5 ％", "百分之五", "合同编号: A", "见附件 二", "依照第一条", "1.2条", "壹仟元整", "甲\n方", "text", None]
+    units = spark.createDataFrame(list(enumerate(texts)), "unit_order int, unit_text string")
+    for kind, pattern in extraction.PATTERNS.items():
+        every = extraction.matches(units, {kind: f"(?:{pattern})"}, ["unit_order"]).collect()  # another pattern, so no hint is known for it
+        assert extraction.matches(units, {kind: pattern}, ["unit_order"]).collect() == every and every
+    assert "RLIKE" in plan(extraction.matches(units, extraction.PATTERNS, ["unit_order"])).upper()
