@@ -63,3 +63,17 @@ def test_only_texts_that_may_hold_a_match_are_handed_to_python(spark):
         every = extraction.matches(units, {kind: f"(?:{pattern})"}, ["unit_order"]).collect()  # another pattern, so no hint is known for it
         assert extraction.matches(units, {kind: pattern}, ["unit_order"]).collect() == every and every
     assert "RLIKE" in plan(extraction.matches(units, extraction.PATTERNS, ["unit_order"])).upper()
+
+
+def test_addresses_with_one_character_between_them_are_told_as_the_sql_tells_them(spark, tmp_path):
+    import harness
+
+    from docloom.plans import registry
+
+    rows = [(1, "10.0.0.1 10.0.0.2 10.0.0.3"), (2, "10.0.0.1\n10.0.0.2"), (3, "10.0.0.1, 10.0.0.2\n"), (4, "1.2.3.4.5"), (5, None), (6, "1.2.3.4")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert harness.differences(registry.queries()["mentions_latin"](spark, str(tmp_path)), con, registry.oracle_sql()["mentions_latin"]) is None
