@@ -77,3 +77,15 @@ def test_addresses_with_one_character_between_them_are_told_as_the_sql_tells_the
     con = duckdb.connect()
     con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert harness.differences(registry.queries()["mentions_latin"](spark, str(tmp_path)), con, registry.oracle_sql()["mentions_latin"]) is None
+
+
+def test_rules_make_their_rows_once(spark):
+    from docloom.operators import rule_set
+
+    jobs = spark.createDataFrame([(1,), (2,), (3,)], "job_id int")
+    parties = spark.createDataFrame([(1, "party-1", "甲方", "A"), (1, "party-2", "甲方", "A"), (2, "party-1", "甲方", "A"), (2, "party-2", "甲方", "B")], "job_id int, mention_id string, role_label string, normalized_name string")
+    from pyspark.sql import functions as F
+
+    out = rule_set.groups(jobs, parties, "PARTY-ROLE-CONSISTENCY", "role_label", F.col("normalized_name"), F.lit(True))
+    assert sorted((r.job_id, r.state, r.reason_code, r.object_ids) for r in out.collect()) == [(1, "PASS", "PARTY_NAMES_MATCH", ["party-1", "party-2"]), (2, "FAIL", "PARTY_NAMES_CONFLICT", ["party-1", "party-2"]), (3, "NOT_APPLICABLE", "NO_PARTY_MENTIONS", [])]
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
