@@ -68,14 +68,20 @@ def _get(variant: Column, path: str, kind: str) -> Column:
     return F.call_function("try_variant_get", variant, F.lit(_variant_path(path)), F.lit(kind))
 
 
-def issue(variant: Column, field: Field) -> Column:
-    """The code of what is wrong with a field, or null. A field that a parent lacks is not told again."""
-    here = F.call_function("schema_of_variant", _get(variant, field.path, "variant"))
+def _read(variant: Column, fields: tuple[Field, ...]) -> Column:
+    """struct(kinds, texts, sizes) of a record's fields, each looked up once: kind of value (null: absent), value as text, and length of an array."""
+    kinds = F.array(*[F.call_function("schema_of_variant", _get(variant, f.path, "variant")) for f in fields])
+    sizes = F.array(*[F.size(_get(variant, f.path, "array<variant>")) if f.kind == "array" else F.lit(None).cast("int") for f in fields])
+    return F.struct(kinds.alias("kinds"), F.array(*[_get(variant, f.path, "string") for f in fields]).alias("texts"), sizes.alias("sizes"))
+
+
+def issue(seen: Column, fields: tuple[Field, ...], at: int) -> Column:
+    """The code of what is wrong with the field at a place, or null. A field that a parent lacks is not told again."""
+    field, here, text = fields[at], seen["kinds"][at], seen["texts"][at]
     absent, empty = here.isNull(), here == "VOID"
     out = F.when(absent, F.lit("missing") if field.required else F.lit(None))
     if not field.required:
         out = out.when(empty, F.lit(None))
-    text = _get(variant, field.path, "string")
     # a whole number may be written as text or with an empty fraction
     sound = text.rlike(r"^[+-]?\d+(\.0+)?$") if field.kind == "integer" else F.startswith(here, F.lit(_KINDS[field.kind]))
     out = out.when(~F.coalesce(sound, F.lit(False)), f"{field.kind}_type")
@@ -86,33 +92,35 @@ def issue(variant: Column, field: Field) -> Column:
     if field.pattern:
         out = out.when(~text.rlike(field.pattern), "string_pattern_mismatch")
     if field.least_length and field.kind == "array":
-        out = out.when(F.size(_get(variant, field.path, "array<variant>")) < field.least_length, "too_short")
+        out = out.when(seen["sizes"][at] < field.least_length, "too_short")
     elif field.least_length:
         out = out.when(F.length(text) < field.least_length, "string_too_short")
     if field.least is not None:
         out = out.when(text.try_cast("decimal(38,9)") < field.least, "greater_than_equal")
     if "." in field.path:
-        parent = F.call_function("schema_of_variant", _get(variant, field.path.rpartition(".")[0], "variant"))
+        parent = seen["kinds"][[f.path for f in fields].index(field.path.rpartition(".")[0])]
         return F.when(F.startswith(F.coalesce(parent, F.lit("")), F.lit("OBJECT")), out)
     return out
 
 
-def violations(record: Column) -> Column:
-    """All that is wrong with a corpus record (JSON text), as path:code in the schema's order; a text that is no JSON object is malformed."""
-    variant = F.try_parse_json(record)
-    told = lambda path, code: F.when(code.isNotNull(), F.concat_ws(":", F.lit(path), code))
-    fields = [told(f.path, issue(variant, f)) for f in RECORD]
-    refs = F.coalesce(_get(variant, "source_refs", "array<variant>"), F.expr("cast(array() as array<variant>)"))
-    of_ref = lambda ref, i: F.transform(F.array_compact(F.array(*[told(f.path, issue(ref, f)) for f in SOURCE_REF])), lambda c: F.concat(F.lit("source_refs."), i.cast("string"), F.lit("."), c))
-    items = F.flatten(F.transform(refs, of_ref))
-    day = lambda path: _get(variant, path, "string").try_cast("date")
-    order = [told(later, F.when((day(later) < day(earlier)) | F.lit(not equal) & (day(later) == day(earlier)), F.lit("value_error"))) for later, earlier, equal in DATE_ORDER]
-    found = F.concat(F.array_compact(F.array(*fields)), items, F.array_compact(F.array(*order)))
-    whole = F.coalesce(F.startswith(F.call_function("schema_of_variant", variant), F.lit("OBJECT")), F.lit(False))
-    return F.when(whole, found).otherwise(F.array(F.lit("malformed")))
+def _told(path: str, code: Column) -> Column:
+    return F.when(code.isNotNull(), F.concat_ws(":", F.lit(path), code))
 
 
 def validated(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """The rows with violations and valid; an invalid record is told with all that is wrong with it, and nothing is dropped. A manifest with one of them is rejected as a whole."""
-    out = records.withColumn("violations", violations(F.col(record_col)))
+    """The rows with violations and valid; an invalid record (JSON text) is told with all that is wrong with it, as path:code in the schema's order, and nothing is dropped. A text that
+    is no JSON object is malformed. A manifest with one of them is rejected as a whole.
+
+    A record is parsed once and each field looked up once; the codes are made from what was seen."""
+    parsed = records.withColumn("__variant", F.try_parse_json(F.col(record_col)))
+    variant, seen = F.col("__variant"), F.col("__seen")
+    refs = F.coalesce(_get(variant, "source_refs", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+    read = parsed.withColumns({"__seen": _read(variant, RECORD), "__refs": F.transform(refs, lambda r: _read(r, SOURCE_REF)), "__whole": F.coalesce(F.startswith(F.call_function("schema_of_variant", variant), F.lit("OBJECT")), F.lit(False))})
+    fields = [_told(f.path, issue(seen, RECORD, i)) for i, f in enumerate(RECORD)]
+    of_ref = lambda ref, i: F.transform(F.array_compact(F.array(*[_told(f.path, issue(ref, SOURCE_REF, k)) for k, f in enumerate(SOURCE_REF)])), lambda c: F.concat(F.lit("source_refs."), i.cast("string"), F.lit("."), c))
+    items = F.flatten(F.transform("__refs", of_ref))
+    day = lambda path: seen["texts"][[f.path for f in RECORD].index(path)].try_cast("date")
+    order = [_told(later, F.when((day(later) < day(earlier)) | F.lit(not equal) & (day(later) == day(earlier)), F.lit("value_error"))) for later, earlier, equal in DATE_ORDER]
+    found = F.concat(F.array_compact(F.array(*fields)), items, F.array_compact(F.array(*order)))
+    out = read.withColumn("violations", F.when(F.col("__whole"), found).otherwise(F.array(F.lit("malformed")))).drop("__variant", "__seen", "__refs", "__whole")
     return out.withColumn("valid", F.size("violations") == 0)

@@ -79,6 +79,13 @@ def test_addresses_with_one_character_between_them_are_told_as_the_sql_tells_the
     assert harness.differences(registry.queries()["mentions_latin"](spark, str(tmp_path)), con, registry.oracle_sql()["mentions_latin"]) is None
 
 
+def test_a_record_is_parsed_once(spark):
+    from docloom.sources import validation
+
+    text = validation.validated(spark.range(1).selectExpr("cast(id as string) as record"))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("parse_json(") + text.count("parseJson") <= 2
+
+
 def test_rules_make_their_rows_once(spark):
     from docloom.operators import rule_set
 
