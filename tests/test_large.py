@@ -86,6 +86,17 @@ def test_a_record_is_parsed_once(spark):
     assert text.count("parse_json(") + text.count("parseJson") <= 2
 
 
+def test_cosines_are_taken_some_rows_at_a_time(spark, monkeypatch):
+    from docloom.operators import retrieval
+
+    rows = [(k, [float(k % 7), float(k % 5) - 2, 1.0]) for k in range(200)]
+    vectors = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+    asked = vectors.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    want = sorted(map(tuple, retrieval.semantic(asked, vectors, 4).collect()))
+    monkeypatch.setattr(retrieval, "CELLS", 32)
+    assert sorted(map(tuple, retrieval.semantic(asked, vectors, 4).collect())) == want and len(want) == 16
+
+
 def test_rules_make_their_rows_once(spark):
     from docloom.operators import rule_set
 
