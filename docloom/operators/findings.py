@@ -69,9 +69,9 @@ def evidence_union(parts: list[DataFrame], *keys: str) -> DataFrame:
 
 def evidence_lookup(requests: DataFrame, objects: DataFrame) -> DataFrame:
     """(request_id, object_id) of objects (job_id, object_id, evidence_ids) that share evidence with a request (request_id, job_id, evidence_ids)."""
-    asked = requests.select("request_id", "job_id", F.explode("evidence_ids").alias("evidence_id")).distinct()
-    there = objects.select("job_id", "object_id", F.explode("evidence_ids").alias("evidence_id")).distinct()
-    return asked.join(there, ["job_id", "evidence_id"]).groupBy("request_id", "object_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("shared"))
+    asked = requests.select("request_id", "job_id", F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))
+    there = objects.select("job_id", "object_id", F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))
+    return asked.join(there, ["job_id", "evidence_id"]).groupBy("request_id", "object_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("shared"))
 
 
 def workspace_state(stages: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -93,9 +93,9 @@ def source_uncertain(cited: DataFrame, spans: DataFrame) -> DataFrame:
 
     cited: job_id, cited_id, evidence_ids; spans: job_id, object_id, evidence_ids, source_method, confidence."""
     objects = spans.groupBy("job_id", "object_id").agg(F.array_distinct(F.flatten(F.collect_list("evidence_ids"))).alias("evidence_ids"), F.bool_or(uncertain()).alias("uncertain"))
-    met = evidence_lookup(cited.withColumnRenamed("cited_id", "request_id"), objects).select(F.col("request_id").alias("cited_id"), "object_id")
-    found = cited.select("job_id", "cited_id").join(met, "cited_id", "left").join(objects.select("job_id", "object_id", "uncertain"), ["job_id", "object_id"], "left")
-    return found.groupBy("job_id", "cited_id").agg(F.coalesce(F.bool_or("uncertain"), F.lit(False)).alias("source_uncertain"))
+    doubted = objects.select("job_id", F.explode("evidence_ids").alias("evidence_id"), "uncertain").groupBy("job_id", "evidence_id").agg(F.bool_or("uncertain").alias("uncertain"))  # of each evidence, not of each pair of objects
+    named = cited.select("job_id", "cited_id", F.explode_outer("evidence_ids").alias("evidence_id"))
+    return named.join(doubted, ["job_id", "evidence_id"], "left").groupBy("job_id", "cited_id").agg(F.coalesce(F.bool_or("uncertain"), F.lit(False)).alias("source_uncertain"))
 
 
 def uncertain() -> Column:

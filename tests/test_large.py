@@ -97,6 +97,16 @@ def test_cosines_are_taken_some_rows_at_a_time(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.semantic(asked, vectors, 4).collect())) == want and len(want) == 16
 
 
+def test_uncertain_sources_are_found_without_pairs_of_objects(spark):
+    from docloom.operators import findings
+
+    cited = spark.createDataFrame([(1, 10, ["a", "b"]), (1, 11, ["c"]), (2, 12, ["a"]), (1, 13, [])], "job_id int, cited_id int, evidence_ids array<string>")
+    spans = spark.createDataFrame([(1, 20, ["a"], "NATIVE_TEXT", 0.9), (1, 20, ["z"], "OCR", 0.5), (1, 21, ["c"], "OCR", 0.9), (2, 22, ["b"], "OCR", None)], "job_id int, object_id int, evidence_ids array<string>, source_method string, confidence double")
+    out = findings.source_uncertain(cited, spans)
+    assert sorted(map(tuple, out.collect())) == [(1, 10, True), (1, 11, False), (1, 13, False), (2, 12, False)]
+    assert "object_id" not in plan(out).split("Join")[0]
+
+
 def test_rules_make_their_rows_once(spark):
     from docloom.operators import rule_set
 
