@@ -117,3 +117,45 @@ def test_rules_make_their_rows_once(spark):
     out = rule_set.groups(jobs, parties, "PARTY-ROLE-CONSISTENCY", "role_label", F.col("normalized_name"), F.lit(True))
     assert sorted((r.job_id, r.state, r.reason_code, r.object_ids) for r in out.collect()) == [(1, "PASS", "PARTY_NAMES_MATCH", ["party-1", "party-2"]), (2, "FAIL", "PARTY_NAMES_CONFLICT", ["party-1", "party-2"]), (3, "NOT_APPLICABLE", "NO_PARTY_MENTIONS", [])]
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_requests_are_dealt_before_repeats_are_looked_for(spark, monkeypatch):
+    from datetime import date
+
+    from docloom.operators import corpus, scan
+
+    asked = spark.createDataFrame([(1, date(2020, 1, 5), 7), (1, date(2020, 1, 5), 7), (1, date(2020, 1, 5), 8), (None, date(2020, 1, 5), 9), (2, None, 10)], "authority_id int, as_of date, query_id int")
+    versions = spark.createDataFrame([(1, 4, date(2020, 1, 1), None)], "authority_id int, version_id int, effective_date date, end_date_exclusive date")
+    plans, carried = [], scan.carried_scan
+    monkeypatch.setattr(scan, "carried_scan", lambda events, *rest: plans.append(plan(events)) or carried(events, *rest))
+    got = corpus.resolve_versions(asked, versions, ["query_id"])
+    assert sorted((r.query_id, r.state, r.version_id) for r in got.collect()) == [(7, "RESOLVED", 4), (8, "RESOLVED", 4), (9, "NO_APPLICABLE_VERSION", None), (10, "NO_APPLICABLE_VERSION", None)]
+    assert "HashAggregate" in plans[0] and "HashAggregate" not in plans[0].split("Exchange")[-1]
+
+
+def test_a_scan_of_more_rows_has_more_tasks(spark, monkeypatch):
+    from datetime import date, timedelta
+
+    from docloom.operators import corpus, scan
+
+    day = date(2020, 1, 1)
+    versions = spark.createDataFrame([(k % 3, k, day + timedelta(k), day + timedelta(k + 3)) for k in range(300)], "authority_id int, version_id int, effective_date date, end_date_exclusive date")
+    asked = spark.createDataFrame([(k % 3, day + timedelta(k)) for k in range(300)], "authority_id int, as_of date")
+    find = lambda: corpus.resolve_versions(asked, versions, ["authority_id", "as_of"])
+    want = sorted(map(str, find().collect()))
+    monkeypatch.setattr(scan, "ROWS", 45, raising=False)
+    out = find()
+    assert out.rdd.getNumPartitions() == 20 and sorted(map(str, out.collect())) == want
+
+
+def test_a_scan_that_is_one_side_of_a_union_carries_its_own_states(spark):
+    from datetime import date, timedelta
+
+    from docloom.operators import corpus
+
+    day = date(2020, 1, 1)
+    versions = spark.createDataFrame([(1, k, day + timedelta(k), day + timedelta(k + 60)) for k in range(200)], "authority_id int, version_id int, effective_date date, end_date_exclusive date")
+    asked = spark.createDataFrame([(1, day + timedelta(k)) for k in range(260)], "authority_id int, as_of date")
+    alone = corpus.resolve_versions(asked, versions, ["as_of"], 6)
+    want = sorted(map(str, alone.collect() * 2))
+    assert sorted(map(str, alone.unionByName(alone).collect())) == want
