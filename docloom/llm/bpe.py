@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import map_texts
 
-#: Distinct pre-tokens and chunks, and their characters, that a worker remembers before it starts anew.
+#: Distinct pre-tokens and chunks, and their characters, that a task remembers before it starts anew.
 CACHE_ENTRIES, CACHE_CHARS = 800_000, 20_000_000
 FIRST = 0x100
 TO_LETTERS = {b: FIRST + b for b in range(256)}
@@ -92,7 +92,7 @@ BESIDE_SPACE = re.compile(r" \s|[^\S ] |[\x00\x1c-\x1f\x85]")
 
 
 class _Codec:
-    """Of a worker: the model, the pattern, and what they gave for the pre-tokens and the chunks met so far."""
+    """Of a worker: the model, the pattern, and what they gave for the pre-tokens and the chunks that its task has met so far."""
 
     def __init__(self, model: bytes, pattern: str) -> None:
         import regex
@@ -106,6 +106,10 @@ class _Codec:
         self.chunks: dict[str, bytes] = {}
         self.held = 0
 
+    def forget(self) -> None:
+        """Let go of what was learnt: Spark keeps a worker after its task, beside whatever runs next."""
+        self.words, self.chunks, self.held = {}, {}, 0
+
     def split(self, text: str) -> list[str]:
         """Chunks, each of which the pattern cuts as it does within the text."""
         if not self.space_first or BESIDE_SPACE.search(text):
@@ -165,7 +169,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
 
     The rank file is read on the driver; workers get the serialised model (about 1 MB) with the
     task, so no file is needed on them. One narrow stage, no shuffle; a worker holds one slice of
-    texts and what it remembers (CACHE_ENTRIES)."""
+    texts and what it remembers (CACHE_ENTRIES), until its task ends."""
     model = serialized_model(read_ranks(rank_file))
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
-    return map_texts(docs, text_col, list(keep), added, _encoder(model, pattern), limit=4 << 20)
+    return map_texts(docs, text_col, list(keep), added, _encoder(model, pattern), limit=4 << 20, after=lambda: _codec(model, pattern).forget())

@@ -119,9 +119,9 @@ def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[t
 
 
 def map_texts(
-    df: DataFrame, text_col: str, keep: list[str], added: list[T.StructField], work: Callable[[pa.Array], list[pa.Array]], limit: int = SLICE_BYTES
+    df: DataFrame, text_col: str, keep: list[str], added: list[T.StructField], work: Callable[[pa.Array], list[pa.Array]], limit: int = SLICE_BYTES, after: Callable[[], None] | None = None
 ) -> DataFrame:
-    """``keep`` and the columns ``added``, which ``work`` makes from a slice of the text column.
+    """``keep`` and the columns ``added``, which ``work`` makes from a slice of the text column; ``after`` is called when a task ends.
 
     A kept column whose name an added one takes is left out."""
     names = {f.name.lower() for f in added}
@@ -131,7 +131,11 @@ def map_texts(
     out = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text", limit):
-            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *work(part.column("__text"))], names=out)
+        try:
+            for part in slices(batches, "__text", limit):
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *work(part.column("__text"))], names=out)
+        finally:
+            if after is not None:
+                after()
 
     return source.mapInArrow(run, schema)

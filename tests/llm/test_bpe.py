@@ -53,3 +53,17 @@ def test_query_and_edges(spark, small):
     got = queries.tokens(edge, keep=("doc_id", "n_tokens")).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.decoded) for r in got) == [("1", 0, b""), ("2", 0, b""), ("2", 0, b""), ("None", 1, b"x")]
     assert queries.tokens(edge.limit(0)).count() == 0
+
+
+def test_a_worker_remembers_nothing_after_its_task(spark):
+    import pyarrow as pa
+
+    path, pattern = P.path(queries.RANK_FILE), P.PATTERN
+    docs = spark.range(0, 400, 1, 8).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(id * 50, id * 50 + 49), k -> concat('word', k))) as text")
+    assert bpe.encode(docs, path, pattern).where("n_tokens >= 50").count() == 400
+
+    def held(batches):
+        codec = bpe._codec(MODEL, pattern)
+        yield pa.RecordBatch.from_arrays([pa.array([len(codec.words) + len(codec.chunks) + codec.held])], names=["held"])
+
+    assert {r.held for r in spark.range(0, 8, 1, 8).mapInArrow(held, "held long").collect()} == {0}
