@@ -159,3 +159,63 @@ def test_a_scan_that_is_one_side_of_a_union_carries_its_own_states(spark):
     alone = corpus.resolve_versions(asked, versions, ["as_of"], 6)
     want = sorted(map(str, alone.collect() * 2))
     assert sorted(map(str, alone.unionByName(alone).collect())) == want
+
+
+def test_mentions_meet_small_pages_without_copies_and_large_ones_by_a_sweep(spark, small, monkeypatch):
+    from docloom.operators import extraction
+    from docloom.plans import contracts
+
+    fields = "job_id int, page_number int, evidence_ids array<string>, char_start long, char_end long"
+    containers = [(1, page, [f"e{page % 2}"], 10 * k, 10 * k + 10 + 15 * (k % 3 == 0), f"c{page}-{k}", k) for page in range(4) for k in range(3 * page)]
+    mentions = [(1, page, [f"e{k % 2}", None], k, k + 4, f"m{page}-{k}") for page in range(5) for k in range(0, 70, 3)]
+    frames = spark.createDataFrame(mentions, f"{fields}, mention_id string"), spark.createDataFrame(containers, f"{fields}, container_id string, container_order int")
+    want = {}
+    for _, page, ids, s, e, name in mentions:
+        hits = [(c[6], c[5]) for c in containers if c[1] == page and set(ids) & set(c[2]) and c[3] <= s and e <= c[4]]
+        want[name] = min(hits)[1] if hits else None
+    for most in (512, 26, 0):  # all pages are small, some, none
+        monkeypatch.setattr(extraction, "PAGE", most)
+        assert {r.mention_id: r.container_id for r in extraction.contained(*frames).collect()} == want and None in want.values()
+    monkeypatch.undo()
+
+    def refused(df):
+        raise AssertionError("a copy of the rows")
+
+    monkeypatch.setattr(extraction, "checkpoint", refused)
+    made = plan(contracts.mention_clauses(spark, small))
+    assert "MapInArrow" not in made and "SortMergeJoin" not in made
+    assert made.count("Exchange hashpartitioning") == made.count("REPARTITION_BY_NUM") > 0  # only orders are shuffled
+
+
+def test_lines_of_long_pages_have_their_offsets(spark):
+    from docloom.operators import ingest
+
+    lines = [" " * (k % 3) + "一😀"[: k % 3] + "　\x1f"[: k % 2] for k in range(1000)]
+    text, at, want = "\n".join(lines), 0, []
+    for line in lines:
+        if line.strip():
+            start = at + len(line) - len(line.lstrip())
+            want.append((len(want) + 1, line.strip(), start, start + len(line.strip())))
+        at += len(line) + 1
+    units = ingest.evidence_units(spark.createDataFrame([(1, text), (2, ""), (3, "a"), (4, "\n\nb\n")], "id int, text string"), "id")
+    assert "MapInArrow" not in plan(units)
+    rows = sorted((r.id, r.unit_order, r.unit_text, r.char_start, r.char_end) for r in units.collect())
+    assert rows == [*[(1, *w) for w in want], (3, 1, "a", 0, 1), (4, 1, "b", 2, 3)]
+
+
+def test_matches_of_the_engine_are_those_of_python(spark):
+    import re
+
+    from docloom.operators import extraction
+
+    texts = ["甲方：客户 1 乙方：；丙方: x\n", "甲方：a\r\n乙方\x1c：b\x85c\n\n", "😀" * 30 + "合同总价为１２3,456.5元，预付款30%，尾款 7 ％百分之五十", "合同编号：\x1dHT-1\x1f2，项目编号:😀", "1.2.3条第二条见附件 一、附件　5", "人民币壹仟元整壹元", "¥5￥ 1,000.5万元2026年1月2日2026-1/3", "元" * 50 + "1元" * 60]
+    units = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "unit_order int, unit_text string")
+    found = extraction.matches(units, extraction.PATTERNS, ["unit_order"])
+    assert "MapInArrow" not in plan(found)
+    want = []
+    for k, t in enumerate(texts):
+        for kind, pattern in extraction.PATTERNS.items():
+            for m in re.finditer(pattern, t):
+                g = m.groupdict()
+                want.append((k, kind, m[0], g.get("value") or g.get("value2"), g.get("label"), *m.span(), t[max(0, m.start() - 40) : m.start()]))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr) and len(want) > 70
