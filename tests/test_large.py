@@ -219,3 +219,33 @@ def test_matches_of_the_engine_are_those_of_python(spark):
                 g = m.groupdict()
                 want.append((k, kind, m[0], g.get("value") or g.get("value2"), g.get("label"), *m.span(), t[max(0, m.start() - 40) : m.start()]))
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr) and len(want) > 70
+
+
+def test_rules_are_found_without_copies_of_matches_and_without_python(spark, small, monkeypatch):
+    from docloom.operators import extraction
+    from docloom.plans import contracts
+
+    def refused(df):
+        raise AssertionError("a copy of the rows")
+
+    monkeypatch.setattr(extraction, "checkpoint", refused)
+    made = plan(contracts.audit_rules(spark, small))
+    assert "Python" not in made and "MapInArrow" not in made
+    shuffles = [line for line in made.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffles and all("o_orderkey" in line and "REPARTITION_BY_NUM" in line for line in shuffles)  # orders, never their lines or mentions
+
+
+def test_numerals_of_the_engine_are_those_of_python(spark):
+    import random
+
+    from docloom.functions import text as X
+
+    draw = random.Random(1)
+    texts = ["", None, "0012", "12a", "一千零五", "万", "十", "万万", "一万零五", "零", "〇〇", "９", "九" * 30, "九千" * 20, "九千" * 20 + "万" * 4, "9" * 30, "一万\n"]
+    texts += ["".join(draw.choice("零〇一二两三九十百千万") for _ in range(draw.randrange(1, 9))) for _ in range(500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    numbers = rows.select("t", X.numeral(rows["t"]).alias("n"))
+    assert "Python" not in plan(numbers)
+    want = [X.chinese_number(t) for t in texts]
+    assert sorted(map(repr, (r.n for r in numbers.collect()))) == sorted(repr(w if w is not None and w < 2**63 else None) for w in want)
+    assert all(r.n == X.chinese_number(r.t) for r in numbers.where("n is not null").collect())
