@@ -249,3 +249,25 @@ def test_numerals_of_the_engine_are_those_of_python(spark):
     want = [X.chinese_number(t) for t in texts]
     assert sorted(map(repr, (r.n for r in numbers.collect()))) == sorted(repr(w if w is not None and w < 2**63 else None) for w in want)
     assert all(r.n == X.chinese_number(r.t) for r in numbers.where("n is not null").collect())
+
+
+def test_preambles_are_found_without_a_join_or_a_copy(spark, small, monkeypatch):
+    from docloom.operators import extraction
+    from docloom.plans import contracts
+
+    def refused(df):
+        raise AssertionError("a copy of the rows")
+
+    monkeypatch.setattr(extraction, "checkpoint", refused)
+    made = plan(contracts.contract_preambles(spark, small))
+    assert "Join" not in made and "MapInArrow" not in made
+    assert made.count("Exchange hashpartitioning") == made.count("REPARTITION_BY_NUM") > 0  # orders, never their lines
+
+
+def test_lines_that_are_no_titles_stay_in_the_block(spark):
+    from docloom.operators import extraction
+
+    units = spark.createDataFrame([(1, 1, "题"), (1, 2, "a"), (1, 3, "a"), (1, 4, "第一条 x"), (2, 1, "a"), (None, 1, "n")], "job int, unit_order int, unit_text string")
+    titles = spark.createDataFrame([(1, 1, "题"), (1, 1, "题"), (2, 1, "题"), (1, 2, "a"), (None, 1, "n"), (3, 1, "a")], "job int, page_number int, unit_text string")
+    blocks = extraction.unnumbered_blocks(extraction.outlined(units, "job"), titles, "job")
+    assert sorted(map(repr, ((r.job, r.text) for r in blocks.collect()))) == sorted(map(repr, [(1, "a\na"), (2, "a"), (None, "n")]))
