@@ -271,3 +271,19 @@ def test_lines_that_are_no_titles_stay_in_the_block(spark):
     titles = spark.createDataFrame([(1, 1, "题"), (1, 1, "题"), (2, 1, "题"), (1, 2, "a"), (None, 1, "n"), (3, 1, "a")], "job int, page_number int, unit_text string")
     blocks = extraction.unnumbered_blocks(extraction.outlined(units, "job"), titles, "job")
     assert sorted(map(repr, ((r.job, r.text) for r in blocks.collect()))) == sorted(map(repr, [(1, "a\na"), (2, "a"), (None, "n")]))
+
+
+def test_a_query_is_scored_by_all_its_grams(spark, small, monkeypatch):
+    from docloom.operators import gram_index
+    from docloom.plans import retrieval as plans
+
+    head = "abcdefghijklmnopqrstuvwxyz0123456789"  # 34 grams
+    docs = spark.createDataFrame([(1, head), (2, "the tail of it"), (3, head + " the tail of it"), (4, "z qqq")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, head + "thetailofit"), (2, "qqq"), (3, "")], "query_id long, query string")
+    index = gram_index.index_for(docs, ["text"], queries)
+    found = lambda most: sorted((r.query_id, r.doc_id) for r in gram_index.search(index, queries, 5, {"text": 1.0}, most=most)[0].collect())
+    assert found(None) == [(1, 1), (1, 2), (1, 3), (2, 4)]
+    assert (1, 2) not in found(32)
+    monkeypatch.setattr(gram_index, "BLOCK_GRAMS", 8)
+    assert (1, 2) in found(None)
+    assert "<= 32" not in plans.BM25_SQL and "<= 32" in plans.RRF_SQL
