@@ -287,3 +287,28 @@ def test_a_query_is_scored_by_all_its_grams(spark, small, monkeypatch):
     monkeypatch.setattr(gram_index, "BLOCK_GRAMS", 8)
     assert (1, 2) in found(None)
     assert "<= 32" not in plans.BM25_SQL and "<= 32" in plans.RRF_SQL
+
+
+def test_ranking_counts_documents_however_far_down_they_are(spark, tmp_path, monkeypatch):
+    import harness
+
+    from docloom.operators import gram_index
+    from docloom.plans import retrieval as plans
+
+    item, filler = "alpha beta gamma", " ".join(f"word{k}" for k in range(900))
+    docs = [(k, "alpha beta alpha gamma beta") for k in range(20, 65)] + [(5, f"{filler} {item}"), (70, f"{filler} {item}"), (3, "delta"), (80, "unit test ok"), (81, "unit test ok")]
+    docs += [(200 + k, "zeta eta theta iota") for k in range(40)]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string"), ("benchmark", [(1, item), (2, "unit test ok"), (3, "nowhere"), (4, "zeta eta theta"), (5, "delta")], "item_id long, text string")):
+        spark.createDataFrame(rows, schema).toPandas().to_parquet(f"{tmp_path}/{name}.parquet")
+    got = plans.ranking_metrics(spark, str(tmp_path))
+    assert harness.differences(got, harness.connect(str(tmp_path)), plans.RANKING_SQL) is None
+    row = got.first()
+    assert (row.queries, row.recall_at_k, row.mrr) == (4, 0.75, round((3 + 1 / 86) / 4, 6))  # 85 documents (beta and zeta have grams in common) come before the first that holds the item
+    queries = spark.read.parquet(f"{tmp_path}/benchmark.parquet").selectExpr("item_id as query_id", "text as query")
+    documents = spark.read.parquet(f"{tmp_path}/documents.parquet").repartition(3)
+    monkeypatch.setattr(gram_index, "SLICE", 200)
+    monkeypatch.setattr(gram_index, "BLOCK_QUERIES", 2)
+    index = gram_index.index_for(documents, ["text"], queries)
+    _, gold = gram_index.search(index, queries, 2, {"text": 1.0}, documents)
+    assert gold.where("query_id = 4").count() == 40
+    assert sorted(map(tuple, gram_index.first_ranks(index, queries, gold, {"text": 1.0}).collect())) == [(1, 5, 86), (2, 80, 1), (4, 200, 1), (5, 3, 1)]
